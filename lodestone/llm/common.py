@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(df: DataFrame) -> None:
+    """Make this package importable in the session's Python workers, once per context.
+
+    They unpickle its functions by name, so each executor needs its files; they
+    travel as Spark's own file downloads do.
+    """
+    sc = df.sparkSession.sparkContext
+    if getattr(sc, "_lodestone_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lodestone-code-"), "lodestone_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    atexit.register(shutil.rmtree, os.path.dirname(target), True)
+    sc._lodestone_shipped = True
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again.
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _gap_split, _odd_gap
+from .common import _gap_split, _odd_gap, ship
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -140,6 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     each; an empty table gives no piece; null ids stay null; other columns are
     ignored.
     """
+    ship(docs)
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     kind = d.schema["_id"].dataType.simpleString()
     end = struct.pack("<I", end_id)

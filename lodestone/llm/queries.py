@@ -24,6 +24,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metricjoin import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -46,6 +52,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -54,9 +66,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op5_metric_range_join": op5_metric_range_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_source_mixing": op10_source_mixing,
 }
 

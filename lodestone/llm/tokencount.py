@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 SPACE = "▁"  # how the vocabulary writes a space
 _NO = ""  # the last token after a reset: it joins with nothing
 
@@ -256,6 +258,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     an empty table gives an empty result; null ids stay; other columns are
     ignored. No shuffle.
     """
+    ship(docs)
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     kind = d.schema["_id"].dataType.simpleString()
     d = d.select("_id", F.octet_length("_t").cast("long").alias("n_bytes"), "_t")
