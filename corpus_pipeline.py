@@ -1,8 +1,84 @@
-"""The corpus pipeline: stages over `documents`, each one operator."""
+"""The corpus pipeline: five stages over `documents`, each one operator of the corpus subpackage.
 
-STAGES = []
+Counted as part of that subpackage. Each stage takes (spark, docs, sf_dir), works on
+all that the stage before it kept, and returns the columns of documents; the
+last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import jaccard, linededup, mixing, packing, toxicity
+from lodestone.llm.common import table
+
+#: Below this score a document stays.
+TOXIC_AT = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models, fitted on all labels, don't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, labels, holdout=None, threshold=TOXIC_AT)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of an earlier one; those of which no word is left were copies, and go."""
+    out = linededup.dedup_lines(docs)
+    emptied = (F.col("removed_words") > 0) & (F.trim(F.translate("text", "\t\n\r\x0b\x0c", "")) == "")
+    out = out.where(~emptied)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest id."""
+    found = jaccard.near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes at least half of it more: up to twice.
+
+    Whole documents carry the mixture on: a document taken for n words of s counts
+    round(n / s) times. Texts without words have no share and go.
+    """
+    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    times = table(taken.groupBy("_id").agg(F.max("_size").alias("_size"), F.max("_taken").alias("_taken")), "pipeline-mix")
+    out = docs.join(times, docs.doc_id == times["_id"])
+    n = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
+    out = out.withColumn("_n", n).where("_n > 0")
+    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces of the mixture, sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Tokenizers and fitted models are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = table(docs, f"pipeline-{name}")
+    return docs

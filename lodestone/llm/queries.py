@@ -18,6 +18,26 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    d = dedup_lines(_read(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.length("text").cast("long").alias("kept_chars"), "removed_words", F.md5(F.col("text").cast("binary")).alias("text_md5"), "text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    t = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return t.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -65,6 +85,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_scores": op1_brown_scores,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_metric_range_join": op5_metric_range_join,
     "op6_secret_scan": op6_secret_scan,
