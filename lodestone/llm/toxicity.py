@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, py_lower, py_words, ship, table, words
 
-FEATURES = ("mean_ratio", "largest", "second", "third", "strong")
+FEATURES = ("mean_ratio", "largest", "second", "third", "strong", "excess")
 _STRONG = 3.0  # log-likelihood ratio of a word that counts as a strong sign
 
 
@@ -25,7 +25,7 @@ class KneserNey:
     is smoothed alike in both and says nothing by itself.
     """
 
-    def __init__(self, counted: dict[str, tuple[float, float]], order: int = 5, shared: int = 2, discount: float = 0.75):
+    def __init__(self, counted: dict[str, tuple[float, float]], order: int = 6, shared: int = 2, discount: float = 0.75):
         self.order, self.shared, self.discount = order, shared, discount
         top: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
         for word, both in counted.items():
@@ -106,10 +106,10 @@ class Scorer:
                 memo[x] = self.model.ratio(x.strip(".,;:!?\"'()"))
         r = np.fromiter(map(memo.__getitem__, w), float, len(w))
         top = np.sort(r[np.argpartition(r, -3)[-3:]])[::-1] if len(r) > 3 else np.sort(np.r_[r, np.zeros(3)])[::-1]
-        return [r.mean(), *np.clip(top[:3], -1.0, 15.0), math.log1p((r > _STRONG).sum())]
+        return [r.mean(), *np.clip(top[:3], -1.0, 8.0), math.log1p((r > _STRONG).sum()), min(20.0, np.maximum(r - _STRONG, 0.0).sum())]
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton's method; the constant is the last weight."""
     x = np.c_[x, np.ones(len(x))]
     w, penalty = np.zeros(x.shape[1]), ridge * np.r_[np.ones(x.shape[1] - 1), 1e-6]
