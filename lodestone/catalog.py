@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import registry, relational, scalars, searches  # noqa: F401
+
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
