@@ -71,7 +71,7 @@ def _level(df: np.ndarray) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(df)).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bucket_bytes: int = 48_000_000) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bucket_bytes: int = 6_000_000) -> DataFrame:
     """Per document: id, n (shingles), k1, k2 (hash of the set), and for documents that can
     have a partner the shared shingles and, of these, the short lists.
 
