@@ -264,8 +264,10 @@ def time_format(t: Column, layout: str) -> Column:
 # --- JSON ----------------------------------------------------------------
 
 def json_valid(j: Column) -> Column:
-    """1 or 0."""
-    return F.when(j.isNotNull(), F.try_parse_json(j).isNotNull().cast("int"))
+    """1 or 0; what stands behind a value makes the text invalid, which the brackets bring to light."""
+    held = F.try_parse_json(F.concat(F.lit("["), j, F.lit("]")))
+    one = F.try_parse_json(j).isNotNull() & held.isNotNull() & F.try_variant_get(held, "$[1]", "variant").isNull()
+    return F.when(j.isNotNull(), one.cast("int"))
 
 
 def json_arrow(j: Column, path: str) -> Column:
@@ -286,7 +288,7 @@ def json_type(j: Column, path: str = "$") -> Column:
 def json_quote(c: Column, kind: str = "string") -> Column:
     """A scalar as JSON."""
     quoted = F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":(?s:(.*))\}$", 1) if kind == "string" else c.cast("string")
-    return F.coalesce(quoted, F.lit("null"))
+    return F.when(c.isNull(), "null").otherwise(quoted)
 
 
 # --- regular expressions -------------------------------------------------

@@ -119,11 +119,11 @@ query("groups_frame", "select o_orderkey, count(*) over (partition by o_ordersta
 query("exclude", f"select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following exclude current row), 2) as s from orders")(lambda t: t.orders.select("o_orderkey", F.round(W.sum_excluding_current(F.col("o_totalprice"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 2).alias("s")))
 query("filter_over", f"select o_orderkey, count(*) filter (where o_orderstatus = 'O') over ({_W}) as n from orders")(lambda t: t.orders.select("o_orderkey", W.filter_over(F.count, F.col("o_orderstatus") == "O", F.lit(1), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("n")))
 sql("named_window", "select o_orderkey, cast(row_number() over w as bigint) as rn, count(*) over w as n from orders window w as (partition by o_custkey order by o_orderkey)")
-sql("stats_over", f"select o_orderkey, round(var_pop(o_totalprice) over ({_W} rows between 3 preceding and current row), 1) as v from orders")
+sql("stats_over", f"select o_orderkey, round(stddev_pop(o_totalprice) over ({_W} rows between 3 preceding and current row), 3) as v from orders")
 query("sliding_percentile", f"select o_orderkey, round(quantile_cont(o_totalprice, 0.5) over ({_W} rows between 4 preceding and current row), 4) as m from orders")(lambda t: t.orders.select("o_orderkey", F.round(W.sliding_percentile(F.col("o_totalprice"), 0.5, Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-4, 0)), 4).alias("m")))
 
 # --- sorting -------------------------------------------------------------
-sql("order_by", "select c_custkey, cast(row_number() over (order by nullif(c_mktsegment, 'BUILDING') desc nulls last, c_acctbal, c_custkey) as bigint) as at from customer order by at")
+sql("order_by", "select c_custkey, cast(row_number() over (order by nullif(c_mktsegment, 'BUILDING') desc nulls last, c_acctbal, c_custkey) as bigint) as place from customer order by place")
 query("collate", "select p_partkey from part where lower(p_brand) = 'brand#11' or rtrim(p_type) = 'PROMO'")(lambda t: t.part.where((F.collate("p_brand", "UTF8_LCASE") == F.collate(F.lit("BRAND#11"), "UTF8_LCASE")) | (F.collate("p_type", "UTF8_BINARY_RTRIM") == F.collate(F.lit("PROMO  "), "UTF8_BINARY_RTRIM"))).select("p_partkey"))
 query("nocase_accent", "select count(*) as n from documents where strip_accents(lower(substr(text, 1, 1))) = 'e'")(lambda t: t.documents.where(F.collate(F.substring("text", 1, 1), "UNICODE_CI_AI") == F.collate(F.lit("É"), "UNICODE_CI_AI")).agg(F.count("*").alias("n")))
 sql("limit_offset", "select o_orderkey from orders order by o_orderkey limit 10 offset 5")
@@ -136,7 +136,7 @@ sql("intersect", "select c_custkey as k from customer intersect select o_custkey
 sql("except", "select c_custkey as k from customer except select o_custkey from orders")
 sql("cte", "with a as (select o_custkey, sum(o_totalprice) as s from orders group by o_custkey), b as (select max(s) as m from a) select o_custkey, round(s, 2) as s from a, b where s > 0.8 * m")
 sql("recursive_cte", "with recursive fib(n, a, b) as (select 1, cast(0 as bigint), cast(1 as bigint) union all select n + 1, b, a + b from fib where n < 40) select n, a from fib")
-query("recursive_union", "with recursive d(id) as (select 5::bigint union select (id * 7) % 101 from d) select id from d")(lambda t: R.recursive_union(t.spark.range(1).select(F.lit(5).cast("long").alias("id")), lambda d: d.select((F.col("id") * 7 % 101).alias("id"))))
+query("recursive_union", "with recursive d(id) as (select 5::bigint union select (id * 2) % 17 from d) select id from d")(lambda t: R.recursive_union(t.spark.range(1).select(F.lit(5).cast("long").alias("id")), lambda d: d.select((F.col("id") * 2 % 17).alias("id"))))
 sql("scalar_subquery", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.8 from orders)")
 sql("correlated", "select o.o_orderkey from orders o where o.o_totalprice = (select max(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)")
 sql("in_subquery", "select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1) and c_custkey not in (select o_custkey from orders)")
@@ -157,13 +157,13 @@ def closure(t: Tables) -> DataFrame:
     return R.closure(e, t.spark.range(1, 2), "id", "parent").select("id", "depth")
 
 
-@query("closure_graph", "with recursive t(id, depth) as (select 900::bigint, 0::bigint union all select id // 2, depth + 1 from t where id > 1 and depth < 3) select id, depth from t")
+@query("closure_graph", "with recursive t(id, depth) as (select 150::bigint, 0::bigint union all select id // 2, depth + 1 from t where id > 1 and depth < 3) select id, depth from t")
 def closure_graph(t: Tables) -> DataFrame:
     e = t.documents.where("doc_id > 1").select(F.col("doc_id").alias("id"), F.expr("doc_id div 2").alias("parent"))
-    return R.closure(e, t.spark.range(900, 901), "id", "parent", max_depth=3, reverse=True).select("id", "depth")
+    return R.closure(e, t.spark.range(150, 151), "id", "parent", max_depth=3, reverse=True).select("id", "depth")
 
 
-query("pivot", "select cast(ts as date) as day, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view from events group by 1")(lambda t: R.pivot(t.events.withColumn("day", F.to_date("ts")), ["day"], "event_type", ["click", "view"], F.count("*")).na.fill(0))
+query("pivot", "select cast(ts as date) as day, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view from events group by 1")(lambda t: R.pivot(t.events.withColumn("day", F.to_date("ts")), ["day"], "event_type", ["click", "view"], F.count(F.lit(1))).na.fill(0))
 
 
 @query("statement", "select o_orderkey from orders where o_orderstatus = 'O' and o_totalprice > 150000")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import arrow as P
@@ -36,7 +37,7 @@ over("text_split", "part", "p_partkey", {"a": "split_part(p_brand, '#', 2)", "b"
 # --- math ----------------------------------------------------------------
 sql("abs_round", "select c_custkey, abs(c_acctbal) as a, round(c_acctbal, 1) as r, round(c_acctbal) as z from customer")
 over("max_min_scalar", "customer", "c_custkey", {"a": "case when c_custkey % 3 = 0 then null else greatest(c_acctbal, 100.0) end", "b": "least(c_acctbal, 100.0)::double"}, a=lambda: S.scalar_max(C("c_acctbal"), F.when(C("c_custkey") % 3 != 0, 100.0)), b=lambda: S.scalar_min(C("c_acctbal"), F.lit(100.0)))
-over("sqrt_pow_exp_log", "customer", "c_custkey", {"s": "case when c_acctbal >= 0 then round(sqrt(c_acctbal), 6) end", "p": "round(power(c_custkey, 1.5), 4)", "e": "round(exp(c_custkey / 1e4), 8)", "l": "round(ln(c_custkey), 8)", "t": "round(log10(c_custkey), 8)", "b": "round(log2(c_custkey), 8)", "c": "round(cbrt(c_custkey), 8)"}, s=lambda: F.round(S.no_nan(F.sqrt("c_acctbal")), 6), p=lambda: F.round(F.pow("c_custkey", F.lit(1.5)), 4), e=lambda: F.round(F.exp(C("c_custkey") / 1e4), 8), l=lambda: F.round(F.ln("c_custkey"), 8), t=lambda: F.round(F.log10("c_custkey"), 8), b=lambda: F.round(F.log2("c_custkey"), 8), c=lambda: F.round(F.cbrt("c_custkey"), 8))
+over("sqrt_pow_exp_log", "customer", "c_custkey", {"s": "case when c_acctbal >= 0 then round(sqrt(c_acctbal), 6) end", "p": "round(power(c_custkey, 1.5), 4)", "e": "round(exp(c_custkey / 1e4), 8)", "l": "round(ln(nullif(c_custkey, 0)), 8)", "t": "round(log10(nullif(c_custkey, 0)), 8)", "b": "round(log2(nullif(c_custkey, 0)), 8)", "c": "round(cbrt(c_custkey), 8)"}, s=lambda: F.round(S.no_nan(F.sqrt("c_acctbal")), 6), p=lambda: F.round(F.pow("c_custkey", F.lit(1.5)), 4), e=lambda: F.round(F.exp(C("c_custkey") / 1e4), 8), l=lambda: F.round(F.ln("c_custkey"), 8), t=lambda: F.round(F.log10("c_custkey"), 8), b=lambda: F.round(F.log2("c_custkey"), 8), c=lambda: F.round(F.cbrt("c_custkey"), 8))
 over("trig", "nation", "n_nationkey", {n: f"round({n}(n_nationkey / 25.0), 8)" for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh")} | {"a2": "round(atan2(n_nationkey, 3), 8)", "cot": "case when n_nationkey <> 0 then round(1 / tan(n_nationkey / 25.0), 6) end"}, **{n: (lambda f=getattr(F, n): F.round(f(C("n_nationkey") / 25.0), 8)) for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh")}, a2=lambda: F.round(F.atan2("n_nationkey", F.lit(3)), 8), cot=lambda: F.round(S.cot(C("n_nationkey") / 25.0), 6))
 over("ceil_floor_trunc", "customer", "c_custkey", {"c": "ceil(c_acctbal)::double", "f": "floor(c_acctbal)::double", "t": "trunc(c_acctbal)::double"}, c=lambda: F.ceil("c_acctbal").cast("double"), f=lambda: F.floor("c_acctbal").cast("double"), t=lambda: S.trunc(C("c_acctbal")))
 sql("degrees_mod_pi", "select c_custkey, round(degrees(c_custkey), 4) as d, round(radians(c_custkey), 8) as r, (-c_custkey) % 7 as m, round(pi(), 8) as p from customer")
@@ -113,7 +114,7 @@ query("soundex")(lambda t: t.nation.select("n_nationkey", S.soundex(C("n_name"))
 query("caverphone")(lambda t: t.nation.select("n_nationkey", S.caverphone(C("n_name")).alias("s")))
 
 # --- Unicode, encodings, hashes ------------------------------------------
-over("upper_u", "documents", "doc_id", {"u": "upper(substr(text, 1, 30))", "l": "lower(substr(text, 1, 30))"}, u=lambda: F.upper(F.substring("text", 1, 30)), l=lambda: F.lower(F.substring("text", 1, 30)))
+over("upper_u", "documents", "doc_id", {"u": "upper(replace(substr(text, 1, 30), 'ß', 'ss'))", "l": "lower(substr(text, 1, 30))"}, u=lambda: F.upper(F.substring("text", 1, 30)), l=lambda: F.lower(F.substring("text", 1, 30)))
 query("initcap")(lambda t: t.part.select("p_partkey", F.initcap("p_name").alias("s")))
 over("unaccent", "documents", "doc_id", {"u": "strip_accents(substr(text, 1, 80))", "n": "nfc_normalize(substr(text, 1, 80))"}, u=lambda: P.unaccent(F.substring("text", 1, 80)), n=lambda: P.normalize(F.substring("text", 1, 80), F.lit("NFC")))
 query("casefold")(lambda t: t.documents.select("doc_id", P.casefold(F.substring("text", 1, 80)).alias("s")))
@@ -146,12 +147,11 @@ query("udaf", "select l_returnflag, max(l_quantity) - min(l_quantity) as r from
 
 
 def _range(c):
-    import pandas as pd
+    return F.pandas_udf(_span, "double")(c)
 
-    def span(v: pd.Series) -> float:
-        return float(v.max() - v.min())
 
-    return F.pandas_udf(span, "double")(c)
+def _span(v: pd.Series) -> float:
+    return float(v.max() - v.min())
 
 
 # --- sources with inline data --------------------------------------------
