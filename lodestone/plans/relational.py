@@ -19,8 +19,8 @@ query("series", "select range::bigint as value from range(5, -6, -2) union all s
 query("array_tvf", "select unnest([3, 1, 2])::bigint as value")(lambda t: t.spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (3, 1, 2)])).alias("value")))
 
 
-@query("sqlite_master", "select 'orders' as tbl, column_name as name, (row_number() over (order by ordinal_position))::bigint as pos from (select unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) as column_name, unnest([1,2,3,4,5,6]) as ordinal_position)")
-def sqlite_master(t: Tables) -> DataFrame:
+@query("catalog_introspection", "select 'orders' as tbl, column_name as name, (row_number() over (order by ordinal_position))::bigint as pos from (select unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) as column_name, unnest([1,2,3,4,5,6]) as ordinal_position)")
+def catalog_introspection(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([("orders", c, i) for i, c in enumerate(t.orders.columns, 1)], "tbl string, name string, pos long")
 
 
