@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, py_lower, py_words, ship, table, words
 
 FEATURES = ("mean_ratio", "largest", "second", "third", "strong", "excess")
+FOLDS = 4
 _STRONG = 3.0  # log-likelihood ratio of a word that counts as a strong sign
 
 
@@ -109,7 +110,7 @@ class Scorer:
         return [r.mean(), *np.clip(top[:3], -1.0, 8.0), math.log1p((r > _STRONG).sum()), min(20.0, np.maximum(r - _STRONG, 0.0).sum())]
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Logistic regression by Newton's method; the constant is the last weight."""
     x = np.c_[x, np.ones(len(x))]
     w, penalty = np.zeros(x.shape[1]), ridge * np.r_[np.ones(x.shape[1] - 1), 1e-6]
@@ -122,49 +123,72 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def fit(train: DataFrame, id_col: str, text_col: str, label_col: str, fit_chars: int = 3_000_000) -> tuple[KneserNey, np.ndarray, np.ndarray, np.ndarray]:
-    """The model and the weights that turn its features into a score.
+def _monotone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a regression in which no sign of toxicity counts against it."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        w = _regress(x[:, use], y)
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[:-1][use], out[-1] = w[:-1], w[-1]
+            return out
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False
 
-    `train` holds labelled texts. Of each class, a sample chosen by a hash of the
-    id with about `fit_chars` characters in all is used: that bounds what the
-    driver holds. Each half of the sample is scored by a model of the other
-    half, and a logistic regression on these features sets the weights.
+
+def sample(docs: DataFrame, labels: DataFrame, fit_chars: int) -> DataFrame:
+    """(y, fold, t): labelled texts of `docs` (_id, _t) for the fit, chosen by a hash of the id.
+
+    Of each class, texts with about `fit_chars` characters in all, 20 more counted
+    for each. So the chosen ids are at most fit_chars / 20 a class, about, and go
+    to the documents as a broadcast; only ids and lengths are shuffled.
     """
-    h = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1_000_000)) / 1_000_000.0
-    t = train.select(F.col(label_col).cast("int").alias("y"), h.alias("h"), F.pmod(F.xxhash64(F.lit(4), F.col(id_col)), F.lit(2)).cast("int").alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("y in (0, 1)")
-    chars = {r.y: r.n for r in t.groupBy("y").agg(F.sum(F.length("t")).alias("n")).collect()}
+    h = F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(1_000_000)) / 1_000_000.0
+    n = docs.select("_id", F.coalesce(F.length("_t"), F.lit(0)).alias("_n")).join(labels, F.col("_id") == F.col("_i"))
+    n = table(n.where("_y in (0, 1)").select("_i", F.col("_y").alias("y"), h.alias("h"), (F.col("_n") + 20).alias("n")), "toxic-lengths")
+    chars = {r.y: r.n for r in n.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     share = F.when(F.col("y") == 1, fit_chars / max(1, chars.get(1) or 1)).otherwise(fit_chars / max(1, chars.get(0) or 1))
-    t = table(t.where(F.col("h") < share).select("y", "fold", "t"), "toxic-sample")
+    chosen = table(n.where(F.col("h") < share).select("_i", "y").distinct(), "toxic-chosen")
+    fold = F.pmod(F.xxhash64(F.lit(4), F.col("_id")), F.lit(FOLDS)).cast("int")
+    t = docs.join(F.broadcast(chosen), F.col("_id") == F.col("_i"))
+    return table(t.select("y", fold.alias("fold"), F.coalesce("_t", F.lit("")).alias("t")), "toxic-sample")
+
+
+def fit(t: DataFrame) -> tuple[KneserNey, np.ndarray, np.ndarray, np.ndarray]:
+    """The model and the weights that turn its features into a score, from a sample (y, fold, t).
+
+    Each of `FOLDS` parts of the sample is scored by a model of the others, and a
+    logistic regression on these features sets the weights.
+    """
     counted = t.select("y", "fold", F.explode(words(ascii_lower(F.col("t")))).alias("w")).groupBy("y", "fold", "w").count().collect()
-    by_fold: list[dict[str, list[float]]] = [{}, {}]
-    for r in counted:
-        w = r.w.strip(".,;:!?\"'()")
-        by_fold[r.fold].setdefault(w, [0.0, 0.0])[r.y] += r["count"]
-    halves = [KneserNey(f) for f in by_fold]
-    whole: dict[str, list[float]] = {}
-    for f in by_fold:
-        for w, (a, b) in f.items():
-            x = whole.setdefault(w, [0.0, 0.0])
-            x[0] += a
-            x[1] += b
-    shared = t.sparkSession.sparkContext.broadcast(halves)
-
-    def features(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorers = [Scorer(m) for m in shared.value]
-        for df in it:
-            rows = [[float(y), *scorers[1 - fold](x)] for y, fold, x in zip(df.y, df.fold, df.t, strict=True)]
-            yield pd.DataFrame(rows, columns=["y", *FEATURES])
-
-    f = t.mapInPandas(features, ", ".join(f"{c} double" for c in ("y", *FEATURES))).toPandas()
-    shared.destroy()
+
+    def model(without: int | None) -> KneserNey:
+        sums: dict[str, list[float]] = {}
+        for r in counted:
+            if r.fold != without:
+                sums.setdefault(r.w.strip(".,;:!?\"'()"), [0.0, 0.0])[r.y] += r["count"]
+        return KneserNey(sums)
+
+    parts = []
+    for k in range(FOLDS):  # one model at a time bounds the driver's memory
+        shared = t.sparkSession.sparkContext.broadcast(model(k))
+
+        def features(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            scorer = Scorer(shared.value)
+            for df in it:
+                yield pd.DataFrame([[float(y), *scorer(x)] for y, x in zip(df.y, df.t, strict=True)], columns=["y", *FEATURES])
+
+        parts.append(t.where(F.col("fold") == k).mapInPandas(features, ", ".join(f"{c} double" for c in ("y", *FEATURES))).toPandas())
+        shared.destroy()
+    f, whole = pd.concat(parts), model(None)
+    del counted
     x, y = f[list(FEATURES)].to_numpy(float), f["y"].to_numpy(float)
     if not len(x) or y.min() == y.max():
-        return KneserNey(whole), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.r_[np.zeros(len(FEATURES)), -3.0]
+        return whole, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.r_[np.zeros(len(FEATURES)), -3.0]
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return KneserNey(whole), mean, scale, _regress((x - mean) / scale, y)
+    return whole, mean, scale, _monotone((x - mean) / scale, y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int | None = 1, threshold: float = 0.7, fit_chars: int = 3_000_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int | None = 1, threshold: float = 0.7, fit_chars: int = 2_500_000) -> DataFrame:
     """`docs` with what a classifier that learns from `labels` says of each whole text.
 
     Learns only from rows of `labels` whose crc32(id as text) mod 3 is not
@@ -189,9 +213,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if holdout is not None:
         y = y.where(part(F.col("_i")) != holdout)
     y = y.groupBy("_i").agg(F.max("_y").alias("_y"))
-    train = d.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(y, F.col("_id") == F.col("_i"))
-    # copies in `docs` would be trained on and tested against themselves; each text counts once
-    model, mean, scale, weights = fit(train.select("_id", "_t", "_y"), "_id", "_t", "_y", fit_chars)
+    texts = d.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    model, mean, scale, weights = fit(sample(texts, y, fit_chars))
     shared = d.sparkSession.sparkContext.broadcast((model, mean, scale, weights))
 
     @F.pandas_udf("double")
@@ -207,4 +230,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-__all__ = ["FEATURES", "KneserNey", "Scorer", "fit", "toxicity"]
+__all__ = ["FEATURES", "KneserNey", "Scorer", "fit", "sample", "toxicity"]
