@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,10 +22,19 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 #: A full stop or comma beside other punctuation, with which it would form one piece.
-_bound = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_").search
+_bound = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))").search
+#: Words the tokenizer neither normalises nor splits: lower-case Latin-1 letters.
+_plain = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 _known: dict[str, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet for the characters beyond ASCII of Latin-1: printable bytes stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = dict(zip(own, own, strict=True)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
+    return {c: "".join(chr(letter[b]) for b in chr(c).encode()) for c in range(128, 256)}
+
+
 class WordIds:
     """Token ids of whole texts, as bytes, through a bounded memo of white-space-free strings.
 
@@ -34,12 +44,25 @@ class WordIds:
     touch those are strings of their own, and ASCII is lower-cased at once, as
     the tokenizer would, so that fewer strings are new. Texts with "<|" keep
     their case, since special tokens are matched before it is folded.
+
+    Words of plain letters go to the tokenizer's own model without the steps
+    before it, which leave them as they are, many at a time with a mark between;
+    so they do only where the file has the steps known to do so (`plain`).
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000, mark: str = "|"):
         from tokenizers import Tokenizer
 
-        self.tok, self.memo, self.most = Tokenizer.from_file(path), {}, most
+        self.tok, self.memo, self.most, self.mark = Tokenizer.from_file(path), {}, most, mark
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and r"|[\p{L}]+|" in cuts[0]["pattern"].get("Regex", "")
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model, self.letters = Tokenizer.from_str(json.dumps(spec)), _byte_letters()
+        ids = self.model.encode(mark, add_special_tokens=False).ids
+        self.plain, self.mark_id = self.plain and len(ids) == 1, ids[0] if ids else -1
 
     @staticmethod
     def split(t: str) -> list[str]:
@@ -50,17 +73,45 @@ class WordIds:
                 t = t.replace(".", " . ").replace(",", " , ")
         return t.split() if not _odd_gap(t) else [w for w in _gap_split(t) if w]
 
+    def learn(self, new: list[str], group: int = 32) -> None:
+        """Put the ids of new strings into the memo."""
+        memo, rest = self.memo, new
+        if self.plain:
+            rest, easy, spelt = [], [], []
+            for w in new:
+                low = w.lower()
+                if not _plain(low):
+                    rest.append(w)
+                    continue
+                easy.append(w)
+                spelt.append(low if low.isascii() else low.translate(self.letters))
+            texts = [f" {self.mark} ".join(spelt[i : i + group]) for i in range(0, len(spelt), group)]
+            at = 0
+            for e in self.model.encode_batch_fast(texts, add_special_tokens=False):
+                ids, lo = array("I", e.ids), 0
+                for _ in range(ids.count(self.mark_id)):
+                    hi = ids.index(self.mark_id, lo)
+                    memo[easy[at]] = ids[lo:hi].tobytes()
+                    lo, at = hi + 1, at + 1
+                memo[easy[at]] = ids[lo:].tobytes()
+                at += 1
+        for lo in range(0, len(rest), 8192):
+            some = rest[lo : lo + 8192]
+            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memo[w] = array("I", e.ids).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
         if len(self.memo) > self.most:
             self.memo.clear()
         memo = self.memo
-        new = list(set().union(*parts).difference(memo))
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        parts = [self.split(t) for t in texts]
+        found = [list(map(memo.get, p)) for p in parts]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        self.learn(list({p[i] for p, g in zip(parts, gaps, strict=True) for i in g}))
+        for p, f, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = memo[p[i]]
+        return [b"".join(f) for f in found]
 
 
 def word_ids(path: str) -> WordIds:
