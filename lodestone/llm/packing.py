@@ -9,6 +9,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,10 @@ class WordIds:
     def split(t: str) -> list[str]:
         if "<|" not in t:
             if t.isascii():
-                t = t.lower()
-            if not _bound(t):
+                t, steady = t.lower(), True
+            else:  # a letter may become a letter and a mark, which forms one piece with punctuation
+                steady = "\u0130" not in t and is_normalized("NFC", t)
+            if steady and not _bound(t):
                 t = t.replace(".", " . ").replace(",", " , ")
         return t.split() if not _odd_gap(t) else [w for w in _gap_split(t) if w]
 

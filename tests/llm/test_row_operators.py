@@ -189,6 +189,21 @@ def test_packing(spark, size):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_word_ids_are_the_tokenizers():
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = tokenizers.Tokenizer.from_file(path), random.Random(9)
+    letters = "abzAZ\xdf\xe9\xc9\xf7\xd7\xff\xaa\xb5\u0301\u0130\u03a3\u212a|.,_'!0 "
+    texts = ["", "|", "a|b | c", "x" * 3000, "<|endoftext|> Ab|", "\u0130.", "\u0958, \u0958.x", "E\u0301.,"] + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(600)]
+    ids = packing.WordIds(path, most=50)  # small, so that the memo is emptied on the way
+    assert ids.plain
+    for lo in range(0, len(texts), 100):
+        some = texts[lo : lo + 100]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in some]
+        assert [list(memoryview(b).cast("I")) for b in ids(some)] == want
+
+
 def test_sum_of_squares_takes_the_smallest_change():
     rng, size = random.Random(4), 50
     p = packing.SumOfSquares(size)
