@@ -1,16 +1,15 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by the shortest windows of lines that count as a passage."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, table, word_count
+from .common import let, release, table, word_count
 
 #: A line ends after a line feed or after a sentence, since passages are also set into running lines.
 LINE_END = r"(?<=\n)|(?<=[.!?]\x20)"
 _MARK = "\x01"
-_REACH = 12  # lines to either side of a chunk along which a repeated passage is followed
 
 
 def lines(text: Column) -> Column:
@@ -27,30 +26,38 @@ def lines(text: Column) -> Column:
     return F.filter(cut, lambda x: x != "")
 
 
-def line_hashes(units: Column) -> Column:
-    """A hash per line, blind to what separates it from the next."""
-    return F.transform(units, lambda u: F.xxhash64(F.rtrim(F.translate(u, "\r\n", ""))))
+def line_hash(u: Column, seed: int | None = None) -> Column:
+    """A hash of a line, blind to what separates it from the next."""
+    u = F.rtrim(F.translate(u, "\r\n", ""))
+    return F.xxhash64(u) if seed is None else F.xxhash64(F.lit(seed), u)
 
 
-def chunks(h: Column, divisor: int) -> Column:
-    """Chunks (s, e, ch) of the line hashes `h`: a chunk ends where the hash rolling over the last two lines is 0 mod `divisor`.
+def windows(w: Column, min_words: int, min_lines: int) -> Column:
+    """Per line of the word counts `w` (1 at least each): how many lines the shortest window from it on has that is long enough, 0 if none is.
 
-    A boundary depends on two lines alone, so text put in or taken out elsewhere does not move it.
+    Long enough is `min_words` words and `min_lines` lines. The few lines that
+    mostly do are summed first.
     """
-    ends = lambda j: (j >= 1) & (F.pmod(F.xxhash64(F.get(h, j - 1), F.get(h, j)), F.lit(divisor)) == 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | ends(i - 1))
+    near, unit = 8, 1 << 20  # sums are words * unit + lines
+    enough = F.lit(min_words * unit).cast("long")
+    add = lambda acc, x: F.when(acc < enough, acc + x * unit + 1).otherwise(acc)
 
-    def chunk(s: Column, e: Column) -> Column:
-        return F.struct(s.alias("s"), e.alias("e"), F.xxhash64(F.slice(h, s + 1, e - s)).alias("ch"))
+    def length(i: Column) -> Column:
+        def lines_of(acc: Column) -> Column:
+            n = F.greatest((acc % unit).cast("int"), F.lit(min_lines))
+            return F.when((acc >= enough) & (i + n <= F.size(w)), n).otherwise(0)
 
-    made = F.transform(F.array(starts), lambda a: F.transform(a, lambda s, i: chunk(s, F.coalesce(F.get(a, i + 1), F.size(h)))))[0]
-    return F.when(F.size(h) > 0, made).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,ch:bigint>>)"))
+        more = lambda acc: F.when(acc >= enough, acc).otherwise(F.aggregate(F.slice(w, i + near + 1, min_words), acc, add))
+        return let(let(F.aggregate(F.slice(w, i + 1, near), F.lit(0).cast("long"), add), more), lines_of)
 
+    return F.transform(w, lambda _, i: length(i))
 
-def _equal(p: Column, q: Column) -> Column:
-    """Number of leading items that two arrays have in common."""
-    differs = F.array_position(F.zip_with(p, q, lambda a, b: ~a.eqNullSafe(b)), True)
-    return F.when(differs > 0, differs - 1).otherwise(F.size(p)).cast("int")
+
+def _worded(text: Column, seed: int | None) -> Column:
+    """(i, w, h): place, words and hash of each line of a text that has words, and h2, a second hash, if it gets a seed."""
+    second = lambda u: [] if seed is None else [line_hash(u, seed).alias("h2")]
+    made = F.transform(lines(text), lambda u, i: F.struct(i.alias("i"), word_count(u).alias("w"), line_hash(u).alias("h"), *second(u)))
+    return F.filter(made, lambda x: x["w"] > 0)
 
 
 def _merged(spans: Column) -> Column:
@@ -65,17 +72,56 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2, min_words: int = 30, min_lines: int = 2) -> DataFrame:
+def starts(text: Column, min_words: int, min_lines: int) -> Column:
+    """(s, ch): the worded line each shortest window starts with and the window's hash."""
+
+    def made(w: Column, h: Column) -> Column:
+        start = lambda n, s: F.when(n > 0, F.struct(s.alias("s"), F.xxhash64(F.slice(h, s + 1, n)).alias("ch")))
+        return F.filter(F.transform(windows(w, min_words, min_lines), start), lambda x: x.isNotNull())
+
+    fields = lambda x: let(x.getField("w"), lambda w: let(x.getField("h"), lambda h: made(w, h)))
+    return let(_worded(text, None), fields)
+
+
+def passages(text: Column, places: Column, min_words: int, min_lines: int) -> Column:
+    """(a, b, k1, k2): the windows that start at the worded lines `places`, by lines of the text and two hashes.
+
+    From a place s on these are the shortest one and all longer ones that are the
+    shortest to end where they end, so that those from s + 1 on are too short.
+    """
+
+    def made(i: Column, w: Column, g: Column, h: Column, n: Column) -> Column:
+        def key(s: Column, e: Column) -> Column:
+            first, last = F.get(i, s).alias("a"), (F.get(i, e - 1) + 1).alias("b")
+            return F.struct(first, last, *[F.xxhash64(F.slice(x, s + 1, e - s)).alias(k) for x, k in ((g, "k1"), (h, "k2"))])
+
+        def at(s: Column) -> Column:
+            nearest, after = s + F.get(n, s), F.get(n, s + 1)
+            furthest = F.when(after > 0, F.greatest(nearest, s + after)).otherwise(F.size(w))
+            return F.transform(F.sequence(nearest, furthest), lambda e: key(s, e))
+
+        return F.flatten(F.transform(places, at))
+
+    def fields(x: Column) -> Column:
+        f = x.getField
+        return let(f("i"), lambda i: let(f("w"), lambda w: let(f("h"), lambda g: let(f("h2"), lambda h: let(windows(w, min_words, min_lines), lambda n: made(i, w, g, h, n))))))
+
+    return let(_worded(text, 2), fields)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, min_lines: int = 2) -> DataFrame:
     """`docs` without passages of several lines that an earlier document holds.
 
-    Lines (see `LINE_END`) are cut into chunks at content-defined boundaries. A
-    chunk hash that occurs in two or more documents marks a repeat; the
-    document with the smallest id keeps it. In the others the chunk's bytes
-    are compared with those kept; where they are equal, the passage is followed
-    line by line to both sides as far as the two documents agree, up to
-    `_REACH` lines. It goes if it has at least `min_lines` lines and `min_words`
-    words. Chunks and comparisons are equi-joins on hashes: counts are combined
-    before the shuffle, and no task gathers what shares a chunk.
+    A passage has at least `min_lines` lines (see `lines`) and `min_words` words.
+    From each line on the shortest window that is one gets a hash. Each repeated
+    passage holds the windows of its first lines, and its last lines are held by
+    the shortest window that ends with it, which starts where a repeated one
+    does; so these windows cover it, and each is a passage by itself: what
+    stands around it decides nothing. The document with the smallest id keeps a
+    window; in the others its lines go. Lines are equal if they are but for line
+    ends and blanks at their end; lines without words part nothing. A 64-bit hash
+    finds what may repeat, 128 bits decide. Windows are joined on hashes: counts
+    are combined before the shuffle, and no task gathers what shares a window.
 
     Adds removed_words (long) and changes `text_col`; a column of that name gives
     way. Lines of fewer words, and repeats within one document, stay. A null text
@@ -88,28 +134,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "removed_words"])
     rid = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00")))
     d = docs.select(F.col(id_col).alias("_id"), rid.alias("_rid"), F.col(text_col).alias("_t"))
-    h = d.select("_rid", line_hashes(lines(F.col("_t"))).alias("_h"))
-    c = table(h.select("_rid", F.explode(chunks(F.col("_h"), divisor)).alias("c")).select("_rid", "c.*"), "lines-chunks")
+    c = table(d.select("_rid", F.explode(starts(F.col("_t"), min_words, min_lines)).alias("c")).select("_rid", "c.*"), "lines-windows")
     repeated = c.groupBy("ch").agg(F.min("_rid").alias("lo"), F.max("_rid").alias("hi")).where("lo <> hi").select("ch")
-    places = table(c.join(repeated, "ch").select("_rid", "s", "e", "ch"), "lines-repeated")
+    by_doc = c.join(repeated, "ch").groupBy("_rid").agg(F.collect_set("s").alias("_p"))
+    by_doc = table(by_doc, "lines-repeated")
     release(spark)
 
-    # the texts of repeated chunks and what stands around them
-    by_doc = places.groupBy("_rid").agg(F.array_sort(F.collect_set(F.struct("s", "e", "ch"))).alias("_p"))
-    u = d.dropDuplicates(["_rid"]).join(by_doc, "_rid").select("_id", "_rid", "_p", lines(F.col("_t")).alias("_u"))
-    u = u.withColumn("_h", F.transform(line_hashes(F.col("_u")), lambda x: F.hash(x)))  # 32 bits do around a chunk
-    u = u.select("_id", "_rid", "_u", "_h", F.explode("_p").alias("p"))
-    s, e = F.col("p.s"), F.col("p.e")
-    body = F.rtrim(F.translate(F.array_join(F.slice("_u", s + 1, e - s), ""), "\r\n", " "))
-    before = F.reverse(F.slice("_h", F.greatest(s - _REACH, F.lit(0)) + 1, F.least(s, F.lit(_REACH))))
-    after = F.slice("_h", e + 1, F.lit(_REACH))
-    near = table(u.select("_id", "_rid", "p.s", "p.e", "p.ch", body.alias("body"), before.alias("before"), after.alias("after")), "lines-around")
+    # the windows from these places on
+    u = d.dropDuplicates(["_rid"]).join(by_doc, "_rid")
+    u = u.select("_id", "_rid", F.explode(passages(F.col("_t"), F.col("_p"), min_words, min_lines)).alias("p"))
+    near = table(u.select("_id", "_rid", "p.*"), "lines-around")
     release(spark)
-    first = near.groupBy("ch").agg(F.min_by(F.struct("_rid", "body", "before", "after"), F.struct("_id", "_rid", "s")).alias("f"))
-    hit = near.join(first, "ch").where("_rid <> f._rid and body = f.body")
-    a = F.col("s") - _equal(F.col("before"), F.col("f.before"))
-    b = F.col("e") + _equal(F.col("after"), F.col("f.after"))
-    cuts = hit.select("_rid", a.alias("a"), b.alias("b")).groupBy("_rid").agg(F.collect_set(F.struct("a", "b")).alias("_cuts"))
+    first = near.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_rid")).alias("f"), F.max("_rid").alias("hi"), F.min("_rid").alias("lo"))
+    hit = near.join(first.where("lo <> hi").select("k1", "k2", F.col("f._rid").alias("_first")), ["k1", "k2"]).where("_rid <> _first")
+    cuts = hit.groupBy("_rid").agg(F.collect_set(F.struct("a", "b")).alias("_cuts"))
     cuts = table(cuts.select("_rid", _merged(F.col("_cuts")).alias("_cuts")), "lines-cuts")
     release(spark)
 
@@ -117,14 +155,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span_words = lambda us, x: word_count(F.array_join(F.slice(us, x["a"] + 1, x["b"] - x["a"]), ""))
 
     def without(us: Column) -> Column:
-        gone = F.filter("_cuts", lambda x: (x["b"] - x["a"] >= min_lines) & (span_words(us, x) >= min_words))
-
         def cut(g: Column) -> Column:
             kept = F.filter(us, lambda _, i: ~F.exists(g, lambda x: (i >= x["a"]) & (i < x["b"])))
             lost = F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + span_words(us, x))
             return F.struct(F.array_join(kept, "").alias("t"), lost.alias("n"))
 
-        return F.transform(F.array(gone), cut)[0]
+        return cut(F.col("_cuts"))
 
     out = docs.withColumn("_rid", rid).join(cuts, "_rid", "left")
     done = F.when(F.col("_cuts").isNotNull(), F.transform(F.array(units), without)[0])

@@ -154,6 +154,28 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def planted(rng, passage, at, before, after):
+    """A text of own words with a passage set in after `at` sentences."""
+    own = lambda k: " ".join(f"o{rng.randrange(10**9)}" for _ in range(k)) + ". "
+    return "".join(own(rng.randint(3, 9)) for _ in range(before)) + passage + "".join(own(rng.randint(3, 9)) for _ in range(after))
+
+
+def test_short_passages_are_all_found(spark):
+    """Passages of 2 to 6 lines and over 50 words, two holders each: the later one loses all of it and nothing else."""
+    rng, rows, want = random.Random(11), [], {}
+    for k in range(2, 7):
+        for _ in range(40):
+            size = -(-52 // k)
+            passage = "".join(" ".join(f"p{rng.randrange(10**9)}" for _ in range(size)) + ". " for _ in range(k))
+            for later in (0, 1):
+                before, after = rng.randint(0, 4), rng.randint(1, 4)
+                rows.append((len(rows), planted(rng, passage, 0, before, after)))
+                want[len(rows) - 1] = rows[-1][1].replace(passage, "") if later else rows[-1][1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df.repartition(5)).collect()}
+    assert got == want
+
+
 def test_lines_join_to_the_text(spark):
     texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
