@@ -176,6 +176,30 @@ def test_short_passages_are_all_found(spark):
     assert got == want
 
 
+def test_unrelated_holders_hide_no_repeat(spark):
+    """A first holder of the frequent lines inside a passage, or one with other line ends, keeps no later repeat from being found."""
+    rng, rows, want = random.Random(12), [], {}
+    some = lambda k: " ".join(f"p{rng.randrange(10**9)}" for _ in range(k)) + ".\n"
+    usual = "all rights are reserved.\n", "see the terms of use.\n"
+    rows.append((0, planted(rng, "".join(usual), 0, 3, 3)))
+    want[0] = rows[0][1]
+    for _ in range(60):
+        passage = some(25) + "".join(usual) + some(25)
+        for later in (0, 1):
+            i, t = len(rows), planted(rng, passage, 0, 2, 2)
+            rows.append((i, t))
+            want[i] = t.replace(passage, "") if later else t
+    for _ in range(20):
+        passage = "".join(some(12) for _ in range(5))
+        for ends in ("\r\n", "\n", "\n"):
+            i, p = len(rows), passage.replace("\n", ends)
+            t = planted(rng, p, 0, 2, 2)
+            rows.append((i, t))
+            want[i] = t if ends == "\r\n" else t.replace(p, "")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == want
+
+
 def test_lines_join_to_the_text(spark):
     texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
