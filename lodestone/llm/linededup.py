@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, release, table, word_count
+from .common import let, release, table, without_gaps, word_count
 
 #: A line ends after a line feed or after a sentence, since passages are also set into running lines.
 LINE_END = r"(?<=\n)|(?<=[.!?]\x20)"
 _MARK = "\x01"
+_LONG = 10  # words of the longest line, and of the windows whose least word cuts a longer one
+_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
+
+def _pieces(line: Column) -> Column:
+    """A line of over `_LONG` words cut before the word of least hash of each `_LONG` words on end.
+
+    The cuts inside a run of words depend on the run alone, but for its first and
+    last `_LONG` words, and no piece is longer than that.
+    """
+
+    def cut(tokens: Column) -> Column:
+        place = F.lit(1 << 31)  # keys are a hash above and a place below
+        keys = F.transform(tokens, lambda x, i: F.hash(without_gaps(x)).cast("long") * place + i)
+
+        def at(keys: Column) -> Column:
+            least = F.transform(F.sequence(F.lit(1), F.size(keys) - _LONG + 1), lambda k: F.pmod(F.array_min(F.slice(keys, k, _LONG)), place).cast("int"))
+            return F.array_distinct(F.concat(F.array(F.lit(0)), least))
+
+        join = lambda s: F.transform(s, lambda x, k: F.array_join(F.slice(tokens, x + 1, F.coalesce(F.get(s, k + 1), F.size(tokens)) - x), ""))
+        return let(let(keys, at), join)
+
+    return let(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0)), cut)
 
 
 def lines(text: Column) -> Column:
-    """The lines of a text; joined, they are the text.
+    """The lines of a text, long ones in pieces; joined, they are the text.
 
     A mark is put after each end and the text split there, which takes less time than
     the pattern; texts that hold the mark itself are split by the pattern.
@@ -23,7 +46,7 @@ def lines(text: Column) -> Column:
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
     cut = F.when(F.instr(t, _MARK) > 0, F.split(t, LINE_END, -1)).otherwise(F.split(marked, _MARK, -1))
-    return F.filter(cut, lambda x: x != "")
+    return F.flatten(F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.when(word_count(x) > _LONG, _pieces(x)).otherwise(F.array(x))))
 
 
 def line_hash(u: Column, seed: int | None = None) -> Column:
@@ -113,6 +136,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` without passages of several lines that an earlier document holds.
 
     A passage has at least `min_lines` lines (see `lines`) and `min_words` words.
+    Lines of over `_LONG` words count as several: a repeated run of words of any
+    kind is cut alike but for `_LONG` words at either end, so of runs of over
+    `min_words` + 2 * `_LONG` words all but those ends are found at least.
     From each line on the shortest window that is one gets a hash. Each repeated
     passage holds the windows of its first lines, and its last lines are held by
     the shortest window that ends with it, which starts where a repeated one

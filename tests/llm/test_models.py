@@ -200,6 +200,25 @@ def test_unrelated_holders_hide_no_repeat(spark):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == want
 
 
+def test_long_lines_are_found(spark):
+    """Repeats of over 50 words without a line end of their own, or that start and end inside other sentences."""
+    rng, rows, want = random.Random(13), [], {}
+    some = lambda c, k, gap=" ": gap.join(f"{c}{rng.randrange(10**9)}" for _ in range(k))
+    kinds = [lambda: some("p", 51), lambda: some("p", 51, "; "), lambda: some("p", 60), lambda: some("p", 2000), lambda: some("p", 25) + ". " + some("p", 26), lambda: some("p", 51, "\t")]
+    for k in range(120):
+        run = kinds[k % len(kinds)]()
+        for later in (0, 1):
+            rows.append((len(rows), f"{some('o', rng.randint(1, 40))} {run} {some('o', rng.randint(1, 40))}"))
+            want[rows[-1][0]] = (later, set(run.replace(".", "").replace(";", "").split()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in linededup.dedup_lines(df.repartition(5)).collect():
+        later, run = want[r.doc_id]
+        left = {w.strip(".;") for w in r.text.split()}
+        before = {w.strip(".;") for w in dict(rows)[r.doc_id].split()}
+        assert before - run <= left  # other words stay
+        assert len(run & left) <= 20 if later else run <= left
+
+
 def test_lines_join_to_the_text(spark):
     texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
