@@ -7,7 +7,7 @@ last returns packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, linededup, mixing, packing, toxicity
@@ -42,17 +42,33 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes at least half of it more: up to twice.
-
-    Whole documents carry the mixture on: a document taken for n words of s counts
-    round(n / s) times. Texts without words have no share and go.
+    """Each document as often as the mixture takes it, up to twice, so that each source's words come to what is taken of them.
+
+    Whole documents carry the mixture on: one taken for n words of s is due n / s
+    times. Within a shard of a source, by size and then in seeded order, what
+    rounding leaves is carried to the next document, so a shard's words differ
+    from those taken by its longest document at most. Rows with a null id are kept
+    and counted as others; rows alike in id, text and source share what they are
+    due. Texts without words have no share and go.
     """
-    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    times = table(taken.groupBy("_id").agg(F.max("_size").alias("_size"), F.max("_taken").alias("_taken")), "pipeline-mix")
-    out = docs.join(times, docs.doc_id == times["_id"])
-    n = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    out = out.withColumn("_n", n).where("_n > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    one, shard_rows, seed = 1 << 20, 4000, 29
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
+    docs = docs.withColumn("_key", key)
+    taken = mixing.mix_sources(docs.withColumn("_row", F.struct("doc_id", "_key")), id_col="_row").where("size > 0")
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    due = taken.groupBy(F.col("_row._key").alias("_key"), source.alias("_src")).agg(F.max("size").alias("_size"), F.count("*").alias("_rows"), F.sum("taken").alias("_taken"))
+    due = table(due.withColumn("_due", F.round(F.col("_taken") * one / F.col("_size")).cast("long")), "pipeline-due")
+    shards = due.groupBy("_src").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("_shards"))
+    due = due.join(shards, "_src").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_shards")))
+    order = Window.partitionBy("_src", "_shard").orderBy("_size", F.xxhash64(F.lit(seed + 1), "_key"), "_key")
+    turn = F.pmod(F.xxhash64(F.lit(seed + 2), "_src", "_shard"), F.lit(one))
+    upto = turn + F.sum("_due").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    due = due.withColumn("_upto", upto).withColumn("_times", F.floor(F.col("_upto") / one) - F.floor((F.col("_upto") - F.col("_due")) / one))
+    out = docs.join(table(due.where("_times > 0").select("_key", "_rows", "_times"), "pipeline-mix"), "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
+    n = F.floor(F.col("_times") / F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("int")
+    out = out.withColumn("_n", n.cast("int")).where("_n > 0")
+    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_key").select(*[c for c in docs.columns if c != "_key"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,3 +238,21 @@ def test_pipeline(spark, sf):
     assert pieces.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
     assert pieces.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
     assert corpus_pipeline.run(spark, sf).groupBy().sum("length").first()[0] == pieces.groupBy().sum("length").first()[0]
+
+
+def test_mix_meets_what_is_taken(spark):
+    """Long documents come in each source as often as the mixture takes their words, the last of a shard apart."""
+    rng, rows = random.Random(14), []
+    for source, n in (("a", 40), ("b", 150), ("c", 150), (None, 40)):
+        rows += [(len(rows) + i, " ".join("w" for _ in range(rng.randint(1500, 4000))), source) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = lambda t: len(t.split())
+    want, got = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.mixing.mix_sources(df).collect():
+        want[r.source] += r.taken
+    copies = collections.Counter()
+    for r in corpus_pipeline.mix(spark, df.repartition(3), "").collect():
+        got[r.source] += size(r.text)
+        copies[r.doc_id] += 1
+    assert max(copies.values()) <= 2
+    assert all(abs(got[k] - want[k]) <= 4000 + 300 for k in want)  # 300: blocks by a different shard order
