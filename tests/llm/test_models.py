@@ -256,3 +256,18 @@ def test_mix_meets_what_is_taken(spark):
         copies[r.doc_id] += 1
     assert max(copies.values()) <= 2
     assert all(abs(got[k] - want[k]) <= 4000 + 300 for k in want)  # 300: blocks by a different shard order
+
+
+def test_mix_keeps_null_and_repeated_ids(spark):
+    long = lambda c, n: " ".join([c] * n)
+    rows = [(None, long("x", 3000), "a"), (None, long("y", 2000), "a"), (7, long("u", 2500), "b"), (7, long("v", 10), "b"), (8, long("z", 900), "b"), (8, long("z", 900), "b"), (9, None, "a"), (10, " ", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    due = collections.Counter()
+    for r in corpus_pipeline.mixing.mix_sources(df).collect():
+        due[r.doc_id, r.size, r.source] += r.taken
+    got = collections.Counter((r.doc_id, len(r.text.split()), r.source) for r in corpus_pipeline.mix(spark, df, "").collect())
+    assert {k[0] for k in got} >= {None}
+    for (i, n, s), words in due.items():
+        if n:
+            assert abs(got[i, n, s] - words / n) < 2  # by less than one, and by a block of another order
+    assert not any(k[0] in (9, 10) for k in got)
