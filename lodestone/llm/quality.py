@@ -36,33 +36,27 @@ def measures(text: Column) -> list[Column]:
 def repeated_words(w: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the array `w`.
 
-    Each window is a long: a hash above, its position below, so that one sort
-    of longs brings equal windows together.
+    Each window is a struct of its words' 64-bit hash and its position, so that one
+    sort brings equal windows together; neighbours of equal hashes count where
+    their words are equal.
     """
     n = F.size(w)
-    bits = F.greatest(F.ceil(F.log2(n + F.lit(2.0))).cast("int"), F.lit(1))
+    keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
 
-    def count(k: Column) -> Column:
-        keys = F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), k).bitwiseOR(i.cast("long")),
-            )
-        )
+    def starts(a: Column) -> Column:
+        def same(x: Column, j: Column) -> Column:
+            y = F.get(a, j)
+            alike = [F.get(w, x["p"] + k) == F.get(w, y["p"] + k) for k in range(3)]
+            return F.coalesce((x["h"] == y["h"]) & alike[0] & alike[1] & alike[2], F.lit(False))
 
-        def starts(a: Column) -> Column:
-            same = lambda i, j: F.call_function("shiftright", F.get(a, i), k) == F.call_function("shiftright", F.get(a, j), k)
-            twice = F.filter(a, lambda x, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-            mask = F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
-            return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+        twice = F.filter(a, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.sort_array(F.transform(twice, lambda x: x["p"].cast("long")))
 
-        def covered(s: Column) -> Column:
-            gaps = F.transform(s, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, i + 1) - x, F.lit(3).cast("long"))))
-            return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    def covered(s: Column) -> Column:
+        gaps = F.transform(s, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(s, i + 1) - x, F.lit(3).cast("long"))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-        return let(let(keys, starts), covered)
-
-    return F.when(n >= 4, let(bits, count)).otherwise(F.lit(0).cast("long"))
+    return F.when(n >= 4, let(let(keys, starts), covered)).otherwise(F.lit(0).cast("long"))
 
 
 def _vote(bad: Column, good: Column) -> Column:

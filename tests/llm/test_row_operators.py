@@ -99,6 +99,14 @@ def test_quality_measures(spark, sf):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_long_texts_are_exact(spark):
+    """Among 5,000,000 different windows, none counts as repeated, however few bits a position leaves; one repeat does."""
+    n = 5_000_000
+    df = spark.sql(f"select transform(sequence(1, {n}), x -> cast(x as string)) as w union all select concat(transform(sequence(1, {n}), x -> cast(x as string)), array('5', '6', '7')) as w")
+    got = sorted(r.n for r in df.select(quality.repeated_words(quality.F.col("w")).alias("n")).collect())
+    assert got == [0, 6]
+
+
 def test_quality_agrees_with_labels(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.quality(d).where("not base_failed").join(labels, "doc_id").collect()
