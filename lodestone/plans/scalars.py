@@ -117,7 +117,7 @@ query("caverphone")(lambda t: t.nation.select("n_nationkey", S.caverphone(C("n_n
 over("upper_u", "documents", "doc_id", {"u": "upper(replace(substr(text, 1, 30), 'ß', 'ss'))", "l": "lower(substr(text, 1, 30))"}, u=lambda: F.upper(F.substring("text", 1, 30)), l=lambda: F.lower(F.substring("text", 1, 30)))
 query("initcap")(lambda t: t.part.select("p_partkey", F.initcap("p_name").alias("s")))
 over("unaccent", "documents", "doc_id", {"u": "strip_accents(substr(text, 1, 80))", "n": "nfc_normalize(substr(text, 1, 80))"}, u=lambda: P.unaccent(F.substring("text", 1, 80)), n=lambda: P.normalize(F.substring("text", 1, 80), F.lit("NFC")))
-query("casefold")(lambda t: t.documents.select("doc_id", P.casefold(F.substring("text", 1, 80)).alias("s")))
+query("casefold")(lambda t: t.documents.select("doc_id", P.casefold("text").alias("s")))
 over("encode", "part", "p_partkey", {"b": "base64(p_name::blob)", "h": "lower(hex(p_name))", "u": "url_encode(p_brand)", "w": "translate(base64(p_name::blob), '+/', '-_')"}, b=lambda: F.base64(C("p_name").cast("binary")), h=lambda: F.lower(F.hex("p_name")), u=lambda: F.url_encode("p_brand"), w=lambda: S.base64url(C("p_name").cast("binary")))
 over("decode", "part", "p_partkey", {k: "p_name" for k in ("base64", "base32", "base32hex", "hex", "ascii85")}, **{k: (lambda k=k: P.decode(P.encode(C("p_name").cast("binary"), F.lit(k)), F.lit(k)).cast("string")) for k in ("base64", "base32", "base32hex", "hex", "ascii85")})
 over("hashes", "part", "p_partkey", {"m": "md5(p_name)", "s": "sha1(p_name)", "t": "sha256(p_name)"}, m=lambda: F.lower(F.hex(S.md5_raw(C("p_name")))), s=lambda: F.sha1("p_name"), t=lambda: F.sha2("p_name", 256))

@@ -64,7 +64,7 @@ query("bm25", f"""{_P}, n as (select doc_id, len(w) as len from w), s as (select
  df as (select term, count(*) as df from tf group by 1) select doc_id, round(-sum(greatest(1e-6, ln((s.n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.avg))), 6) as rank
  from tf join df using (term) join n using (doc_id), s group by 1""")(lambda t: X.bm25(_ix(t), X.Or([X.Term("able"), X.Term("ation")])).select(C("doc").alias("doc_id"), F.round("rank", 6).alias("rank")))
 query("fts_highlight", r"select doc_id, regexp_replace(substr(text, 1, 200), '(?i)\b(the)\b', '<b>\1</b>', 'g') as h from documents where lang = 'en' and regexp_full_match(substr(text, 1, 200), '[\x00-\x7f]*')")(lambda t: t.documents.where(r"lang = 'en' and substr(text, 1, 200) rlike '^[\\x00-\\x7f]*$'").select("doc_id", X.highlight(F.substring("text", 1, 200), ["the"]).alias("h")))
-query("fts_snippet")(lambda t: t.documents.select("doc_id", X.snippet(F.substring("text", 1, 2000), ["the", "of"], 8).alias("s")))
+query("fts_snippet")(lambda t: t.documents.select("doc_id", X.snippet(C("text"), ["the", "of"], 8).alias("s")))
 query("fts_vocab", f"{_P} select term, count(distinct doc_id) as doc, count(*) as cnt from p group by 1")(lambda t: X.vocabulary(_ix(t)))
 query("fts_vocab_instance", f"{_P} select term, doc_id as doc, 'text' as col, pos::bigint as \"offset\" from p where doc_id < 20")(lambda t: X.vocabulary(_ix(t), "instance").where("doc < 20"))
 query("fts_top_terms", f"{_P} select term, count(*) as cnt from p group by 1 order by cnt desc, term limit 25")(lambda t: X.vocabulary(_ix(t)).orderBy(F.desc("cnt"), "term").limit(25).select("term", "cnt"))

@@ -202,3 +202,13 @@ def test_upsert(spark):
     assert rows(relations.upsert(t, s, ["id"], None)) == {(1, 10), (2, 20), (3, 7)}
     assert rows(relations.upsert(t, s, ["id"], {"v": F.col("old.v") + F.col("new.v")})) == {(1, 10), (2, 25), (3, 7)}
     assert rows(relations.upsert(t, s, ["id"], {"v": F.col("new.v")}, F.col("new.v") > 6)) == {(1, 10), (2, 20), (3, 7)}
+
+
+def test_queries_without_counterpart_read_whole_texts(spark, tmp_path):
+    text = "one two three four. " * 200 + "end of the line, of the whole text ẞ"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from lodestone import catalog
+
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).first().s
+    assert "of" in run("fts_snippet") and "the" in run("fts_snippet")
+    assert run("casefold") == text.casefold()
