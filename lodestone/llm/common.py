@@ -18,17 +18,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 _GAP_CHARS = " \t\n\x0b\x0c\r"
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares, as the session names it.
 
-    Where `spark.checkpoint.dir` is unset (tests on one machine) a temporary
-    folder is made, set in the session and removed at exit.
+    Where `spark.checkpoint.dir` is unset on a single machine (tests) a temporary
+    folder is made, set in the session and removed at exit; on a cluster that is
+    an error, since executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
@@ -41,9 +45,11 @@ def ship(df: DataFrame) -> None:
     """Make this package importable in the session's Python workers, once per context.
 
     They unpickle its functions by name, so each executor needs its files; they
-    travel as Spark's own file downloads do.
+    travel as Spark's own file downloads do. Batches that go to them are held to
+    `BATCH_BYTES`, so that long texts don't add up in a worker.
     """
     sc = df.sparkSession.sparkContext
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_lodestone_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -68,7 +74,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._lodestone_path = path
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what `table()` wrote for these, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -12,20 +12,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, py_lower, py_words, release, ship, table
+from .common import forget, fresh, py_lower, py_words, release, ship, table
 from .components import Forest, components
 
-_BYTES = 6  # of a shingle hash that leave the task that made it
+_BYTES = 7  # of a shingle hash that leave the task that made it
+_PART = 1_000_000  # shingles of the documents that are sent as one part
 _P = 0x9E3779B97F4A7C15
 _words: dict[str, int] = {}
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """Distinct hashes (48 bits, sorted) of a text's k-word shingles; the whole sequence if it has fewer words."""
+    """Distinct 64-bit hashes (sorted) of a text's k-word shingles; of the whole sequence if it has fewer words."""
     w = py_words(py_lower(text or ""))
     if not w:
         return np.empty(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     for x in set(w):
         if x not in _words:
@@ -39,7 +40,13 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return np.unique(out >> np.uint64(64 - 8 * _BYTES))
+    return np.unique(out)
+
+
+def _cut(h: np.ndarray) -> np.ndarray:
+    """The bits of sorted hashes that are sent."""
+    h = h >> np.uint64(64 - 8 * _BYTES)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
 
 
 def _short(h: np.ndarray) -> bytes:
@@ -75,38 +82,41 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     """Per document: id, n (shingles), k1, k2 (hash of the set), and for documents that can
     have a partner the shared shingles and, of these, the short lists.
 
-    Each scan task sends its distinct shingle hashes, once each, to buckets by
-    hash. A bucket sees how many documents hold a hash and answers for those that
-    are in two or more. A partner shares at least percent % of a document's
-    shingles, so a document with fewer shared ones is done; for the others, rarest
-    shingles first, those after which fewer than the needed overlap remain are
-    long lists, and those before are short: two partners share one of the latter.
+    Documents form parts of about `_PART` shingles, so that what a task holds
+    does not follow the size of a scan partition. A part sends its distinct shingle
+    hashes, once each, to buckets by hash. A bucket sees how many documents hold a
+    hash and answers for those that are in two or more. A partner shares at least
+    percent % of a document's shingles, so a document with fewer shared ones is
+    done; for the others, rarest shingles first, those after which fewer than the
+    needed overlap remain are long lists, and those before are short: two partners
+    share one of the latter.
     """
     ship(docs)
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
     n_buckets = max(16, min(1 << 20, int(size) // bucket_bytes))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        part, order, held, rows = TaskContext.get().partitionId(), 0, [], []
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, rows, held, n_held = TaskContext.get().partitionId() << 32, [], [], 0
         for df in batches:
             for key, text in zip(df["_id"].array, df["_t"], strict=True):
                 h = shingles(text, k)
                 sums = (int(h.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(h * np.uint64(_P)))) if len(h) else (0, 0)
                 k1, k2 = (int(np.uint64(x).astype(np.int64)) for x in sums)
-                rows.append((_DOC, part, (part + order) % n_buckets, None if pd.isna(key) else int(key), len(h), k1, k2, order, None, None))
-                held.append(h)
-                order += 1
-                if len(rows) >= 5000:
-                    yield _frame(rows)
-                    rows = []
+                rows.append((_DOC, part, (part + len(rows)) % n_buckets, None if pd.isna(key) else int(key), len(h), k1, k2, len(rows), None, None))
+                held.append(_cut(h))
+                n_held += len(h)
+                if n_held >= _PART or len(rows) >= 20_000:
+                    yield from lists(part, rows, held)
+                    part, rows, held, n_held = part + 1, [], [], 0
         if rows:
-            yield _frame(rows)
-        if not held:
-            return
+            yield from lists(part, rows, held)
+
+    def lists(part: int, rows: list[tuple], held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        """The rows of one part: its documents, and its shingles by bucket."""
+        yield _frame(rows)
         h = np.concatenate(held)
         at = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
-        del held
         by = np.argsort(h, kind="stable")
         h, at = h[by], at[by]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
@@ -262,11 +272,13 @@ def _docs(df: pd.DataFrame) -> list[tuple]:
     return [(int(i), int(n), _long(s)) for i, n, s in zip(df.id, df.n, df.shared, strict=True)]
 
 
-def linked(sig: DataFrame, percent: int, block: int = 768) -> DataFrame:
+def linked(sig: DataFrame, percent: int, block_bytes: int = 4_000_000) -> DataFrame:
     """Edges (a, b) that connect all linked pairs of documents in the table `sig` of signatures.
 
-    Copies hang on the smallest id. Documents that share a short list are in one
-    cell. A cell within `block` documents is searched whole. A larger one is cut
+    Copies hang on the smallest id. Linked documents share a short list, so they
+    meet in the cell of that list's smallest id, which holds the documents of all
+    short lists with that smallest id; a document is in the cells of its lists. A
+    cell of up to `block_bytes` of shingles is searched whole. A larger one is cut
     into blocks, each searched in itself; then the components' first documents
     with one another; then, exactly, every document outside a cell's largest
     component against every block of the cell, since the pairs that are left
@@ -276,37 +288,44 @@ def linked(sig: DataFrame, percent: int, block: int = 768) -> DataFrame:
     real = sig.where("n > 0 and id is not null")
     heads = real.groupBy(*same).agg(F.min("id").alias("head"), F.count("*").alias("_c"))
     copies = real.join(heads.where("_c > 1"), same).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    alive = real.where("shared is not null").join(heads.select(*same, "head"), same).where("id = head").dropDuplicates(["id"])
-    alive = table(alive.select("id", "n", "shared", "short"), "jaccard-alive")
-    lists = table(alive.select("id", F.explode("short").alias("h")), "jaccard-lists")
-    low = lists.groupBy("h").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").select("h", "b")
-    cells = components(lists.join(low, "h").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    d = alive.select("id", "n", "shared").join(cells.withColumnRenamed("component", "cell"), "id")
-    sizes = cells.groupBy(F.col("component").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
-    d = table(d.join(sizes, "cell").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")), "jaccard-cells")
+    # ids of one set differ, so no key of this join is hot
+    first_of = heads.select(*[F.col(c).alias(f"_{c}") for c in same], "head")
+    alive = real.where("shared is not null").join(first_of, (F.col("id") == F.col("head")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") == F.col("_n")))
+    alive = alive.select("id", "n", "shared", "short").dropDuplicates(["id", "n", "shared"])
+    alive = table(alive, "jaccard-alive")
+    lists = alive.select("id", F.explode("short").alias("h"))
+    low = lists.groupBy("h").agg(F.min("id").alias("cell"), F.count("*").alias("c")).where("c > 1").select("h", "cell")
+    cells = table(lists.join(low, "h").select("id", "cell").distinct(), "jaccard-lists")
+    d = alive.select("id", "n", "shared").join(cells, "id")
+    sizes = d.groupBy("cell").agg(F.ceil(F.sum(F.octet_length("shared") + 64) / block_bytes).cast("int").alias("m"), F.sum(F.octet_length("shared") + 64).alias("bytes"))
+    sizes = table(sizes, "jaccard-sizes")
+    d = table(d.join(sizes.select("cell", "m"), "cell").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")), "jaccard-cells")
 
     def within(df: pd.DataFrame) -> pd.DataFrame:
-        docs = _docs(df)
+        docs = _docs(df.drop_duplicates(["id", "n", "shared"]))  # a document may come in several cells
         return pd.DataFrame(search(docs, docs, percent) if len(docs) > 1 else [], columns=["a", "b"])
 
-    # cells of one block are searched together, about a block at a time: no pair of two cells can link
-    n_bins = max(1, -(-d.count() // block))
+    # cells of one block are searched together, about a block at a time, by bytes
+    n_bins = max(1, -(-(sizes.where("m = 1").agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
     shelf = F.when(F.col("m") > 1, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(n_bins)))
     edges = d.groupBy((F.col("m") > 1).alias("_large"), shelf.alias("_shelf"), "slot").applyInPandas(within, _EDGES)
     edges = table(edges, "jaccard-edges")
+    forget(cells, alive)
     large = d.where("m > 1")
+    blocks = F.ceil(F.sum(F.octet_length("shared") + 64) / block_bytes).cast("int")
     if large.limit(1).count():
-        label = lambda e: large.join(components(e), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        first = label(edges).where("id = comp")
-        slots = first.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+        label = lambda e: table(large.join(components(e), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "jaccard-known")
+        known = label(edges)
+        first = known.join(known.groupBy("cell", "comp").agg(F.min("id").alias("id")), ["cell", "comp", "id"])
+        slots = first.groupBy("cell").agg(blocks.alias("k"))
         first = first.join(slots, "cell").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("k")).cast("int"))
         edges = edges.union(table(first.groupBy("cell", "slot").applyInPandas(within, _EDGES), "jaccard-edges"))
-        known = table(label(edges), "jaccard-known")
+        known = label(edges)
         count = known.groupBy("cell", "comp").agg(F.count("*").alias("c"))
         top = count.groupBy("cell").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         known = known.join(top.select("cell", "top"), "cell")
         out = known.where("comp <> top")
-        n_out = out.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q"))
+        n_out = out.groupBy("cell").agg(blocks.alias("q"))
         cols = ["cell", "id", "n", "shared", "comp"]
         ask = out.join(n_out, "cell").select(*cols, F.lit(True).alias("query"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("q")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
         have = known.join(n_out, "cell").select(*cols, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.col("slot").alias("j"))

@@ -13,49 +13,58 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, py_lower, py_words, ship, table, words
 
-FEATURES = ("mean_ratio", "largest", "second", "third", "strong", "excess")
+#: Length-normalised log-likelihood ratios: of the whole text, of its strongest word, pair of neighbours, and three words.
+FEATURES = ("text", "word", "pair", "three")
 FOLDS = 4
-_STRONG = 3.0  # log-likelihood ratio of a word that counts as a strong sign
+_MARKS = ".,;:!?\"'()"
 
 
 class KneserNey:
     """Interpolated Kneser-Ney over the characters of words, for two classes that share their backoff.
 
     Orders above `shared` have counts per class; those up to it are continuation
-    counts of both classes together, so that what one class has hardly seen
-    is smoothed alike in both and says nothing by itself.
+    counts of both classes together, each n-gram once, so that what one class has
+    hardly seen is smoothed alike in both and says nothing by itself.
+
+    Compiled: `ratios` has the log-likelihood ratio of each n-gram that a class has
+    seen, `backoff` that of the weights with which a seen history passes on to the
+    shorter n-gram. A ratio of any other n-gram is that of its longest seen end and
+    the backoffs on the way, so nothing else needs to be kept.
     """
 
     def __init__(self, counted: dict[str, tuple[float, float]], order: int = 6, shared: int = 2, discount: float = 0.75):
         self.order, self.shared, self.discount = order, shared, discount
-        top: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
+        raw: list[dict[int, dict[str, float]]] = [{k: defaultdict(float) for k in range(1, order + 1)} for _ in (0, 1)]
         for word, both in counted.items():
             w = f"\x02{word}\x03"
             grams = [w[max(0, i - order + 1) : i + 1] for i in range(1, len(w))]
             for c in (0, 1):
                 if both[c]:
                     for g in grams:
-                        top[c][g] += both[c]
-        #: by class: count of each n-gram, and of each history its total and its number of followers
+                        raw[c][len(g)][g] += both[c]
+        #: by class or pooled: count of each n-gram, and of each history its total and its number of followers
         self.count: list[dict[str, float]] = [{}, {}]
-        self.history: list[dict[str, tuple[float, int]]] = [{}, {}]
-        pooled: dict[str, float] = defaultdict(float)
-        for c in (0, 1):
-            level = top[c]
-            while level:
-                lower: dict[str, float] = defaultdict(float)
-                for g, n in level.items():
-                    # an n-gram from a word's start is counted as it is; others by what stands before them
-                    into = pooled if len(g) <= shared else self.count[c]
-                    into[g] = into.get(g, 0.0) + n
-                    if len(g) > 1:
-                        lower[g[1:]] += 1.0
-                level = lower
-        for c in (0, 1):
-            self.history[c] = self._histories(self.count[c])
-        self.pooled, self.pooled_history = dict(pooled), self._histories(pooled)
-        self.letters = max(2, sum(len(g) == 1 for g in pooled) + 1)
-        self.memo: dict[str, float] = {}
+        self.pooled: dict[str, float] = {}
+        above: list[dict[str, float]] = [{}, {}]
+        for k in range(order, 0, -1):
+            # an n-gram from a word's start is counted as it is; others by what stands before them
+            level = [raw[c].pop(k) for c in (0, 1)]
+            if k > shared:
+                for c in (0, 1):
+                    for g in above[c]:
+                        level[c][g[1:]] += 1.0
+                    self.count[c].update(level[c])
+            else:
+                for g, n in level[1].items():
+                    level[0][g] += n
+                for g in above[0].keys() | above[1].keys():
+                    level[0][g[1:]] += 1.0
+                self.pooled.update(level[0])
+                level[1] = {}
+            above = level
+        self.history = [self._histories(self.count[c]) for c in (0, 1)]
+        self.pooled_history = self._histories(self.pooled)
+        self.letters = max(2, sum(len(g) == 1 for g in self.pooled) + 1)
 
     @staticmethod
     def _histories(counts: dict[str, float]) -> dict[str, tuple[float, int]]:
@@ -65,9 +74,10 @@ class KneserNey:
             out[g[:-1]] = (t + n, k + 1)
         return out
 
-    def prob(self, g: str, c: int) -> float:
-        """Probability of the last character of `g` after the others in class c."""
-        low = self.prob(g[1:], c) if len(g) > 1 else 1.0 / self.letters
+    def prob(self, g: str, c: int, low: float | None = None) -> float:
+        """Probability of the last character of `g` after the others in class c; `low` is that of the shorter n-gram, if known."""
+        if low is None:
+            low = self.prob(g[1:], c) if len(g) > 1 else 1.0 / self.letters
         pooled = len(g) <= self.shared
         seen = (self.pooled_history if pooled else self.history[c]).get(g[:-1])
         if not seen:
@@ -75,39 +85,60 @@ class KneserNey:
         n = (self.pooled if pooled else self.count[c]).get(g, 0.0)
         return (max(n - self.discount, 0.0) + self.discount * seen[1] * low) / seen[0]
 
-    def ratio(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        w, n, total, memo = f"\x02{word}\x03", self.order, 0.0, self.memo
-        if len(memo) > 1_000_000:
-            memo.clear()
-        for i in range(1, len(w)):
-            g = w[max(0, i - n + 1) : i + 1]
-            x = memo.get(g)
-            if x is None:
-                x = memo[g] = math.log(self.prob(g, 1)) - math.log(self.prob(g, 0))
-            total += x
-        return total
-
-
-class Scorer:
-    """Features of texts under one model."""
+    def compiled(self) -> Ratios:
+        """What scoring needs; shorter n-grams first, so that each probability takes one step."""
+        known: dict[str, tuple[float, float]] = {}
+        ratios: dict[str, float] = {}
+        for g in sorted(self.count[0].keys() | self.count[1].keys(), key=len):
+            low = known.get(g[1:]) or (self.prob(g[1:], 0), self.prob(g[1:], 1))
+            both = known[g] = (self.prob(g, 0, low[0]), self.prob(g, 1, low[1]))
+            ratios[g] = math.log(both[1]) - math.log(both[0])
+        backoff: dict[str, float] = {}
+        for h in self.history[0].keys() | self.history[1].keys():
+            t = [self.discount * s[1] / s[0] if (s := self.history[c].get(h)) else 1.0 for c in (0, 1)]
+            backoff[h] = math.log(t[1]) - math.log(t[0])
+        return Ratios(self.order, self.shared, ratios, backoff)
+
+
+class Ratios:
+    """log P(word | toxic) - log P(word | ordinary), from the compiled models."""
+
+    def __init__(self, order: int, shared: int, ratios: dict[str, float], backoff: dict[str, float], most: int = 150_000):
+        self.order, self.shared, self.ratios, self.backoff, self.most = order, shared, ratios, backoff, most
+        self.memo: dict[str, float] = {}
 
-    def __init__(self, model: KneserNey):
-        self.model, self.memo = model, {}
+    def gram(self, g: str) -> float:
+        total = 0.0
+        while len(g) > self.shared:
+            x = self.ratios.get(g)
+            if x is not None:
+                return total + x
+            total += self.backoff.get(g[:-1], 0.0)
+            g = g[1:]
+        return total  # pooled orders are alike in both classes
+
+    def word(self, word: str) -> float:
+        w, n = f"\x02{word}\x03", self.order
+        return sum([self.gram(w[max(0, i - n + 1) : i + 1]) for i in range(1, len(w))])
+
+    def words(self, w: list[str]) -> np.ndarray:
+        """Ratios of words in order; marks around a word don't count. The memo holds `most` words at most."""
+        memo = self.memo
+        if len(memo) > self.most:
+            memo.clear()
+        for x in set(w).difference(memo):
+            memo[x] = self.word(x.strip(_MARKS))
+        return np.fromiter(map(memo.__getitem__, w), float, len(w))
 
-    def __call__(self, text: str | None) -> list[float]:
+    def features(self, text: str | None) -> list[float]:
+        """Mean ratios a word: of the text, and of its strongest word, pair of neighbours, and three words (0 for those it lacks)."""
         w = py_words(py_lower(text or ""))
         if not w:
             return [0.0] * len(FEATURES)
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        for x in set(w):
-            if x not in memo:
-                memo[x] = self.model.ratio(x.strip(".,;:!?\"'()"))
-        r = np.fromiter(map(memo.__getitem__, w), float, len(w))
-        top = np.sort(r[np.argpartition(r, -3)[-3:]])[::-1] if len(r) > 3 else np.sort(np.r_[r, np.zeros(3)])[::-1]
-        return [r.mean(), *np.clip(top[:3], -1.0, 8.0), math.log1p((r > _STRONG).sum()), min(20.0, np.maximum(r - _STRONG, 0.0).sum())]
+        r = np.concatenate([self.words(w[i : i + 50_000]) for i in range(0, len(w), 50_000)])
+        pair = (r[1:] + r[:-1]).max() / 2 if len(r) > 1 else r[0] / 2
+        three = np.sort(np.r_[r, 0.0, 0.0] if len(r) < 3 else r[np.argpartition(r, len(r) - 3)[-3:]])[-3:]
+        return [r.mean(), r.max(), pair, three.mean()]
 
 
 def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -153,7 +184,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit_chars: int) -> DataFrame:
     return table(t.select("y", fold.alias("fold"), F.coalesce("_t", F.lit("")).alias("t")), "toxic-sample")
 
 
-def fit(t: DataFrame) -> tuple[KneserNey, np.ndarray, np.ndarray, np.ndarray]:
+def fit(t: DataFrame) -> tuple[Ratios, np.ndarray, np.ndarray, np.ndarray]:
     """The model and the weights that turn its features into a score, from a sample (y, fold, t).
 
     Each of `FOLDS` parts of the sample is scored by a model of the others, and a
@@ -161,21 +192,20 @@ def fit(t: DataFrame) -> tuple[KneserNey, np.ndarray, np.ndarray, np.ndarray]:
     """
     counted = t.select("y", "fold", F.explode(words(ascii_lower(F.col("t")))).alias("w")).groupBy("y", "fold", "w").count().collect()
 
-    def model(without: int | None) -> KneserNey:
+    def model(without: int | None) -> Ratios:
         sums: dict[str, list[float]] = {}
         for r in counted:
             if r.fold != without:
-                sums.setdefault(r.w.strip(".,;:!?\"'()"), [0.0, 0.0])[r.y] += r["count"]
-        return KneserNey(sums)
+                sums.setdefault(r.w.strip(_MARKS), [0.0, 0.0])[r.y] += r["count"]
+        return KneserNey(sums).compiled()
 
     parts = []
     for k in range(FOLDS):  # one model at a time bounds the driver's memory
         shared = t.sparkSession.sparkContext.broadcast(model(k))
 
         def features(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            scorer = Scorer(shared.value)
             for df in it:
-                yield pd.DataFrame([[float(y), *scorer(x)] for y, x in zip(df.y, df.t, strict=True)], columns=["y", *FEATURES])
+                yield pd.DataFrame([[float(y), *shared.value.features(x)] for y, x in zip(df.y, df.t, strict=True)], columns=["y", *FEATURES])
 
         parts.append(t.where(F.col("fold") == k).mapInPandas(features, ", ".join(f"{c} double" for c in ("y", *FEATURES))).toPandas())
         shared.destroy()
@@ -193,9 +223,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns only from rows of `labels` whose crc32(id as text) mod 3 is not
     `holdout` (None: from all). Two Kneser-Ney models over the characters of
-    words, one of toxic and one of ordinary texts, give each word a ratio of
-    log-likelihoods; the score weighs their mean over a text's words, the largest
-    three and the number of strong ones. Only the text is an input.
+    words, one of toxic and one of ordinary texts with shared lower orders, give
+    each word a ratio of log-likelihoods. Length-normalised ratios decide: that
+    of the whole text, and those of its strongest word, pair of neighbours and
+    three words, since a long text may hold few toxic expressions; a logistic
+    regression on parts of the sample that the models have not seen calibrates
+    them. Only the text is an input.
 
     Adds held_out (boolean), score (0 to 1) and predicted (1 if score >=
     `threshold`, else 0); columns of `docs` with these names give way to them.
@@ -220,9 +253,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     @F.pandas_udf("double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, mean, scale, weights = shared.value
-        features = Scorer(model)
         for texts in it:
-            x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
+            x = np.array([model.features(t) for t in texts]).reshape(-1, len(FEATURES))
             yield pd.Series(1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30))))
 
     held = (part(F.col(id_col)) == holdout) & F.col(id_col).isNotNull() if holdout is not None else F.lit(False)
@@ -230,4 +262,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-__all__ = ["FEATURES", "KneserNey", "Scorer", "fit", "sample", "toxicity"]
+__all__ = ["FEATURES", "KneserNey", "Ratios", "fit", "sample", "toxicity"]

@@ -90,7 +90,7 @@ def test_jaccard_join(spark):
     rows = corpus()
     want = brute_jaccard(rows)
     assert run_jaccard(spark, rows) == want
-    assert run_jaccard(spark, rows, block=16) == want
+    assert run_jaccard(spark, rows, block_bytes=9_000) == want
     assert run_jaccard(spark, []) == []
 
 
