@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -42,13 +43,15 @@ def base_spans(t):
     return ",".join(x[2] for x in sorted(found))
 
 
-def entropy_part(s, width, level):
-    hot = []
+def entropy_parts(s, width, level):
+    """Maximal parts that windows with enough entropy cover."""
+    covered = set()
     for i in range(len(s) - width + 1):
         n = collections.Counter(s[i : i + width])
-        if -sum(v / width * math.log2(v / width) for v in n.values()) >= level - 1e-9:
-            hot.append(i)
-    return (hot[0], hot[-1] + width) if hot else None
+        if -sum(c / width * math.log2(c / width) for c in n.values()) >= level - 1e-12:
+            covered.update(range(i, i + width))
+    cuts = [i for i in sorted(covered) if i - 1 not in covered]
+    return [(i, next(j for j in range(i, len(s) + 1) if j not in covered)) for i in cuts]
 
 
 def test_secret_spans(spark):
@@ -61,12 +64,13 @@ def test_secret_spans(spark):
 
 def test_entropy_is_that_of_each_window(spark):
     rng = random.Random(1)
-    strings = ["".join(rng.choice(a) for _ in range(n)) for a in ("abc0", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for n in (20, 21, 45, 80)]
+    strings = ["".join(rng.choice(a) for _ in range(n)) for a in ("abc0", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for n in (3, 20, 21, 45, 83, 84, 400)]
+    strings += ["q" * 300 + strings[-1][:30] + "q" * 300 + strings[-1][30:60], "q" * 500]
     level = 3.0
     df = spark.createDataFrame([(s,) for s in strings], "s string")
     got = df.select("s", secrets.hot_spans(secrets.F.col("s"), 20, {"hex": level, "lower": level, "mixed": level}).alias("h")).collect()
     for r in got:
-        assert (tuple(r.h) if r.h else None) == entropy_part(r.s, 20, level)
+        assert [tuple(x) for x in r.h] == entropy_parts(r.s, 20, level)
 
 
 def test_entropy_finds_keys_and_spares_words(spark):
@@ -76,6 +80,27 @@ def test_entropy_finds_keys_and_spares_words(spark):
     assert out == {1: [(5, 5 + len(key))], 2: [], 3: [], 4: []}
 
 
+def test_entropy_keeps_keys_beside_other_spans(spark):
+    """Keys apart in one string are spans of their own, and a base span between them hides none."""
+    key, more = "zX9vQ2mN7rT4kL8wB3pF6hD1", "Yb5Kc0Jt8Hs2Gr7Fq4Ep1DoU"
+    texts = [(1, key + "q" * 60 + more), (2, key + "a" * 60 + more), (3, "EXAMPLE" + key), (4, "EXAMPLE" + "q" * 60 + key), (5, f"k {key} 0123456789abcdef0123")]
+    out = {r.doc_id: [(x.s, x.e) for x in r.added] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert len(out[1]) == len(out[2]) == 2 and out[3] == [] and len(out[4]) == 1 and out[5] == [(2, 26)]
+    assert out[1][0][1] < 60 < out[1][1][0] and out[2] == [(0, 23), (84, 108)]  # the base span is 23:84
+
+
+def test_secrets_of_long_texts_take_time_in_proportion(spark):
+    rng = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    image = "".join(rng.choices(chars, k=200_000))
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=16)) for _ in range(20_000))
+    texts = [(1, image), (2, many), (3, "a-" * 100_000 + "b"), (4, "zX9vQ2mN7rT4kL8wB3pF6hD1 " * 5000)]
+    began = time.time()
+    out = {r.doc_id: r for r in secrets.scan(frame(spark, texts)).select("doc_id", secrets.F.size("base").alias("b"), secrets.digest("base").alias("d"), "added").collect()}
+    assert time.time() - began < 60
+    assert out[1].added[-1].e == 200_000 and out[2].b == 20_000 and out[2].d == base_spans(many) and out[3].added == [] and len(out[4].added) == 5000
+
+
 def brute_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     tri = collections.Counter(zip(w, w[1:], w[2:], strict=False))
