@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import py_lower, py_words, release, ship, table
-
+from .common import forget, py_lower, py_words, release, ship, table
 
+_PART_CHARS = 3_000_000  # of the documents that are encoded together
+_PART_WORDS = 60_000  # distinct words after which a part is closed, so that two bytes number them
 
 def _hash(w: str) -> int:
     h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
@@ -57,105 +61,186 @@ def exchange(joint: np.ndarray, left: np.ndarray, right: np.ndarray, classes: np
     return classes
 
 
-def score_documents(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    folds: int = 5,
-    held_out: int = 1,
-    classes: int = 64,
-    frequent: int = 4096,
-    tails: int = 512,
-    rounds: int = 6,
-    block_bytes: int = 16_000_000,
-) -> DataFrame:
-    """log10 probability of every whole text under a class bigram model of the others.
+def _gains(joint: np.ndarray, r: np.ndarray, el: np.ndarray) -> np.ndarray:
+    """What the likelihood gains if a new word joins each class; `r` and `el` count the classes after and before it. Classes without words stay so."""
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    rows, cols, i, k = joint.sum(axis=1), joint.sum(axis=0), np.flatnonzero(r), np.flatnonzero(el)
+    gain = (f(joint[:, i] + r[i]) - f(joint[:, i])).sum(axis=1) + (f(joint[k] + el[k, None]) - f(joint[k])).sum(axis=0)
+    gain -= f(rows + r.sum()) - f(rows) + f(cols + el.sum()) - f(cols)
+    gain[rows + cols == 0] = -np.inf
+    gain[0] = -np.inf  # the end is alone
+    return gain
 
-    Learns from the documents whose crc32(id as text) mod `folds` is not
-    `held_out`. The `frequent` most frequent words are units of their own; all
-    others, unseen ones too, are tied to one of `tails` units by their last two
-    characters, so that every word has a class. Exchange clustering moves units
-    between `classes` classes by the bigram counts of all training texts; what
-    it holds on the driver is bounded by units times classes. The model is
-    P(word | before) = P(class | class before) P(word | class): transitions by
-    absolute discounting towards class frequencies, emissions by relative
-    frequency, with each class's share of words seen once set aside for
-    unseen words, which count as one.
 
-    Word counts of the corpus stay on the executors: documents form blocks of
-    about `block_bytes`, and each block is joined with the counts of its own words.
+def likelihood(joint: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, but for what doesn't depend on the classes."""
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0).sum()
+    return f(joint) - f(joint.sum(axis=0)) - f(joint.sum(axis=1))
 
-    Returns `id_col`, held_out, n_tokens, n_known, train_tokens (long),
-    base_score and score (double). A null or empty text is its end token alone;
-    repeated rows are scored each; null ids count as an empty id text; an empty
-    table gives an empty result; without training texts score equals base_score.
-    """
+
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+@dataclass
+class _Part:
+    """Documents that are encoded together, each word by its number in the part."""
+
+    number: _Numbers = field(default_factory=_Numbers)
+    texts: list = field(default_factory=list)
+    held: list = field(default_factory=list)
+    ids: list = field(default_factory=list)
+    chars: int = 0
+
+    def add(self, key: pa.Scalar, text: str, held: bool) -> None:
+        w = py_words(py_lower(text))
+        self.texts.append(np.fromiter(map(self.number.__getitem__, w), np.uint32, len(w)))
+        self.held.append(held)
+        self.ids.append(key)
+        self.chars += len(text) + 64
+
+    def full(self, most: int) -> bool:
+        return self.chars >= most or len(self.number) >= _PART_WORDS
+
+    def batch(self, part: int, tails: int, schema: pa.Schema) -> pa.RecordBatch:
+        w = list(self.number)
+        train = [x for x, held in zip(self.texts, self.held, strict=True) if not held]
+        n = np.bincount(np.concatenate(train), minlength=len(w)) if train else np.zeros(len(w), np.int64)
+        wide = len(w) > 1 << 16
+        seq = np.concatenate(self.texts).astype("<u4" if wide else "<u2").tobytes()
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        columns = [
+            pa.array([part], pa.int64()), pa.array([self.ids], schema.field("ids").type), one(self.held, pa.bool_()), one([len(x) for x in self.texts], pa.int64()), pa.array([wide]), pa.array([seq], pa.binary()),
+            one([_hash(x) for x in w], pa.int64()), one([_tail(x, tails) for x in w], pa.int32()), one(n, pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def encode(docs: DataFrame, tails: int, part_chars: int = _PART_CHARS) -> DataFrame:
+    """One row per part of `docs` (_id, t, held): ids, held, lengths and word numbers of its documents; hash, tail and training count of its words."""
     ship(docs)
+    kind = docs.schema["_id"].dataType.simpleString()
+    form = f"part long, ids array<{kind}>, held array<boolean>, lens array<long>, wide boolean, seq binary, h array<long>, tail array<int>, n array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, part, schema = TaskContext.get().partitionId() << 32, 0, _Part(), None
+        for b in batches:
+            schema = schema or pa.schema([
+                ("part", pa.int64()), ("ids", pa.list_(b.column(0).type)), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int64())), ("wide", pa.bool_()), ("seq", pa.binary()),
+                ("h", pa.list_(pa.int64())), ("tail", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())),
+            ])
+            for key, text, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                part.add(key, text, held)
+                if part.full(part_chars):
+                    yield part.batch(task + count, tails, schema)
+                    count, part = count + 1, _Part()
+        if part.texts:
+            yield part.batch(task + count, tails, schema)
+
+    return docs.select("_id", "t", "held").mapInArrow(run, form)
+
+
+def _sequence(row, units: np.ndarray, end: int, held: bool | None = None) -> np.ndarray:
+    """The units of a part's documents on end, an `end` before, between and after them; only training documents if `held` is False."""
+    seq = units[np.frombuffer(row.seq, "<u4" if row.wide else "<u2")]
+    lens, use = np.asarray(row.lens, np.int64), np.ones(len(row.lens), bool) if held is None else ~np.asarray(row.held, bool)
+    seq, lens = seq[np.repeat(use, lens)], lens[use]
+    out = np.full(len(seq) + len(lens) + 1, end, np.int64)
+    out[np.arange(len(seq)) + 1 + np.repeat(np.arange(len(lens)), lens)] = seq
+    return out if len(lens) else out[:0]
+
+
+@dataclass
+class Model:
+    """A class bigram model: `step[a, b]`, log10 P(class b | class a); of each class its tokens and its share for unseen words; training tokens and words."""
+
+    step: np.ndarray
+    after: np.ndarray
+    unseen: np.ndarray
+    total: int
+    distinct: int
+    n_docs: int
+
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+
+    def emit(self, n: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of words with these counts and classes; all unseen words of a class count as one."""
+        p = np.where(n > 0, (1 - self.unseen[c]) * n / np.maximum(self.after[c], 1.0), self.unseen[c])
+        return np.log10(np.maximum(p, 1e-12))
+
+
+def estimate(joint: np.ndarray, once: np.ndarray, open_: np.ndarray, total: int, distinct: int, n_docs: int) -> Model:
+    """The model of class bigram counts `joint`; `once` counts each class's words seen once, `open_` tells which classes take unseen words.
+
+    Transitions: absolute discounting towards class frequencies. A class without
+    tokens and without unseen words has no probability.
+    """
+    before, after = joint.sum(axis=1), joint.sum(axis=0)
+    unseen = np.where(open_, np.where(after > 0, (once + 0.5) / (after + 1.0), 1.0), 0.0)
+    prior = np.where((after > 0) | open_, after + 0.1, 0.0)
+    prior /= prior.sum()
+    lower = np.minimum(joint, 0.75)
+    p = np.where(before[:, None] > 0, (joint - lower + lower.sum(axis=1, keepdims=True) * prior) / np.maximum(before[:, None], 1.0), prior)
+    with np.errstate(divide="ignore"):
+        return Model(np.log10(p), after, unseen, total, distinct, n_docs)
+
+
+def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int = 512, rounds: int = 6, rare: int = 5, buckets: int = 64, part_chars: int = _PART_CHARS) -> tuple[DataFrame, DataFrame, Model]:
+    """Word classes and model from `docs` (_id, t, held): the table of parts, that of each part's word classes and counts, and the model.
+
+    Exchange clustering by counts of all training texts. The `frequent` most
+    frequent words take turns on the driver, by their bigrams with one another,
+    until few move; it holds words x classes numbers, whatever the corpus. Then
+    every other word seen `rare` times or more joins the class that its neighbours
+    among the frequent words make best, on the executors, `buckets` or more groups
+    of words side by side. Rarer and unseen words go by their tail: words that
+    share one of `tails` of them join a class together. The classes of single words
+    stand if the training texts are likelier by them than by tails alone.
+    """
     spark = docs.sparkSession
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), (F.pmod(F.crc32(ident.cast("binary")), F.lit(folds)) == held_out).alias("held"))
-    kind = d.schema["_id"].dataType.simpleString()
-    size = d.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(size) // block_bytes))
-    d = d.withColumn("block", F.pmod(F.xxhash64("_id", "t"), F.lit(n_blocks)).cast("int"))
-
-    # counts of each block's words in its training texts
-    def count(df: pd.DataFrame) -> pd.DataFrame:
-        number: dict[str, int] = {}
-        for t, held in zip(df.t, df.held, strict=True):
-            for w in py_words(py_lower(t)):
-                number[w] = number.get(w, 0) + (not held)
-        w = list(number)
-        return pd.DataFrame({"block": df.block.iloc[0], "h": [_hash(x) for x in w], "tail": [_tail(x, tails) for x in w], "n": list(number.values())})
-
-    counted = table(d.groupBy("block").applyInPandas(count, "block int, h long, tail int, n long"), "brown-blocks")
-    release(spark)
-    vocabulary = table(counted.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("n")).where("n > 0"), "brown-words")
-    n_docs = d.where("not held").count()
+    parts = table(encode(docs, tails, part_chars), "brown-parts")
+    words = parts.select("part", F.posexplode(F.arrays_zip("h", "tail", "n")).alias("at", "w")).select("part", "at", "w.*")
+    vocabulary = table(words.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")).where("n > 0"), "brown-words")
+    n_docs = docs.where("not held").count()
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
     top = vocabulary.orderBy(F.desc("n"), "h").limit(frequent).collect()
-    unit_of = {r.h: i for i, r in enumerate(top)}
-    n_units, end = len(top) + tails + 1, len(top) + tails
-    shared_units = spark.sparkContext.broadcast(unit_of)  # at most `frequent` words
+    n_top, k = len(top), max(2, classes)
+    n_units, end = n_top + tails + 1, n_top + tails
+    by = sorted(range(n_top), key=lambda i: top[i].h)
+    shared = spark.sparkContext.broadcast((np.array([top[i].h for i in by], np.int64), np.array(by, np.int64)))  # at most `frequent` words
+
+    def units_of(row) -> np.ndarray:
+        """The unit of each of a part's words."""
+        hs, unit = shared.value
+        h = np.asarray(row.h, np.int64)
+        at = np.minimum(np.searchsorted(hs, h), max(0, len(hs) - 1))
+        known = hs[at] == h if len(hs) else np.zeros(len(h), bool)
+        return np.where(known, unit[at] if len(hs) else 0, n_top + np.asarray(row.tail, np.int64))
 
-    # bigrams of units
     def bigrams(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, memo = shared_units.value, {}
-        sums: dict[int, int] = {}
         for df in it:
-            codes = []
-            for t, held in zip(df.t, df.held, strict=True):
-                if held:
-                    continue
-                if len(memo) > 500_000:
-                    memo.clear()
-                w = py_words(py_lower(t))
-                for x in set(w).difference(memo):
-                    memo[x] = units.get(_hash(x), len(units) + _tail(x, tails))
-                codes.append(np.fromiter(map(memo.__getitem__, w), np.int64, len(w)))
-            if not codes:
-                continue
-            seq = np.concatenate([y for x in codes for y in (np.array([end]), x)] + [np.array([end])])
-            code, n = np.unique(seq[:-1] * n_units + seq[1:], return_counts=True)
-            for c, m in zip(code.tolist(), n.tolist(), strict=True):
-                sums[c] = sums.get(c, 0) + m
-            if len(sums) > 1_500_000:
-                yield pd.DataFrame({"c": list(sums), "n": list(sums.values())})
-                sums = {}
-        if sums:
-            yield pd.DataFrame({"c": list(sums), "n": list(sums.values())})
-
-    pairs = d.select("t", "held").mapInPandas(bigrams, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+            for row in df.itertuples():
+                seq = _sequence(row, units_of(row), end, False)
+                code, n = np.unique(seq[:-1] * n_units + seq[1:], return_counts=True)
+                yield pd.DataFrame({"c": code, "n": n})
+
+    inner = parts.select("held", "lens", "wide", "seq", "h", "tail")
+    pairs = inner.mapInPandas(bigrams, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     pairs = table(pairs.select(F.expr(f"cast(c div {n_units} as int)").alias("a"), F.expr(f"cast(c % {n_units} as int)").alias("b"), "n"), "brown-bigrams")
     release(spark)
+    cls = np.r_[np.arange(n_top) % (k - 1) + 1, np.arange(tails) % (k - 1) + 1, 0]
 
-    k = max(2, classes)
-    cls = np.r_[np.arange(len(top)) % (k - 1) + 1, np.arange(tails) % (k - 1) + 1, 0]
+    core = np.r_[np.ones(n_top, bool), np.zeros(tails, bool), True]
 
     def profile(by: str, other: str, cls: np.ndarray) -> np.ndarray:
-        """units x classes, whatever the size of the corpus."""
-        named = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cls)], "u int, k int")
+        """Of each unit the classes of its frequent neighbours: units x classes, whatever the size of the corpus."""
+        named = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cls) if core[i]], "u int, k int")
         rows = pairs.join(F.broadcast(named), F.col(other) == F.col("u")).groupBy(by, "k").agg(F.sum("n").alias("n")).toPandas()
         out = np.zeros((n_units, k))
         out[rows[by].to_numpy(int), rows["k"].to_numpy(int)] = rows["n"].to_numpy(float)
@@ -163,76 +248,153 @@ def score_documents(
 
     def joint_of(right: np.ndarray, cls: np.ndarray) -> np.ndarray:
         out = np.zeros((k, k))
-        np.add.at(out, cls, right)
+        np.add.at(out, cls[core], right[core])
         return out
 
     right = profile("a", "b", cls)
     for _ in range(rounds if total else 0):
-        new = exchange(joint_of(right, cls), profile("b", "a", cls), right, cls, end)
+        left = profile("b", "a", cls)
+        new = exchange(joint_of(right, cls), left * core[:, None], right * core[:, None], cls, end)
         moved = int((new != cls).sum())
         cls = new
         right = profile("a", "b", cls)
-        if moved * 200 < n_units:
+        if moved * 200 < n_top:
             break
-    joint = joint_of(right, cls)
-    before, after = joint.sum(axis=1), joint.sum(axis=0)
-    prior = (after + 0.1) / (after.sum() + 0.1 * k)
-    lower = np.minimum(joint, 0.75)
-    step = np.where(before[:, None] > 0, (joint - lower + lower.sum(axis=1, keepdims=True) * prior) / np.maximum(before[:, None], 1.0), prior)
-
-    once = {r.tail: r.n for r in vocabulary.where("n = 1").groupBy("tail").agg(F.count("*").alias("n")).collect()}
-    for r in top:
-        if r.n == 1:
-            once[r.tail] -= 1
-    unseen = np.zeros(k)
-    has_tail = np.zeros(k, bool)
-    for t in range(tails):
-        unseen[cls[len(top) + t]] += once.get(t, 0)
-        has_tail[cls[len(top) + t]] = True
-    unseen = np.where(has_tail, (unseen + 0.5) / (after + 1.0), 0.0)
-    model = spark.sparkContext.broadcast({"units": unit_of, "cls": cls, "step": np.log10(step), "after": after, "unseen": unseen})
-    floor = total + 0.5 * (distinct + 1)
-
-    def score(df: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        m = model.value
-        held = known.sort_values("h")
-        hs, ns = held.h.to_numpy(), held.n.to_numpy()
-        number: dict[str, int] = {}
-        rows = []
-        for t in df.t:
-            w = py_words(py_lower(t))
-            for x in w:
-                if x not in number:
-                    number[x] = len(number)
-            rows.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
-        w = list(number)
-        h = np.array([_hash(x) for x in w], np.int64)
-        at = np.minimum(np.searchsorted(hs, h), max(0, len(hs) - 1))
-        n = np.where(hs[at] == h, ns[at], 0).astype(float) if len(hs) else np.zeros(len(w))
-        c = m["cls"][np.array([m["units"].get(x, -1) for x in h.tolist()], np.int64)] if len(w) else np.empty(0, np.int64)
-        if len(w):
-            rest = np.array([x not in m["units"] for x in h.tolist()])
-            c = np.where(rest, m["cls"][len(m["units"]) + np.array([_tail(x, tails) for x in w])], c)
-        n, c = np.r_[n, float(n_docs)], np.r_[c, 0]  # the end token comes last
-        base = np.log10((n + 0.5) / floor)
-        with np.errstate(divide="ignore"):
-            emit = np.log10(np.where(n > 0, (1 - m["unseen"][c]) * n / np.maximum(m["after"][c], 1.0), np.maximum(m["unseen"][c], 1e-12)))
+    joint, left = joint_of(right, cls), profile("b", "a", cls)
+    for u in range(n_top, end):
+        gain = _gains(joint, right[u], left[u])
+        if right[u].sum() + left[u].sum() and np.isfinite(gain.max()):
+            cls[u] = int(np.argmax(gain))
+    forget(pairs)
+    first = spark.sparkContext.broadcast((joint, cls))  # classes x classes, and one class a unit
+
+    # each other word's frequent neighbours by class, gathered in buckets of words
+    n_buckets, width = max(buckets, int(distinct) // 20_000), 2 * k + 1  # classes before, classes after, all tokens
+
+    def neighbours(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, cls = first.value
+        for df in it:
+            for row in df.itertuples():
+                units = units_of(row)
+                own = np.flatnonzero(units >= n_top)
+                place = np.full(len(units) + 1, -1, np.int64)
+                place[own] = np.arange(len(own))
+                seq = _sequence(row, np.arange(len(units)), len(units), False)
+                c, w, near = np.r_[cls[units], 0][seq], place[seq], np.r_[units < n_top, True][seq]
+                at = np.flatnonzero(w >= 0)
+                before, after = at[near[at - 1]], at[near[at + 1]]
+                code = np.r_[w[at] * width + 2 * k, w[before] * width + c[before - 1], w[after] * width + k + c[after + 1]]
+                code, n = np.unique(code, return_counts=True)
+                h, tail = np.asarray(row.h, np.int64)[own], np.asarray(row.tail, np.int64)[own]
+                bucket = h[code // width] % n_buckets
+                by = np.argsort(bucket, kind="stable")
+                code, n, bucket = code[by], n[by], bucket[by]
+                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
+                rows = [(int(bucket[i]), h[code[i:j] // width].astype("<i8").tobytes(), tail[code[i:j] // width].astype("<i4").tobytes(), (code[i:j] % width).astype("<u2").tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pd.DataFrame(rows, columns=["bucket", "h", "tail", "code", "n"])
+
+    def move(df: pd.DataFrame) -> pd.DataFrame:
+        joint, cls = first.value
+        h, tail, code, n = (np.concatenate([np.frombuffer(b, t) for b in df[c]]) for c, t in (("h", "<i8"), ("tail", "<i4"), ("code", "<u2"), ("n", "<u4")))
+        words, at = np.unique(h, return_inverse=True)
+        counts = np.bincount(at, weights=np.where(code == 2 * k, n, 0), minlength=len(words))
+        first_of = np.zeros(len(words), np.int64)
+        first_of[at] = tail
+        by = np.argsort(at, kind="stable")
+        code, n, upto = code[by], n[by], np.searchsorted(at[by], np.arange(len(words) + 1))
         out = []
-        for x in rows:
-            x = np.r_[x, len(w)]
-            b = base[x].sum()
-            s = (m["step"][np.r_[0, c[x[:-1]]], c[x]] + emit[x]).sum() if total else b
-            out.append((len(x), int((n[x] > 0).sum()), b, s))
-        res = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-        res["_id"], res["held_out"], res["train_tokens"] = df["_id"].to_numpy(), df["held"].to_numpy(), total
-        return res[["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
-
-    known = counted.select("block", "h").join(vocabulary.select("h", "n"), "h")
-    found = d.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
-        lambda a, b: score(a, b) if len(a) else score(a.iloc[:0], b).iloc[:0],
-        f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
-    return found.withColumnRenamed("_id", id_col)
-
-
-__all__ = ["exchange", "score_documents"]
+        for i in np.flatnonzero(counts >= rare):
+            mine = np.bincount(code[upto[i] : upto[i + 1]], weights=n[upto[i] : upto[i + 1]], minlength=width)[:-1]
+            gain = _gains(joint, mine[k:], mine[:k])
+            a, b = int(cls[n_top + first_of[i]]), int(np.argmax(gain))
+            if mine.any() and gain[b] > gain[a]:
+                out.append((int(words[i]), b))
+        return pd.DataFrame(out, columns=["h", "moved"])
+
+    sent = inner.mapInPandas(neighbours, "bucket int, h binary, tail binary, code binary, n binary")
+    moves = table(sent.groupBy("bucket").applyInPandas(move, "h long, moved int"), "brown-moves")
+    release(spark)
+    unit_class = spark.createDataFrame([(int(r.h), int(cls[i])) for i, r in enumerate(top)], "h long, c int")
+    tail_class = F.element_at(F.array(*[F.lit(int(c)) for c in cls[n_top:end]]), F.col("tail") + 1)
+    known = vocabulary.join(moves, "h", "left").join(F.broadcast(unit_class), "h", "left")
+    known = known.select("h", "n", F.coalesce("c", tail_class).alias("c0"), F.coalesce("c", "moved", tail_class).alias("c"))
+    known = table(known, "brown-classes")
+    held = words.select("part", "at", "h", "tail").join(known, "h", "left")
+    held = held.select("part", F.struct("at", F.coalesce("c0", tail_class).alias("c0"), F.coalesce("c", tail_class).alias("c"), F.coalesce("n", F.lit(0)).alias("n")).alias("w"))
+    mapped = held.groupBy("part").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    mapped = table(mapped.select("part", F.col("w.c0").alias("c0"), F.col("w.c").alias("c"), F.col("w.n").alias("count")), "brown-mapped")
+    release(spark)
+
+    def joints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
+        for df in it:
+            for row in df.itertuples():
+                for which in ("c0", "c"):
+                    seq = _sequence(row, np.asarray(getattr(row, which), np.int64), 0, False)
+                    sums[which] = sums.get(which, 0) + np.bincount(seq[:-1] * k + seq[1:], minlength=k * k)
+        for which, n in sums.items():
+            yield pd.DataFrame({"which": which, "code": np.arange(k * k), "n": n})
+
+    both = parts.select("part", "held", "lens", "wide", "seq").join(mapped, "part")
+    rows = both.mapInPandas(joints, "which string, code int, n long").groupBy("which", "code").agg(F.sum("n").alias("n")).toPandas()
+    found = {}
+    for which in ("c0", "c"):
+        r, j = rows[rows.which == which], np.zeros(k * k)
+        j[r.code.to_numpy(int)] = r.n.to_numpy(float)
+        found[which] = j.reshape(k, k)
+    best = "c" if likelihood(found["c"]) >= likelihood(found["c0"]) else "c0"
+    once = np.zeros(k)
+    for r in known.where("n = 1").groupBy(best).count().collect():
+        once[r[0]] = r[1]
+    open_ = np.zeros(k, bool)
+    open_[cls[n_top:end]] = True
+    model = estimate(found[best], once, open_, int(total), int(distinct), n_docs)
+    forget(moves, vocabulary)
+    return parts, mapped.select("part", F.col(best).alias("c"), "count"), model
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, **options) -> DataFrame:
+    """log10 probability of every whole text under a class bigram model of the others.
+
+    Learns from the documents whose crc32(id as text) mod `folds` is not
+    `held_out`; `options` are those of `train`, which assigns each word a class.
+    The model is P(word | before) = P(class | class before) P(word | class):
+    transitions by absolute discounting towards class frequencies, emissions by
+    relative frequency, with each class's share of words seen once set aside for
+    unseen words, which count as one.
+
+    Texts are read once and written as numbers, in parts of about `part_chars`;
+    word counts and classes stay on the executors, and each part is joined with
+    those of its own words.
+
+    Returns `id_col`, held_out, n_tokens, n_known, train_tokens (long),
+    base_score and score (double). A null or empty text is its end token alone;
+    repeated rows are scored each; null ids count as an empty id text; an empty
+    table gives an empty result; without training texts score equals base_score.
+    """
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), (F.pmod(F.crc32(ident.cast("binary")), F.lit(folds)) == held_out).alias("held"))
+    parts, mapped, model = train(d, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for df in it:
+            for row in df.itertuples():
+                n, c = np.r_[np.asarray(row.count_, float), float(m.n_docs)], np.r_[np.asarray(row.c, np.int64), 0]
+                seq = _sequence(row, np.arange(len(n) - 1), len(n) - 1)
+                base, known = m.base(n)[seq[1:]], (n > 0)[seq[1:]]
+                logs = m.step[c[seq[:-1]], c[seq[1:]]] + m.emit(n, c)[seq[1:]] if m.total else base
+                size = np.asarray(row.lens, np.int64) + 1
+                starts = np.r_[0, np.cumsum(size)[:-1]]
+                add = lambda x, starts=starts: np.add.reduceat(x, starts)
+                yield pd.DataFrame({"part": row.part, "at": np.arange(len(size)), "n_tokens": size, "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(logs)})
+
+    both = parts.select("part", "lens", "held", "wide", "seq").join(mapped.withColumnRenamed("count", "count_"), "part")
+    found = both.mapInPandas(score, "part long, at int, n_tokens long, n_known long, base_score double, score double")
+    ids = parts.select("part", F.posexplode(F.arrays_zip("ids", "held")).alias("at", "d"))
+    found = found.join(ids, ["part", "at"])
+    return found.select(F.col("d.ids").alias(id_col), F.col("d.held").alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+__all__ = ["Model", "encode", "estimate", "exchange", "likelihood", "score_documents", "train"]

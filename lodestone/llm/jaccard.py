@@ -305,8 +305,8 @@ def linked(sig: DataFrame, percent: int, block_bytes: int = 4_000_000) -> DataFr
         docs = _docs(df.drop_duplicates(["id", "n", "shared"]))  # a document may come in several cells
         return pd.DataFrame(search(docs, docs, percent) if len(docs) > 1 else [], columns=["a", "b"])
 
-    # cells of one block are searched together, about a block at a time, by bytes
-    n_bins = max(1, -(-(sizes.where("m = 1").agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
+    # cells of one block are searched together, about a quarter of a block at a time
+    n_bins = max(1, -(-4 * (sizes.where("m = 1").agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
     shelf = F.when(F.col("m") > 1, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(n_bins)))
     edges = d.groupBy((F.col("m") > 1).alias("_large"), shelf.alias("_shelf"), "slot").applyInPandas(within, _EDGES)
     edges = table(edges, "jaccard-edges")
