@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, py_lower, py_words, release, ship, table
 
-_PART_CHARS = 3_000_000  # of the documents that are encoded together
-_PART_WORDS = 60_000  # distinct words after which a part is closed, so that two bytes number them
+_PART_CHARS = 6_000_000  # of the documents that are encoded together
 
 def _hash(w: str) -> int:
     h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
@@ -104,7 +103,7 @@ class _Part:
         self.chars += len(text) + 64
 
     def full(self, most: int) -> bool:
-        return self.chars >= most or len(self.number) >= _PART_WORDS
+        return self.chars >= most
 
     def batch(self, part: int, tails: int, schema: pa.Schema) -> pa.RecordBatch:
         w = list(self.number)
@@ -154,6 +153,22 @@ def _sequence(row, units: np.ndarray, end: int, held: bool | None = None) -> np.
     return out if len(lens) else out[:0]
 
 
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, with its counts added up."""
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+
+
+def _dealt(h: np.ndarray, n_buckets: int, use: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places of the words in `use`, by bucket of their hash, always in the same order."""
+    own = np.flatnonzero(use)
+    bucket = h[own] % n_buckets
+    by = np.argsort(bucket, kind="stable")
+    own, bucket = own[by], bucket[by]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(own) else []
+    return [(int(bucket[i]), own[i:j]) for i, j in zip(cuts, [*cuts[1:], len(own)], strict=True)]
+
+
 @dataclass
 class Model:
     """A class bigram model: `step[a, b]`, log10 P(class b | class a); of each class its tokens and its share for unseen words; training tokens and words."""
@@ -204,12 +219,29 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
     """
     spark = docs.sparkSession
     parts = table(encode(docs, tails, part_chars), "brown-parts")
-    words = parts.select("part", F.posexplode(F.arrays_zip("h", "tail", "n")).alias("at", "w")).select("part", "at", "w.*")
-    vocabulary = table(words.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")).where("n > 0"), "brown-words")
+    asked = parts.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
+    n_buckets = max(buckets, int(asked) // 300_000)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            for row in df.itertuples():
+                h, n = np.asarray(row.h, np.int64), np.asarray(row.n, np.int64)
+                yield pd.DataFrame([(b, h[at].tobytes(), n[at].tobytes()) for b, at in _dealt(h, n_buckets, n > 0)], columns=["bucket", "h", "n"])
+
+    def tally(df: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's most frequent words; in the row without a word, its tokens and words."""
+        h, n = _summed([np.frombuffer(b, np.int64) for b in df.h], [np.frombuffer(b, np.int64) for b in df.n])
+        best = np.lexsort((h, -n))[:frequent]
+        return pd.DataFrame({"h": pd.array([*h[best].tolist(), None], "Int64"), "n": [*n[best].tolist(), int(n.sum())], "words": [*[0] * len(best), len(h)]})
+
+    counted = parts.select("h", "n").mapInPandas(count, "bucket int, h binary, n binary").groupBy("bucket").applyInPandas(tally, "h long, n long, words long")
+    counted = table(counted, "brown-words")
+    release(spark)
     n_docs = docs.where("not held").count()
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct = counted.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
-    top = vocabulary.orderBy(F.desc("n"), "h").limit(frequent).collect()
+    top = counted.where("h is not null").orderBy(F.desc("n"), "h").limit(frequent).collect()
+    forget(counted)
     n_top, k = len(top), max(2, classes)
     n_units, end = n_top + tails + 1, n_top + tails
     by = sorted(range(n_top), key=lambda i: top[i].h)
@@ -224,11 +256,25 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
         return np.where(known, unit[at] if len(hs) else 0, n_top + np.asarray(row.tail, np.int64))
 
     def bigrams(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of bigrams with a frequent word or an end in them, summed over a task's parts as far as memory allows."""
+        codes, counts, size = [], [], 0
         for df in it:
             for row in df.itertuples():
                 seq = _sequence(row, units_of(row), end, False)
-                code, n = np.unique(seq[:-1] * n_units + seq[1:], return_counts=True)
-                yield pd.DataFrame({"c": code, "n": n})
+                core = (seq < n_top) | (seq == end)
+                code, n = np.unique((seq[:-1] * n_units + seq[1:])[core[:-1] | core[1:]], return_counts=True)
+                codes.append(code)
+                counts.append(n)
+                size += len(code)
+                if size > 3_000_000:
+                    code, n = _summed(codes, counts)
+                    codes, counts, size = [code], [n], len(code)
+                    if size > 2_000_000:
+                        yield pd.DataFrame({"c": code, "n": n})
+                        codes, counts, size = [], [], 0
+        if size:
+            code, n = _summed(codes, counts)
+            yield pd.DataFrame({"c": code, "n": n})
 
     inner = parts.select("held", "lens", "wide", "seq", "h", "tail")
     pairs = inner.mapInPandas(bigrams, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
@@ -269,60 +315,75 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
     first = spark.sparkContext.broadcast((joint, cls))  # classes x classes, and one class a unit
 
     # each other word's frequent neighbours by class, gathered in buckets of words
-    n_buckets, width = max(buckets, int(distinct) // 20_000), 2 * k + 1  # classes before, classes after, all tokens
-
     def neighbours(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, cls = first.value
         for df in it:
             for row in df.itertuples():
                 units = units_of(row)
-                own = np.flatnonzero(units >= n_top)
-                place = np.full(len(units) + 1, -1, np.int64)
-                place[own] = np.arange(len(own))
                 seq = _sequence(row, np.arange(len(units)), len(units), False)
-                c, w, near = np.r_[cls[units], 0][seq], place[seq], np.r_[units < n_top, True][seq]
-                at = np.flatnonzero(w >= 0)
+                c, near = np.r_[cls[units], 0][seq], np.r_[units < n_top, True][seq]
+                at = np.flatnonzero(np.r_[units >= n_top, False][seq])
                 before, after = at[near[at - 1]], at[near[at + 1]]
-                code = np.r_[w[at] * width + 2 * k, w[before] * width + c[before - 1], w[after] * width + k + c[after + 1]]
-                code, n = np.unique(code, return_counts=True)
-                h, tail = np.asarray(row.h, np.int64)[own], np.asarray(row.tail, np.int64)[own]
-                bucket = h[code // width] % n_buckets
-                by = np.argsort(bucket, kind="stable")
-                code, n, bucket = code[by], n[by], bucket[by]
-                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
-                rows = [(int(bucket[i]), h[code[i:j] // width].astype("<i8").tobytes(), tail[code[i:j] // width].astype("<i4").tobytes(), (code[i:j] % width).astype("<u2").tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pd.DataFrame(rows, columns=["bucket", "h", "tail", "code", "n"])
+                code, m = np.unique(np.r_[seq[before] * (2 * k) + c[before - 1], seq[after] * (2 * k) + k + c[after + 1]], return_counts=True)
+                h, tail, n = (np.asarray(x, np.int64) for x in (row.h, row.tail, row.n))
+                starts = np.searchsorted(code, np.arange(len(units) + 1) * (2 * k))  # codes follow the words
+                rows = []
+                for b, own in _dealt(h, n_buckets, units >= n_top):
+                    lens = starts[own + 1] - starts[own]
+                    take = np.repeat(starts[own] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())
+                    rows.append((b, row.part, h[own].tobytes(), tail[own].astype("<i4").tobytes(), n[own].astype("<u4").tobytes(), lens.astype("<u2").tobytes(), (code[take] % (2 * k)).astype("<u2").tobytes(), m[take].astype("<u4").tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "part", "h", "tail", "n", "lens", "code", "m"])
 
     def move(df: pd.DataFrame) -> pd.DataFrame:
+        """Class and count of each word that a part asked for, in its order; in the row without a part, each class's words seen once, by tails and by the words."""
         joint, cls = first.value
-        h, tail, code, n = (np.concatenate([np.frombuffer(b, t) for b in df[c]]) for c, t in (("h", "<i8"), ("tail", "<i4"), ("code", "<u2"), ("n", "<u4")))
-        words, at = np.unique(h, return_inverse=True)
-        counts = np.bincount(at, weights=np.where(code == 2 * k, n, 0), minlength=len(words))
-        first_of = np.zeros(len(words), np.int64)
-        first_of[at] = tail
-        by = np.argsort(at, kind="stable")
-        code, n, upto = code[by], n[by], np.searchsorted(at[by], np.arange(len(words) + 1))
-        out = []
-        for i in np.flatnonzero(counts >= rare):
-            mine = np.bincount(code[upto[i] : upto[i + 1]], weights=n[upto[i] : upto[i + 1]], minlength=width)[:-1]
+        read = lambda c, kind: [np.frombuffer(b, kind) for b in df[c]]
+        asked = read("h", "<i8")
+        words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(read("n", "<u4")), minlength=len(words)).astype(np.int64)
+        c0 = np.zeros(len(words), np.int64)
+        c0[at] = cls[n_top + np.concatenate(read("tail", "<i4"))]
+        owner = np.repeat(at, np.concatenate(read("lens", "<u2")))
+        use = n[owner] >= rare
+        code, m, owner = np.concatenate(read("code", "<u2"))[use], np.concatenate(read("m", "<u4"))[use], owner[use]
+        by = np.argsort(owner, kind="stable")
+        code, m, owner = code[by], m[by], owner[by]
+        c, cuts = c0.copy(), np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)] if len(owner) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = np.bincount(code[i:j], weights=m[i:j], minlength=2 * k)
             gain = _gains(joint, mine[k:], mine[:k])
-            a, b = int(cls[n_top + first_of[i]]), int(np.argmax(gain))
-            if mine.any() and gain[b] > gain[a]:
-                out.append((int(words[i]), b))
-        return pd.DataFrame(out, columns=["h", "moved"])
-
-    sent = inner.mapInPandas(neighbours, "bucket int, h binary, tail binary, code binary, n binary")
-    moves = table(sent.groupBy("bucket").applyInPandas(move, "h long, moved int"), "brown-moves")
+            b = int(np.argmax(gain))
+            if gain[b] > gain[c[owner[i]]]:
+                c[owner[i]] = b
+        out, upto = [(None, 0, np.r_[np.bincount(c0[n == 1], minlength=k), np.bincount(c[n == 1], minlength=k)].astype("<i8").tobytes(), b"")], 0
+        for part, bucket, h in zip(df.part, df.bucket, asked, strict=True):
+            mine = at[upto : upto + len(h)]
+            upto += len(h)
+            out.append((part, bucket, c[mine].astype("<u2").tobytes(), n[mine].tobytes()))
+        part, bucket, c, n = zip(*out, strict=True)
+        return pd.DataFrame({"part": pd.array(part, "Int64"), "bucket": bucket, "c": c, "n": n})
+
+    sent = parts.select("part", "held", "lens", "wide", "seq", "h", "tail", "n").mapInPandas(neighbours, "bucket int, part long, h binary, tail binary, n binary, lens binary, code binary, m binary")
+    moves = table(sent.groupBy("bucket").applyInPandas(move, "part long, bucket int, c binary, n binary"), "brown-moves")
     release(spark)
-    unit_class = spark.createDataFrame([(int(r.h), int(cls[i])) for i, r in enumerate(top)], "h long, c int")
-    tail_class = F.element_at(F.array(*[F.lit(int(c)) for c in cls[n_top:end]]), F.col("tail") + 1)
-    known = vocabulary.join(moves, "h", "left").join(F.broadcast(unit_class), "h", "left")
-    known = known.select("h", "n", F.coalesce("c", tail_class).alias("c0"), F.coalesce("c", "moved", tail_class).alias("c"))
-    known = table(known, "brown-classes")
-    held = words.select("part", "at", "h", "tail").join(known, "h", "left")
-    held = held.select("part", F.struct("at", F.coalesce("c0", tail_class).alias("c0"), F.coalesce("c", tail_class).alias("c"), F.coalesce("n", F.lit(0)).alias("n")).alias("w"))
-    mapped = held.groupBy("part").agg(F.sort_array(F.collect_list("w")).alias("w"))
-    mapped = table(mapped.select("part", F.col("w.c0").alias("c0"), F.col("w.c").alias("c"), F.col("w.n").alias("count")), "brown-mapped")
+
+    def assemble(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """A part with classes and counts of all its words."""
+        out = []
+        for row in mine.itertuples():
+            units = units_of(row)
+            c0 = first.value[1][units]
+            c, n = c0.copy(), np.r_[counts_of_top.value, np.zeros(1, np.int64)][np.minimum(units, n_top)]
+            got = {b: (np.frombuffer(x, "<u2"), np.frombuffer(y, "<i8")) for b, x, y in zip(answers.bucket, answers.c, answers.n, strict=True)}
+            for b, own in _dealt(np.asarray(row.h, np.int64), n_buckets, units >= n_top):
+                c[own], n[own] = got[b]
+            out.append((row.part, row.held, row.lens, row.wide, row.seq, c0.astype("<u2").tobytes(), c.astype("<u2").tobytes(), n.astype("<i8").tobytes()))
+        return pd.DataFrame(out, columns=["part", "held", "lens", "wide", "seq", "c0", "c", "count_"])
+
+    counts_of_top = spark.sparkContext.broadcast(np.array([r.n for r in top], np.int64))
+    asking = parts.select("part", "held", "lens", "wide", "seq", "h", "tail").groupBy("part")
+    mapped = asking.cogroup(moves.where("part is not null").groupBy("part")).applyInPandas(assemble, "part long, held array<boolean>, lens array<long>, wide boolean, seq binary, c0 binary, c binary, count_ binary")
+    mapped = table(mapped, "brown-mapped")
     release(spark)
 
     def joints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,27 +391,28 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
         for df in it:
             for row in df.itertuples():
                 for which in ("c0", "c"):
-                    seq = _sequence(row, np.asarray(getattr(row, which), np.int64), 0, False)
+                    seq = _sequence(row, np.frombuffer(getattr(row, which), "<u2").astype(np.int64), 0, False)
                     sums[which] = sums.get(which, 0) + np.bincount(seq[:-1] * k + seq[1:], minlength=k * k)
         for which, n in sums.items():
             yield pd.DataFrame({"which": which, "code": np.arange(k * k), "n": n})
 
-    both = parts.select("part", "held", "lens", "wide", "seq").join(mapped, "part")
-    rows = both.mapInPandas(joints, "which string, code int, n long").groupBy("which", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped.drop("count_").mapInPandas(joints, "which string, code int, n long").groupBy("which", "code").agg(F.sum("n").alias("n")).toPandas()
     found = {}
     for which in ("c0", "c"):
         r, j = rows[rows.which == which], np.zeros(k * k)
         j[r.code.to_numpy(int)] = r.n.to_numpy(float)
         found[which] = j.reshape(k, k)
     best = "c" if likelihood(found["c"]) >= likelihood(found["c0"]) else "c0"
-    once = np.zeros(k)
-    for r in known.where("n = 1").groupBy(best).count().collect():
-        once[r[0]] = r[1]
+    once = np.zeros(2 * k, np.int64)
+    for i, r in enumerate(top):
+        once[[cls[i], k + cls[i]]] += r.n == 1
+    seen = moves.where("part is null").select(F.col("c")).toPandas()  # a row for each bucket of 300,000 words
+    once = (once + sum(np.frombuffer(b, "<i8") for b in seen.c)).reshape(2, k)[int(best == "c")]
     open_ = np.zeros(k, bool)
     open_[cls[n_top:end]] = True
     model = estimate(found[best], once, open_, int(total), int(distinct), n_docs)
-    forget(moves, vocabulary)
-    return parts, mapped.select("part", F.col(best).alias("c"), "count"), model
+    forget(moves)
+    return parts, mapped.select("part", "held", "lens", "wide", "seq", F.col(best).alias("c"), "count_"), model
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, **options) -> DataFrame:
@@ -381,7 +443,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         m = shared.value
         for df in it:
             for row in df.itertuples():
-                n, c = np.r_[np.asarray(row.count_, float), float(m.n_docs)], np.r_[np.asarray(row.c, np.int64), 0]
+                n, c = np.r_[np.frombuffer(row.count_, "<i8").astype(float), float(m.n_docs)], np.r_[np.frombuffer(row.c, "<u2").astype(np.int64), 0]
                 seq = _sequence(row, np.arange(len(n) - 1), len(n) - 1)
                 base, known = m.base(n)[seq[1:]], (n > 0)[seq[1:]]
                 logs = m.step[c[seq[:-1]], c[seq[1:]]] + m.emit(n, c)[seq[1:]] if m.total else base
@@ -390,8 +452,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 add = lambda x, starts=starts: np.add.reduceat(x, starts)
                 yield pd.DataFrame({"part": row.part, "at": np.arange(len(size)), "n_tokens": size, "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(logs)})
 
-    both = parts.select("part", "lens", "held", "wide", "seq").join(mapped.withColumnRenamed("count", "count_"), "part")
-    found = both.mapInPandas(score, "part long, at int, n_tokens long, n_known long, base_score double, score double")
+    found = mapped.mapInPandas(score, "part long, at int, n_tokens long, n_known long, base_score double, score double")
     ids = parts.select("part", F.posexplode(F.arrays_zip("ids", "held")).alias("at", "d"))
     found = found.join(ids, ["part", "at"])
     return found.select(F.col("d.ids").alias(id_col), F.col("d.held").alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -72,8 +72,8 @@ def test_class_model_against_brute_force(spark):
     df = spark.createDataFrame(rows, "_id long, t string").selectExpr("_id", "coalesce(t, '') t", "pmod(crc32(cast(_id as string)), 5) = 1 held")
     parts, mapped, model = brown.train(df, classes=8, frequent=40, tails=8, rare=3, part_chars=3000)
     cls, count = {}, {}
-    for r in parts.select("part", "h", "n").join(mapped, "part").collect():
-        for h, c, n in zip(r.h, r.c, r["count"], strict=True):
+    for r in parts.select("part", "h").join(mapped, "part").collect():
+        for h, c, n in zip(r.h, np.frombuffer(r.c, "<u2").tolist(), np.frombuffer(r.count_, "<i8").tolist(), strict=True):
             assert cls.setdefault(h, c) == c and count.setdefault(h, n) == n
     tokens = {i: [brown._hash(w) for w in WORDS(lower(t))] for i, t in rows}
     c, joint = collections.Counter(), np.zeros((8, 8))
@@ -106,7 +106,7 @@ def test_moves_of_other_words_make_texts_likelier(spark):
     rows = [(i, " ".join(f"the {rng.choice(noun)} {rng.choice(verb)} it" for _ in range(20))) for i in range(300)]
     df = spark.createDataFrame(rows, "_id long, t string").selectExpr("_id", "t", "false held")
     parts, mapped, _ = brown.train(df, classes=6, frequent=60, tails=16, rare=3)
-    cls = {h: c for r in parts.select("part", "h").join(mapped, "part").collect() for h, c in zip(r.h, r.c, strict=True)}
+    cls = {h: c for r in parts.select("part", "h").join(mapped, "part").collect() for h, c in zip(r.h, np.frombuffer(r.c, "<u2").tolist(), strict=True)}
     kinds = [collections.Counter(cls[brown._hash(w)] for w in words if brown._hash(w) in cls) for words in (noun, verb)]
     shared = sum(min(kinds[0][c], kinds[1][c]) for c in range(6))
     assert shared <= 0.02 * sum(map(len, (noun, verb)))
