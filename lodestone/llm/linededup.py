@@ -1,195 +1,210 @@
-"""Line dedup by the shortest windows of lines that count as a passage."""
+"""Line dedup by content-defined chunks of lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, release, table, without_gaps, word_count
+from .common import forget, fresh, let, release, table, word_count
 
-#: A line ends after a line feed or after a sentence, since passages are also set into running lines.
-LINE_END = r"(?<=\n)|(?<=[.!?]\x20)"
+#: A line ends after a line feed or a sentence, and, since passages are also set into running
+#: lines, after words with some last letters: about each fifth word. White space after an end is the line's.
+ENDS = ("\n", ". ", "! ", "? ", "d ", "h ", "l ", "m ")
+_ENDED = r"(?<=\n|[.!?dhlm]\x20)(?![\n\x20])"
 _MARK = "\x01"
-_LONG = 10  # words of the longest line, and of the windows whose least word cuts a longer one
-_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+_LONG = 80  # characters from which a line is cut at words by their hash, whatever their letters
+_EVERY = 3  # words between such cuts, on average
 
 
 def _pieces(line: Column) -> Column:
-    """A line of over `_LONG` words cut before the word of least hash of each `_LONG` words on end.
+    """A long line cut after the words whose hash says so; after the last one it ends anyway."""
 
-    The cuts inside a run of words depend on the run alone, but for its first and
-    last `_LONG` words, and no piece is longer than that.
-    """
-
-    def cut(tokens: Column) -> Column:
-        place = F.lit(1 << 31)  # keys are a hash above and a place below
-        keys = F.transform(tokens, lambda x, i: F.hash(without_gaps(x)).cast("long") * place + i)
-
-        def at(keys: Column) -> Column:
-            least = F.transform(F.sequence(F.lit(1), F.size(keys) - _LONG + 1), lambda k: F.pmod(F.array_min(F.slice(keys, k, _LONG)), place).cast("int"))
-            return F.array_distinct(F.concat(F.array(F.lit(0)), least))
+    def cut(words: Column, gap: str) -> Column:
+        marked = F.transform(words, lambda w, i: F.when((i > 0) & (F.pmod(F.xxhash64(F.get(words, i - 1)), F.lit(_EVERY)) == 0), F.concat(F.lit(_MARK), w)).otherwise(w))
+        return F.filter(F.split(F.array_join(marked, gap), _MARK, -1), lambda x: x != "")
 
-        join = lambda s: F.transform(s, lambda x, k: F.array_join(F.slice(tokens, x + 1, F.coalesce(F.get(s, k + 1), F.size(tokens)) - x), ""))
-        return let(let(keys, at), join)
-
-    return let(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0)), cut)
+    other = F.rlike(line, F.lit(r"[\x09-\x0D]."))
+    cuts = F.when(other, let(F.split(line, r"(?<=[\x20\x09-\x0D])"), lambda w: cut(w, ""))).otherwise(let(F.split(line, " ", -1), lambda w: cut(w, " ")))
+    return F.when(F.instr(line, _MARK) > 0, F.array(line)).otherwise(cuts)
 
 
 def lines(text: Column) -> Column:
     """The lines of a text, long ones in pieces; joined, they are the text.
 
     A mark is put after each end and the text split there, which takes less time than
-    the pattern; texts that hold the mark itself are split by the pattern.
+    splitting at a pattern; texts that hold the mark itself are split by one.
     """
     t = F.coalesce(text, F.lit(""))
     marked = t
-    for end in ("\n", ". ", "! ", "? "):
+    for end in ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    cut = F.when(F.instr(t, _MARK) > 0, F.split(t, LINE_END, -1)).otherwise(F.split(marked, _MARK, -1))
-    return F.flatten(F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.when(word_count(x) > _LONG, _pieces(x)).otherwise(F.array(x))))
+    for gap in "\n ":
+        marked = F.replace(marked, F.lit(_MARK + gap), F.lit(gap))
+    cut = F.when(F.instr(t, _MARK) > 0, F.split(t, _ENDED, -1)).otherwise(F.split(marked, _MARK, -1))
+    return F.flatten(F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.when(F.length(x) > _LONG, _pieces(x)).otherwise(F.array(x))))
 
 
-def line_hash(u: Column, seed: int | None = None) -> Column:
-    """A hash of a line, blind to what separates it from the next."""
-    u = F.rtrim(F.translate(u, "\r\n", ""))
-    return F.xxhash64(u) if seed is None else F.xxhash64(F.lit(seed), u)
+def plain(line: Column) -> Column:
+    """A line without what separates it from others: line ends, and blanks at either end."""
+    return F.trim(F.replace(F.replace(line, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit("")))
 
 
-def windows(w: Column, min_words: int, min_lines: int) -> Column:
-    """Per line of the word counts `w` (1 at least each): how many lines the shortest window from it on has that is long enough, 0 if none is.
+def boundaries(h: Column, fed: Column) -> Column:
+    """Places in the array `h` of line hashes where a chunk starts: where the rolling hash of two lines on end falls, and after a line feed, which `fed` tells for each line, if the next one is not a line away.
 
-    Long enough is `min_words` words and `min_lines` lines. The few lines that
-    mostly do are summed first.
+    A boundary depends on three lines at most, so chunks inside a repeated passage
+    are alike whatever stands around it. Of k values on end, all but 1 / k! of
+    cases have a fall: chunks are short, two lines on average.
     """
-    near, unit = 8, 1 << 20  # sums are words * unit + lines
-    enough = F.lit(min_words * unit).cast("long")
-    add = lambda acc, x: F.when(acc < enough, acc + x * unit + 1).otherwise(acc)
+    rolled = F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x))
+    starts = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (F.get(fed, i - 1) & ~F.get(fed, i)) | (F.get(r, i) < F.get(r, i - 1)))
+    return F.when(F.size(h) > 0, let(rolled, starts)).otherwise(F.expr("cast(array() as array<int>)"))
 
-    def length(i: Column) -> Column:
-        def lines_of(acc: Column) -> Column:
-            n = F.greatest((acc % unit).cast("int"), F.lit(min_lines))
-            return F.when((acc >= enough) & (i + n <= F.size(w)), n).otherwise(0)
 
-        more = lambda acc: F.when(acc >= enough, acc).otherwise(F.aggregate(F.slice(w, i + near + 1, min_words), acc, add))
-        return let(let(F.aggregate(F.slice(w, i + 1, near), F.lit(0).cast("long"), add), more), lines_of)
+def _parsed(text: Column, body) -> Column:
+    """`body(lines without what separates them, their hashes, chunk starts)` of a text, each made once."""
+    fed = lambda us: F.transform(us, lambda x: x.endswith("\n"))
+    starts = lambda us, u: let(F.transform(u, lambda x: F.xxhash64(x)), lambda h: let(let(fed(us), lambda f: boundaries(h, f)), lambda st: body(u, h, st)))
+    return let(lines(text), lambda us: let(F.transform(us, plain), lambda u: starts(us, u)))
 
-    return F.transform(w, lambda _, i: length(i))
 
+def end_of(starts: Column, k: Column, n: Column) -> Column:
+    """Where chunk `k` of those with these starts, over `n` lines, ends."""
+    return F.coalesce(F.get(starts, k + 1), n)
 
-def _worded(text: Column, seed: int | None) -> Column:
-    """(i, w, h): place, words and hash of each line of a text that has words, and h2, a second hash, if it gets a seed."""
-    second = lambda u: [] if seed is None else [line_hash(u, seed).alias("h2")]
-    made = F.transform(lines(text), lambda u, i: F.struct(i.alias("i"), word_count(u).alias("w"), line_hash(u).alias("h"), *second(u)))
-    return F.filter(made, lambda x: x["w"] > 0)
 
+def chunks(text: Column) -> Column:
+    """(k, ch) of each chunk of several lines: its place among all chunks and its hash."""
 
-def _merged(spans: Column) -> Column:
-    """Overlapping spans (a, b) joined, in order."""
-    empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    def of(h: Column, starts: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            n = end_of(starts, k, F.size(h)) - s
+            return F.when(n > 1, F.struct(k.alias("k"), F.xxhash64(F.slice(h, s + 1, n)).alias("ch")))
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(last["b"] >= x["a"], longer).otherwise(F.concat(acc, F.array(x)))
+        return F.filter(F.transform(starts, one), lambda x: x.isNotNull())
 
-    return F.aggregate(F.array_sort(spans), empty, add)
+    return _parsed(text, lambda u, h, starts: of(h, starts))
 
 
-def starts(text: Column, min_words: int, min_lines: int) -> Column:
-    """(s, ch): the worded line each shortest window starts with and the window's hash."""
+def pieces(text: Column, wanted: Column) -> Column:
+    """Lines to compare, as structs (key, k, side, at, x): of each of the chunks `wanted` and of what is beside it at the ends of a run of them.
 
-    def made(w: Column, h: Column) -> Column:
-        start = lambda n, s: F.when(n > 0, F.struct(s.alias("s"), F.xxhash64(F.slice(h, s + 1, n)).alias("ch")))
-        return F.filter(F.transform(windows(w, min_words, min_lines), start), lambda x: x.isNotNull())
+    Side 0 is the chunk itself, under its hash, from line `at` on. Sides -1 and 1 are
+    the lines before it, last first, and after it, from line `at` away from the
+    chunk, under a hash of the chunk and the nearest line, so that only passages
+    that go on alike are compared. They reach to and over the next chunk of several
+    lines that isn't wanted, and one line more: no passage that begins or ends
+    there goes further, as boundaries from its third line on are its own.
+    """
+    far = 8  # single lines between two chunks of several; more are met once in 8!
 
-    fields = lambda x: let(x.getField("w"), lambda w: let(x.getField("h"), lambda h: made(w, h)))
-    return let(_worded(text, None), fields)
+    def of(u: Column, h: Column, st: Column, wanted: Column) -> Column:
+        n = F.size(u)
+        start, end = (lambda k: F.get(st, k)), (lambda k: end_of(st, k, n))
+        several = lambda k: end(k) - start(k) > 1
+        part = lambda x, a, b: F.slice(x, a + 1, F.greatest(b - a, F.lit(0)))
+        hash_of = lambda k: F.xxhash64(part(h, start(k), end(k)))
 
+        def row(k: Column, side: int, key: Column, at: Column, x: Column) -> Column:
+            return F.struct(key.alias("key"), k.alias("k"), F.lit(side).alias("side"), at.alias("at"), x.alias("x"))
 
-def passages(text: Column, places: Column, min_words: int, min_lines: int) -> Column:
-    """(a, b, k1, k2): the windows that start at the worded lines `places`, by lines of the text and two hashes.
+        def rows(k: Column) -> Column:
+            back = F.coalesce(*[F.when(several(k - j), F.greatest(start(k - j) - 1, F.lit(0))) for j in range(1, far)], F.coalesce(start(k - far), F.lit(0)))
+            ahead = F.coalesce(*[F.when(several(k + j), end(k + j)) for j in range(1, far)], F.coalesce(start(k + far), n))
+            before = F.when((start(k) > 0) & ~F.array_contains(wanted, k - 1), row(k, -1, F.xxhash64(hash_of(k), F.get(h, start(k) - 1), F.lit(-1)), start(k), F.reverse(part(u, back, start(k)))))
+            after = F.when((end(k) < n) & ~F.array_contains(wanted, k + 1), row(k, 1, F.xxhash64(hash_of(k), F.get(h, end(k)), F.lit(1)), end(k), part(u, end(k), ahead)))
+            return F.filter(F.array(row(k, 0, hash_of(k), start(k), part(u, start(k), end(k))), before, after), lambda x: x.isNotNull())
 
-    From a place s on these are the shortest one and all longer ones that are the
-    shortest to end where they end, so that those from s + 1 on are too short.
-    """
+        return F.flatten(F.transform(wanted, rows))
 
-    def made(i: Column, w: Column, g: Column, h: Column, n: Column) -> Column:
-        def key(s: Column, e: Column) -> Column:
-            first, last = F.get(i, s).alias("a"), (F.get(i, e - 1) + 1).alias("b")
-            return F.struct(first, last, *[F.xxhash64(F.slice(x, s + 1, e - s)).alias(k) for x, k in ((g, "k1"), (h, "k2"))])
+    return let(wanted, lambda w: _parsed(text, lambda u, h, st: of(u, h, st, w)))
 
-        def at(s: Column) -> Column:
-            nearest, after = s + F.get(n, s), F.get(n, s + 1)
-            furthest = F.when(after > 0, F.greatest(nearest, s + after)).otherwise(F.size(w))
-            return F.transform(F.sequence(nearest, furthest), lambda e: key(s, e))
 
-        return F.flatten(F.transform(places, at))
+def alike(x: Column, y: Column) -> Column:
+    """How many of their first lines two arrays share."""
+    both = F.zip_with(x, y, lambda a, b: a.eqNullSafe(b) & a.isNotNull())
+    return let(both, lambda same: F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int"))
 
-    def fields(x: Column) -> Column:
-        f = x.getField
-        return let(f("i"), lambda i: let(f("w"), lambda w: let(f("h"), lambda g: let(f("h2"), lambda h: let(windows(w, min_words, min_lines), lambda n: made(i, w, g, h, n))))))
 
-    return let(_worded(text, 2), fields)
+def joined(spans: Column) -> Column:
+    """Sorted spans (a, b), whose ends don't fall either, with those that meet made one."""
 
+    def meet(s: Column) -> Column:
+        begins = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["b"] < x["a"]))
+        ends = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["a"] > x["b"]))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, min_lines: int = 2) -> DataFrame:
-    """`docs` without passages of several lines that an earlier document holds.
+    return let(F.array_sort(spans), meet)
 
-    A passage has at least `min_lines` lines (see `lines`) and `min_words` words.
-    Lines of over `_LONG` words count as several: a repeated run of words of any
-    kind is cut alike but for `_LONG` words at either end, so of runs of over
-    `min_words` + 2 * `_LONG` words all but those ends are found at least.
-    From each line on the shortest window that is one gets a hash. Each repeated
-    passage holds the windows of its first lines, and its last lines are held by
-    the shortest window that ends with it, which starts where a repeated one
-    does; so these windows cover it, and each is a passage by itself: what
-    stands around it decides nothing. The document with the smallest id keeps a
-    window; in the others its lines go. Lines are equal if they are but for line
-    ends and blanks at their end; lines without words part nothing. A 64-bit hash
-    finds what may repeat, 128 bits decide. Windows are joined on hashes: counts
-    are combined before the shuffle, and no task gathers what shares a window.
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30) -> DataFrame:
+    """`docs` without passages of several lines that occur before, in the same or an earlier document.
+
+    Lines end at line feeds, sentences and words with some last letters, and long
+    ones are cut at words by their hash (see `lines`). Where the rolling hash of two lines on end
+    falls, and where a paragraph starts, a chunk starts; so chunks follow the
+    content and not the place. Chunks of two lines or more whose hash occurs twice are compared with
+    their first occurrence, by document id and place, and where the lines are the
+    same bytes but for blanks and line ends around them, the later one goes. The
+    lines beside a run of repeated chunks are compared with those of the first
+    document that goes on alike from the same chunk, so that the parts of a passage
+    that form no whole chunk go too; where that document repeats more than this one
+    does they may stay. What goes in one piece has at least `min_words` words:
+    shorter repeats are phrases. One line over and over has no boundary: it is a
+    single chunk.
+
+    A key may be hot: occurrences are counted before the shuffle, and the first
+    ones, one a key, form a table of their own, so that its join with all is
+    one that adaptive execution can split.
 
     Adds removed_words (long) and changes `text_col`; a column of that name gives
-    way. Lines of fewer words, and repeats within one document, stay. A null text
-    stays null; an empty text stays. Identical rows (id and text) are one
-    document: both keep or lose the same. Null ids come first. A document that
-    loses every word keeps its row with the words' rest, at most white space. An
-    empty table gives an empty result. Other columns pass.
+    way. A null text stays null; an empty text stays. Identical rows (id and text)
+    are one document: both keep or lose the same. Null ids come first. A document
+    that loses every word keeps its row with the words' rest, at most white space.
+    An empty table gives an empty result. Other columns pass.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "removed_words"])
     rid = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00")))
     d = docs.select(F.col(id_col).alias("_id"), rid.alias("_rid"), F.col(text_col).alias("_t"))
-    c = table(d.select("_rid", F.explode(starts(F.col("_t"), min_words, min_lines)).alias("c")).select("_rid", "c.*"), "lines-windows")
-    repeated = c.groupBy("ch").agg(F.min("_rid").alias("lo"), F.max("_rid").alias("hi")).where("lo <> hi").select("ch")
-    by_doc = c.join(repeated, "ch").groupBy("_rid").agg(F.collect_set("s").alias("_p"))
-    by_doc = table(by_doc, "lines-repeated")
+    found = table(d.select("_rid", F.explode(chunks(F.col("_t"))).alias("c")).select("_rid", "c.*"), "lines-chunks")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("_rid", "k") for n, f in (("lo", F.min), ("hi", F.max))]
+    repeated = found.groupBy("ch").agg(*ends).where("lo__rid <> hi__rid or lo_k <> hi_k").select("ch")
+    by_doc = table(found.join(repeated.hint("shuffle_hash"), "ch").groupBy("_rid").agg(F.collect_set("k").alias("_w")), "lines-repeated")
+    forget(found)
     release(spark)
 
-    # the windows from these places on
-    u = d.dropDuplicates(["_rid"]).join(by_doc, "_rid")
-    u = u.select("_id", "_rid", F.explode(passages(F.col("_t"), F.col("_p"), min_words, min_lines)).alias("p"))
-    near = table(u.select("_id", "_rid", "p.*"), "lines-around")
+    near = d.join(by_doc.hint("shuffle_hash"), "_rid").select("_id", "_rid", F.explode(pieces(F.col("_t"), F.array_sort("_w"))).alias("c"))
+    near = table(near.select("_id", "_rid", "c.*"), "lines-near")
+    forget(by_doc)
     release(spark)
-    first = near.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_rid")).alias("f"), F.max("_rid").alias("hi"), F.min("_rid").alias("lo"))
-    hit = near.join(first.where("lo <> hi").select("k1", "k2", F.col("f._rid").alias("_first")), ["k1", "k2"]).where("_rid <> _first")
-    cuts = hit.groupBy("_rid").agg(F.collect_set(F.struct("a", "b")).alias("_cuts"))
-    cuts = table(cuts.select("_rid", _merged(F.col("_cuts")).alias("_cuts")), "lines-cuts")
+    place = F.struct("_id", "_rid", "k")
+    first = near.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("f._rid", "f.k", F.col("key").alias("_key"))
+    first = near.join(first, (near["_rid"] == first["_rid"]) & (near["k"] == first["k"]) & (near["key"] == first["_key"]), "left_semi").dropDuplicates(["key"])
+    first = table(first.select("key", F.col("_rid").alias("_first"), F.col("k").alias("_k"), F.col("x").alias("_x")), "lines-first")
+    n = alike(F.col("x"), F.col("_x"))
+    hit = near.join(first, "key").where("_rid <> _first or k <> _k").withColumn("n", n).where("n > 0 and (side <> 0 or (n = size(x) and n = size(_x)))")
+    spans = F.struct(F.when(F.col("side") < 0, F.col("at") - F.col("n")).otherwise(F.col("at")).alias("a"), F.when(F.col("side") < 0, F.col("at")).otherwise(F.col("at") + F.col("n")).alias("b"))
+    # lines beside a chunk go with it only
+    cuts = hit.select("_rid", spans.alias("s")).groupBy("_rid").agg(F.collect_set("s").alias("_s"))
+    rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
+    cuts = table(cuts.select(F.col("_rid").alias(rid_col), joined(F.col("_s")).alias(cuts_col)), "lines-cuts")
+    forget(near, first)
     release(spark)
 
-    units = lines(F.col(text_col))
-    span_words = lambda us, x: word_count(F.array_join(F.slice(us, x["a"] + 1, x["b"] - x["a"]), ""))
-
     def without(us: Column) -> Column:
+        words = lambda x: word_count(F.array_join(F.slice(us, x["a"] + 1, x["b"] - x["a"]), ""))
+        counted = F.transform(F.col(cuts_col), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), words(x).alias("n")))
+
         def cut(g: Column) -> Column:
-            kept = F.filter(us, lambda _, i: ~F.exists(g, lambda x: (i >= x["a"]) & (i < x["b"])))
-            lost = F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + span_words(us, x))
-            return F.struct(F.array_join(kept, "").alias("t"), lost.alias("n"))
+            upto = lambda i: F.coalesce(F.get(g, i)["a"], F.size(us))
+            kept = F.transform(F.sequence(F.lit(0), F.size(g)), lambda i: let(F.coalesce(F.get(g, i - 1)["b"], F.lit(0)), lambda b: F.array_join(F.slice(us, b + 1, upto(i) - b), "")))
+            return F.struct(F.array_join(kept, "").alias("t"), F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n"))
 
-        return cut(F.col("_cuts"))
+        return let(F.filter(counted, lambda x: x["n"] >= min_words), cut)
 
-    out = docs.withColumn("_rid", rid).join(cuts, "_rid", "left")
-    done = F.when(F.col("_cuts").isNotNull(), F.transform(F.array(units), without)[0])
-    out = out.withColumn("_done", done)
-    text = F.when(F.col("_done.n") > 0, F.col("_done.t")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).withColumn("removed_words", F.coalesce("_done.n", F.lit(0)).cast("long")).drop("_rid", "_cuts", "_done")
+    out = docs.withColumn(rid_col, rid).join(cuts.hint("shuffle_hash"), rid_col, "left")
+    out = out.withColumn(done_col, F.when(F.col(cuts_col).isNotNull(), let(lines(F.col(text_col)), without)))
+    n = F.coalesce(F.col(done_col)["n"], F.lit(0)).cast("long")
+    text = F.when(n > 0, F.col(done_col)["t"]).otherwise(F.col(text_col))
+    return out.withColumn(text_col, text).withColumn("removed_words", n).drop(rid_col, cuts_col, done_col)
