@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, linededup, mixing, packing, toxicity
-from lodestone.llm.common import table
+from lodestone.llm.common import fresh, table
 
 #: Below this score a document stays.
 TOXIC_AT = 0.7
@@ -37,8 +37,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id."""
     found = jaccard.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti").select(*docs.columns)
+    name = fresh(docs, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,23 +53,25 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     due. Texts without words have no share and go.
     """
     one, shard_rows, seed = 1 << 20, 4000, 29
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    docs = docs.withColumn("_key", key)
-    taken = mixing.mix_sources(docs.withColumn("_row", F.struct("doc_id", "_key")), id_col="_row").where("size > 0")
+    columns, (key, row, rows, times, nth, copy) = docs.columns, (fresh(docs, f"_mix_{x}") for x in ("key", "row", "rows", "times", "nth", "copy"))
+    docs = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))))
+    taken = mixing.mix_sources(docs.select("text", "source", F.struct("doc_id", F.col(key).alias("key")).alias(row)), id_col=row).where("size > 0")
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    due = taken.groupBy(F.col("_row._key").alias("_key"), source.alias("_src")).agg(F.max("size").alias("_size"), F.count("*").alias("_rows"), F.sum("taken").alias("_taken"))
-    due = table(due.withColumn("_due", F.round(F.col("_taken") * one / F.col("_size")).cast("long")), "pipeline-due")
-    shards = due.groupBy("_src").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("_shards"))
-    due = due.join(shards, "_src").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_shards")))
-    order = Window.partitionBy("_src", "_shard").orderBy("_size", F.xxhash64(F.lit(seed + 1), "_key"), "_key")
-    turn = F.pmod(F.xxhash64(F.lit(seed + 2), "_src", "_shard"), F.lit(one))
-    upto = turn + F.sum("_due").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    due = due.withColumn("_upto", upto).withColumn("_times", F.floor(F.col("_upto") / one) - F.floor((F.col("_upto") - F.col("_due")) / one))
-    out = docs.join(table(due.where("_times > 0").select("_key", "_rows", "_times"), "pipeline-mix"), "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
-    n = F.floor(F.col("_times") / F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("int")
-    out = out.withColumn("_n", n.cast("int")).where("_n > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_key").select(*[c for c in docs.columns if c != "_key"])
+    due = taken.groupBy(F.col(row)["key"].alias("key"), source.alias("src")).agg(F.max("size").alias("size"), F.count("*").alias("rows"), F.sum("taken").alias("taken"))
+    due = table(due.withColumn("due", F.round(F.col("taken") * one / F.col("size")).cast("long")), "pipeline-due")
+    shards = due.groupBy("src").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
+    due = due.join(shards, "src")
+    due = due.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("shards"))).repartition("src", "shard")  # else a source may be one task
+    order = Window.partitionBy("src", "shard").orderBy("size", F.xxhash64(F.lit(seed + 1), "key"), "key")
+    turn = F.pmod(F.xxhash64(F.lit(seed + 2), "src", "shard"), F.lit(one))
+    due = due.withColumn("upto", turn + F.sum("due").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    due = due.withColumn("times", F.floor(F.col("upto") / one) - F.floor((F.col("upto") - F.col("due")) / one))
+    due = table(due.where("times > 0").select(F.col("key").alias(key), F.col("rows").alias(rows), F.col("times").alias(times)), "pipeline-mix")
+    out = docs.join(due, key)
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*columns)))
+    n = F.floor(F.col(times) / F.col(rows)) + (number <= F.col(times) % F.col(rows)).cast("int")
+    out = out.withColumn(nth, n.cast("int")).where(F.col(nth) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(nth)))).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
