@@ -37,7 +37,8 @@ def closure(edges: DataFrame, roots: DataFrame, id_col: str, parent_col: str, ma
     """
     a, b = (id_col, parent_col) if reverse else (parent_col, id_col)
     e = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).where("_from is not null and _to is not null").distinct()
-    seen = roots.toDF("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("depth"))
+    e = _written(e)
+    seen = _written(roots.toDF("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("depth")))
     frontier, depth, limit = seen, 0, exact_depth if exact_depth is not None else max_depth
     levels = [seen]
     while limit is None or depth < limit:
@@ -54,13 +55,15 @@ def closure(edges: DataFrame, roots: DataFrame, id_col: str, parent_col: str, ma
 
 def recursive_union(base: DataFrame, step, most: int = 1000) -> DataFrame:
     """WITH RECURSIVE base UNION step(new rows): rows are kept once; ends when nothing is new."""
-    seen = frontier = base.distinct()
+    frontier = _written(base.distinct())
+    levels = [frontier]
     for _ in range(most):
-        new = _written(step(frontier).distinct().exceptAll(seen.select(*seen.columns)).distinct())
-        new = new.join(seen, [new[c].eqNullSafe(seen[c]) for c in seen.columns], "left_anti")
-        if new.isEmpty():
-            return seen
-        seen, frontier = seen.union(new), new
+        made = step(frontier).distinct()
+        seen = functools.reduce(DataFrame.union, levels)  # written levels only, so plans grow by a scan each
+        frontier = _written(made.join(seen, [made[c].eqNullSafe(seen[c]) for c in seen.columns], "left_anti"))
+        if frontier.isEmpty():
+            return functools.reduce(DataFrame.union, levels)
+        levels.append(frontier)
     raise RuntimeError("recursive_union: no end")
 
 

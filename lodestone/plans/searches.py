@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import unaccent
 from ..operators import search as X
 from ..operators import stores as B
 from ..operators import vector as V
@@ -38,37 +39,92 @@ query("vec_each", "select vec_id, count(*) as n, round(sum(x::double), 5) as s f
 query("search_join", f"with q as (select embedding::double[] as v from embeddings where vec_id = 0), k as (select vec_id, label from embeddings e, q order by {_L['l2']}, vec_id limit 10) select k.vec_id, r_name from k join region on k.label % 5 = r_regionkey")(lambda t: V.knn(t.embeddings, "embedding", "vec_id", _first(t), 10).join(t.region, C("label") % 5 == C("r_regionkey")).select("vec_id", "r_name"))
 
 # --- full text -----------------------------------------------------------
-_TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-_P = f"with w as (select doc_id, {_TOK} as w from documents), p as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from w)"
+def _words(text: str, split: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{split}'), lambda w: w <> '')"
+
+
+_LETTERS = r"[^\p{L}\p{N}\p{Co}]+"
+_TOK = _words("strip_accents(lower(text))", _LETTERS)
+
+
+def _postings(tokens: str) -> str:
+    return f"with w as (select doc_id, {tokens} as w from documents), p as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from w)"
+
 
+_P = _postings(_TOK)
+_KEPT = _postings(_words("lower(text)", _LETTERS))
 
-def _ix(t: Tables) -> X.Index:
-    return X.index(t.documents, "doc_id", ["text"])
 
+def _ix(t: Tables, tokenizer=None, columns=("text",)) -> X.Index:
+    return X.index(t.documents, "doc_id", list(columns), tokenizer)
 
-def _found(key: str, make, where: str) -> None:
-    query(key, f"{_P} {where}")(lambda t: make().docs(_ix(t)).select(C("doc").alias("doc_id")))
 
+def _found(key: str, make, where: str, columns=("text",), head: str = _P, tokenizer=None) -> None:
+    query(key, f"{head} {where}")(lambda t: make().docs(_ix(t, tokenizer, columns)).select(C("doc").alias("doc_id")))
 
-query("fts_tokenize", f"{_P} select doc_id, count(*) as n, count(distinct term) as d from p group by 1")(lambda t: _ix(t).postings.groupBy(C("doc").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct("term").alias("d")))
-query("fts_tokenize_plain", f"with w as (select doc_id, {_TOK.replace('lower(text)', 'strip_accents(lower(text))')} as w from documents) select doc_id, len(w)::bigint as n from w")(lambda t: t.documents.select("doc_id", F.size(X.tokens(C("text"), unaccent)).cast("long").alias("n")))
-query("fts_trigram", "select doc_id, greatest(length(text) - 2, 0)::bigint as n, substr(lower(text), 1, 3) as first from documents where length(text) > 2")(lambda t: t.documents.where("length(text) > 2").select("doc_id", F.size(X.tokens(C("text"), trigram=True)).cast("long").alias("n"), X.tokens(C("text"), trigram=True)[0].alias("first")))
+
+def _counted(key: str, tokenizer, tokens: str) -> None:
+    """Terms and distinct terms of each document."""
+    query(key, f"{_postings(tokens)} select doc_id, count(*) as n, count(distinct term) as d from p group by 1")(
+        lambda t: _ix(t, tokenizer).docs.select(C("doc").alias("doc_id"), F.size("w0").cast("long").alias("n"), F.size(F.array_distinct("w0")).cast("long").alias("d")).where("n > 0")
+    )
+
+
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_counted("fts_tokenize", X.Tokenizer(remove_diacritics=0), _words("lower(text)", _LETTERS))
+_counted("fts_tokenize_plain", X.Tokenizer(), _TOK)
+_counted("fts_ascii", X.Tokenizer("ascii"), _words(_ASCII.format("text"), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"))
+_counted("fts_tokenchars", X.Tokenizer(tokenchars="-.", separators="e"), _words("strip_accents(lower(text))", r"(?:[^\p{L}\p{N}\p{Co}.\-]|e)+"))
+_counted("fts_categories", X.Tokenizer(categories="N*"), _words("text", r"[^\p{N}]+"))
+query("fts_porter")(lambda t: X.vocabulary(_ix(t, X.Tokenizer(porter=True))))
+query("fts_trigram", "select doc_id, greatest(length(text) - 2, 0)::bigint as n, substr(lower(text), 1, 3) as first from documents where length(text) > 2")(lambda t: t.documents.where("length(text) > 2").select("doc_id", X.Tokenizer("trigram")(C("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), C("w")[0].alias("first")))
+_found("fts_substring", lambda: X.Phrase("ation.\n"), "select doc_id from documents where contains(lower(text), 'ation.' || chr(10))", head="", tokenizer=X.Tokenizer("trigram"))
 _found("fts_term", lambda: X.Term("able"), "select distinct doc_id from p where term = 'able'")
 _found("fts_prefix", lambda: X.Prefix("abl"), "select distinct doc_id from p where term like 'abl%'")
+_found("fts_accents", lambda: X.Or([X.Term("DÉ"), X.Prefix("etré")]), "select distinct doc_id from p where term = 'de' or term like 'etre%'")
 _found("fts_phrase", lambda: X.Phrase("of the"), "select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the'")
+_found("fts_phrase_prefix", lambda: X.Raw("of + an *"), "select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term like 'an%'")
 _found("fts_and_or", lambda: X.And([X.Term("the"), X.Or([X.Term("able"), X.Term("ation")])]), "select doc_id from p where term = 'the' intersect select doc_id from p where term in ('able', 'ation')")
-_found("fts_not", lambda: X.Not(X.Term("the"), X.Term("of")), "select doc_id from p where term = 'the' except select doc_id from p where term = 'of'")
-_found("fts_near", lambda: X.Near("idiot", "the", 3), "select distinct a.doc_id from p a join p b using (doc_id) where a.term = 'idiot' and b.term = 'the' and abs(a.pos - b.pos) - 1 <= 3")
-_found("fts_initial", lambda: X.Term("the", initial=True), "select distinct doc_id from p where term = 'the' and pos = 0")
-query("bm25", f"""{_P}, n as (select doc_id, len(w) as len from w), s as (select count(*) as n, avg(len) as avg from n), tf as (select doc_id, term, count(*) as tf from p where term in ('able', 'ation') group by 1, 2),
- df as (select term, count(*) as df from tf group by 1) select doc_id, round(-sum(greatest(1e-6, ln((s.n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.avg))), 6) as rank
- from tf join df using (term) join n using (doc_id), s group by 1""")(lambda t: X.bm25(_ix(t), X.Or([X.Term("able"), X.Term("ation")])).select(C("doc").alias("doc_id"), F.round("rank", 6).alias("rank")))
-query("fts_highlight", r"select doc_id, regexp_replace(substr(text, 1, 200), '(?i)\b(the)\b', '<b>\1</b>', 'g') as h from documents where lang = 'en' and regexp_full_match(substr(text, 1, 200), '[\x00-\x7f]*')")(lambda t: t.documents.where(r"lang = 'en' and substr(text, 1, 200) rlike '^[\\x00-\\x7f]*$'").select("doc_id", X.highlight(F.substring("text", 1, 200), ["the"]).alias("h")))
+_found("fts_not", lambda: X.Not(X.Term("the"), X.Term("of"), X.Term("der")), "select doc_id from p where term = 'the' except select doc_id from p where term in ('of', 'der')")
+_found("fts_near", lambda: X.Near(3, "idiot", "the"), "select distinct a.doc_id from p a join p b using (doc_id) where a.term = 'idiot' and b.term = 'the' and abs(a.pos - b.pos) - 1 <= 3")
+_found("fts_near_many", lambda: X.Near(4, "with", "from", "or"), "select distinct a.doc_id from p a join p b on b.doc_id = a.doc_id and b.pos between a.pos - 9 and a.pos + 9 join p c on c.doc_id = a.doc_id and c.pos between a.pos - 9 and a.pos + 9 where a.term = 'with' and b.term = 'from' and c.term = 'or' and greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) - 1 <= 4")
+_found("fts_initial", lambda: X.InitialToken("the"), "select distinct doc_id from p where term = 'the' and pos = 0")
+_BOTH = ("text", "source")
+_found("fts_column", lambda: X.InColumn("source", X.Term("src3")), "select doc_id from documents where source = 'src3'", _BOTH, "")
+_found("fts_column_set", lambda: X.And([X.ColumnSet(["source", "text"], X.Term("the")), X.ColumnSet(["source"], X.Prefix("src1"))]), "select doc_id from p where term = 'the' intersect select doc_id from documents where source like 'src1%'", _BOTH)
+_found("fts_raw", lambda: X.Raw('(able OR "of the") NOT {source} : src1* '), "(select doc_id from p where term = 'able' union select a.doc_id from p a join p b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the') except select doc_id from documents where source like 'src1%'", _BOTH)
+
+
+def _ranked(key: str, make, tf: str, columns=("text",), weights=None) -> None:
+    """tf gives (doc_id, unit, tf): occurrences of each phrase of the query."""
+    length = "len(w)" if columns == ("text",) else "len(w) + 1"  # a source is one term
+    query(key, f"""{_P}, n as (select doc_id, {length} as len from w), s as (select count(*) as n, avg(len) as avg from n), tf as ({tf}),
+ df as (select unit, count(*) as df from tf group by 1) select doc_id, round(-sum(greatest(1e-6, ln((s.n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.avg))), 6) as rank
+ from tf join df using (unit) join n using (doc_id), s group by 1""")(lambda t: X.bm25(_ix(t, None, columns), make(), weights).select(C("doc").alias("doc_id"), F.round("rank", 6).alias("rank")))
+
+
+_ranked("bm25", lambda: X.Or([X.Term("able"), X.Term("ation")]), "select doc_id, term as unit, count(*) as tf from p where term in ('able', 'ation') group by 1, 2")
+_ranked("bm25_phrase", lambda: X.Phrase("of the"), "select a.doc_id, 1 as unit, count(*) as tf from p a join p b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by 1")
+_ranked("bm25_prefix", lambda: X.Or([X.Prefix("abl"), X.Term("der")]), "select doc_id, case when term = 'der' then 1 else 0 end as unit, count(*) as tf from p where term = 'der' or term like 'abl%' group by 1, 2")
+_ranked("bm25_weights", lambda: X.Or([X.Term("src3"), X.Term("able")]), "select doc_id, 0 as unit, 5.0::double as tf from documents where source = 'src3' union all select doc_id, 1, count(*)::double * 0.5 from p where term = 'able' group by 1", _BOTH, {"source": 5.0, "text": 0.5})
+query("fts_highlight", r"select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda x: case when lower(x) in ('the', 'der') then '<b>' || x || '</b>' else x end), '') as h from documents")(lambda t: t.documents.select("doc_id", X.highlight(C("text"), ["the", "der"]).alias("h")))
 query("fts_snippet")(lambda t: t.documents.select("doc_id", X.snippet(C("text"), ["the", "of"], 8).alias("s")))
 query("fts_vocab", f"{_P} select term, count(distinct doc_id) as doc, count(*) as cnt from p group by 1")(lambda t: X.vocabulary(_ix(t)))
-query("fts_vocab_instance", f"{_P} select term, doc_id as doc, 'text' as col, pos::bigint as \"offset\" from p where doc_id < 20")(lambda t: X.vocabulary(_ix(t), "instance").where("doc < 20"))
+query("fts_vocab_col", f"{_P} select term, 'text' as col, count(distinct doc_id) as doc, count(*) as cnt from p group by 1 union all select source, 'source', count(*), count(*) from documents group by 1")(lambda t: X.vocabulary(_ix(t, None, _BOTH), "col"))
+query("fts_vocab_instance", f"{_P} select term, doc_id as doc, 'text' as col, pos::bigint as \"offset\" from p")(lambda t: X.vocabulary(_ix(t), "instance"))
 query("fts_top_terms", f"{_P} select term, count(*) as cnt from p group by 1 order by cnt desc, term limit 25")(lambda t: X.vocabulary(_ix(t)).orderBy(F.desc("cnt"), "term").limit(25).select("term", "cnt"))
 
+
+@query("fts_saved", f"{_P} select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the'")
+def fts_saved(t: Tables) -> DataFrame:
+    """A saved index: the scan of its postings takes the query's terms alone. Without a shared folder the index in memory answers."""
+    at = t.spark.conf.get("spark.checkpoint.dir", None)
+    ix = _ix(t)
+    if at:
+        ix = ix.save(f"{at.rstrip('/')}/lodestone/fts-{uuid.uuid4().hex}")
+    return X.Phrase("of the").docs(ix).select(C("doc").alias("doc_id"))
+
+
 # --- fusion and space ----------------------------------------------------
 _R = "row_number() over (order by value, event_id)"
 

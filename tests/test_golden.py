@@ -144,18 +144,43 @@ def test_vectors(spark):
     assert [r[0] for r in bits.select(vector.distance(F.col("b"), L(b"\xff"), "hamming")).collect()] == [0, 4, 8]
 
 
-def test_search(spark):
+def test_stems():
+    """Published examples of each step."""
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
+    assert [(w, arrow.stem(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "a brown dog howls at the moon"), (3, "pack my box with five dozen liquor jugs"), (4, "running rivers run"), (5, "café résumé naïve façade")], "key long, value string")
     ix = search.index(docs, "key", ["value"])
     found = lambda q: {r.doc for r in q.docs(ix).collect()}
     assert found(search.Term("fox")) == {1} and found(search.Phrase("brown dog")) == {2} and found(search.Prefix("run")) == {4}
-    assert found(search.Near("quick", "fox", 1)) == {1} and found(search.Near("quick", "dog", 2)) == set()
+    assert found(search.Near(1, "quick", "fox")) == {1} and found(search.Near(2, "quick", "dog")) == set()
     assert found(search.Not(search.Term("brown"), search.Term("moon"))) == {1}
     plain = search.index(docs, "key", ["value"], lambda c: search.tokens(c, arrow.unaccent))
     assert {r.doc for r in search.Term("cafe").docs(plain).collect()} == {5}
     ranked = search.bm25(ix, search.Or([search.Term("brown"), search.Term("moon")])).orderBy("rank").collect()
     assert [r.doc for r in ranked] == [2, 1]
     assert one(spark, search.highlight(L("The cat, the hat"), ["the"]), search.snippet(L("a b c the d the e f"), ["the"], 3)) == ["<b>The</b> cat, <b>the</b> hat", "...<b>the</b> d <b>the</b>..."]
+    raw = lambda q: found(search.Raw(q))
+    assert raw('brown NOT moon') == {1} and raw('"brown dog" OR fiv*') == {2, 3} and raw("the (fox OR howls)") == {1, 2} and raw("^a dog") == {2} and raw("value : NEAR(jumps fox lazy, 5)") == {1}
+    assert raw("NEAR(jumps fox lazy, 1)") == set() and raw("brown + d *") == {2} and raw("{value} : box") == {3}
+    for bad in ("a AND", "(a", "NEAR(a", "{value a", ""):
+        with pytest.raises(ValueError):
+            search.Raw(bad)
+    with pytest.raises(ValueError):
+        found(search.ColumnSet(["other"], search.Term("a")))
+    stemmed = search.index(docs, "key", ["value"], search.Tokenizer(porter=True))
+    assert {r.doc for r in search.Term("runs").docs(stemmed).collect()} == {4} and {r.doc for r in search.Term("jumping").docs(stemmed).collect()} == {1}
+    for coarse in ("column", "none"):
+        low = search.index(docs, "key", ["value"], detail=coarse)
+        assert {r.doc for r in search.Term("fox").docs(low).collect()} == {1}
+        with pytest.raises(ValueError):
+            search.Phrase("brown dog").docs(low)
+    ix2 = search.index(docs, "key", ["value"]).save(str(tmp_path))
+    for q in ('brown NOT moon', '"brown dog" OR fiv*', "^a dog", "NEAR(jumps fox lazy, 5)", "cafe"):
+        assert {r.doc for r in search.Raw(q).docs(ix2).collect()} == raw(q)
+    assert sorted(map(tuple, search.bm25(ix2, search.Raw("brown OR mo*")).collect())) == sorted(map(tuple, search.bm25(ix, search.Raw("brown OR mo*")).collect()))
     lists = [spark.createDataFrame([(k, i) for i, k in enumerate(x, 1)], "key long, rank int") for x in ([1, 2, 3], [1, 4, 2])]
     top = search.rrf(lists).collect()
     assert top[0].key == 1 and abs(top[0].score - 2 / 61) < 1e-9
@@ -212,3 +237,15 @@ def test_queries_without_counterpart_read_whole_texts(spark, tmp_path):
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).first().s
     assert "of" in run("fts_snippet") and "the" in run("fts_snippet")
     assert run("casefold") == text.casefold()
+
+
+def test_fuzzy_by_the_book(spark):
+    assert one(spark, arrow.jaro(L("abcdef"), L("bcaxyz")), arrow.jaro(L("MARTHA"), L("MARHTA")))[0] == pytest.approx(5 / 9)
+    assert one(spark, *[scalar.caverphone(L(w)) for w in ("Thompson", "", "Gale", "Catherine")]) == ["TMPSN11111", "1111111111", "KLA1111111", one(spark, scalar.caverphone(L("Katherine")))[0]]
+
+
+def test_recursive_union_of_a_long_cycle(spark):
+    """Plans grow by one scan a round."""
+    e = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)], "a long, b long")
+    r = relations.recursive_union(spark.createDataFrame([(0,)], "n long"), lambda f: f.join(e, f.n == e.a).select(e.b.alias("n")))
+    assert sorted(x.n for x in r.collect()) == list(range(12)) and r._jdf.queryExecution().toString().count("\n") < 400
