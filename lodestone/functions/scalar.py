@@ -362,6 +362,44 @@ def lsmode(mode: Column) -> Column:
     return F.concat(kind, *[bit(1 << (8 - i), "rwx"[i % 3]) for i in range(9)])
 
 
+# --- clocks --------------------------------------------------------------
+
+def time_now() -> Column:
+    """The moment in UTC, such as 2024-01-02T03:04:05.000006Z."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def now_as(kind: str = "utc") -> Column:
+    """The moment as a time without zone: in UTC, or for localtime in the session's zone."""
+    if kind not in ("utc", "localtime"):
+        raise ValueError(f"now_as: {kind!r} isn't known")
+    t = F.current_timestamp()
+    return (F.to_utc_timestamp(t, F.current_timezone()) if kind == "utc" else t).cast("timestamp_ntz")
+
+
+def time_unix(t: Column) -> Column:
+    return F.unix_seconds(t.cast("timestamp"))
+
+
+def time_from_unix(n: Column) -> Column:
+    """Seconds since the epoch as text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(n), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def like_unicode(s: Column, pattern: str, escape: str | None = None) -> Column:
+    """LIKE for any script: case is folded, _ is a character, % any text with line ends."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if escape and c == escape and i + 1 < len(pattern):
+            i += 1
+            out += re.escape(pattern[i])
+        else:
+            out += {"%": ".*", "_": "."}.get(c) or re.escape(c)
+        i += 1
+    return s.rlike(rf"(?isu)\A{out}\z")
+
+
 # --- UUID texts ----------------------------------------------------------
 
 def uuid_str(u: Column) -> Column:
@@ -387,6 +425,17 @@ def uuid_timestamp(u: Column) -> Column:
     return F.when(v == 7, F.floor(num((1, 12)) / 1000)).otherwise(F.floor((ticks - 122_192_928_000_000_000) / 10_000_000)).cast("long")
 
 
+def uuid_domain(u: Column) -> Column:
+    """person, group or org of version 2, else NULL."""
+    d = F.conv(F.substring(uuid_str(u), 22, 2), 16, 10).cast("int")
+    return F.when(uuid_version(u) == 2, F.get(F.array(F.lit("person"), F.lit("group"), F.lit("org")), d))
+
+
+def uuid_id(u: Column) -> Column:
+    """The local id of version 2, else NULL."""
+    return F.when(uuid_version(u) == 2, F.conv(F.substring(uuid_str(u), 1, 8), 16, 10).cast("long"))
+
+
 # --- IPv4 ----------------------------------------------------------------
 
 def ipfamily(a: Column) -> Column:
@@ -426,6 +475,14 @@ def money(x: Column) -> Column:
     return F.round(x.cast("decimal(38,6)"), 2).cast("decimal(36,2)").cast("string")
 
 
+def money_add(a: Column, b: Column) -> Column:
+    return money(a.cast("decimal(38,6)") + b.cast("decimal(38,6)"))
+
+
+def money_sub(a: Column, b: Column) -> Column:
+    return money(a.cast("decimal(38,6)") - b.cast("decimal(38,6)"))
+
+
 def money_format(x: Column, symbol: str = "$") -> Column:
     d = F.round(x.cast("decimal(38,6)"), 2).cast("decimal(36,2)")
     return F.concat(F.when(d < 0, "-").otherwise(""), F.lit(symbol), F.format_number(F.abs(d), 2))

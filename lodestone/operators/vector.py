@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,14 @@ def knn_batch(df: DataFrame, vector: str, key: str, queries: DataFrame, k: int,
     return q.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", key, "distance", "rank")
 
 
+def knn_by_partition(df: DataFrame, vector: str, key: str, partition: str, query: list[float], k: int, metric: str = "l2") -> DataFrame:
+    """The k rows nearest to `query` of each value of a partition column, with `distance`; each scan task sends its k nearest a value."""
+    d = df.where(F.size(vector) == len(query)).withColumn("distance", distance(F.col(vector), F.array(*[F.lit(float(x)) for x in query]), metric)).withColumn("_p", F.spark_partition_id())
+    for by in (["_p", partition], [partition]):
+        d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("distance", key))).where(F.col("_r") <= k)
+    return d.drop("_r", "_p")
+
+
 def normalize(v: Column) -> Column:
     """Unit length."""
     n = F.sqrt(_sum(F.transform(_doubles(v), lambda x: x * x)))
@@ -80,6 +90,54 @@ def vec_slice(v: Column, start: int, end: int) -> Column:
     return F.slice(v, start + 1, end - start)
 
 
+def from_json(text: Column) -> Column:
+    """A vector from a JSON array."""
+    return F.from_json(text, "array<float>")
+
+
+def to_json(v: Column) -> Column:
+    return F.to_json(v)
+
+
+def vec_add(a: Column, b: Column) -> Column:
+    return F.zip_with(_doubles(a), _doubles(b), lambda x, y: x + y)
+
+
+def vec_sub(a: Column, b: Column) -> Column:
+    return F.zip_with(_doubles(a), _doubles(b), lambda x, y: x - y)
+
+
 def to_f32_blob(v: Column) -> Column:
     """Little-endian float32, as used by binary encodings."""
-    return F.udf(lambda x: None if x is None else __import__("struct").pack(f"<{len(x)}f", *x), "binary", useArrow=True)(v)
+
+    def pack(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return F.pandas_udf(pack, "binary")(v)
+
+
+def from_f32_blob(b: Column) -> Column:
+    """A vector from little-endian float32."""
+
+    def unpack(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return F.pandas_udf(unpack, "array<float>")(b)
+
+
+def encode(v: Column, encoding: str = "json") -> Column:
+    """A vector as json, binary, int8 or bit."""
+    made = {"json": to_json, "binary": to_f32_blob, "int8": quantize_int8, "bit": quantize_binary}
+    if encoding.lower() not in made:
+        raise ValueError(f"encoding {encoding!r} isn't known")
+    return made[encoding.lower()](v)
+
+
+def knn_joined(df: DataFrame, vector: str, key: str, query: list[float], k: int, metric: str = "l2", where: Column | None = None, join: tuple[DataFrame, str] | None = None, select: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The k nearest (see `knn`) with columns of another table on its key, some columns only, in another order."""
+    d = knn(df, vector, key, query, k, metric, where)
+    if join is not None:
+        other, on = join
+        d = d.join(other, d[key] == other[on])
+    d = d.orderBy(*order) if order else d
+    return d.select(*select) if select else d

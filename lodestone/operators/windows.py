@@ -20,6 +20,18 @@ def sum_excluding_current(x: Column, w) -> Column:
     return F.when(others > 0, F.sum(x).over(w) - F.coalesce(x, F.lit(0)))
 
 
+def sum_excluding(df: DataFrame, x: str, partition: list[str], order: list[str], what: str, out: str) -> DataFrame:
+    """sum(x) over the whole partition, EXCLUDE CURRENT ROW, GROUP (the row and its peers) or TIES (its peers)."""
+    whole, peers = Window.partitionBy(*partition), Window.partitionBy(*partition, *order)
+    own, mine = F.col(x).isNotNull().cast("int"), F.coalesce(F.col(x), F.lit(0))
+    gone = {"current row": (own, mine), "group": (F.count(x).over(peers), F.coalesce(F.sum(x).over(peers), F.lit(0)))}
+    gone["ties"] = (gone["group"][0] - own, gone["group"][1] - mine)
+    if what not in gone:
+        raise ValueError(f"exclude {what!r} isn't known")
+    n, s = gone[what]
+    return df.withColumn(out, F.when(F.count(x).over(whole) - n > 0, F.sum(x).over(whole) - s))
+
+
 def filter_over(agg, condition: Column, x: Column, w) -> Column:
     """agg(x) FILTER (WHERE condition) OVER w."""
     return agg(F.when(condition, x)).over(w)

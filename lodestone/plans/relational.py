@@ -53,7 +53,8 @@ sql("case", "select o_orderkey, case o_orderstatus when 'O' then 'open' when 'F'
 sql("iif", "select o_orderkey, if(o_totalprice > 50000, 1, 0) as big from orders")
 sql("coalesce", "select o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'was O') as c, ifnull(nullif(o_custkey, 1), -1) as i from orders")
 sql("nullif", "select count(nullif(o_orderstatus, 'O')) as n from orders")
-query("typeof", "select 'integer' as a, 'real' as b, 'text' as c")(lambda t: t.spark.range(1).select(*[F.when(F.typeof(c) == "bigint", "integer").when(F.typeof(c) == "double", "real").otherwise("text").alias(n) for n, c in (("a", F.lit(1).cast("long")), ("b", F.lit(1.5).cast("double")), ("c", F.lit("x")))]))
+_KIND = "case when p_partkey % 4 = 0 then {0} when p_partkey % 4 = 1 then {1} when p_partkey % 4 = 2 then {2} else {3} end"
+query("typeof", f"select p_partkey, {_KIND.format(chr(39) + 'integer' + chr(39), chr(39) + 'real' + chr(39), chr(39) + 'text' + chr(39), chr(39) + 'null' + chr(39))} as k from part")(lambda t: t.part.select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.to_json(F.struct(F.col("p_size").cast("long").alias("v")))).when(F.col("p_partkey") % 4 == 1, F.to_json(F.struct((F.col("p_retailprice") + 0.123).alias("v")))).when(F.col("p_partkey") % 4 == 2, F.to_json(F.struct(F.col("p_name").alias("v")))).otherwise('{"v":null}').alias("j")).select("p_partkey", S.json_type(F.col("j"), "$.v").alias("k")))
 sql("cast", "select p_partkey, try_cast(p_brand as int) as bad, cast(p_size as double) as d, cast(p_partkey as string) as s from part")
 query("int_div", "select l_orderkey, l_linenumber, (l_orderkey // l_linenumber)::bigint as d from lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", S.int_div(F.col("l_orderkey"), F.col("l_linenumber")).alias("d")))
 sql("generated_col", "select *, round(net * 2, 4) as twice from (select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem) x")
@@ -93,7 +94,7 @@ sql("covar", "select l_returnflag, round(covar_pop(l_extendedprice, l_quantity),
 query("corr", "select l_returnflag, round(corr(l_extendedprice, l_quantity), 6) as c from lineitem group by 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.round(A.corr(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("c")))
 sql("regr", "select l_returnflag, cast(regr_count(l_extendedprice, l_quantity) as bigint) as n, round(regr_avgx(l_extendedprice, l_quantity), 6) as ax, round(regr_avgy(l_extendedprice, l_quantity), 4) as ay, round(regr_sxx(l_extendedprice, l_quantity), 1) as sxx, round(regr_slope(l_extendedprice, l_quantity), 5) as slope, round(regr_intercept(l_extendedprice, l_quantity), 3) as icept from lineitem group by l_returnflag")
 query("regr_r2", "select l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) as r2 from lineitem group by 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.round(A.regr_r2(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("r2")))
-query("regr_json", "select l_returnflag, count(*)::bigint as n, true as whole from lineitem group by 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(A.regr_json(F.col("l_extendedprice"), F.col("l_quantity")).alias("j")).select("l_returnflag", F.get_json_object("j", "$.count").cast("long").alias("n"), F.get_json_object("j", "$.r2").isNotNull().alias("whole")))
+query("regr_json", "select l_returnflag, regr_count(l_extendedprice, l_quantity)::bigint as n, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_avgx(l_extendedprice, l_quantity), 6) as ax from lineitem group by 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(A.regr_json(F.col("l_extendedprice"), F.col("l_quantity")).alias("j")).select("l_returnflag", F.get_json_object("j", "$.count").cast("long").alias("n"), *[F.round(F.get_json_object("j", f"$.{k}").cast("double"), d).alias(n) for n, k, d in (("slope", "slope", 4), ("intercept", "intercept", 2), ("r2", "r2", 6), ("ax", "avgx", 6))]))
 sql("median", "select event_type, round(median(value), 6) as m from events group by event_type")
 query("percentile", "select event_type, round(quantile_cont(value, 0.9), 6) as p from events group by 1")(lambda t: t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.9), 6).alias("p")))
 query("percentile_disc", "select event_type, list_sort(list(value))[floor(0.9 * (count(*) - 1))::int + 1] as p from events group by 1")(lambda t: t.events.groupBy("event_type").agg(A.percentile_disc(F.col("value"), 0.9).alias("p")))
@@ -125,7 +126,7 @@ query("sliding_percentile", f"select o_orderkey, round(quantile_cont(o_totalpric
 # --- sorting -------------------------------------------------------------
 sql("order_by", "select c_custkey, cast(row_number() over (order by nullif(c_mktsegment, 'BUILDING') desc nulls last, c_acctbal, c_custkey) as bigint) as place from customer order by place")
 query("collate", "select p_partkey from part where lower(p_brand) = 'brand#11' or rtrim(p_type) = 'PROMO'")(lambda t: t.part.where((F.collate("p_brand", "UTF8_LCASE") == F.collate(F.lit("BRAND#11"), "UTF8_LCASE")) | (F.collate("p_type", "UTF8_BINARY_RTRIM") == F.collate(F.lit("PROMO  "), "UTF8_BINARY_RTRIM"))).select("p_partkey"))
-query("nocase_accent", "select count(*) as n from documents where strip_accents(lower(substr(text, 1, 1))) = 'e'")(lambda t: t.documents.where(F.collate(F.substring("text", 1, 1), "UNICODE_CI_AI") == F.collate(F.lit("É"), "UNICODE_CI_AI")).agg(F.count("*").alias("n")))
+query("nocase_accent", "select count(*) as n from documents where contains(strip_accents(lower(text)), 'eaux de')")(lambda t: t.documents.where(F.contains(F.collate("text", "UNICODE_CI_AI"), F.collate(F.lit("ÉAUX DÉ"), "UNICODE_CI_AI"))).agg(F.count("*").alias("n")))
 sql("limit_offset", "select o_orderkey from orders order by o_orderkey limit 10 offset 5")
 sql("topk", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
 
@@ -231,3 +232,7 @@ def upsert(t: Tables) -> DataFrame:
 sql("returning", "select o_orderkey, o_totalprice * 2 as o_totalprice from orders where o_orderstatus = 'P'")
 sql("delete", "select o_orderkey from orders where not (o_totalprice < 50000)")
 sql("constraint_check", "select l_orderkey, l_linenumber from lineitem where l_quantity <= 0 union all select l_orderkey, l_linenumber from lineitem l where not exists (select 1 from orders where o_orderkey = l.l_orderkey)")
+query("exclude_group", "select l_orderkey, l_linenumber, round(sum(l_quantity) over (partition by l_suppkey order by l_shipdate range between unbounded preceding and unbounded following exclude group), 2) as s from lineitem")(lambda t: W.sum_excluding(t.lineitem, "l_quantity", ["l_suppkey"], ["l_shipdate"], "group", "s").select("l_orderkey", "l_linenumber", F.round("s", 2).alias("s")))
+query("exclude_ties", "select l_orderkey, l_linenumber, round(sum(l_quantity) over (partition by l_suppkey order by l_shipdate range between unbounded preceding and unbounded following exclude ties), 2) as s from lineitem")(lambda t: W.sum_excluding(t.lineitem, "l_quantity", ["l_suppkey"], ["l_shipdate"], "ties", "s").select("l_orderkey", "l_linenumber", F.round("s", 2).alias("s")))
+sql("stats_over_more", f"select o_orderkey, round(var_samp(o_totalprice) over w, 1) as v, round(covar_pop(o_totalprice, o_orderkey) over w, 0) as c, round(case when count(*) over w > 1 then regr_slope(o_totalprice, o_orderkey) over w end, 4) as r from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between 3 preceding and current row)")
+sql("like_escape_only", "select p_partkey from part where replace(p_name, 'a', '_') like '%!_%' escape '!'")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as P
+from ..functions import register as R
 from ..functions import scalar as S
 from ..sources import files
 from .registry import query, sql
@@ -28,7 +35,7 @@ sql("upper_lower", "select p_partkey, upper(p_name) as u, lower(p_brand) as l fr
 over("trim", "part", "p_partkey", {"a": "trim(p_brand, 'B1')", "b": "ltrim(p_brand, 'Bra')", "c": "rtrim(p_brand, '0123456789')"}, a=lambda: F.trim(C("p_brand"), F.lit("B1")), b=lambda: F.ltrim(C("p_brand"), F.lit("Bra")), c=lambda: F.rtrim(C("p_brand"), F.lit("0123456789")))
 over("printf", "part", "p_partkey", {"s": "printf('%05d-%s', p_partkey, p_brand)"}, s=lambda: F.format_string("%05d-%s", "p_partkey", "p_brand"))
 over("char_unicode", "nation", "n_nationkey", {"c": "chr(72 + n_nationkey) || chr(233)", "u": "unicode(n_name)::bigint"}, c=lambda: S.char(C("n_nationkey") + 72, F.lit(233)), u=lambda: F.ascii("n_name").cast("long"))
-over("quote", "documents", "doc_id", {"q": "'''' || replace(substr(text, 1, 50), '''', '''''') || ''''"}, q=lambda: S.quote(F.substring("text", 1, 50)))
+over("quote", "documents", "doc_id", {"q": "'''' || replace(text, '''', '''''') || ''''"}, q=lambda: S.quote(C("text")))
 sql("concat_op", "select p_partkey, p_name || '/' || p_brand as s from part")
 over("text_reverse_repeat", "part", "p_partkey", {"r": "reverse(p_name)", "p": "repeat(p_brand, 3)"}, r=lambda: F.reverse("p_name"), p=lambda: F.repeat("p_brand", F.lit(3)))
 over("text_pad", "part", "p_partkey", {"l": "case when length(p_name) >= 14 then p_name else lpad(p_name, 14, '*-') end", "r": "case when length(p_name) >= 14 then p_name else rpad(p_name, 14, ' ') end"}, l=lambda: S.text_lpad(C("p_name"), 14, "*-"), r=lambda: S.text_rpad(C("p_name"), 14))
@@ -41,7 +48,7 @@ over("sqrt_pow_exp_log", "customer", "c_custkey", {"s": "case when c_acctbal >=
 over("trig", "nation", "n_nationkey", {n: f"round({n}(n_nationkey / 25.0), 8)" for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh")} | {"a2": "round(atan2(n_nationkey, 3), 8)", "cot": "case when n_nationkey <> 0 then round(1 / tan(n_nationkey / 25.0), 6) end"}, **{n: (lambda f=getattr(F, n): F.round(f(C("n_nationkey") / 25.0), 8)) for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh")}, a2=lambda: F.round(F.atan2("n_nationkey", F.lit(3)), 8), cot=lambda: F.round(S.cot(C("n_nationkey") / 25.0), 6))
 over("ceil_floor_trunc", "customer", "c_custkey", {"c": "ceil(c_acctbal)::double", "f": "floor(c_acctbal)::double", "t": "trunc(c_acctbal)::double"}, c=lambda: F.ceil("c_acctbal").cast("double"), f=lambda: F.floor("c_acctbal").cast("double"), t=lambda: S.trunc(C("c_acctbal")))
 sql("degrees_mod_pi", "select c_custkey, round(degrees(c_custkey), 4) as d, round(radians(c_custkey), 8) as r, (-c_custkey) % 7 as m, round(pi(), 8) as p from customer")
-query("randomblob")(lambda t: t.region.select("r_regionkey", F.octet_length(F.unhex(F.replace(F.uuid(), F.lit("-")))).cast("long").alias("n")))
+query("randomblob", "select r_regionkey, 16::bigint as n, true as fresh from region")(lambda t: t.region.select("r_regionkey", F.unhex(F.replace(F.uuid(), F.lit("-"))).alias("b")).select("r_regionkey", F.octet_length("b").cast("long").alias("n"), (F.count("*").over(Window.partitionBy("b")) == 1).alias("fresh")))
 
 # --- dates ---------------------------------------------------------------
 over("strftime", "orders", "o_orderkey", {"a": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", "j": "strftime(o_orderdate, '%j')", "w": "strftime(o_orderdate, '%w')"}, a=lambda: S.strftime("%Y-%m-%d %H:%M:%S", C("o_orderdate")), j=lambda: S.strftime("%j", C("o_orderdate")), w=lambda: S.strftime("%w", C("o_orderdate")))
@@ -67,17 +74,18 @@ def _json_each(t):
     return t.spark.sql("select event_id, e.key, cast(e.value as string) as value from _json_each, lateral variant_explode(parse_json(j)) e")
 
 
-@query("json_tree", "select event_id, unnest(['$', '$.a', '$.a[0]', '$.a[1]', '$.b']) as path from events where event_id < 50")
+@query("json_tree", """select event_id, fullkey as path, case when type in ('OBJECT', 'ARRAY') then null else atom end as atom from events, json_tree('{"e":[' || event_id || ',"' || event_type || '"],"p":' || props || '}')""")
 def json_tree(t):
-    """Every node of a document with its path."""
+    """Every node of each event's document with its path."""
 
-    @F.udtf(returnType="path: string, value: string")
+    @F.udtf(returnType="path: string, atom: string")
     class Tree:
         def eval(self, j: str):
             import json
 
             def walk(v, path):
-                yield path, json.dumps(v, separators=(",", ":"))
+                nested = isinstance(v, (dict, list))
+                yield path, None if nested else json.dumps(v, separators=(",", ":"))
                 for k, x in v.items() if isinstance(v, dict) else ():
                     yield from walk(x, f"{path}.{k}")
                 for i, x in enumerate(v) if isinstance(v, list) else ():
@@ -86,8 +94,8 @@ def json_tree(t):
             yield from walk(json.loads(j), "$")
 
     t.spark.udtf.register("json_tree", Tree)
-    t.events.where("event_id < 50").createOrReplaceTempView("_tree_events")
-    return t.spark.sql("""select event_id, path from _tree_events, lateral json_tree('{"a":[1,2],"b":3}')""")
+    t.events.createOrReplaceTempView("_tree_events")
+    return t.spark.sql("""select event_id, path, atom from _tree_events, lateral json_tree('{"e":[' || event_id || ',"' || event_type || '"],"p":' || props || '}')""")
 
 
 # --- regular expressions -------------------------------------------------
@@ -106,27 +114,40 @@ def _pairs(t):
 
 
 query("levenshtein", f"select c_custkey, levenshtein(c_mktsegment, n_name)::bigint as d {_PAIRS}")(lambda t: _pairs(t).select("c_custkey", F.levenshtein("c_mktsegment", "n_name").cast("long").alias("d")))
-query("damerau_levenshtein", "select c_custkey, case when c_custkey % 2 = 0 then 2 else 1 end::bigint as d from customer")(lambda t: t.customer.select("c_custkey", P.damerau_levenshtein(F.when(C("c_custkey") % 2 == 0, "ab cd").otherwise("ca"), F.when(C("c_custkey") % 2 == 0, "ba dc").otherwise("ac")).alias("d")))
-query("hamming", f"select c_custkey, hamming(substr(c_mktsegment, 1, 4), substr(n_name, 1, 4))::bigint as d {_PAIRS} where length(n_name) >= 4")(lambda t: _pairs(t).where("length(n_name) >= 4").select("c_custkey", S.hamming(F.substring("c_mktsegment", 1, 4), F.substring("n_name", 1, 4)).alias("d")))
-query("jaro", f"select c_custkey, round(jaro_similarity(c_mktsegment, n_name), 6) as j {_PAIRS}")(lambda t: _pairs(t).select("c_custkey", F.round(P.jaro("c_mktsegment", "n_name"), 6).alias("j")))
-query("jaro_winkler", "select 'MARTHA' as a, 0.9611 as w")(lambda t: t.region.limit(1).select(F.lit("MARTHA").alias("a"), F.round(P.jaro_winkler(F.lit("MARTHA"), F.lit("MARHTA")), 4).cast("decimal(5,4)").alias("w")))
+_SWAPPED = "substr(p_name, 1, p_partkey % 3 + 1) || substr(p_name, p_partkey % 3 + 3, 1) || substr(p_name, p_partkey % 3 + 2, 1) || substr(p_name, p_partkey % 3 + 4)"
+query("damerau_levenshtein", f"select p_partkey, damerau_levenshtein(p_name, {_SWAPPED})::bigint as d, damerau_levenshtein(p_brand, p_name)::bigint as e from part")(lambda t: t.part.select("p_partkey", P.damerau_levenshtein("p_name", F.expr(_SWAPPED)).alias("d"), P.damerau_levenshtein("p_brand", "p_name").alias("e")))
+query("hamming", f"select c_custkey, hamming(lpad(c_mktsegment, 16, '.'), lpad(n_name, 16, '.'))::bigint as d {_PAIRS}")(lambda t: _pairs(t).select("c_custkey", S.hamming(F.lpad("c_mktsegment", 16, "."), F.lpad("n_name", 16, ".")).alias("d")))
+query("jaro", f"select c_custkey, round(jaro_similarity(c_mktsegment, n_name), 6) as j, round(jaro_similarity(c_name, n_name || c_mktsegment), 6) as k {_PAIRS}")(lambda t: _pairs(t).select("c_custkey", F.round(P.jaro("c_mktsegment", "n_name"), 6).alias("j"), F.round(P.jaro("c_name", F.concat("n_name", "c_mktsegment")), 6).alias("k")))
+_JW = "case when jaro_similarity({0}, {1}) = 1 then 1 else jaro_similarity({0}, {1}) + 0.1 * (case when substr({0}, 1, 1) <> substr({1}, 1, 1) then 0 when substr({0}, 1, 2) <> substr({1}, 1, 2) then 1 when substr({0}, 1, 3) <> substr({1}, 1, 3) then 2 when substr({0}, 1, 4) <> substr({1}, 1, 4) then 3 else 4 end) * (1 - jaro_similarity({0}, {1})) end"
+query("jaro_winkler", f"select p_partkey, round({_JW.format('p_name', _SWAPPED)}, 6) as w from part where length(p_name) >= 4")(lambda t: t.part.where("length(p_name) >= 4").select("p_partkey", F.round(P.jaro_winkler("p_name", F.expr(_SWAPPED)), 6).alias("w")))
 query("soundex")(lambda t: t.nation.select("n_nationkey", S.soundex(C("n_name")).alias("s")))
 query("caverphone")(lambda t: t.nation.select("n_nationkey", S.caverphone(C("n_name")).alias("s")))
 
 # --- Unicode, encodings, hashes ------------------------------------------
-over("upper_u", "documents", "doc_id", {"u": "upper(replace(substr(text, 1, 30), 'ß', 'ss'))", "l": "lower(substr(text, 1, 30))"}, u=lambda: F.upper(F.substring("text", 1, 30)), l=lambda: F.lower(F.substring("text", 1, 30)))
-query("initcap")(lambda t: t.part.select("p_partkey", F.initcap("p_name").alias("s")))
-over("unaccent", "documents", "doc_id", {"u": "strip_accents(substr(text, 1, 80))", "n": "nfc_normalize(substr(text, 1, 80))"}, u=lambda: P.unaccent(F.substring("text", 1, 80)), n=lambda: P.normalize(F.substring("text", 1, 80), F.lit("NFC")))
-query("casefold")(lambda t: t.documents.select("doc_id", P.casefold("text").alias("s")))
+over("upper_u", "documents", "doc_id", {"u": "upper(replace(text, 'ß', 'ss'))", "l": "lower(text)"}, u=lambda: F.upper("text"), l=lambda: F.lower("text"))
+query("initcap", "select c_custkey, array_to_string(list_transform(string_split(lower(c_name || ' of ' || c_mktsegment), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as s from customer")(lambda t: t.customer.select("c_custkey", F.initcap(F.concat("c_name", F.lit(" of "), "c_mktsegment")).alias("s")))
+over("unaccent", "documents", "doc_id", {"u": "strip_accents(text)", "n": "nfc_normalize(text)"}, u=lambda: P.unaccent("text"), n=lambda: P.normalize("text", F.lit("NFC")))
+over("casefold", "documents", "doc_id", {"s": "replace(lower(text), 'ß', 'ss')"}, s=lambda: P.casefold("text"))
 over("encode", "part", "p_partkey", {"b": "base64(p_name::blob)", "h": "lower(hex(p_name))", "u": "url_encode(p_brand)", "w": "translate(base64(p_name::blob), '+/', '-_')"}, b=lambda: F.base64(C("p_name").cast("binary")), h=lambda: F.lower(F.hex("p_name")), u=lambda: F.url_encode("p_brand"), w=lambda: S.base64url(C("p_name").cast("binary")))
-over("decode", "part", "p_partkey", {k: "p_name" for k in ("base64", "base32", "base32hex", "hex", "ascii85")}, **{k: (lambda k=k: P.decode(P.encode(C("p_name").cast("binary"), F.lit(k)), F.lit(k)).cast("string")) for k in ("base64", "base32", "base32hex", "hex", "ascii85")})
+over("decode", "part", "p_partkey", {"a": "p_name", "b": "p_name", "c": "p_name", "d": "p_brand"}, a=lambda: P.decode(F.base64(C("p_name").cast("binary")), F.lit("base64")).cast("string"), b=lambda: P.decode(F.lower(F.hex("p_name")), F.lit("hex")).cast("string"), c=lambda: P.decode(S.base64url(C("p_name").cast("binary")), F.lit("base64url")).cast("string"), d=lambda: P.decode(F.url_encode("p_brand"), F.lit("url")).cast("string"))
+#: published encodings of the same bytes, one by one
+_ENCODED = [("base32", "MZXW6YTBOI======", "foobar"), ("base32hex", "CPNMUOJ1E8======", "foobar"), ("base16", "666f6f626172", "foobar"), ("ascii85", "87cURD]i,\"Ebo80", "Hello World!"), ("base64url", "Pz8-Pg==", "??>>")]
+query("decode_published", "select * from (values " + ", ".join(f"('{k}', '{e}', '{d}')" for k, e, d in _ENCODED) + ") v(kind, encoded, plain)")(lambda t: t.spark.createDataFrame(_ENCODED, "kind string, e string, d string").select("kind", P.encode(C("d").cast("binary"), C("kind")).alias("encoded"), P.decode(C("e"), C("kind")).cast("string").alias("plain")))
 over("hashes", "part", "p_partkey", {"m": "md5(p_name)", "s": "sha1(p_name)", "t": "sha256(p_name)"}, m=lambda: F.lower(F.hex(S.md5_raw(C("p_name")))), s=lambda: F.sha1("p_name"), t=lambda: F.sha2("p_name", 256))
 query("digests")(lambda t: t.part.select("p_partkey", *[F.lower(F.hex(P.digest(C("p_name").cast("binary"), F.lit(k)))).alias(k) for k in ("ripemd160", "sha224", "sha384", "sha512", "sha512_256", "sha3_256", "blake2b", "blake2s")], F.lower(F.hex(P.xxh64(C("p_name").cast("binary")))).alias("xxh64")))
 
+def _uuid_sql(digest: str, version: int) -> str:
+    """A named UUID in the space of domain names, from the digest's hexadecimal text."""
+    raw = f"{digest}('\\x6b\\xa7\\xb8\\x10\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::blob || p_name::blob)"
+    variant = f"substr('89ab', ('0x' || substr({raw}, 17, 1))::int % 4 + 1, 1)"
+    return f"substr({raw}, 1, 8) || '-' || substr({raw}, 9, 4) || '-{version}' || substr({raw}, 14, 3) || '-' || {variant} || substr({raw}, 18, 3) || '-' || substr({raw}, 21, 12)"
+
+
 # --- UUID, IP, z-order ---------------------------------------------------
 _U = "substr(md5(p_name), 1, 8) || '-' || substr(md5(p_name), 9, 4) || '-' || substr(md5(p_name), 13, 4) || '-' || substr(md5(p_name), 17, 4) || '-' || substr(md5(p_name), 21, 12)"
 over("uuid_text", "part", "p_partkey", {"s": _U, "b": "upper(md5(p_name))", "v": "('0x' || substr(md5(p_name), 13, 1))::bigint"}, s=lambda: S.uuid_str(F.concat(F.lit("{"), F.upper(F.md5("p_name")), F.lit("}"))), b=lambda: F.hex(S.uuid_blob(F.md5("p_name"))), v=lambda: S.uuid_version(F.md5("p_name")))
-query("uuid_named", "select 'dns' as ns, '886313e1-3b8a-5372-9b90-0c9aee199e5d' as v5, '6fa459ea-ee8a-3ca4-894e-db77e160355e' as v3")(lambda t: t.region.limit(1).select(F.lit("dns").alias("ns"), P.uuid5(F.lit("dns"), F.lit("python.org")).alias("v5"), P.uuid3(F.lit("dns"), F.lit("python.org")).alias("v3")))
+query("uuid_named", f"select p_partkey, sha1_id as v5, md5_id as v3 from (select p_partkey, {_uuid_sql('sha1', 5)} as sha1_id, {_uuid_sql('md5', 3)} as md5_id from part)")(lambda t: t.part.select("p_partkey", P.uuid5(F.lit("dns"), "p_name").alias("v5"), P.uuid3(F.lit("dns"), "p_name").alias("v3")))
+query("uuid_parts", "select * from (values ('org', 7::bigint, null::bigint), (null, null, 1645557742::bigint), (null, null, 1645557742)) v(domain, id, seconds)")(lambda t: t.spark.createDataFrame([("000000070000-2000-8002-0123456789ab"[:8] + "-0000-2000-8002-0123456789ab",), ("C232AB00-9414-11EC-B3C8-9F6BDECED846",), ("017f22e2-79b0-7cc3-98c4-dc0c0c07398f",)], "u string").select(S.uuid_domain(C("u")).alias("domain"), S.uuid_id(C("u")).alias("id"), S.uuid_timestamp(C("u")).alias("seconds")))
 query("uuid_made", "select r_regionkey, 4 as a, 7 as b, 1 as c, 6 as d, 2 as e from region")(lambda t: t.region.select("r_regionkey", *[S.uuid_version(u).cast("int").alias(n) for n, u in (("a", F.uuid()), ("b", P.uuid_now(7)(F.col("r_name"))), ("c", P.uuid_now(1)(F.col("r_name"))), ("d", P.uuid_now(6)(F.col("r_name"))), ("e", P.uuid2(F.lit("org"), F.lit(7))))]))
 _IP = "'10.' || (c_custkey % 4) || '.' || (c_custkey % 256) || '.7'"
 over("ip", "customer", "c_custkey", {"c": "c_custkey % 4 = 1", "f": "4::bigint", "h": _IP, "m": "16::bigint", "n": "'10.' || (c_custkey % 4) || '.0.0/16'", "o": "c_custkey % 4 = 2"}, c=lambda: S.ipv4_contains(F.lit("10.1.0.0/16"), _ip()), f=lambda: S.ipfamily(_ip()), h=lambda: P.iphost(F.concat(_ip(), F.lit("/16"))), m=lambda: S.ipmasklen(F.concat(_ip(), F.lit("/16"))), n=lambda: P.ipnetwork(F.concat(_ip(), F.lit("/16"))), o=lambda: P.ipoverlaps(F.lit("10.2.0.0/15"), F.concat(_ip(), F.lit("/16"))) & ~P.ipcontains(F.lit("10.3.0.0/16"), _ip()))
@@ -142,7 +163,7 @@ over("zorder", "customer", "c_custkey", {"z": " + ".join(f"((c_custkey >> {b}) &
 over("decimal", "part", "p_partkey", {"a": "trim(trailing '.' from trim(trailing '0' from (p_retailprice::decimal(18,2) + 0.10::decimal(18,2))::varchar))", "c": "case when p_retailprice > 1000 then 1 when p_retailprice < 1000 then -1 else 0 end::bigint", "d": "'0.' || repeat('3', 30)", "r": "'2.350'"}, a=lambda: P.decimal_add(C("p_retailprice").cast("decimal(18,2)").cast("string"), F.lit("0.10")), c=lambda: S.decimal_cmp(C("p_retailprice").cast("decimal(18,2)"), F.lit(1000)), d=lambda: P.decimal_div(F.lit("1"), F.lit("3")), r=lambda: P.decimal_round(F.lit("2.3499999"), F.lit(3)))
 over("decimal_unary", "customer", "c_custkey", {"n": "(-(c_acctbal::decimal(18,2)))::varchar", "b": "abs(c_acctbal::decimal(18,2))::varchar", "f": "floor(c_acctbal::decimal(18,2))::bigint::varchar", "c": "ceil(c_acctbal::decimal(18,2))::bigint::varchar"}, n=lambda: (-C("c_acctbal").cast("decimal(18,2)")).cast("string"), b=lambda: F.abs(C("c_acctbal").cast("decimal(18,2)")).cast("string"), f=lambda: F.floor(C("c_acctbal").cast("decimal(18,2)")).cast("string"), c=lambda: F.ceil(C("c_acctbal").cast("decimal(18,2)")).cast("string"))
 over("money", "part", "p_partkey", {"m": "(p_retailprice::decimal(18,2))::varchar", "f": "printf('$%,.2f', p_retailprice)", "x": "'3.33'"}, m=lambda: S.money(C("p_retailprice")), f=lambda: S.money_format(C("p_retailprice")), x=lambda: S.money(F.lit("1.11").cast("decimal(9,2)") + F.lit("2.22").cast("decimal(9,2)")))
-query("decimal_sum_any", "select n_regionkey, string_agg('', '') || (count(*) * 1)::varchar || '.' || '5' as s from nation where n_regionkey < 0 group by 1")(lambda t: t.nation.where("n_regionkey < 0").groupBy("n_regionkey").agg(P.decimal_sum(F.lit("0.1")).alias("s")))
+query("decimal_sum_any", "select c_nationkey, trim(trailing '.' from trim(trailing '0' from sum(c_acctbal::decimal(18,2) * 1000000001)::varchar)) as s from customer group by 1")(lambda t: t.customer.groupBy("c_nationkey").agg(P.decimal_sum(P.decimal_mul(C("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("1000000001"))).alias("s")))
 query("udaf", "select l_returnflag, max(l_quantity) - min(l_quantity) as r from lineitem group by 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(_range(C("l_quantity")).alias("r")))
 
 
@@ -158,6 +179,126 @@ def _span(v: pd.Series) -> float:
 query("csv_scan", "select * from (values (1, 'x, y', 1.5), (2, 'say \"hi\"', null), (3, null, null)) v(a, b, c)")(lambda t: files.csv_scan(t.spark, data='a,b,c\n# note\n1,"x, y",1.5,extra\n2,"say ""hi""",junk\n3\n', header=True, comment="#", schema="a INTEGER, b TEXT, c REAL").select(C("a").cast("int").alias("a"), "b", C("c").cast("decimal(2,1)").alias("c")))
 query("lines_scan", "select * from (values (1::bigint, 'hello'), (2, ''), (3, 'world')) v(lineno, line)")(lambda t: files.lines_scan(t.spark, data="﻿hello\n\nworld\n"))
 query("readblob", "select r_regionkey, substr(r_name, 2, 2) as b from region")(lambda t: t.region.select("r_regionkey", files.readblob(C("r_name").cast("binary"), 1, 2).cast("string").alias("b")))
-query("lsmode", "select 'drwxr-xr-x' as a, '-rw-r--r--' as b")(lambda t: t.region.limit(1).select(S.lsmode(F.lit(0o040755)).alias("a"), S.lsmode(F.lit(0o100644)).alias("b")))
+query("lsmode", f"select p_partkey, case when p_partkey % 5 = 0 then 'd' else '-' end || " + " || ".join(f"case when (p_partkey % 512) & {1 << (8 - i)} <> 0 then '{'rwx'[i % 3]}' else '-' end" for i in range(9)) + " as m from part")(lambda t: t.part.select("p_partkey", S.lsmode((F.when(C("p_partkey") % 5 == 0, 0o040000).otherwise(0o100000) + C("p_partkey") % 512).cast("int")).alias("m")))
 query("fsdir")(lambda t: files.fsdir(t.spark, f"{t.sf_dir}/region.parquet").select("level", "size"))
 
+
+
+# --- files of the shared folder ------------------------------------------
+def _folder(t, name: str) -> str:
+    """A new place that all executors see; on a single machine without one, a temporary folder."""
+    at = t.spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return f"{at.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    if not t.spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, made, True)
+    return f"{made}/{name}"
+
+
+@query("csv_file", "select p_partkey, p_name, p_retailprice, p_size from part")
+def csv_file(t):
+    """A delimited file is scanned by its schema."""
+    path = _folder(t, "csv")
+    t.part.select("p_partkey", "p_name", "p_retailprice", "p_size").write.option("sep", ";").option("header", True).csv(path)
+    d = files.csv_scan(t.spark, filename=path, header=True, comma=";", schema="p_partkey INTEGER, p_name TEXT, p_retailprice REAL, p_size INTEGER")
+    return d.select(*[C(n).cast(t.part.schema[n].dataType) for n in d.columns])
+
+
+@query("csv_join", "select n.n_name, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey")
+def csv_join(t):
+    """A table under a name of its own that reads a file, joined with another."""
+    path = _folder(t, "csv")
+    t.region.select("r_regionkey", "r_name").write.csv(path)
+    files.csv_table(t.spark, "csv_region", filename=path, schema="r_regionkey INTEGER, r_name TEXT")
+    t.nation.createOrReplaceTempView("nation")
+    return t.spark.sql("select n.n_name, r.r_name from nation n join csv_region r on n.n_regionkey = r.r_regionkey")
+
+
+@query("lines_file", "select row_number() over (order by n_nationkey) as lineno, n_name as line from nation")
+def lines_file(t):
+    path = _folder(t, "lines")
+    t.nation.orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    return files.lines_scan(t.spark, filename=path)
+
+
+@query("vacuum_into", "select 'nation' as tbl, count(*) as n from nation union all select 'region', count(*) from region")
+def vacuum_into(t):
+    """A compact copy of tables elsewhere."""
+    path = _folder(t, "vacuum")
+    files.vacuum_into({n: t[n] for n in ("nation", "region")}, path)
+    both = [t.spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("tbl"), "n") for n in ("nation", "region")]
+    return both[0].union(both[1])
+
+
+# --- clocks, names in SQL, more of money and text ------------------------
+query("now", "select r_regionkey, true as near, true as utc, true as text from region")(lambda t: t.region.select("r_regionkey", (F.abs(F.unix_seconds(F.current_timestamp()) - S.time_unix(S.time_now())) < 60).alias("near"), (F.abs(S.time_diff(S.now_as("utc"), S.now_as("utc"))) < 1).alias("utc"), S.time_now().rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}Z$").alias("text")))
+over("time_unix", "orders", "o_orderkey", {"u": "epoch(o_orderdate)::bigint", "f": "strftime(o_orderdate::timestamp, '%Y-%m-%dT%H:%M:%SZ')"}, u=lambda: S.time_unix(C("o_orderdate")), f=lambda: S.time_from_unix(S.time_unix(C("o_orderdate"))))
+over("money_add_sub", "part", "p_partkey", {"a": "(p_retailprice::decimal(18,2) + 1.25)::decimal(18,2)::varchar", "b": "(p_retailprice::decimal(18,2) - 2000)::decimal(18,2)::varchar"}, a=lambda: S.money_add(C("p_retailprice"), F.lit("1.25")), b=lambda: S.money_sub(C("p_retailprice"), F.lit(2000)))
+over("like_unicode", "documents", "doc_id", {"a": "regexp_matches(text, '(?is)^.*été.*$')", "b": "regexp_matches(text, '(?is)^.he%?.*$') and regexp_matches(text, '(?is)^.he')"}, a=lambda: S.like_unicode(C("text"), "%ÉTÉ%"), b=lambda: S.like_unicode(C("text"), "_HE%"))
+over("glob_prefix", "part", "p_partkey", {"a": "starts_with(p_brand, 'Brand#1') and regexp_matches(p_brand, '^Brand#1[0-3]')"}, a=lambda: S.prefix_rlike(C("p_brand"), "^Brand#1[0-3]"))
+over("jsonb", "events", "event_id", {"k": "(props ->> '$.k')::bigint", "e": "'[' || event_id || ']'"}, k=lambda: F.try_variant_get(F.parse_json("props"), "$.k", "bigint"), e=lambda: F.to_json(F.parse_json(F.concat(F.lit("[ "), C("event_id").cast("string"), F.lit(" ]")))))
+
+
+class _Span:
+    """Largest less smallest."""
+
+    def __init__(self):
+        self.low = self.high = None
+
+    def step(self, x):
+        self.low = x if self.low is None else min(self.low, x)
+        self.high = x if self.high is None else max(self.high, x)
+
+    def done(self):
+        return None if self.low is None else self.high - self.low
+
+
+class _Running:
+    """A sum that rows can leave again."""
+
+    def __init__(self):
+        self.total = 0.0
+
+    def step(self, x):
+        self.total += x
+
+    def inverse(self, x):
+        self.total -= x
+
+    def value(self):
+        return self.total
+
+
+@query("register", "select n_nationkey, upper(n_name) || '!' as a, (length(n_name) = 5)::bigint as same, '3.50' as m, true as b from nation")
+def register(t):
+    """Functions by name in SQL: one's own, and the library's."""
+    R.register_all(t.spark)
+    R.register_function(t.spark, "shout", lambda s: None if s is None else s.upper() + "!", "string")
+    t.nation.createOrReplaceTempView("nation")
+    return t.spark.sql("select n_nationkey, shout(n_name) as a, cast(damerau_levenshtein(n_name, '') = 5 as bigint) as same, money_add('1.25', '2.25') as m, like_unicode(n_name, n_name) as b from nation")
+
+
+@query("register_aggregate", "select o_orderstatus, round(max(o_totalprice) - min(o_totalprice), 2) as r from orders group by 1")
+def register_aggregate(t):
+    R.register_aggregate(t.spark, "span_of", _Span, "double")
+    t.orders.createOrReplaceTempView("orders")
+    return t.spark.sql("select o_orderstatus, round(span_of(o_totalprice), 2) as r from orders group by o_orderstatus")
+
+
+@query("register_window", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as s from orders")
+def register_window(t):
+    R.register_window(t.spark, "running_total", _Running, "double")
+    t.orders.createOrReplaceTempView("orders")
+    return t.spark.sql("select o_orderkey, round(running_total(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as s from orders")
+
+
+@query("user_collation", "select p_partkey, row_number() over (order by length(p_name), p_name desc, p_partkey) as r from part order by 2 limit 50")
+def user_collation(t):
+    """The first fifty in an order of one's own: by length, then backwards."""
+    d = R.order_by_key(t.part, "p_name", lambda s: (len(s), [-ord(c) for c in s] + [1]), "struct<n: int, s: array<int>>", then=["p_partkey"]).limit(50)
+    return d.select("p_partkey", (F.monotonically_increasing_id() + 1).alias("r"))
+
+
+query("locale_collation")(lambda t: t.nation.orderBy(R.collated(C("n_name"), "sv"), "n_nationkey").select("n_nationkey"))

@@ -32,8 +32,11 @@ def _bits(t: Tables) -> DataFrame:
     return b.join(F.broadcast(q)).select("vec_id", V.distance(C("s"), C("q"), "hamming").alias("distance"))
 
 
-query("knn_batch", f"with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id < 20) select query_id, vec_id, round({_L['l2']}, 6) as distance from embeddings e, q qualify row_number() over (partition by query_id order by {_L['l2']}, vec_id) <= 5")(lambda t: V.knn_batch(t.embeddings, "embedding", "vec_id", t.embeddings.where("vec_id < 20").select(C("vec_id").alias("query_id"), C("embedding").alias("query")), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance")))
-query("vec_funcs", "select vec_id, len(embedding)::bigint as n, round(list_sum([x::double * x for x in embedding]) / list_sum([x::double * x for x in embedding]), 6) as unit, round(embedding[3]::double, 6) as third from embeddings")(lambda t: t.embeddings.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(V._sum(F.transform(V.normalize(C("embedding")), lambda x: x * x)), 6).alias("unit"), F.round(V.vec_slice(C("embedding"), 2, 3)[0].cast("double"), 6).alias("third")))
+query("knn_batch", f"with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 100 = 0) select query_id, vec_id, round({_L['l2']}, 6) as distance from embeddings e, q qualify row_number() over (partition by query_id order by {_L['l2']}, vec_id) <= 5")(lambda t: V.knn_batch(t.embeddings, "embedding", "vec_id", t.embeddings.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("query")), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance")))
+query("vec_funcs", "select vec_id, len(embedding)::bigint as n, round(embedding[2]::double / sqrt(list_sum([x::double * x for x in embedding])), 6) as unit, round(embedding[3]::double, 6) as third, round(embedding[1]::double + embedding[64]::double, 6) as added, 0.0::double as gone from embeddings")(lambda t: t.embeddings.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(V.normalize(C("embedding"))[1], 6).alias("unit"), F.round(V.vec_slice(C("embedding"), 2, 3)[0].cast("double"), 6).alias("third"), F.round(V.vec_add(C("embedding"), F.reverse("embedding"))[0], 6).alias("added"), F.array_max(V.vec_sub(C("embedding"), C("embedding"))).alias("gone")))
+query("vec_encode", "select vec_id, round(embedding[7]::double, 5) as j, embedding[7]::double as b, 256::bigint as n from embeddings")(lambda t: t.embeddings.select("vec_id", F.round(V.from_json(V.encode(C("embedding")))[6].cast("double"), 5).alias("j"), V.from_f32_blob(V.encode(C("embedding"), "binary"))[6].cast("double").alias("b"), F.octet_length(V.to_f32_blob(C("embedding"))).cast("long").alias("n")))
+query("vec_joined", f"with q as (select embedding::double[] as v from embeddings where vec_id = 0), k as (select vec_id from embeddings e, q order by {_L['l2']}, vec_id limit 10) select vec_id, o_totalprice from k join orders on vec_id = o_orderkey")(lambda t: V.knn_joined(t.embeddings, "embedding", "vec_id", _first(t), 10, join=(t.orders, "o_orderkey"), select=["vec_id", "o_totalprice"], order=["o_totalprice"]))
+query("vec_partition", f"with q as (select embedding::double[] as v from embeddings where vec_id = 0) select label, vec_id from embeddings e, q qualify row_number() over (partition by label order by {_L['l2']}, vec_id) <= 3")(lambda t: V.knn_by_partition(t.embeddings, "embedding", "vec_id", "label", _first(t), 3).select("label", "vec_id"))
 query("vec_quantize", "select vec_id, greatest(-128, least(127, floor((embedding[1]::double + 1) / (2.0::double / 255) + 0.5)::int - 128)) as q from embeddings")(lambda t: t.embeddings.select("vec_id", V.quantize_int8(C("embedding"))[0].alias("q")))
 query("vec_each", "select vec_id, count(*) as n, round(sum(x::double), 5) as s from (select vec_id, unnest(embedding) as x from embeddings) group by 1")(lambda t: t.embeddings.select("vec_id", F.posexplode("embedding")).groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum(C("col").cast("double")), 5).alias("s")))
 query("search_join", f"with q as (select embedding::double[] as v from embeddings where vec_id = 0), k as (select vec_id, label from embeddings e, q order by {_L['l2']}, vec_id limit 10) select k.vec_id, r_name from k join region on k.label % 5 = r_regionkey")(lambda t: V.knn(t.embeddings, "embedding", "vec_id", _first(t), 10).join(t.region, C("label") % 5 == C("r_regionkey")).select("vec_id", "r_name"))
@@ -132,12 +135,12 @@ _R = "row_number() over (order by value, event_id)"
 def _rrf(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    a = t.events.where("event_type = 'click' and value < 20").select(C("user_id").alias("key"), F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")).alias("rank"))
-    b = t.events.where("event_type = 'view' and value < 20").select(C("user_id").alias("key"), F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")).alias("rank"))
+    a = t.events.where("event_type = 'click'").select(C("user_id").alias("key"), F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")).alias("rank"))
+    b = t.events.where("event_type = 'view'").select(C("user_id").alias("key"), F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")).alias("rank"))
     return X.rrf([a, b], [1.0, 0.5]).select("key", F.round("score", 8).alias("score"))
 
 
-query("rrf", f"with a as (select user_id as key, {_R} as r, 1.0 as w from events where event_type = 'click' and value < 20 union all select user_id, {_R}, 0.5 from events where event_type = 'view' and value < 20) select key, round(sum(w::double / (60 + r)), 8) as score from a group by 1")(_rrf)
+query("rrf", f"with a as (select user_id as key, {_R} as r, 1.0 as w from events where event_type = 'click' union all select user_id, {_R}, 0.5 from events where event_type = 'view') select key, round(sum(w::double / (60 + r)), 8) as score from a group by 1")(_rrf)
 
 
 def _boxes(t: Tables) -> DataFrame:
@@ -149,13 +152,19 @@ query("rtree_search", "select o_orderkey from orders where o_totalprice + 100 >=
 query("rtree_circle", "select o_orderkey from (select o_orderkey, 50000.0 - greatest(o_totalprice, least(o_totalprice + 100, 50000.0)) as dx, 500.0 - greatest(o_custkey, least(o_custkey + 5, 500.0)) as dy from orders) where dx * dx + dy * dy <= 4000000")(lambda t: X.box_circle(_boxes(t), _D, [50000.0, 500.0], 2000.0).select("o_orderkey"))
 
 
-@query("bloom", "select count(*) as n from part where p_partkey % 2 = 0")
+@query("bloom", "select true as all_members, true as few_others")
 def bloom(t: Tables) -> DataFrame:
-    """Every member is found; what else passes is left out by the exact join that follows."""
+    """Every member is found, and of the other words no more than three times the rate asked for."""
     words = t.part.select("p_partkey", F.concat_ws("-", "p_brand", C("p_partkey").cast("string")).alias("word"))
-    members = words.where("p_partkey % 2 = 0")
-    hit = B.bloom_contains(B.bloom_build(members, "word", 100_000), words, "word", 100_000)
-    return hit.join(members.select("word"), "word", "left_semi").agg(F.count("*").alias("n"))
+    n = 200_000
+    hit = B.bloom_contains(B.bloom_build(words.where("p_partkey % 2 = 0"), "word", n), words, "word", n)
+    count = lambda d, what: d.where(what).agg(F.count("*").alias("n"))
+    found, there, wrong, other = count(hit, "p_partkey % 2 = 0"), count(words, "p_partkey % 2 = 0"), count(hit, "p_partkey % 2 = 1"), count(words, "p_partkey % 2 = 1")
+    row = found.toDF("a").crossJoin(there.toDF("b")).crossJoin(wrong.toDF("c")).crossJoin(other.toDF("d"))  # four counts
+    return row.select((C("a") == C("b")).alias("all_members"), (C("c") <= 0.03 * C("d") + 3).alias("few_others"))
+
+
+query("rtree_custom", "select o_orderkey from orders where o_totalprice + 100 - o_custkey > 50000 and (o_custkey + 5) * 100 < o_totalprice")(lambda t: X.box_custom(_boxes(t), _D, lambda x, y: (x[1] - y[0] > 50000) & (y[1] * 100 < x[0])).select("o_orderkey"))
 
 
 @query("spellfix")

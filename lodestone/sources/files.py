@@ -60,6 +60,17 @@ def csv_scan(spark: SparkSession, filename: str | None = None, data: str | None
     return df.select(*typed)
 
 
+def csv_table(spark: SparkSession, name: str, **options) -> None:
+    """A table `name` of the session that reads delimited text, by the options of `csv_scan`."""
+    csv_scan(spark, **options).createOrReplaceTempView(name)
+
+
+def vacuum_into(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes a compact copy of each table below `path`, which must be new."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
 def lines_scan(spark: SparkSession, filename: str | None = None, data: str | None = None) -> DataFrame:
     """(lineno, line) from 1; a byte-order mark is left out; an empty input has no lines."""
     if (filename is None) == (data is None):
