@@ -32,10 +32,10 @@ class KneserNey:
     the backoffs on the way, so nothing else needs to be kept.
     """
 
-    def __init__(self, counted: dict[str, tuple[float, float]], order: int = 6, shared: int = 2, discount: float = 0.75):
+    def __init__(self, counted: dict[str, tuple[float, float]] | Iterator[tuple[str, tuple[float, float]]], order: int = 6, shared: int = 2, discount: float = 0.75):
         self.order, self.shared, self.discount = order, shared, discount
         raw: list[dict[int, dict[str, float]]] = [{k: defaultdict(float) for k in range(1, order + 1)} for _ in (0, 1)]
-        for word, both in counted.items():
+        for word, both in counted.items() if isinstance(counted, dict) else counted:
             w = f"\x02{word}\x03"
             grams = [w[max(0, i - order + 1) : i + 1] for i in range(1, len(w))]
             for c in (0, 1):
@@ -93,6 +93,7 @@ class KneserNey:
             low = known.get(g[1:]) or (self.prob(g[1:], 0), self.prob(g[1:], 1))
             both = known[g] = (self.prob(g, 0, low[0]), self.prob(g, 1, low[1]))
             ratios[g] = math.log(both[1]) - math.log(both[0])
+        del known
         backoff: dict[str, float] = {}
         for h in self.history[0].keys() | self.history[1].keys():
             t = [self.discount * s[1] / s[0] if (s := self.history[c].get(h)) else 1.0 for c in (0, 1)]
@@ -184,20 +185,33 @@ def sample(docs: DataFrame, labels: DataFrame, fit_chars: int) -> DataFrame:
     return table(t.select("y", fold.alias("fold"), F.coalesce("_t", F.lit("")).alias("t")), "toxic-sample")
 
 
+def iter_spent(d: dict) -> Iterator[tuple]:
+    """The items of a dictionary, which is empty afterwards."""
+    while d:
+        yield d.popitem()
+
+
 def fit(t: DataFrame) -> tuple[Ratios, np.ndarray, np.ndarray, np.ndarray]:
     """The model and the weights that turn its features into a score, from a sample (y, fold, t).
 
     Each of `FOLDS` parts of the sample is scored by a model of the others, and a
     logistic regression on these features sets the weights.
     """
-    counted = t.select("y", "fold", F.explode(words(ascii_lower(F.col("t")))).alias("w")).groupBy("y", "fold", "w").count().collect()
+    counted = t.select("y", "fold", F.explode(words(ascii_lower(F.col("t")))).alias("w")).groupBy("y", "fold", "w").count().toArrow()
+    column = counted["w"].combine_chunks().dictionary_encode()
+    names = column.dictionary.to_pylist()
+    sums = np.zeros((FOLDS, 2, len(names)), np.float32)  # the driver holds a number for each word, class and part of a bounded sample
+    np.add.at(sums, (counted["fold"].to_numpy(), counted["y"].to_numpy(), column.indices.to_numpy()), counted["count"].to_numpy())
+    del counted, column
 
     def model(without: int | None) -> Ratios:
-        sums: dict[str, list[float]] = {}
-        for r in counted:
-            if r.fold != without:
-                sums.setdefault(r.w.strip(_MARKS), [0.0, 0.0])[r.y] += r["count"]
-        return KneserNey(sums).compiled()
+        both = sums.sum(axis=0) - (0 if without is None else sums[without])
+        plain: dict[str, list[float]] = {}
+        for w, a, b in zip(names, both[0].tolist(), both[1].tolist(), strict=True):
+            if a or b:
+                n = plain.setdefault(w.strip(_MARKS), [0.0, 0.0])
+                n[0], n[1] = n[0] + a, n[1] + b
+        return KneserNey(iter_spent(plain)).compiled()
 
     parts = []
     for k in range(FOLDS):  # one model at a time bounds the driver's memory
@@ -210,7 +224,6 @@ def fit(t: DataFrame) -> tuple[Ratios, np.ndarray, np.ndarray, np.ndarray]:
         parts.append(t.where(F.col("fold") == k).mapInPandas(features, ", ".join(f"{c} double" for c in ("y", *FEATURES))).toPandas())
         shared.destroy()
     f, whole = pd.concat(parts), model(None)
-    del counted
     x, y = f[list(FEATURES)].to_numpy(float), f["y"].to_numpy(float)
     if not len(x) or y.min() == y.max():
         return whole, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.r_[np.zeros(len(FEATURES)), -3.0]
