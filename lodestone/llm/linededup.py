@@ -2,209 +2,357 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, let, release, table, word_count
+from .common import forget, fresh, py_words, release, ship, table
 
 #: A line ends after a line feed or a sentence, and, since passages are also set into running
 #: lines, after words with some last letters: about each fifth word. White space after an end is the line's.
 ENDS = ("\n", ". ", "! ", "? ", "d ", "h ", "l ", "m ")
-_ENDED = r"(?<=\n|[.!?dhlm]\x20)(?![\n\x20])"
+_ENDED = re.compile(r"(?:\n|[.!?dhlm]\x20)(?![\n\x20])")
 _MARK = "\x01"
 _LONG = 80  # characters from which a line is cut at words by their hash, whatever their letters
 _EVERY = 3  # words between such cuts, on average
-
-
-def _pieces(line: Column) -> Column:
-    """A long line cut after the words whose hash says so; after the last one it ends anyway."""
-
-    def cut(words: Column, gap: str) -> Column:
-        marked = F.transform(words, lambda w, i: F.when((i > 0) & (F.pmod(F.xxhash64(F.get(words, i - 1)), F.lit(_EVERY)) == 0), F.concat(F.lit(_MARK), w)).otherwise(w))
-        return F.filter(F.split(F.array_join(marked, gap), _MARK, -1), lambda x: x != "")
-
-    other = F.rlike(line, F.lit(r"[\x09-\x0D]."))
-    cuts = F.when(other, let(F.split(line, r"(?<=[\x20\x09-\x0D])"), lambda w: cut(w, ""))).otherwise(let(F.split(line, " ", -1), lambda w: cut(w, " ")))
-    return F.when(F.instr(line, _MARK) > 0, F.array(line)).otherwise(cuts)
-
-
-def lines(text: Column) -> Column:
-    """The lines of a text, long ones in pieces; joined, they are the text.
-
-    A mark is put after each end and the text split there, which takes less time than
-    splitting at a pattern; texts that hold the mark itself are split by one.
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
+_BLANK = " \t\n\r\x0b\x0c"
+_PART = 6_000_000  # characters of the documents that are sent as one part
+_HOT = 50_000  # occurrences of a chunk that are compared in one task
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pieces(line: str) -> list[str]:
+    """A long line cut after the words whose hash says so."""
+    out, at, end = [], 0, 0
+    for m in _TOKEN.finditer(line):
+        end = m.end()
+        if zlib.crc32(m[0].rstrip(_BLANK).encode("utf-8", "surrogatepass")) % _EVERY == 0:
+            out.append(line[at:end])
+            at = end
+    return out if at == len(line) else [*out, line[at:]]
+
+
+def lines(text: str | None) -> list[str]:
+    """The lines of a text, long ones in pieces; joined, they are the text."""
+    if not text:
+        return []
+    if _MARK in text:
+        ends = [0, *(m.end() for m in _ENDED.finditer(text)), len(text)]
+        cut = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    else:
+        for end in ENDS:
+            text = text.replace(end, end + _MARK)
+        cut = text.replace(_MARK + "\n", "\n").replace(_MARK + " ", " ").split(_MARK)
+    out: list[str] = []
+    for u in cut:
+        if len(u) > _LONG:
+            out += _pieces(u)
+        elif u:
+            out.append(u)
+    return out
+
+
+def _hash(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+
+
+class Chunks:
+    """Chunks of the lines of some documents: `start` and `end` among all lines, `doc`, `k` within it, `hash`; `several` tells which have two lines or more.
+
+    A chunk starts where the rolling hash of two lines on end falls, and where a
+    paragraph starts, if it is not a line away from the next. A boundary depends on
+    three lines at most, so chunks inside a repeated passage are alike whatever
+    stands around it; of n values on end, all but 1 / n! of cases have a fall.
     """
-    t = F.coalesce(text, F.lit(""))
-    marked = t
-    for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    for gap in "\n ":
-        marked = F.replace(marked, F.lit(_MARK + gap), F.lit(gap))
-    cut = F.when(F.instr(t, _MARK) > 0, F.split(t, _ENDED, -1)).otherwise(F.split(marked, _MARK, -1))
-    return F.flatten(F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.when(F.length(x) > _LONG, _pieces(x)).otherwise(F.array(x))))
 
+    def __init__(self, h: np.ndarray, fed: np.ndarray, sizes: np.ndarray):
+        n, first = len(h), np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]
+        before = np.r_[np.uint64(0), h[:-1]] if n else h
+        before[first] = 0
+        rolled = (before * _P) ^ h
+        rolled ^= rolled >> np.uint64(31)
+        rolled *= _Q
+        begins = np.zeros(n, bool)
+        if n:
+            begins[1:] = (rolled[1:] < rolled[:-1]) | (fed[:-1] & ~fed[1:])
+            begins[first] = True
+        self.start = np.flatnonzero(begins)
+        self.end = np.r_[self.start[1:], n] if n else self.start
+        self.several = self.end - self.start > 1
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)[self.start] if n else self.start
+        self.k = np.arange(len(self.start)) - np.searchsorted(self.start, np.r_[0, np.cumsum(sizes)[:-1]])[self.doc] if n else self.start
+        place = np.arange(n) - np.repeat(self.start, self.end - self.start)
+        factor = np.cumprod(np.full(int(place.max(initial=0)) + 1, _Q), dtype=np.uint64)
+        x = np.add.reduceat((h ^ (h >> np.uint64(29))) * factor[place], self.start) if n else h
+        x ^= x >> np.uint64(32)
+        self.hash = x * _P
 
-def plain(line: Column) -> Column:
-    """A line without what separates it from others: line ends, and blanks at either end."""
-    return F.trim(F.replace(F.replace(line, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit("")))
 
+def _parsed(text: str | None) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """Lines, lines without the blanks and line ends around them, their hashes, and which end with a line feed."""
+    us = lines(text)
+    plain = [u.strip(_BLANK) for u in us]
+    return us, plain, np.fromiter(map(_hash, plain), np.uint64, len(us)), np.fromiter((u[-1] == "\n" for u in us), bool, len(us))
 
-def boundaries(h: Column, fed: Column) -> Column:
-    """Places in the array `h` of line hashes where a chunk starts: where the rolling hash of two lines on end falls, and after a line feed, which `fed` tells for each line, if the next one is not a line away.
-
-    A boundary depends on three lines at most, so chunks inside a repeated passage
-    are alike whatever stands around it. Of k values on end, all but 1 / k! of
-    cases have a fall: chunks are short, two lines on average.
-    """
-    rolled = F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x))
-    starts = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (F.get(fed, i - 1) & ~F.get(fed, i)) | (F.get(r, i) < F.get(r, i - 1)))
-    return F.when(F.size(h) > 0, let(rolled, starts)).otherwise(F.expr("cast(array() as array<int>)"))
 
+_ROW = "kind int, part long, bucket int, a binary, b binary, c binary, d binary"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_DOCS, _PLACES, _ASK, _GOT = range(4)
+_WANT = np.dtype([("k", "<u4"), ("salts", "<u4"), ("first", "u1")])
 
-def _parsed(text: Column, body) -> Column:
-    """`body(lines without what separates them, their hashes, chunk starts)` of a text, each made once."""
-    fed = lambda us: F.transform(us, lambda x: x.endswith("\n"))
-    starts = lambda us, u: let(F.transform(u, lambda x: F.xxhash64(x)), lambda h: let(let(fed(us), lambda f: boundaries(h, f)), lambda st: body(u, h, st)))
-    return let(lines(text), lambda us: let(F.transform(us, plain), lambda u: starts(us, u)))
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES)
 
-def end_of(starts: Column, k: Column, n: Column) -> Column:
-    """Where chunk `k` of those with these starts, over `n` lines, ends."""
-    return F.coalesce(F.get(starts, k + 1), n)
 
+def _read(blobs, kind: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[np.frombuffer(b, kind) for b in blobs]])
 
-def chunks(text: Column) -> Column:
-    """(k, ch) of each chunk of several lines: its place among all chunks and its hash."""
 
-    def of(h: Column, starts: Column) -> Column:
-        def one(s: Column, k: Column) -> Column:
-            n = end_of(starts, k, F.size(h)) - s
-            return F.when(n > 1, F.struct(k.alias("k"), F.xxhash64(F.slice(h, s + 1, n)).alias("ch")))
+def _deal(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    by = np.argsort(bucket, kind="stable")
+    b = bucket[by]
+    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+    return [(int(b[i]), by[i:j]) for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True)]
 
-        return F.filter(F.transform(starts, one), lambda x: x.isNotNull())
 
-    return _parsed(text, lambda u, h, starts: of(h, starts))
+def repeated(d: DataFrame, n_buckets: int) -> DataFrame:
+    """(_rid, want): which chunks of several lines of the documents (_rid, _id, _t) occur more than once, how many tasks compare them, and which are first.
 
+    Documents form parts of `_PART` characters. A part sends each chunk hash once,
+    with its first place and its number of occurrences, to a bucket, which answers
+    what is repeated; the part finds the places again.
+    """
 
-def pieces(text: Column, wanted: Column) -> Column:
-    """Lines to compare, as structs (key, k, side, at, x): of each of the chunks `wanted` and of what is beside it at the ends of a run of them.
+    def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, chars, rows = TaskContext.get().partitionId() << 32, 0, []
+        for df in it:
+            for rid, key, text in zip(df["_rid"], df["_id"], df["_t"], strict=True):
+                rows.append((rid, key, *_parsed(text)[2:]))
+                chars += len(text or "") + 64
+                if chars >= _PART:
+                    yield of(part, rows)
+                    part, chars, rows = part + 1, 0, []
+        if rows:
+            yield of(part, rows)
+
+    def of(part: int, rows: list[tuple]) -> pd.DataFrame:
+        rid, key, h, fed = zip(*rows, strict=True)
+        c = Chunks(np.concatenate(h), np.concatenate(fed), np.array([len(x) for x in h]))
+        key = np.array(key, "<i8")
+        ch, doc, k = c.hash[c.several], c.doc[c.several], c.k[c.several]
+        by = np.lexsort((k, key[doc], ch))
+        ch, doc, k = ch[by], doc[by], k[by]
+        first = np.flatnonzero(np.r_[True, ch[1:] != ch[:-1]]) if len(ch) else np.empty(0, np.int64)
+        n = np.diff(np.r_[first, len(ch)])
+        out = [(_DOCS, part, part % n_buckets, np.array(rid, "<i8").tobytes(), key.tobytes(), b"", b""), (_PLACES, part, part % n_buckets, ch.astype("<u8").tobytes(), doc.astype("<u4").tobytes(), k.astype("<u4").tobytes(), b"")]
+        for b, at in _deal((ch[first] % np.uint64(n_buckets)).astype(np.int64)):
+            i = first[at]
+            out.append((_ASK, part, b, ch[i].astype("<u8").tobytes(), key[doc[i]].tobytes(), k[i].astype("<u4").tobytes(), n[at].astype("<u4").tobytes()))
+        return _frame(out)
+
+    def answer(df: pd.DataFrame) -> pd.DataFrame:
+        asked = df[df.kind == _ASK]
+        out = [df[df.kind != _ASK]]
+        if len(asked):
+            ch, key, k, n = _read(asked.a, "<u8"), _read(asked.b, "<i8"), _read(asked.c, "<u4"), _read(asked.d, "<u4")
+            by = np.lexsort((k, key, ch))
+            first = np.flatnonzero(np.r_[True, ch[by][1:] != ch[by][:-1]])
+            group = np.empty(len(ch), np.int64)
+            group[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ch)]))
+            total = np.add.reduceat(n[by].astype(np.int64), first)
+            fkey, fk = key[by][first], k[by][first]
+            rows, upto = [], 0
+            for part, blob in zip(asked.part, asked.a, strict=True):
+                g = group[upto : upto + len(blob) // 8]
+                yes = np.flatnonzero(total[g] > 1)
+                mine, g = ch[upto:][yes], g[yes]
+                upto += len(blob) // 8
+                rows.append((_GOT, part, 0, mine.tobytes(), fkey[g].tobytes(), fk[g].tobytes(), (1 + total[g] // _HOT).astype("<u4").tobytes()))
+            out.append(_frame(rows))
+        return pd.concat(out)
+
+    def gather(df: pd.DataFrame) -> pd.DataFrame:
+        got, places, docs = (df[df.kind == x] for x in (_GOT, _PLACES, _DOCS))
+        ch, fkey, fk, salts = _read(got.a, "<u8"), _read(got.b, "<i8"), _read(got.c, "<u4"), _read(got.d, "<u4")
+        rid, key = _read(docs.a, "<i8"), _read(docs.b, "<i8")
+        mine, doc, k = _read(places.a, "<u8"), _read(places.b, "<u4"), _read(places.c, "<u4")
+        by = np.argsort(ch)
+        at = np.minimum(np.searchsorted(ch[by], mine), max(0, len(ch) - 1))
+        yes = np.flatnonzero(ch[by][at] == mine) if len(ch) else np.empty(0, np.int64)
+        at, doc, k = by[at[yes]] if len(ch) else yes, doc[yes], k[yes]
+        want = np.empty(len(k), _WANT)
+        want["k"], want["salts"], want["first"] = k, salts[at], (key[doc] == fkey[at]) & (k == fk[at])
+        order = np.lexsort((k, doc))
+        want, doc = want[order], doc[order]
+        cuts = np.searchsorted(doc, np.arange(len(rid) + 1))
+        has = np.flatnonzero(cuts[1:] > cuts[:-1])
+        return pd.DataFrame({"_rid": rid[has], "want": [want[cuts[i] : cuts[i + 1]].tobytes() for i in has]})
+
+    sent = d.mapInPandas(send, _ROW).groupBy("bucket").applyInPandas(answer, _ROW)
+    return sent.groupBy("part").applyInPandas(gather, "_rid long, want binary")
+
+
+_LINES = "bucket int, key binary, id binary, rid binary, k binary, side binary, at binary, n binary, x array<string>"
+_FIELDS = (("key", "<u8"), ("id", "<i8"), ("rid", "<i8"), ("k", "<u4"), ("side", "i1"), ("at", "<u4"), ("n", "<u4"))
+
+
+def sides(c: Chunks, h: np.ndarray, n: int, want: np.ndarray) -> Iterator[tuple]:
+    """What is compared, as (salts, first, key, k, side, at, from, to): each wanted chunk, and at the ends of a run of them the lines beside it.
 
     Side 0 is the chunk itself, under its hash, from line `at` on. Sides -1 and 1 are
-    the lines before it, last first, and after it, from line `at` away from the
-    chunk, under a hash of the chunk and the nearest line, so that only passages
-    that go on alike are compared. They reach to and over the next chunk of several
-    lines that isn't wanted, and one line more: no passage that begins or ends
-    there goes further, as boundaries from its third line on are its own.
+    the lines before it, taken backwards, and after it, from line `at` on, under a
+    hash of the chunk and the nearest line, so that only passages that go on alike
+    are compared. They reach over the next chunk of several lines, and before the
+    chunk one line more: no passage that begins or ends there goes further, as
+    boundaries from its third line on are its own.
     """
-    far = 8  # single lines between two chunks of several; more are met once in 8!
-
-    def of(u: Column, h: Column, st: Column, wanted: Column) -> Column:
-        n = F.size(u)
-        start, end = (lambda k: F.get(st, k)), (lambda k: end_of(st, k, n))
-        several = lambda k: end(k) - start(k) > 1
-        part = lambda x, a, b: F.slice(x, a + 1, F.greatest(b - a, F.lit(0)))
-        hash_of = lambda k: F.xxhash64(part(h, start(k), end(k)))
-
-        def row(k: Column, side: int, key: Column, at: Column, x: Column) -> Column:
-            return F.struct(key.alias("key"), k.alias("k"), F.lit(side).alias("side"), at.alias("at"), x.alias("x"))
-
-        def rows(k: Column) -> Column:
-            back = F.coalesce(*[F.when(several(k - j), F.greatest(start(k - j) - 1, F.lit(0))) for j in range(1, far)], F.coalesce(start(k - far), F.lit(0)))
-            ahead = F.coalesce(*[F.when(several(k + j), end(k + j)) for j in range(1, far)], F.coalesce(start(k + far), n))
-            before = F.when((start(k) > 0) & ~F.array_contains(wanted, k - 1), row(k, -1, F.xxhash64(hash_of(k), F.get(h, start(k) - 1), F.lit(-1)), start(k), F.reverse(part(u, back, start(k)))))
-            after = F.when((end(k) < n) & ~F.array_contains(wanted, k + 1), row(k, 1, F.xxhash64(hash_of(k), F.get(h, end(k)), F.lit(1)), end(k), part(u, end(k), ahead)))
-            return F.filter(F.array(row(k, 0, hash_of(k), start(k), part(u, start(k), end(k))), before, after), lambda x: x.isNotNull())
-
-        return F.flatten(F.transform(wanted, rows))
-
-    return let(wanted, lambda w: _parsed(text, lambda u, h, st: of(u, h, st, w)))
-
-
-def alike(x: Column, y: Column) -> Column:
-    """How many of their first lines two arrays share."""
-    both = F.zip_with(x, y, lambda a, b: a.eqNullSafe(b) & a.isNotNull())
-    return let(both, lambda same: F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int"))
-
-
-def joined(spans: Column) -> Column:
-    """Sorted spans (a, b), whose ends don't fall either, with those that meet made one."""
-
-    def meet(s: Column) -> Column:
-        begins = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["b"] < x["a"]))
-        ends = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["a"] > x["b"]))
-        return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
-
-    return let(F.array_sort(spans), meet)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30) -> DataFrame:
+    wanted, several = set(want["k"].tolist()), np.flatnonzero(c.several)
+    start, end, hashes = c.start.tolist(), c.end.tolist(), c.hash.tolist()
+    at = np.searchsorted(several, want["k"])
+    for k, salts, first, i in zip(want["k"].tolist(), want["salts"].tolist(), want["first"].tolist(), at.tolist(), strict=True):
+        s, e = start[k], end[k]
+        yield salts, first, hashes[k], k, 0, s, s, e
+        if s and k - 1 not in wanted:
+            back = max(start[several[i - 1]] - 1, 0) if i else 0
+            yield salts, first, (hashes[k] * 31 + int(h[s - 1]) * 17 + 1) % 2**64, k, -1, s, back, s
+        if e < n and k + 1 not in wanted:
+            ahead = end[several[i + 1]] if i + 1 < len(several) else n
+            yield salts, first, (hashes[k] * 37 + int(h[e]) * 19 + 2) % 2**64, k, 1, e, e, ahead
+
+
+def spans(near: DataFrame, n_buckets: int) -> DataFrame:
+    """(_rid, a, b): lines a to b (exclusive) of the documents (_rid, _id, _t, want) that an earlier place holds, byte for byte but for blanks around lines."""
+
+    def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            out: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+            for rid, key, text, want in zip(df["_rid"], df["_id"], df["_t"], df["want"], strict=True):
+                _, plain, h, fed = _parsed(text)
+                c = Chunks(h, fed, np.array([len(h)]))
+                for salts, first, code, k, side, at, a, b in sides(c, h, len(h), np.frombuffer(want, _WANT)):
+                    x = _MARK.join(plain[a:b] if side >= 0 else plain[a:b][::-1])
+                    for salt in range(salts) if first else (rid % salts,):  # a hot chunk's first place goes to all tasks that compare it
+                        rows, texts = out[(code + salt * 0x9E3779B97F4A7C15) % 2**64 % n_buckets]
+                        rows.append(((code + salt) % 2**64, key, rid, k, side, at, b - a))
+                        texts.append(x)
+            made = []
+            for bucket, (rows, texts) in out.items():
+                columns = zip(*rows, strict=True)
+                made.append((bucket, *[np.array(v, np.uint64 if f == "key" else np.int64).astype(kind).tobytes() for v, (f, kind) in zip(columns, _FIELDS, strict=True)], texts))
+            yield pd.DataFrame(made, columns=["bucket", *[f for f, _ in _FIELDS], "x"])
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        key, ident, rid, k, side, at, n = (_read(df[f], kind) for f, kind in _FIELDS)
+        x = [t for texts in df.x for t in texts]
+        by = np.lexsort((rid, k, ident, key))
+        cuts = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        sizes = np.diff(np.r_[cuts, len(by)])
+        who, a, b = [], [], []
+        for i, size in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            head = by[i]
+            first = x[head]
+            held = first.split(_MARK) if side[head] else None
+            for j in by[i + 1 : i + size]:
+                if rid[j] == rid[head] and k[j] == k[head]:
+                    continue  # a repeated row
+                if held is None:
+                    if x[j] != first:
+                        continue
+                    lo, hi = at[j], at[j] + n[j]
+                else:
+                    same = 0
+                    for p, q in zip(x[j].split(_MARK), held, strict=False):
+                        if p != q:
+                            break
+                        same += 1
+                    same = min(same, n[j])
+                    if not same:
+                        continue
+                    lo, hi = (at[j] - same, at[j]) if side[j] < 0 else (at[j], at[j] + same)
+                who.append(rid[j])
+                a.append(lo)
+                b.append(hi)
+        return pd.DataFrame({"_rid": np.array(who, np.int64), "a": np.array(a, np.int32), "b": np.array(b, np.int32)})
+
+    return near.mapInPandas(send, _LINES).groupBy("bucket").applyInPandas(compare, "_rid long, a int, b int")
+
+
+def without(text: str, cuts: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
+    """The text without the spans of its lines that have `min_words` words or more, and how many words went."""
+    us, merged = lines(text), []
+    for a, b in sorted(cuts):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    kept, upto, gone = [], 0, 0
+    for a, b in merged:
+        n = len(py_words("".join(us[a:b])))
+        if n >= min_words:
+            kept += us[upto:a]
+            upto, gone = b, gone + n
+    return "".join(kept + us[upto:]), gone
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, bucket_bytes: int = 6_000_000) -> DataFrame:
     """`docs` without passages of several lines that occur before, in the same or an earlier document.
 
     Lines end at line feeds, sentences and words with some last letters, and long
-    ones are cut at words by their hash (see `lines`). Where the rolling hash of two lines on end
-    falls, and where a paragraph starts, a chunk starts; so chunks follow the
-    content and not the place. Chunks of two lines or more whose hash occurs twice are compared with
-    their first occurrence, by document id and place, and where the lines are the
-    same bytes but for blanks and line ends around them, the later one goes. The
-    lines beside a run of repeated chunks are compared with those of the first
-    document that goes on alike from the same chunk, so that the parts of a passage
-    that form no whole chunk go too; where that document repeats more than this one
-    does they may stay. What goes in one piece has at least `min_words` words:
-    shorter repeats are phrases. One line over and over has no boundary: it is a
-    single chunk.
-
-    A key may be hot: occurrences are counted before the shuffle, and the first
-    ones, one a key, form a table of their own, so that its join with all is
-    one that adaptive execution can split.
+    ones are cut at words by their hash (see `lines`). Where the rolling hash of two
+    lines on end falls, and where a paragraph starts, a chunk starts; so chunks
+    follow the content and not the place (see `Chunks`). Chunks of two lines or more
+    whose hash occurs twice are compared with their first occurrence, by document id
+    and place, and where the lines are the same bytes but for blanks and line ends
+    around them, the later one goes. The lines beside a run of repeated chunks are
+    compared with those of the first document that goes on alike from the same
+    chunk, so that the parts of a passage that form no whole chunk go too; where
+    that document repeats more than this one does they may stay. What goes in one
+    piece has at least `min_words` words: shorter repeats are phrases. One line over
+    and over has no boundary: it is a single chunk.
+
+    Tasks hold parts and buckets of some MB, whatever the size of a scan partition
+    or a text's company: a part sends a chunk once, and a chunk of over `_HOT`
+    occurrences is compared by several tasks, each of which gets its first place.
 
     Adds removed_words (long) and changes `text_col`; a column of that name gives
-    way. A null text stays null; an empty text stays. Identical rows (id and text)
-    are one document: both keep or lose the same. Null ids come first. A document
-    that loses every word keeps its row with the words' rest, at most white space.
-    An empty table gives an empty result. Other columns pass.
+    way. Ids are integers. A null text stays null; an empty text stays. Identical
+    rows (id and text) are one document: both keep or lose the same. Null ids come
+    first. A document that loses every word keeps its row with the words' rest, at
+    most white space. An empty table gives an empty result. Other columns pass.
     """
+    ship(docs)
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "removed_words"])
     rid = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00")))
-    d = docs.select(F.col(id_col).alias("_id"), rid.alias("_rid"), F.col(text_col).alias("_t"))
-    found = table(d.select("_rid", F.explode(chunks(F.col("_t"))).alias("c")).select("_rid", "c.*"), "lines-chunks")
-    ends = [f(c).alias(f"{n}_{c}") for c in ("_rid", "k") for n, f in (("lo", F.min), ("hi", F.max))]
-    repeated = found.groupBy("ch").agg(*ends).where("lo__rid <> hi__rid or lo_k <> hi_k").select("ch")
-    by_doc = table(found.join(repeated.hint("shuffle_hash"), "ch").groupBy("_rid").agg(F.collect_set("k").alias("_w")), "lines-repeated")
-    forget(found)
-    release(spark)
-
-    near = d.join(by_doc.hint("shuffle_hash"), "_rid").select("_id", "_rid", F.explode(pieces(F.col("_t"), F.array_sort("_w"))).alias("c"))
-    near = table(near.select("_id", "_rid", "c.*"), "lines-near")
-    forget(by_doc)
+    d = docs.select(rid.alias("_rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
+    n_buckets = max(16, min(1 << 20, int(size) // bucket_bytes))
+    want = table(repeated(d, n_buckets).dropDuplicates(["_rid"]), "lines-repeated")
     release(spark)
-    place = F.struct("_id", "_rid", "k")
-    first = near.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("f._rid", "f.k", F.col("key").alias("_key"))
-    first = near.join(first, (near["_rid"] == first["_rid"]) & (near["k"] == first["k"]) & (near["key"] == first["_key"]), "left_semi").dropDuplicates(["key"])
-    first = table(first.select("key", F.col("_rid").alias("_first"), F.col("k").alias("_k"), F.col("x").alias("_x")), "lines-first")
-    n = alike(F.col("x"), F.col("_x"))
-    hit = near.join(first, "key").where("_rid <> _first or k <> _k").withColumn("n", n).where("n > 0 and (side <> 0 or (n = size(x) and n = size(_x)))")
-    spans = F.struct(F.when(F.col("side") < 0, F.col("at") - F.col("n")).otherwise(F.col("at")).alias("a"), F.when(F.col("side") < 0, F.col("at")).otherwise(F.col("at") + F.col("n")).alias("b"))
-    # lines beside a chunk go with it only
-    cuts = hit.select("_rid", spans.alias("s")).groupBy("_rid").agg(F.collect_set("s").alias("_s"))
+    cuts = spans(d.join(want, "_rid"), n_buckets)
     rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
-    cuts = table(cuts.select(F.col("_rid").alias(rid_col), joined(F.col("_s")).alias(cuts_col)), "lines-cuts")
-    forget(near, first)
+    cuts = cuts.groupBy("_rid").agg(F.collect_set(F.struct("a", "b")).alias("_s"))
+    cuts = table(cuts.select(F.col("_rid").alias(rid_col), F.col("_s").alias(cuts_col)), "lines-cuts")
+    forget(want)
     release(spark)
 
-    def without(us: Column) -> Column:
-        words = lambda x: word_count(F.array_join(F.slice(us, x["a"] + 1, x["b"] - x["a"]), ""))
-        counted = F.transform(F.col(cuts_col), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), words(x).alias("n")))
-
-        def cut(g: Column) -> Column:
-            upto = lambda i: F.coalesce(F.get(g, i)["a"], F.size(us))
-            kept = F.transform(F.sequence(F.lit(0), F.size(g)), lambda i: let(F.coalesce(F.get(g, i - 1)["b"], F.lit(0)), lambda b: F.array_join(F.slice(us, b + 1, upto(i) - b), "")))
-            return F.struct(F.array_join(kept, "").alias("t"), F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n"))
-
-        return let(F.filter(counted, lambda x: x["n"] >= min_words), cut)
+    @F.pandas_udf("t string, n long")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        done = [(None, 0) if t is None or s is None else without(t, [(x["a"], x["b"]) for x in s], min_words) for t, s in zip(texts, spans, strict=True)]
+        return pd.DataFrame(done, columns=["t", "n"])
 
-    out = docs.withColumn(rid_col, rid).join(cuts.hint("shuffle_hash"), rid_col, "left")
-    out = out.withColumn(done_col, F.when(F.col(cuts_col).isNotNull(), let(lines(F.col(text_col)), without)))
+    out = docs.withColumn(rid_col, rid).join(cuts, rid_col, "left")
+    out = out.withColumn(done_col, cut(F.when(F.col(cuts_col).isNotNull(), F.col(text_col)), F.col(cuts_col)))
     n = F.coalesce(F.col(done_col)["n"], F.lit(0)).cast("long")
     text = F.when(n > 0, F.col(done_col)["t"]).otherwise(F.col(text_col))
     return out.withColumn(text_col, text).withColumn("removed_words", n).drop(rid_col, cuts_col, done_col)

@@ -260,11 +260,10 @@ def test_long_lines_are_found(spark):
         assert len(run & left) <= 20 if later else run <= left
 
 
-def test_lines_join_to_the_text(spark):
-    texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", linededup.lines(linededup.F.col("t")).alias("u")).collect():
-        assert "".join(r.u) == r.t and all(r.u)
+def test_lines_join_to_the_text():
+    texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n", "mark \x01 held and. so on", "word " * 60, "x\ty\n" * 40]
+    for t in texts:
+        assert "".join(linededup.lines(t)) == t and all(linededup.lines(t))
 
 
 def test_pipeline(spark, sf):
