@@ -97,4 +97,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: smallest id reachable by the links (a, b), both ways
+_REACHED = "reached as (select i as id, i as c from ids union select l.b, r.c from reached r join (select a, b from links union all select b, a from links) l on l.a = r.id), components as (select id, min(c) as component_id from reached group by 1)"
+
+ORACLES: dict[str, str] = {
+    "op5_metric_range_join": f"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links as (
+  select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id < q.vec_id and len(p.x) = len(q.x) where list_cosine_similarity(p.x, q.x) >= 0.98
+), ids as (select vec_id as i from embeddings), {_REACHED}, n as (select id, count(*) as n_links from (select a as id from links union all select b from links) group by 1)
+select i as vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = i as kept from ids join components on components.id = i left join n on n.id = i""",
+    "op9_jaccard_join": f"""
+with recursive t as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[j:j + 4], ' ') for j in range(1, len(w) - 3)]) end as s from t
+), h as (select doc_id, unnest(s) as h from s), n as (select doc_id, len(s)::bigint as n from s), common as (
+  select p.doc_id as a, q.doc_id as b, count(*) as c from h p join h q on p.h = q.h and p.doc_id < q.doc_id group by 1, 2
+), links as (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+), ids as (select doc_id as i from documents), {_REACHED}
+select doc_id, n as n_shingles, component_id from n join components on components.id = doc_id""",
+}

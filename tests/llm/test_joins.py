@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
+import pytest
 
-from lodestone.llm import components, jaccard, metricjoin
+from lodestone.llm import components, jaccard, metricjoin, queries
 
 
 class Sets:
@@ -141,3 +143,15 @@ def test_metric_join_on_embeddings(spark, sf):
     want = brute_metric([(r.vec_id, r.embedding, r.label) for r in df.collect()])
     got = metricjoin.near_duplicates(df, cell_rows=50).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
