@@ -27,13 +27,15 @@ def range_links(
     label_col: str = "label",
     cosine: float = 0.98,
     cell_rows: int = 2000,
-    most_pivots: int = 2048,
+    pivot_bytes: int = 32_000_000,
     block: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between vectors of equal label with a cosine of at least `cosine`, without listing them.
 
-    Equal vectors of a label are one representative with a count. A bounded
-    number of vectors, chosen by hash, are pivots. A vector's home cell is that
+    Equal vectors of a label are one representative with a count. One vector in
+    `cell_rows`, chosen by hash, is a pivot, up to `pivot_bytes` of them, which is what
+    is broadcast: 62,500 of 64 components, enough for 125 million vectors; beyond
+    that cells grow, and with them the number of their blocks. A vector's home cell is that
     of its nearest pivot of its label. It is replicated to another cell only if
     the cell can hold a partner: on unit vectors, `cosine` is a distance of at
     most r = sqrt(2 - 2 * cosine); the triangle inequality asks for
@@ -61,17 +63,19 @@ def range_links(
     # norms can over- or underflow in the square; scaling by the largest component is harmless
     top = F.array_max(F.transform(F.col("x"), F.abs))
     good = good.withColumn("x", F.transform("x", lambda v: v / top))
-    reps = table(good.groupBy("label", "k").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x")), "metric-reps")
+    reps = table(good.groupBy("label", "k", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "metric-reps")
 
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
     total = reps.count()
-    want = max(1, min(most_pivots, total // cell_rows))
+    width = reps.agg(F.max(F.size("x"))).first()[0] or 1
+    want = max(1, min(pivot_bytes // (8 * width), total // cell_rows))
+    step = max(1, 4_000_000 // want)  # rows whose distances to all pivots are held at once
     chosen = reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(want).select("label", "x").collect()
     by_label: dict[str, np.ndarray] = {}
     for p in chosen:
         by_label.setdefault(p.label, []).append(p.x)
     pivots = {k: {len(p): _unit(np.array([q for q in v if len(q) == len(p)])) for p in v} for k, v in by_label.items()}
-    shared = spark.sparkContext.broadcast(pivots)  # at most `most_pivots` vectors
+    shared = spark.sparkContext.broadcast(pivots)  # at most `pivot_bytes`
 
     def distances(label: str, m: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         p = shared.value.get(label, {}).get(m.shape[1])
@@ -81,8 +85,10 @@ def range_links(
 
     def batches(it: Iterator[pd.DataFrame]):
         for df in it:
-            for (label, dim), part in df.groupby(["label", df.x.map(len)], sort=False):
-                yield label, dim, part, _unit(np.array(part.x.tolist(), np.float64))
+            for (label, dim), whole in df.groupby(["label", df.x.map(len)], sort=False):
+                for i in range(0, len(whole), step):
+                    part = whole.iloc[i : i + step]
+                    yield label, dim, part, _unit(np.array(part.x.tolist(), np.float64))
 
     def home(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for label, dim, part, m in batches(it):
@@ -154,7 +160,7 @@ def range_links(
     found = table(found, "metric-links")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("_l")).join(reps.select("rep", "n"), "rep")
     links = links.select("rep", (F.col("_l") + F.col("n") - 1).alias("n_links"))
-    members = good.select("label", "k", "id").join(reps.select("label", "k", "rep"), ["label", "k"]).select("id", "rep")
+    members = good.select("label", "k", "x", "id").join(reps.select("label", "k", "x", "rep"), ["label", "k", "x"]).select("id", "rep")
     return members.join(links, "rep"), found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
@@ -164,7 +170,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component_id is the smallest id reachable by links; kept tells whether it is
     the vector's own. Rows that take no part (see `range_links`) have no links
     and are their own component; a null id has a null component and is kept.
-    Repeated ids are vectors of their own that share a row's id: their links
+    Ids are integers. Repeated ids are vectors of their own that share a row's id: their links
     count each copy. An empty table gives an empty result; other columns are
     ignored.
     """

@@ -80,8 +80,8 @@ def mix_sources(
     source's size and the excess is reshared by weight. The mixture is cut into
     blocks of `block_words` words. Highest quotients give each source an
     integer quota of blocks, and then each shard of a source its part of that
-    quota. A shard holds about `shard_rows` documents, dealt by a hash of the
-    id, in the order of a seeded hash; its words form blocks, and a seeded
+    quota. A shard holds about `shard_rows` documents, dealt by a hash of id and
+    text, so that no id, null neither, is hot, in the order of a seeded hash; its words form blocks, and a seeded
     permutation of them says which are taken once more than the rest.
 
     Returns `id_col`, source, size, source_size, target, taken (long). A null
@@ -91,7 +91,7 @@ def mix_sources(
     split into shards, so no task gathers a source.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text"))
     d = table(d.withColumn("src_key", key), "mix-sizes")
     sources = d.groupBy("src_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     sources = source_targets(sources, weights, share, max_epochs)
@@ -99,11 +99,11 @@ def mix_sources(
     sources = sainte_lague(sources, ["_all"], "src_key", "target", "_seats", "_quota")
     sources = sources.withColumn("_shards", F.ceil(F.col("_n") / shard_rows).cast("long"))
     sources = table(sources.select("src_key", "source_size", "target", "_quota", "_shards"), "mix-sources")
-    d = d.join(sources, "src_key").withColumn("_shard", F.pmod(_hash(F.col("_id"), seed), F.col("_shards")))
+    d = d.join(sources, "src_key").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_id", "_text"), F.col("_shards")))
     shards = d.groupBy("src_key", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, ["src_key"], "_shard", "_words", "_quota", "_blocks")
     d = d.drop("_quota", "_shards").join(shards.select("src_key", "_shard", "_words", "_blocks"), ["src_key", "_shard"])
-    order = Window.partitionBy("src_key", "_shard").orderBy(_hash(F.col("_id"), seed + 1), "_id", "size")
+    order = Window.partitionBy("src_key", "_shard").orderBy(_hash(F.col("_id"), seed + 1), "_id", "_text", "size")
     d = d.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     size, start, n = F.col("size"), F.col("_end") - F.col("size"), F.greatest(F.ceil(F.col("_words") / block_words).cast("long"), F.lit(1))
     quota = F.least(F.col("_blocks"), n * max_epochs)
