@@ -2,67 +2,108 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, py_words, release, ship, table
-
-#: A line ends after a line feed or a sentence, and, since passages are also set into running
-#: lines, after words with some last letters: about each fifth word. White space after an end is the line's.
-ENDS = ("\n", ". ", "! ", "? ", "d ", "h ", "l ", "m ")
-_ENDED = re.compile(r"(?:\n|[.!?dhlm]\x20)(?![\n\x20])")
-_MARK = "\x01"
-_LONG = 80  # characters from which a line is cut at words by their hash, whatever their letters
-_EVERY = 3  # words between such cuts, on average
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
-_BLANK = " \t\n\r\x0b\x0c"
-_PART = 6_000_000  # characters of the documents that are sent as one part
+from .common import forget, fresh, release, ship, table
+
+#: A line ends with a gap that holds a line feed or follows the end of a sentence, and, since passages are
+#: also set into running lines, one after some last letters: about each fifth word. The gap is the line's.
+LAST = b".!?dhlm"
+BLANK = b" \t\n\r\x0b\x0c"
+_MARK = b"\x01"
+_LONG = 80  # bytes from which a line is cut at words by some of their bytes, whatever their last letter
+_EVERY = 2  # words between such cuts, on average
+_PART = 6_000_000  # bytes of the documents that are sent as one part
+_STEP = 2_000_000  # bytes that are parsed at once
 _HOT = 50_000  # occurrences of a chunk that are compared in one task
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_is_blank, _is_last = np.zeros(256, bool), np.zeros(256, bool)
+_is_blank[list(BLANK)] = _is_last[list(LAST)] = True
 
 
-def _pieces(line: str) -> list[str]:
-    """A long line cut after the words whose hash says so."""
-    out, at, end = [], 0, 0
-    for m in _TOKEN.finditer(line):
-        end = m.end()
-        if zlib.crc32(m[0].rstrip(_BLANK).encode("utf-8", "surrogatepass")) % _EVERY == 0:
-            out.append(line[at:end])
-            at = end
-    return out if at == len(line) else [*out, line[at:]]
+class Lines:
+    """The lines of some documents, given as UTF-8.
+
+    `data` holds the documents with a line feed after each, `base` where each
+    starts. Of all lines, in order: `start` (of the first word; the blanks before a
+    document's first line and after each line belong to it), `end` of the last
+    word, `fed`, whether a line feed follows, and `hash` of the bytes from start
+    to end; `first` has the first line of each document and the number of lines.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts) + b"\n"
+        x = np.frombuffer(self.data, np.uint8)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.base = np.r_[0, np.cumsum(size + 1)[:-1]]
+        word = ~_is_blank[x]
+        edge = np.flatnonzero(np.diff(np.r_[False, word, False]))
+        ws, we = edge[::2], edge[1::2]  # words
+        fed = np.add.reduceat(np.r_[x == 10, False].astype(np.int32), np.r_[we, len(x)])[:-1] > 0 if len(we) else np.zeros(0, bool)
+        ends = fed | _is_last[x[we - 1]]  # the line feed after a document ends its last line
+        first, last = self._lines(ends)
+        long_ = np.flatnonzero(we[last] - ws[first] > _LONG)
+        if len(long_):
+            inside = np.zeros(len(ws) + 1, np.int64)
+            np.add.at(inside, first[long_], 1)
+            np.add.at(inside, last[long_] + 1, -1)
+            w = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            a, z = ws[w], we[w]
+            mixed = x[a].astype(np.int64) * 131 + x[z - 1].astype(np.int64) * 31 + x[(a + z) // 2].astype(np.int64) * 17 + x[np.maximum(z - 2, a)].astype(np.int64) * 11 + (z - a) * 7
+            ends[w] |= (mixed * 0x9E3779B1 >> 12) % _EVERY == 0
+            first, last = self._lines(ends)
+        self.start, self.end, self.fed = ws[first], we[last], fed[last]
+        self.first = np.searchsorted(self.start, np.r_[self.base, len(x)])
+        n = np.diff(np.r_[self.start, len(x)]) if len(first) else np.zeros(0, np.int64)
+        self.hash = np.zeros(len(first), np.uint64)
+        if len(first):
+            lead = int(self.start[0])
+            place = np.arange(len(x) - lead) - np.repeat(self.start - lead, n)
+            powers = np.cumprod(np.full(int(n.max()) + 1, _P), dtype=np.uint64)
+            value = (x[lead:].astype(np.uint64) + np.uint64(1)) * word[lead:] * powers[place]
+            h = np.add.reduceat(value, self.start - lead)
+            h ^= h >> np.uint64(29)
+            h *= _Q
+            self.hash = h ^ (h >> np.uint64(32))
+
+    @staticmethod
+    def _lines(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of each line."""
+        last = np.flatnonzero(ends)
+        return np.r_[0, last[:-1] + 1] if len(last) else last, last
+
+    def span(self, doc: int) -> slice:
+        return slice(self.first[doc], self.first[doc + 1])
+
+    def plain(self, i: int, j: int) -> list[bytes]:
+        """Lines i to j without what separates them."""
+        d = self.data
+        return [d[a:b] for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True)]
 
 
 def lines(text: str | None) -> list[str]:
-    """The lines of a text, long ones in pieces; joined, they are the text."""
-    if not text:
-        return []
-    if _MARK in text:
-        ends = [0, *(m.end() for m in _ENDED.finditer(text)), len(text)]
-        cut = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    else:
-        for end in ENDS:
-            text = text.replace(end, end + _MARK)
-        cut = text.replace(_MARK + "\n", "\n").replace(_MARK + " ", " ").split(_MARK)
-    out: list[str] = []
-    for u in cut:
-        if len(u) > _LONG:
-            out += _pieces(u)
-        elif u:
-            out.append(u)
-    return out
-
-
-def _hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    """The lines of a text; joined, they are the text, but for one without words, which has none."""
+    t = (text or "").encode("utf-8", "surrogatepass")
+    cuts = [0, *Lines([t]).start[1:].tolist(), len(t)]
+    return [t[a:b].decode("utf-8", "surrogatepass") for a, b in zip(cuts, cuts[1:], strict=False)] if t.strip(BLANK) else []
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Lines]]:
+    """Rows in steps of about `_STEP` bytes, with the lines of their texts."""
+    for df in frames:
+        texts = [t.encode("utf-8", "surrogatepass") for t in df["_t"]]
+        step = np.cumsum([len(t) for t in texts]) // _STEP
+        for k in range(int(step[-1]) + 1 if len(step) else 0):
+            i, j = np.searchsorted(step, [k, k + 1])
+            if i < j:
+                yield df.iloc[i:j], Lines(texts[i:j])
 
 
 class Chunks:
@@ -97,13 +138,6 @@ class Chunks:
         self.hash = x * _P
 
 
-def _parsed(text: str | None) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Lines, lines without the blanks and line ends around them, their hashes, and which end with a line feed."""
-    us = lines(text)
-    plain = [u.strip(_BLANK) for u in us]
-    return us, plain, np.fromiter(map(_hash, plain), np.uint64, len(us)), np.fromiter((u[-1] == "\n" for u in us), bool, len(us))
-
-
 _ROW = "kind int, part long, bucket int, a binary, b binary, c binary, d binary"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
 _DOCS, _PLACES, _ASK, _GOT = range(4)
@@ -134,30 +168,31 @@ def repeated(d: DataFrame, n_buckets: int) -> DataFrame:
     """
 
     def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, chars, rows = TaskContext.get().partitionId() << 32, 0, []
-        for df in it:
-            for rid, key, text in zip(df["_rid"], df["_id"], df["_t"], strict=True):
-                rows.append((rid, key, *_parsed(text)[2:]))
-                chars += len(text or "") + 64
-                if chars >= _PART:
-                    yield of(part, rows)
-                    part, chars, rows = part + 1, 0, []
-        if rows:
-            yield of(part, rows)
-
-    def of(part: int, rows: list[tuple]) -> pd.DataFrame:
-        rid, key, h, fed = zip(*rows, strict=True)
-        c = Chunks(np.concatenate(h), np.concatenate(fed), np.array([len(x) for x in h]))
-        key = np.array(key, "<i8")
+        part, size, held = TaskContext.get().partitionId() << 32, 0, []
+        for df, x in _batches(it):
+            held.append((df["_rid"].to_numpy(np.int64), df["_id"].to_numpy(np.int64), x.hash, x.fed, np.diff(x.first)))
+            size += len(x.data)
+            if size >= _PART:
+                yield of(part, held)
+                part, size, held = part + 1, 0, []
+        if held:
+            yield of(part, held)
+
+    def of(part: int, held: list[tuple]) -> pd.DataFrame:
+        rid, key, h, fed, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        c = Chunks(h, fed, sizes)
         ch, doc, k = c.hash[c.several], c.doc[c.several], c.k[c.several]
-        by = np.lexsort((k, key[doc], ch))
+        rank = np.empty(len(key), np.int64)
+        rank[np.argsort(key, kind="stable")] = np.arange(len(key))
+        by = np.argsort(rank[doc], kind="stable")
+        by = by[np.argsort(ch[by], kind="stable")]  # by hash, then id, then place
         ch, doc, k = ch[by], doc[by], k[by]
         first = np.flatnonzero(np.r_[True, ch[1:] != ch[:-1]]) if len(ch) else np.empty(0, np.int64)
         n = np.diff(np.r_[first, len(ch)])
-        out = [(_DOCS, part, part % n_buckets, np.array(rid, "<i8").tobytes(), key.tobytes(), b"", b""), (_PLACES, part, part % n_buckets, ch.astype("<u8").tobytes(), doc.astype("<u4").tobytes(), k.astype("<u4").tobytes(), b"")]
+        out = [(_DOCS, part, part % n_buckets, rid.astype("<i8").tobytes(), key.astype("<i8").tobytes(), b"", b""), (_PLACES, part, part % n_buckets, ch.astype("<u8").tobytes(), doc.astype("<u4").tobytes(), k.astype("<u4").tobytes(), b"")]
         for b, at in _deal((ch[first] % np.uint64(n_buckets)).astype(np.int64)):
             i = first[at]
-            out.append((_ASK, part, b, ch[i].astype("<u8").tobytes(), key[doc[i]].tobytes(), k[i].astype("<u4").tobytes(), n[at].astype("<u4").tobytes()))
+            out.append((_ASK, part, b, ch[i].astype("<u8").tobytes(), key[doc[i]].astype("<i8").tobytes(), k[i].astype("<u4").tobytes(), n[at].astype("<u4").tobytes()))
         return _frame(out)
 
     def answer(df: pd.DataFrame) -> pd.DataFrame:
@@ -202,11 +237,11 @@ def repeated(d: DataFrame, n_buckets: int) -> DataFrame:
     return sent.groupBy("part").applyInPandas(gather, "_rid long, want binary")
 
 
-_LINES = "bucket int, key binary, id binary, rid binary, k binary, side binary, at binary, n binary, x array<string>"
+_LINES = "bucket int, key binary, id binary, rid binary, k binary, side binary, at binary, n binary, x array<binary>"
 _FIELDS = (("key", "<u8"), ("id", "<i8"), ("rid", "<i8"), ("k", "<u4"), ("side", "i1"), ("at", "<u4"), ("n", "<u4"))
 
 
-def sides(c: Chunks, h: np.ndarray, n: int, want: np.ndarray) -> Iterator[tuple]:
+def sides(c: Chunks, h: list[int], want: np.ndarray) -> Iterator[tuple]:
     """What is compared, as (salts, first, key, k, side, at, from, to): each wanted chunk, and at the ends of a run of them the lines beside it.
 
     Side 0 is the chunk itself, under its hash, from line `at` on. Sides -1 and 1 are
@@ -216,35 +251,37 @@ def sides(c: Chunks, h: np.ndarray, n: int, want: np.ndarray) -> Iterator[tuple]
     chunk one line more: no passage that begins or ends there goes further, as
     boundaries from its third line on are its own.
     """
-    wanted, several = set(want["k"].tolist()), np.flatnonzero(c.several)
+    n, wanted, several = len(h), set(want["k"].tolist()), np.flatnonzero(c.several)
     start, end, hashes = c.start.tolist(), c.end.tolist(), c.hash.tolist()
-    at = np.searchsorted(several, want["k"])
+    at, several = np.searchsorted(several, want["k"]), several.tolist()
     for k, salts, first, i in zip(want["k"].tolist(), want["salts"].tolist(), want["first"].tolist(), at.tolist(), strict=True):
         s, e = start[k], end[k]
         yield salts, first, hashes[k], k, 0, s, s, e
         if s and k - 1 not in wanted:
             back = max(start[several[i - 1]] - 1, 0) if i else 0
-            yield salts, first, (hashes[k] * 31 + int(h[s - 1]) * 17 + 1) % 2**64, k, -1, s, back, s
+            yield salts, first, (hashes[k] * 31 + h[s - 1] * 17 + 1) % 2**64, k, -1, s, back, s
         if e < n and k + 1 not in wanted:
             ahead = end[several[i + 1]] if i + 1 < len(several) else n
-            yield salts, first, (hashes[k] * 37 + int(h[e]) * 19 + 2) % 2**64, k, 1, e, e, ahead
+            yield salts, first, (hashes[k] * 37 + h[e] * 19 + 2) % 2**64, k, 1, e, e, ahead
 
 
 def spans(near: DataFrame, n_buckets: int) -> DataFrame:
     """(_rid, a, b): lines a to b (exclusive) of the documents (_rid, _id, _t, want) that an earlier place holds, byte for byte but for blanks around lines."""
 
     def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
+        for df, x in _batches(it):
             out: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-            for rid, key, text, want in zip(df["_rid"], df["_id"], df["_t"], df["want"], strict=True):
-                _, plain, h, fed = _parsed(text)
-                c = Chunks(h, fed, np.array([len(h)]))
-                for salts, first, code, k, side, at, a, b in sides(c, h, len(h), np.frombuffer(want, _WANT)):
-                    x = _MARK.join(plain[a:b] if side >= 0 else plain[a:b][::-1])
+            for doc, (rid, key, want) in enumerate(zip(df["_rid"], df["_id"], df["want"], strict=True)):
+                mine = x.span(doc)
+                h, lo = x.hash[mine], int(mine.start)
+                plain = x.plain(lo, int(mine.stop))
+                c = Chunks(h, x.fed[mine], np.array([len(h)]))
+                for salts, first, code, k, side, at, a, b in sides(c, h.tolist(), np.frombuffer(want, _WANT)):
+                    text = _MARK.join(plain[a:b] if side >= 0 else plain[a:b][::-1])
                     for salt in range(salts) if first else (rid % salts,):  # a hot chunk's first place goes to all tasks that compare it
                         rows, texts = out[(code + salt * 0x9E3779B97F4A7C15) % 2**64 % n_buckets]
                         rows.append(((code + salt) % 2**64, key, rid, k, side, at, b - a))
-                        texts.append(x)
+                        texts.append(text)
             made = []
             for bucket, (rows, texts) in out.items():
                 columns = zip(*rows, strict=True)
@@ -287,28 +324,30 @@ def spans(near: DataFrame, n_buckets: int) -> DataFrame:
     return near.mapInPandas(send, _LINES).groupBy("bucket").applyInPandas(compare, "_rid long, a int, b int")
 
 
-def without(text: str, cuts: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
-    """The text without the spans of its lines that have `min_words` words or more, and how many words went."""
-    us, merged = lines(text), []
+def without(x: Lines, doc: int, cuts: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
+    """A document without the spans of its lines that have `min_words` words or more, and how many words went."""
+    mine, merged = x.span(doc), []
     for a, b in sorted(cuts):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
+    lo, end = int(x.base[doc]), int(x.base[doc + 1]) - 1 if doc + 1 < len(x.base) else len(x.data) - 1
+    starts = [lo, *x.start[mine][1:].tolist(), end]
     kept, upto, gone = [], 0, 0
     for a, b in merged:
-        n = len(py_words("".join(us[a:b])))
+        n = len(x.data[starts[a] : starts[b]].split())
         if n >= min_words:
-            kept += us[upto:a]
+            kept.append(x.data[starts[upto] : starts[a]])
             upto, gone = b, gone + n
-    return "".join(kept + us[upto:]), gone
+    return (b"".join(kept) + x.data[starts[upto] : end]).decode("utf-8", "surrogatepass"), gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, bucket_bytes: int = 6_000_000) -> DataFrame:
     """`docs` without passages of several lines that occur before, in the same or an earlier document.
 
     Lines end at line feeds, sentences and words with some last letters, and long
-    ones are cut at words by their hash (see `lines`). Where the rolling hash of two
+    ones are cut at words by some of their bytes (see `Lines`). Where the rolling hash of two
     lines on end falls, and where a paragraph starts, a chunk starts; so chunks
     follow the content and not the place (see `Chunks`). Chunks of two lines or more
     whose hash occurs twice are compared with their first occurrence, by document id
@@ -348,7 +387,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("t string, n long")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        done = [(None, 0) if t is None or s is None else without(t, [(x["a"], x["b"]) for x in s], min_words) for t, s in zip(texts, spans, strict=True)]
+        done: list[tuple] = [(None, 0)] * len(texts)
+        used = pd.DataFrame({"_t": texts, "s": spans, "at": np.arange(len(texts))})[texts.notna() & spans.notna()]
+        for df, x in _batches(iter([used])):
+            for doc, (at, s) in enumerate(zip(df["at"], df["s"], strict=True)):
+                done[at] = without(x, doc, [(y["a"], y["b"]) for y in s], min_words)
         return pd.DataFrame(done, columns=["t", "n"])
 
     out = docs.withColumn(rid_col, rid).join(cuts, rid_col, "left")

@@ -263,7 +263,11 @@ def test_long_lines_are_found(spark):
 def test_lines_join_to_the_text():
     texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n", "mark \x01 held and. so on", "word " * 60, "x\ty\n" * 40]
     for t in texts:
-        assert "".join(linededup.lines(t)) == t and all(linededup.lines(t))
+        assert "".join(linededup.lines(t)) == (t if t.strip() else "") and all(linededup.lines(t))
+    many = linededup.Lines([t.encode() for t in texts])  # many documents at once have the lines of each
+    for i, t in enumerate(texts):
+        alone = linededup.Lines([t.encode()])
+        assert many.plain(*(many.first[i : i + 2])) == alone.plain(0, len(alone.start)) and (many.hash[many.span(i)] == alone.hash).all() and (many.fed[many.span(i)] == alone.fed).all()
 
 
 def test_pipeline(spark, sf):
