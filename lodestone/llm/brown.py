@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, py_lower, py_words, release, ship, table
+from .common import claim, forget, py_lower, py_words, release, ship, table
 
 _PART_CHARS = 6_000_000  # of the documents that are encoded together
 
@@ -126,6 +126,7 @@ def encode(docs: DataFrame, tails: int, part_chars: int = _PART_CHARS) -> DataFr
     form = f"part long, ids array<{kind}>, held array<boolean>, lens array<long>, wide boolean, seq binary, h array<long>, tail array<int>, n array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("brown")
         task, count, part, schema = TaskContext.get().partitionId() << 32, 0, _Part(), None
         for b in batches:
             schema = schema or pa.schema([

@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,23 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """In a Python worker: free what other operators keep there between tasks; `clear` frees what `owner` is about to keep."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        _kept.pop(k)()
+    if clear:
+        _kept[owner] = clear
+    if others:
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now, not when the driver next collects garbage."""
     for _ in range(2):

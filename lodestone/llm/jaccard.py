@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, py_lower, py_words, release, ship, table
+from .common import claim, forget, fresh, py_lower, py_words, release, ship, table
 from .components import Forest, components
 
 _BYTES = 7  # of a shingle hash that leave the task that made it
@@ -21,6 +21,10 @@ _P = 0x9E3779B97F4A7C15
 _words: dict[str, int] = {}
 
 
+def forget_words() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Distinct 64-bit hashes (sorted) of a text's k-word shingles; of the whole sequence if it has fewer words."""
     w = py_words(py_lower(text or ""))
@@ -97,6 +101,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     n_buckets = max(16, min(1 << 20, int(size) // bucket_bytes))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard", forget_words)
         part, rows, held, n_held = TaskContext.get().partitionId() << 32, [], [], 0
         for df in batches:
             for key, text in zip(df["_id"].array, df["_t"], strict=True):

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, release, ship, table
+from .common import claim, forget, fresh, release, ship, table
 
 #: A line ends with a gap that holds a line feed or follows the end of a sentence, and, since passages are
 #: also set into running lines, one after some last letters: about each fifth word. The gap is the line's.
@@ -97,6 +97,7 @@ def lines(text: str | None) -> list[str]:
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Lines]]:
     """Rows in steps of about `_STEP` bytes, with the lines of their texts."""
+    claim("linededup")
     for df in frames:
         texts = [t.encode("utf-8", "surrogatepass") for t in df["_t"]]
         step = np.cumsum([len(t) for t in texts]) // _STEP

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _gap_split, _odd_gap, ship
+from .common import _gap_split, _odd_gap, claim, ship
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,6 +117,10 @@ class WordIds:
         return [b"".join(f) for f in found]
 
 
+def forget_ids() -> None:
+    _known.clear()
+
+
 def word_ids(path: str) -> WordIds:
     """One per Python worker, so that later tasks know the strings of earlier ones."""
     if path not in _known:
@@ -229,6 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", forget_ids)
         ids_of = word_ids(tokenizer_path)
         part, n_shard, tokens, packer = TaskContext.get().partitionId(), 0, 0, SumOfSquares(size)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import claim, ship
 
 SPACE = "▁"  # how the vocabulary writes a space
 _NO = ""  # the last token after a reset: it joins with nothing
@@ -242,6 +242,10 @@ def compile_pieces(path: str) -> Transducer:
     return Transducer({p.id_to_piece(i): p.get_score(i) for i in range(p.get_piece_size()) if not special(i)})
 
 
+def forget_counters() -> None:
+    _compiled.clear()
+
+
 def counter(path: str) -> Counter:
     """One per Python worker, so that later tasks start with the states that earlier ones made."""
     if path not in _compiled:
@@ -264,6 +268,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     d = d.select("_id", F.octet_length("_t").cast("long").alias("n_bytes"), "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokencount", forget_counters)
         count = counter(model_path)
         for b in batches:
             texts = b.column(2).to_pylist()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, py_lower, py_words, ship, table, words
+from .common import ascii_lower, claim, py_lower, py_words, ship, table, words
 
 #: Length-normalised log-likelihood ratios: of the whole text, of its strongest word, pair of neighbours, and three words.
 FEATURES = ("text", "word", "pair", "three")
@@ -218,6 +218,7 @@ def fit(t: DataFrame) -> tuple[Ratios, np.ndarray, np.ndarray, np.ndarray]:
         shared = t.sparkSession.sparkContext.broadcast(model(k))
 
         def features(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            claim("toxicity")
             for df in it:
                 yield pd.DataFrame([[float(y), *shared.value.features(x)] for y, x in zip(df.y, df.t, strict=True)], columns=["y", *FEATURES])
 
@@ -265,6 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     @F.pandas_udf("double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         model, mean, scale, weights = shared.value
         for texts in it:
             x = np.array([model.features(t) for t in texts]).reshape(-1, len(FEATURES))
