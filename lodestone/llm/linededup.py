@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,28 +241,50 @@ _LINES = "bucket int, key binary, id binary, rid binary, k binary, side binary,
 _FIELDS = (("key", "<u8"), ("id", "<i8"), ("rid", "<i8"), ("k", "<u4"), ("side", "i1"), ("at", "<u4"), ("n", "<u4"))
 
 
-def sides(c: Chunks, h: list[int], want: np.ndarray) -> Iterator[tuple]:
-    """What is compared, as (salts, first, key, k, side, at, from, to): each wanted chunk, and at the ends of a run of them the lines beside it.
+class Sides:
+    """What is compared of documents with lines `x`, of which doc[i] wants the chunk k[i]: each of these, and at the ends of a run of them the lines beside it.
 
     Side 0 is the chunk itself, under its hash, from line `at` on. Sides -1 and 1 are
-    the lines before it, taken backwards, and after it, from line `at` on, under a
-    hash of the chunk and the nearest line, so that only passages that go on alike
-    are compared. They reach over the next chunk of several lines, and before the
+    the lines before it and after it, away from line `at`, under a hash of the
+    chunk and the nearest line, so that only passages that go on alike are
+    compared. They reach over the next chunk of several lines, and before the
     chunk one line more: no passage that begins or ends there goes further, as
-    boundaries from its third line on are its own.
+    boundaries from its third line on are its own. Lines `low` to `high` (of all) are
+    compared; `at` counts from the document's first.
     """
-    n, wanted, several = len(h), set(want["k"].tolist()), np.flatnonzero(c.several)
-    start, end, hashes = c.start.tolist(), c.end.tolist(), c.hash.tolist()
-    at, several = np.searchsorted(several, want["k"]), several.tolist()
-    for k, salts, first, i in zip(want["k"].tolist(), want["salts"].tolist(), want["first"].tolist(), at.tolist(), strict=True):
-        s, e = start[k], end[k]
-        yield salts, first, hashes[k], k, 0, s, s, e
-        if s and k - 1 not in wanted:
-            back = max(start[several[i - 1]] - 1, 0) if i else 0
-            yield salts, first, (hashes[k] * 31 + h[s - 1] * 17 + 1) % 2**64, k, -1, s, back, s
-        if e < n and k + 1 not in wanted:
-            ahead = end[several[i + 1]] if i + 1 < len(several) else n
-            yield salts, first, (hashes[k] * 37 + h[e] * 19 + 2) % 2**64, k, 1, e, e, ahead
+
+    def __init__(self, x: Lines, doc: np.ndarray, want: np.ndarray):
+        sizes = np.diff(x.first)
+        c = Chunks(x.hash, x.fed, sizes)
+        n = len(c.start)
+        begin = np.searchsorted(c.start, x.first[:-1])
+        at = begin[doc] + want["k"]  # among all chunks
+        wanted = np.zeros(n + 2, bool)
+        wanted[at + 1] = True
+        index = np.arange(n)
+        back = np.maximum.accumulate(np.where(c.several, index, -1)) if n else index
+        ahead = np.minimum.accumulate(np.where(c.several, index, n)[::-1])[::-1] if n else index
+        lo, hi = x.first[doc], x.first[doc + 1]
+        s, e = c.start[at], c.end[at]
+        # before
+        i = np.flatnonzero((s > lo) & ~wanted[at])
+        near = back[at[i] - 1]
+        low = np.where(near >= begin[doc[i]], np.maximum(c.start[np.maximum(near, 0)] - 1, lo[i]), lo[i])
+        # after
+        j = np.flatnonzero((e < hi) & ~wanted[at + 2])
+        near = ahead[at[j] + 1]
+        ends = np.r_[c.end, 0][np.minimum(near, n)]
+        high = np.where((near < n) & (ends <= hi[j]), ends, hi[j])
+        code = c.hash[at]
+        with np.errstate(over="ignore"):
+            left = (code[i] ^ (x.hash[s[i] - 1] * _P)) * _Q + np.uint64(1)
+            right = (code[j] ^ (x.hash[e[j]] * _P)) * _Q + np.uint64(2)
+        join = lambda *parts: np.concatenate(parts)
+        self.row = join(np.arange(len(at)), i, j)  # which of the wanted chunks
+        self.key = join(code, left, right)
+        self.side = join(np.zeros(len(at), np.int64), np.full(len(i), -1), np.full(len(j), 1))
+        self.low, self.high = join(s, low, e[j]), join(e, s[i], high)
+        self.at = join(s - lo, s[i] - lo[i], e[j] - lo[j])
 
 
 def spans(near: DataFrame, n_buckets: int) -> DataFrame:
@@ -271,22 +292,22 @@ def spans(near: DataFrame, n_buckets: int) -> DataFrame:
 
     def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df, x in _batches(it):
-            out: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-            for doc, (rid, key, want) in enumerate(zip(df["_rid"], df["_id"], df["want"], strict=True)):
-                mine = x.span(doc)
-                h, lo = x.hash[mine], int(mine.start)
-                plain = x.plain(lo, int(mine.stop))
-                c = Chunks(h, x.fed[mine], np.array([len(h)]))
-                for salts, first, code, k, side, at, a, b in sides(c, h.tolist(), np.frombuffer(want, _WANT)):
-                    text = _MARK.join(plain[a:b] if side >= 0 else plain[a:b][::-1])
-                    for salt in range(salts) if first else (rid % salts,):  # a hot chunk's first place goes to all tasks that compare it
-                        rows, texts = out[(code + salt * 0x9E3779B97F4A7C15) % 2**64 % n_buckets]
-                        rows.append(((code + salt) % 2**64, key, rid, k, side, at, b - a))
-                        texts.append(text)
-            made = []
-            for bucket, (rows, texts) in out.items():
-                columns = zip(*rows, strict=True)
-                made.append((bucket, *[np.array(v, np.uint64 if f == "key" else np.int64).astype(kind).tobytes() for v, (f, kind) in zip(columns, _FIELDS, strict=True)], texts))
+            wants = [np.frombuffer(w, _WANT) for w in df["want"]]
+            doc, want = np.repeat(np.arange(len(wants)), [len(w) for w in wants]), np.concatenate(wants)
+            s = Sides(x, doc, want)
+            rid, key = (df[c].to_numpy(np.int64) for c in ("_rid", "_id"))
+            salts, first = want["salts"].astype(np.int64)[s.row], want["first"].astype(bool)[s.row]
+            # a hot chunk's first place goes to all tasks that compare it
+            copies = np.where(first, salts, 1)
+            at = np.repeat(np.arange(len(s.row)), copies)
+            salt = np.where(first[at], np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies), rid[doc[s.row[at]]] % salts[at]).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                code = s.key[at] + salt * _P
+            d, a, b = x.data, x.start[s.low].tolist(), x.end[s.high - 1].tolist()
+            text = [d[i:j] if not e else _MARK.join(x.plain(lo, hi)[::e]) for i, j, e, lo, hi in zip(a, b, s.side.tolist(), s.low.tolist(), s.high.tolist(), strict=True)]
+            row = s.row[at]
+            fields = {"key": code, "id": key[doc[row]], "rid": rid[doc[row]], "k": want["k"][row], "side": s.side[at], "at": s.at[at], "n": (s.high - s.low)[at]}
+            made = [(bucket, *[fields[f][own].astype(kind).tobytes() for f, kind in _FIELDS], [text[i] for i in at[own].tolist()]) for bucket, own in _deal((code % np.uint64(n_buckets)).astype(np.int64))]
             yield pd.DataFrame(made, columns=["bucket", *[f for f, _ in _FIELDS], "x"])
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
@@ -304,7 +325,7 @@ def spans(near: DataFrame, n_buckets: int) -> DataFrame:
                 if rid[j] == rid[head] and k[j] == k[head]:
                     continue  # a repeated row
                 if held is None:
-                    if x[j] != first:
+                    if x[j] != first and (n[j] != n[head] or x[j].split() != first.split()):  # they may differ in what parts their lines
                         continue
                     lo, hi = at[j], at[j] + n[j]
                 else:

@@ -192,6 +192,56 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_dedup(rows, min_words=30):
+    """Document by document in order of ids, with a dictionary of first chunks and of what stands beside them."""
+    docs = sorted({(i, t) for i, t in rows if t and t.strip()})
+    parsed = {}
+    for d in docs:
+        x = linededup.Lines([d[1].encode()])
+        parsed[d] = x, linededup.Chunks(x.hash, x.fed, np.array([len(x.hash)]))
+    seen = collections.Counter(h for _, c in parsed.values() for h in c.hash[c.several].tolist())
+    first, cuts = {}, collections.defaultdict(list)
+    for d in docs:
+        x, c = parsed[d]
+        ks = [k for k in range(len(c.start)) if c.several[k] and seen[c.hash[k]] > 1]
+        want = np.array([(k, 1, 0) for k in ks], linededup._WANT)
+        s = linededup.Sides(x, np.zeros(len(ks), int), want)
+        for key, side, at, low, high in zip(s.key.tolist(), s.side.tolist(), s.at.tolist(), s.low.tolist(), s.high.tolist(), strict=True):
+            mine = x.plain(low, high)[:: side or 1]
+            held = first.setdefault((side, key), (d, at, mine))
+            if held[:2] != (d, at):
+                same = next((n for n, (p, q) in enumerate(zip(mine, held[2], strict=False)) if p != q), min(len(mine), len(held[2])))
+                if side or same == len(mine) == len(held[2]):
+                    cuts[d].append((at - same, at) if side < 0 else (at, at + same))
+    out = {}
+    for d in docs:
+        x, gone = parsed[d][0], {n for a, b in cuts[d] for n in range(a, b)}
+        starts = [0, *x.start[1:].tolist(), len(x.data) - 1]
+        text, run = b"", []
+        for n in range(len(x.start) + 1):
+            if n in gone:
+                run.append(n)
+                continue
+            lost = b"".join(x.data[starts[m] : starts[m + 1]] for m in run)
+            text += (b"" if len(lost.split()) >= min_words else lost) + (x.data[starts[n] : starts[n + 1]] if n < len(x.start) else b"")
+            run = []
+        out[d] = text.decode()
+    return [(i, out.get((i, t), t)) for i, t in rows]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(15)
+    word = lambda: rng.choice(["and", "all", "them", "with", "paper", "o'clock", "élan", "x"]) if rng.random() < 0.3 else f"w{rng.randrange(3000)}"
+    lines = [" ".join(word() for _ in range(rng.randint(1, 30))) + rng.choice([". ", "\n", "! ", " "]) for _ in range(150)]
+    blocks = ["".join(rng.choices(lines, k=rng.randint(2, 12))) for _ in range(25)]
+    rows = [(i, "".join(rng.choice(blocks) if rng.random() < 0.3 else rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(250)]
+    rows += [(1000, None), (1001, ""), (1002, " \n "), (3, rows[3][1]), (4, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = [(r.doc_id, r.text) for r in linededup.dedup_lines(df, bucket_bytes=4_000).collect()]
+    want = brute_dedup(rows)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(a != b for a, b in zip(want, rows, strict=True)) > 50
+
+
 def planted(rng, passage, at, before, after):
     """A text of own words with a passage set in after `at` sentences."""
     own = lambda k: " ".join(f"o{rng.randrange(10**9)}" for _ in range(k)) + ". "
