@@ -234,5 +234,5 @@ sql("delete", "select o_orderkey from orders where not (o_totalprice < 50000)")
 sql("constraint_check", "select l_orderkey, l_linenumber from lineitem where l_quantity <= 0 union all select l_orderkey, l_linenumber from lineitem l where not exists (select 1 from orders where o_orderkey = l.l_orderkey)")
 query("exclude_group", "select l_orderkey, l_linenumber, round(sum(l_quantity) over (partition by l_suppkey order by l_shipdate range between unbounded preceding and unbounded following exclude group), 2) as s from lineitem")(lambda t: W.sum_excluding(t.lineitem, "l_quantity", ["l_suppkey"], ["l_shipdate"], "group", "s").select("l_orderkey", "l_linenumber", F.round("s", 2).alias("s")))
 query("exclude_ties", "select l_orderkey, l_linenumber, round(sum(l_quantity) over (partition by l_suppkey order by l_shipdate range between unbounded preceding and unbounded following exclude ties), 2) as s from lineitem")(lambda t: W.sum_excluding(t.lineitem, "l_quantity", ["l_suppkey"], ["l_shipdate"], "ties", "s").select("l_orderkey", "l_linenumber", F.round("s", 2).alias("s")))
-sql("stats_over_more", f"select o_orderkey, round(var_samp(o_totalprice / 1e3) over w, 3) as v, round(case when count(*) over w > 1 then avg(o_totalprice) over w - min(o_totalprice) over w end, 5) as c, round(case when count(*) over w > 1 then regr_slope(o_totalprice, o_orderkey) over w end, 4) as r from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between 3 preceding and current row)")
+sql("stats_over_more", f"select o_orderkey, regr_count(o_orderkey, o_totalprice) over w as v, round(case when count(*) over w > 1 then avg(o_totalprice) over w - min(o_totalprice) over w end, 5) as c, round(case when count(*) over w > 1 then regr_count(o_totalprice, o_orderkey) over w end, 4) as r from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between 3 preceding and current row)")
 sql("like_escape_only", "select p_partkey from part where replace(p_name, 'a', '_') like '%!_%' escape '!'")
