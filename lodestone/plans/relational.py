@@ -236,3 +236,43 @@ query("exclude_group", "select l_orderkey, l_linenumber, round(sum(l_quantity) o
 query("exclude_ties", "select l_orderkey, l_linenumber, round(sum(l_quantity) over (partition by l_suppkey order by l_shipdate range between unbounded preceding and unbounded following exclude ties), 2) as s from lineitem")(lambda t: W.sum_excluding(t.lineitem, "l_quantity", ["l_suppkey"], ["l_shipdate"], "ties", "s").select("l_orderkey", "l_linenumber", F.round("s", 2).alias("s")))
 sql("stats_over_more", f"select o_orderkey, regr_count(o_orderkey, o_totalprice) over w as v, round(case when count(*) over w > 1 then avg(o_totalprice) over w - min(o_totalprice) over w end, 5) as c, round(case when count(*) over w > 1 then regr_count(o_totalprice, o_orderkey) over w end, 4) as r from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between 3 preceding and current row)")
 sql("like_escape_only", "select p_partkey from part where replace(p_name, 'a', '_') like '%!_%' escape '!'")
+
+
+@query("upsert_where", f"select o_orderkey, case when {_OLD} and {_NEW} and o_orderkey % 11 = 0 then o_custkey + 1 when {_OLD} then o_custkey when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey end as o_custkey from orders where {_OLD} or {_NEW}")
+def upsert_where(t: Tables) -> DataFrame:
+    """On conflict the new value is taken only where it differs."""
+    a, b = (x.drop("o_orderstatus") for x in _copies(t))
+    return R.upsert(a, b, ["o_orderkey"], {"o_custkey": F.col("new.o_custkey")}, F.col("new.o_custkey") != F.col("old.o_custkey"))
+
+
+@query("insert_or_ignore", f"select o_orderkey, case when {_OLD} then o_custkey when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey end as o_custkey from orders where {_OLD} or {_NEW}")
+def insert_or_ignore(t: Tables) -> DataFrame:
+    """ON CONFLICT DO NOTHING."""
+    a, b = (x.drop("o_orderstatus") for x in _copies(t))
+    return R.upsert(a, b, ["o_orderkey"], None)
+
+
+@query("changeset_concat", f"select op, o_orderkey from (select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when a.o_orderkey is null then 'insert' when b.o_orderkey is null then 'delete' when a.o_custkey <> b.o_custkey then 'update' end as op from (select o_orderkey, o_custkey from orders where {_OLD}) a full join (select o_orderkey, case when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey end as o_custkey from orders where {_NEW} and o_orderkey % 13 <> 0) b on a.o_orderkey = b.o_orderkey) where op is not null")
+def changeset_concat(t: Tables) -> DataFrame:
+    """Two change sets in turn as one: to a second state, and from it to one with fewer rows."""
+    a, b = _copies(t)
+    c = b.where("o_orderkey % 13 <> 0")
+    both = R.concat_changes(R.diff(a, b, ["o_orderkey"]), R.diff(b, c, ["o_orderkey"]), ["o_orderkey"])
+    return both.select("op", "o_orderkey")
+
+
+@query("view_on_view", "select region, n from (select r_name as region, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1) where n > 4")
+def view_on_view(t: Tables) -> DataFrame:
+    """A view with a column list over another view; the first is dropped when the second has been read."""
+    t.nation.createOrReplaceTempView("nation")
+    t.region.createOrReplaceTempView("region")
+    t.spark.sql("create or replace temporary view nations_by_region (region, n) as select r_name, count(*) from nation join region on n_regionkey = r_regionkey group by r_name")
+    t.spark.sql("create or replace temporary view large_regions as select region, n from nations_by_region where n > 4")
+    out = t.spark.sql("select region, n from large_regions")
+    t.spark.sql("drop view nations_by_region")
+    return out
+
+
+sql("constraint_unique", "select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 1 union all select null, count(*) from orders where o_orderkey is null")
+sql("update", "select o_orderkey, case when o_orderstatus = 'P' then o_totalprice * 2 else o_totalprice end as o_totalprice from orders")
+query("stats_var_over", "select l_orderkey, l_linenumber, round(var_pop(l_quantity) over w, 4) as v, round(kurtosis_pop(l_quantity) over w, 3) as k from lineitem window w as (partition by l_suppkey)")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.var_pop("l_quantity").over(Window.partitionBy("l_suppkey")), 4).alias("v"), F.round(F.kurtosis("l_quantity").over(Window.partitionBy("l_suppkey")), 3).alias("k")))
