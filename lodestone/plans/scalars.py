@@ -180,7 +180,13 @@ query("csv_scan", "select * from (values (1, 'x, y', 1.5), (2, 'say \"hi\"', nul
 query("lines_scan", "select * from (values (1::bigint, 'hello'), (2, ''), (3, 'world')) v(lineno, line)")(lambda t: files.lines_scan(t.spark, data="﻿hello\n\nworld\n"))
 query("readblob", "select r_regionkey, substr(r_name, 2, 2) as b from region")(lambda t: t.region.select("r_regionkey", files.readblob(C("r_name").cast("binary"), 1, 2).cast("string").alias("b")))
 query("lsmode", f"select p_partkey, case when p_partkey % 5 = 0 then 'd' else '-' end || " + " || ".join(f"case when (p_partkey % 512) & {1 << (8 - i)} <> 0 then '{'rwx'[i % 3]}' else '-' end" for i in range(9)) + " as m from part")(lambda t: t.part.select("p_partkey", S.lsmode((F.when(C("p_partkey") % 5 == 0, 0o040000).otherwise(0o100000) + C("p_partkey") % 512).cast("int")).alias("m")))
-query("fsdir")(lambda t: files.fsdir(t.spark, f"{t.sf_dir}/region.parquet").select("level", "size"))
+@query("fsdir", "select 'd' as kind, 0::bigint as level, 1::bigint as n, 0::bigint as bytes union all select 'd', 1, 2, 0 union all select '-', 2, 2, (select sum(length(n_name)) + count(*) from nation where n_regionkey < 2)::bigint")
+def fsdir(t):
+    """A folder of two folders with a file of names each, listed with its levels, kinds and bytes."""
+    path = _folder(t, "dir")
+    t.nation.where("n_regionkey < 2").select("n_regionkey", "n_name").repartition(1).write.partitionBy("n_regionkey").text(path)
+    d = files.fsdir(t.spark, path).where("name not like '%crc' and name not like '%\\_SUCCESS'")
+    return d.groupBy(F.substring("mode", 1, 1).alias("kind"), "level").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).cast("long").alias("bytes"))
 
 
 

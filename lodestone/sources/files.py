@@ -91,14 +91,30 @@ def from_array(spark: SparkSession, values: list, kind: str | None = None) -> Da
 
 
 def fsdir(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
-    """(name, mtime, size, data, level) of the files below `root`, level 1 right under it."""
-    root = root.rstrip("/")
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", r"^\w+:/*", "/")
-    out = f.select(path.alias("name"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("content").alias("data"))
-    base = root.split(":", 1)[-1].lstrip("/").count("/") + 1
-    out = out.withColumn("level", (F.size(F.split("name", "/")) - 1 - base).cast("long"))
-    return out if depth is None else out.where(F.col("level") <= depth)
+    """(name, mode, mtime, size, data, level): `root` at level 0 and the directories and files below it.
+
+    mode is the permission text with the kind of entry, mtime nanoseconds since the
+    epoch, data a file's bytes (NULL for a directory). Names come from the file
+    system's listing, which the driver holds; bytes are read on the executors.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    rows, todo = [], [(fs.getFileStatus(path), 0)]
+    while todo:
+        st, level = todo.pop()
+        at = st.getPath()
+        kind = "d" if st.isDirectory() else "l" if st.isSymlink() else "-"
+        rows.append((at.toString(), at.toUri().getPath(), kind + str(st.getPermission().toString())[:9], st.getModificationTime() * 1_000_000, 0 if st.isDirectory() else st.getLen(), level))
+        if st.isDirectory() and (depth is None or level < depth):
+            todo += [(x, level + 1) for x in fs.listStatus(at)]
+    listed = spark.createDataFrame(rows, "_path string, name string, mode string, mtime long, size long, level long")
+    files = [r[0] for r in rows if r[2][0] == "-"]
+    if not files:
+        return listed.drop("_path").withColumn("data", F.lit(None).cast("binary")).select("name", "mode", "mtime", "size", "data", "level")
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", r"^\w+:/*", "/").alias("_name"), F.col("content").alias("data"))
+    out = listed.join(data, F.regexp_replace(listed["_path"], r"^\w+:/*", "/") == data["_name"], "left")
+    return out.select("name", "mode", "mtime", "size", "data", "level")
 
 
 def readfile(spark: SparkSession, path: str) -> bytes | None:

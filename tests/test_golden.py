@@ -217,7 +217,8 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         files.lines_scan(spark, "x", "y")
     assert files.readfile(spark, str(p)).endswith(b"extra\n") and files.readfile(spark, str(tmp_path / "none")) is None
-    assert {r.level for r in files.fsdir(spark, str(tmp_path)).collect()} == {1}
+    listed = files.fsdir(spark, str(tmp_path)).collect()
+    assert {(r.level, r.mode[0], r.data is None) for r in listed} == {(0, "d", True), (1, "-", False)} and all(len(r.mode) == 10 for r in listed)
 
 
 def test_upsert(spark):
