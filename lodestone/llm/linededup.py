@@ -303,8 +303,8 @@ def spans(near: DataFrame, n_buckets: int) -> DataFrame:
             salt = np.where(first[at], np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies), rid[doc[s.row[at]]] % salts[at]).astype(np.uint64)
             with np.errstate(over="ignore"):
                 code = s.key[at] + salt * _P
-            d, a, b = x.data, x.start[s.low].tolist(), x.end[s.high - 1].tolist()
-            text = [d[i:j] if not e else _MARK.join(x.plain(lo, hi)[::e]) for i, j, e, lo, hi in zip(a, b, s.side.tolist(), s.low.tolist(), s.high.tolist(), strict=True)]
+            d, a, b, plain = x.data, x.start[s.low].tolist(), x.end[s.high - 1].tolist(), x.plain(0, len(x.start))
+            text = [d[i:j] if not e else _MARK.join(plain[lo:hi][::e]) for i, j, e, lo, hi in zip(a, b, s.side.tolist(), s.low.tolist(), s.high.tolist(), strict=True)]
             row = s.row[at]
             fields = {"key": code, "id": key[doc[row]], "rid": rid[doc[row]], "k": want["k"][row], "side": s.side[at], "at": s.at[at], "n": (s.high - s.low)[at]}
             made = [(bucket, *[fields[f][own].astype(kind).tobytes() for f, kind in _FIELDS], [text[i] for i in at[own].tolist()]) for bucket, own in _deal((code % np.uint64(n_buckets)).astype(np.int64))]
