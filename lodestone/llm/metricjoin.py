@@ -58,12 +58,13 @@ def range_links(
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     ok = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(F.col(vector_col)) > 0)
     ok &= ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    key = F.xxhash64(F.concat_ws(",", F.transform(x, lambda v: (v + 0.0).cast("string"))))
+    text = F.concat_ws(",", F.transform(x, lambda v: (v + 0.0).cast("string")))
+    key = F.md5(text.cast("binary"))  # equal vectors share 128 bits; unequal ones don't, but for a chance of 1 in 10^20 among 10^9
     good = vectors.where(ok).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), x.alias("x"), key.alias("k"))
     # norms can over- or underflow in the square; scaling by the largest component is harmless
     top = F.array_max(F.transform(F.col("x"), F.abs))
     good = good.withColumn("x", F.transform("x", lambda v: v / top))
-    reps = table(good.groupBy("label", "k", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "metric-reps")
+    reps = table(good.groupBy("label", "k").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x")), "metric-reps")
 
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
     total = reps.count()
@@ -160,7 +161,7 @@ def range_links(
     found = table(found, "metric-links")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("_l")).join(reps.select("rep", "n"), "rep")
     links = links.select("rep", (F.col("_l") + F.col("n") - 1).alias("n_links"))
-    members = good.select("label", "k", "x", "id").join(reps.select("label", "k", "x", "rep"), ["label", "k", "x"]).select("id", "rep")
+    members = good.select("label", "k", "id").join(reps.select("label", "k", "rep"), ["label", "k"]).select("id", "rep")
     return members.join(links, "rep"), found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
