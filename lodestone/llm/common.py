@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -92,17 +93,29 @@ _kept: dict[str, Callable[[], None]] = {}
 
 
 def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
-    """In a Python worker: free what other operators keep there between tasks; `clear` frees what `owner` is about to keep."""
+    """In a Python worker: free what other operators keep there between tasks; `clear` frees what `owner` is about to keep.
+
+    Freed memory goes back to the machine, since workers outlive operators and an
+    executor's memory counts all that they hold.
+    """
     others = [k for k in _kept if k != owner]
     for k in others:
         _kept.pop(k)()
     if clear:
         _kept[owner] = clear
     if others:
-        import pyarrow as pa
-
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free within this process back to the machine, as far as its allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trimmer = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trimmer:
+        trimmer(0)
 
 
 def release(spark: SparkSession) -> None:

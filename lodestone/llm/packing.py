@@ -51,7 +51,7 @@ class WordIds:
     so they do only where the file has the steps known to do so (`plain`).
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, mark: str = "|"):
+    def __init__(self, path: str, most: int = 250_000, mark: str = "|"):
         from tokenizers import Tokenizer
 
         self.tok, self.memo, self.most, self.mark = Tokenizer.from_file(path), {}, most, mark

@@ -5,12 +5,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 import time
 import zlib
 
 import pytest
 
-from lodestone.llm import mixing, packing, quality, secrets, tokencount
+from lodestone.llm import common, mixing, packing, quality, secrets, tokencount
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, source string, _t string, _id string, n_words string, size string, s string"
@@ -237,6 +238,26 @@ def test_word_ids_are_the_tokenizers():
         assert [list(memoryview(b).cast("I")) for b in ids(some)] == want
 
 
+def test_memo_of_words_stays_small():
+    """A worker's memo holds some 60 MB, however many words its texts have."""
+    ids, most = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), 0
+    for lo in range(0, 600_000, 20_000):
+        ids([" ".join(f"w{i:x}" for i in range(lo, lo + 20_000))])
+        most = max(most, sys.getsizeof(ids.memo) + sum(map(sys.getsizeof, ids.memo)) + sum(map(sys.getsizeof, ids.memo.values())))
+    assert most < 64e6
+
+
+def test_claim_gives_memory_back():
+    """What an operator has freed goes back to the machine also where something still in use lies above it."""
+    held = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+    common.claim("one")
+    blocks = [bytes(1000) for _ in range(200_000)]
+    last, full = blocks[-1], held()
+    del blocks
+    common.claim("two")
+    assert len(last) == 1000 and held() < full - 150
+
+
 def test_sum_of_squares_takes_the_smallest_change():
     rng, size = random.Random(4), 50
     p = packing.SumOfSquares(size)
