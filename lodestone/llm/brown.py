@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import claim, forget, py_lower, py_words, release, ship, table
 
 _PART_CHARS = 6_000_000  # of the documents that are encoded together
+_PAIRS = 1_000_000  # bigrams that a task holds before it adds them up
 
 def _hash(w: str) -> int:
     h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
@@ -156,8 +157,11 @@ def _sequence(row, units: np.ndarray, end: int, held: bool | None = None) -> np.
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Each code once, with its counts added up."""
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+    code = np.concatenate(codes)
+    by = np.argsort(code)
+    code = code[by]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return code[first], np.add.reduceat(np.concatenate(counts)[by], first) if len(first) else code
 
 
 def _dealt(h: np.ndarray, n_buckets: int, use: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -219,7 +223,7 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
     stand if the training texts are likelier by them than by tails alone.
     """
     spark = docs.sparkSession
-    parts = table(encode(docs, tails, part_chars), "brown-parts")
+    parts = table(encode(docs, tails, part_chars), "brown-parts", group_rows=1)
     asked = parts.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
     n_buckets = max(buckets, int(asked) // 300_000)
 
@@ -267,10 +271,10 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
                 codes.append(code)
                 counts.append(n)
                 size += len(code)
-                if size > 3_000_000:
+                if size > _PAIRS:
                     code, n = _summed(codes, counts)
                     codes, counts, size = [code], [n], len(code)
-                    if size > 2_000_000:
+                    if size > _PAIRS * 2 // 3:
                         yield pd.DataFrame({"c": code, "n": n})
                         codes, counts, size = [], [], 0
         if size:
@@ -384,7 +388,7 @@ def train(docs: DataFrame, classes: int = 64, frequent: int = 4096, tails: int =
     counts_of_top = spark.sparkContext.broadcast(np.array([r.n for r in top], np.int64))
     asking = parts.select("part", "held", "lens", "wide", "seq", "h", "tail").groupBy("part")
     mapped = asking.cogroup(moves.where("part is not null").groupBy("part")).applyInPandas(assemble, "part long, held array<boolean>, lens array<long>, wide boolean, seq binary, c0 binary, c binary, count_ binary")
-    mapped = table(mapped, "brown-mapped")
+    mapped = table(mapped, "brown-mapped", group_rows=1)
     release(spark)
 
     def joints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -67,15 +67,17 @@ def ship(df: DataFrame) -> None:
     sc._lodestone_shipped = True
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again.
 
     Cuts the lineage: what follows survives the loss of any executor without
-    running `df` a second time.
+    running `df` a second time. Rows of some MB need `group_rows`, the most rows
+    of a row group: a task writes and reads a whole group at once, and Parquet
+    looks at sizes only every 100 rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._lodestone_path = path
     return made

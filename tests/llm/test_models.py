@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 
 import corpus_pipeline
 from lodestone.llm import brown, linededup, toxicity
@@ -112,6 +113,17 @@ def test_moves_of_other_words_make_texts_likelier(spark):
     assert shared <= 0.02 * sum(map(len, (noun, verb)))
 
 
+def test_parts_are_row_groups_of_their_own(spark):
+    """However many parts a task makes, those after it read one at a time: memory follows a part's size, not the table's."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, prose(rng, 50, "x")) for i in range(200)], "_id long, t string").selectExpr("_id", "t", "false held").coalesce(1)
+    parts, mapped, _ = brown.train(df, classes=4, frequent=20, tails=8, rare=3, part_chars=3000)
+    for made in (parts, spark.read.parquet(mapped.inputFiles()[0])):
+        sizes = [meta.row_group(i).num_rows for f in made.inputFiles() for meta in [pq.read_metadata(f.removeprefix("file://"))] for i in range(meta.num_row_groups)]
+        assert set(sizes) == {1}
+    assert parts.count() > 15
+
+
 def test_held_out_scores_beat_the_base(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = brown.score_documents(d).where("held_out").groupBy().sum("score", "base_score").first()
