@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -60,17 +61,21 @@ class Lines:
             first, last = self._lines(ends)
         self.start, self.end, self.fed = ws[first], we[last], fed[last]
         self.first = np.searchsorted(self.start, np.r_[self.base, len(x)])
-        n = np.diff(np.r_[self.start, len(x)]) if len(first) else np.zeros(0, np.int64)
-        self.hash = np.zeros(len(first), np.uint64)
-        if len(first):
-            lead = int(self.start[0])
-            place = np.arange(len(x) - lead) - np.repeat(self.start - lead, n)
-            powers = np.cumprod(np.full(int(n.max()) + 1, _P), dtype=np.uint64)
-            value = (x[lead:].astype(np.uint64) + np.uint64(1)) * word[lead:] * powers[place]
-            h = np.add.reduceat(value, self.start - lead)
-            h ^= h >> np.uint64(29)
-            h *= _Q
-            self.hash = h ^ (h >> np.uint64(32))
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        lead = int(self.start[0])
+        x = np.frombuffer(self.data, np.uint8)[lead:]
+        n = np.diff(np.r_[self.start - lead, len(x)])
+        place = np.arange(len(x)) - np.repeat(self.start - lead, n)
+        powers = np.cumprod(np.full(int(n.max()) + 1, _P), dtype=np.uint64)
+        value = (x.astype(np.uint64) + np.uint64(1)) * ~_is_blank[x] * powers[place]
+        h = np.add.reduceat(value, self.start - lead)
+        h ^= h >> np.uint64(29)
+        h *= _Q
+        return h ^ (h >> np.uint64(32))
 
     @staticmethod
     def _lines(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,18 +351,21 @@ def spans(near: DataFrame, n_buckets: int) -> DataFrame:
     return near.mapInPandas(send, _LINES).groupBy("bucket").applyInPandas(compare, "_rid long, a int, b int")
 
 
+def merged(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Spans, each a number a * 2 ** 32 + b, in order and joined where they meet."""
+    spans = np.sort(spans)
+    a, b = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    begins = np.r_[True, a[1:] > b[:-1]]
+    return list(zip(a[begins].tolist(), b[np.r_[begins[1:], True]].tolist(), strict=True))
+
+
 def without(x: Lines, doc: int, cuts: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
-    """A document without the spans of its lines that have `min_words` words or more, and how many words went."""
-    mine, merged = x.span(doc), []
-    for a, b in sorted(cuts):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
+    """A document without the spans (`merged`) of its lines that have `min_words` words or more, and how many words went."""
+    mine = x.span(doc)
     lo, end = int(x.base[doc]), int(x.base[doc + 1]) - 1 if doc + 1 < len(x.base) else len(x.data) - 1
     starts = [lo, *x.start[mine][1:].tolist(), end]
     kept, upto, gone = [], 0, 0
-    for a, b in merged:
+    for a, b in cuts:
         n = len(x.data[starts[a] : starts[b]].split())
         if n >= min_words:
             kept.append(x.data[starts[upto] : starts[a]])
@@ -402,7 +410,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     cuts = spans(d.join(want, "_rid"), n_buckets)
     rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
-    cuts = cuts.groupBy("_rid").agg(F.collect_set(F.struct("a", "b")).alias("_s"))
+    cuts = cuts.groupBy("_rid").agg(F.collect_set(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("_s"))
     cuts = table(cuts.select(F.col("_rid").alias(rid_col), F.col("_s").alias(cuts_col)), "lines-cuts")
     forget(want)
     release(spark)
@@ -413,7 +421,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         used = pd.DataFrame({"_t": texts, "s": spans, "at": np.arange(len(texts))})[texts.notna() & spans.notna()]
         for df, x in _batches(iter([used])):
             for doc, (at, s) in enumerate(zip(df["at"], df["s"], strict=True)):
-                done[at] = without(x, doc, [(y["a"], y["b"]) for y in s], min_words)
+                done[at] = without(x, doc, merged(s), min_words)
         return pd.DataFrame(done, columns=["t", "n"])
 
     out = docs.withColumn(rid_col, rid).join(cuts, rid_col, "left")

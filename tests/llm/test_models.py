@@ -322,6 +322,19 @@ def test_long_lines_are_found(spark):
         assert len(run & left) <= 20 if later else run <= left
 
 
+def test_cutting_needs_no_hashes():
+    """Spans come as numbers, met ones as one; what cuts lines out does not hash them."""
+    rng = random.Random(8)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 6)) for a in rng.choices(range(60), k=rng.randint(1, 12))]
+        covered = {i for a, b in spans for i in (2 * a, *range(2 * a, 2 * b), 2 * b)}
+        got = linededup.merged(np.array([(a << 32) + b for a, b in spans]))
+        assert {i for a, b in got for i in range(2 * a, 2 * b + 1)} == covered and all(b < a for (_, b), (a, _) in zip(got, got[1:], strict=False))
+    x = linededup.Lines([b"one two three.\nfour five six.\nseven"])
+    assert linededup.without(x, 0, linededup.merged(np.array([(0 << 32) + 1, (1 << 32) + 2])), 1) == ("seven", 6)
+    assert "hash" not in vars(x) and len(x.hash) == len(x.start)
+
+
 def test_lines_join_to_the_text():
     texts = ["", "a", "a\n", "a.\n\nb! c?d? e", " . x\n", "\n\n", "mark \x01 held and. so on", "word " * 60, "x\ty\n" * 40]
     for t in texts:
