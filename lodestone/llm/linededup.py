@@ -1,385 +1,194 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines, in DataFrame functions; `linemodel` has the same rules in Python."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cached_property
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, forget, fresh, release, ship, table
-
-#: A line ends with a gap that holds a line feed or follows the end of a sentence, and, since passages are
-#: also set into running lines, one after some last letters: about each fifth word. The gap is the line's.
-LAST = b".!?dhlm"
-BLANK = b" \t\n\r\x0b\x0c"
-_MARK = b"\x01"
-_LONG = 80  # bytes from which a line is cut at words by some of their bytes, whatever their last letter
-_EVERY = 2  # words between such cuts, on average
-_PART = 6_000_000  # bytes of the documents that are sent as one part
-_STEP = 2_000_000  # bytes that are parsed at once
+from .common import forget, fresh, let, release, table, word_count
+from .linemodel import _WANT, EVERY, GAPS, LAST, LONG, Chunks, Lines, Sides, lines, merged, without
+
+__all__ = ["_WANT", "Chunks", "Lines", "Sides", "dedup_lines", "lines", "merged", "without"]
+
+_MARK, _ESCAPE = "\x01", "\x02"
+_GAP = r"[\x20\x09-\x0D]"
+_INNER = r"[\x20\x09\x0B-\x0D]"  # a gap without a line feed
 _HOT = 50_000  # occurrences of a chunk that are compared in one task
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_is_blank, _is_last = np.zeros(256, bool), np.zeros(256, bool)
-_is_blank[list(BLANK)] = _is_last[list(LAST)] = True
 
 
-class Lines:
-    """The lines of some documents, given as UTF-8.
+def _raw(x: Column) -> Column:
+    """What `_escaped` was made from."""
+    return F.replace(F.replace(x, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
 
-    `data` holds the documents with a line feed after each, `base` where each
-    starts. Of all lines, in order: `start` (of the first word; the blanks before a
-    document's first line and after each line belong to it), `end` of the last
-    word, `fed`, whether a line feed follows, and `hash` of the bytes from start
-    to end; `first` has the first line of each document and the number of lines.
-    """
 
-    def __init__(self, texts: list[bytes]):
-        self.data = b"\n".join(texts) + b"\n"
-        x = np.frombuffer(self.data, np.uint8)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.base = np.r_[0, np.cumsum(size + 1)[:-1]]
-        word = ~_is_blank[x]
-        edge = np.flatnonzero(np.diff(np.r_[False, word, False]))
-        ws, we = edge[::2], edge[1::2]  # words
-        fed = np.add.reduceat(np.r_[x == 10, False].astype(np.int32), np.r_[we, len(x)])[:-1] > 0 if len(we) else np.zeros(0, bool)
-        ends = fed | _is_last[x[we - 1]]  # the line feed after a document ends its last line
-        first, last = self._lines(ends)
-        long_ = np.flatnonzero(we[last] - ws[first] > _LONG)
-        if len(long_):
-            inside = np.zeros(len(ws) + 1, np.int64)
-            np.add.at(inside, first[long_], 1)
-            np.add.at(inside, last[long_] + 1, -1)
-            w = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-            a, z = ws[w], we[w]
-            mixed = x[a].astype(np.int64) * 131 + x[z - 1].astype(np.int64) * 31 + x[(a + z) // 2].astype(np.int64) * 17 + x[np.maximum(z - 2, a)].astype(np.int64) * 11 + (z - a) * 7
-            ends[w] |= (mixed * 0x9E3779B1 >> 12) % _EVERY == 0
-            first, last = self._lines(ends)
-        self.start, self.end, self.fed = ws[first], we[last], fed[last]
-        self.first = np.searchsorted(self.start, np.r_[self.base, len(x)])
-
-    @cached_property
-    def hash(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        lead = int(self.start[0])
-        x = np.frombuffer(self.data, np.uint8)[lead:]
-        n = np.diff(np.r_[self.start - lead, len(x)])
-        place = np.arange(len(x)) - np.repeat(self.start - lead, n)
-        powers = np.cumprod(np.full(int(n.max()) + 1, _P), dtype=np.uint64)
-        value = (x.astype(np.uint64) + np.uint64(1)) * ~_is_blank[x] * powers[place]
-        h = np.add.reduceat(value, self.start - lead)
-        h ^= h >> np.uint64(29)
-        h *= _Q
-        return h ^ (h >> np.uint64(32))
-
-    @staticmethod
-    def _lines(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last word of each line."""
-        last = np.flatnonzero(ends)
-        return np.r_[0, last[:-1] + 1] if len(last) else last, last
-
-    def span(self, doc: int) -> slice:
-        return slice(self.first[doc], self.first[doc + 1])
-
-    def plain(self, i: int, j: int) -> list[bytes]:
-        """Lines i to j without what separates them."""
-        d = self.data
-        return [d[a:b] for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True)]
-
-
-def lines(text: str | None) -> list[str]:
-    """The lines of a text; joined, they are the text, but for one without words, which has none."""
-    t = (text or "").encode("utf-8", "surrogatepass")
-    cuts = [0, *Lines([t]).start[1:].tolist(), len(t)]
-    return [t[a:b].decode("utf-8", "surrogatepass") for a, b in zip(cuts, cuts[1:], strict=False)] if t.strip(BLANK) else []
-
-
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Lines]]:
-    """Rows in steps of about `_STEP` bytes, with the lines of their texts."""
-    claim("linededup")
-    for df in frames:
-        texts = [t.encode("utf-8", "surrogatepass") for t in df["_t"]]
-        step = np.cumsum([len(t) for t in texts]) // _STEP
-        for k in range(int(step[-1]) + 1 if len(step) else 0):
-            i, j = np.searchsorted(step, [k, k + 1])
-            if i < j:
-                yield df.iloc[i:j], Lines(texts[i:j])
-
-
-class Chunks:
-    """Chunks of the lines of some documents: `start` and `end` among all lines, `doc`, `k` within it, `hash`; `several` tells which have two lines or more.
+def _escaped(x: Column) -> Column:
+    """A text without the mark."""
+    return F.replace(F.replace(x, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
 
-    A chunk starts where the rolling hash of two lines on end falls, and where a
-    paragraph starts, if it is not a line away from the next. A boundary depends on
-    three lines at most, so chunks inside a repeated passage are alike whatever
-    stands around it; of n values on end, all but 1 / n! of cases have a fall.
-    """
 
-    def __init__(self, h: np.ndarray, fed: np.ndarray, sizes: np.ndarray):
-        n, first = len(h), np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]
-        before = np.r_[np.uint64(0), h[:-1]] if n else h
-        before[first] = 0
-        rolled = (before * _P) ^ h
-        rolled ^= rolled >> np.uint64(31)
-        rolled *= _Q
-        begins = np.zeros(n, bool)
-        if n:
-            begins[1:] = (rolled[1:] < rolled[:-1]) | (fed[:-1] & ~fed[1:])
-            begins[first] = True
-        self.start = np.flatnonzero(begins)
-        self.end = np.r_[self.start[1:], n] if n else self.start
-        self.several = self.end - self.start > 1
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)[self.start] if n else self.start
-        self.k = np.arange(len(self.start)) - np.searchsorted(self.start, np.r_[0, np.cumsum(sizes)[:-1]])[self.doc] if n else self.start
-        place = np.arange(n) - np.repeat(self.start, self.end - self.start)
-        factor = np.cumprod(np.full(int(place.max(initial=0)) + 1, _Q), dtype=np.uint64)
-        x = np.add.reduceat((h ^ (h >> np.uint64(29))) * factor[place], self.start) if n else h
-        x ^= x >> np.uint64(32)
-        self.hash = x * _P
+def _cut_long(xs: Column, raw, gaps: bool) -> Column:
+    """Lines with those of over `LONG` bytes cut after words whose hash says so."""
 
+    def word(w: Column) -> Column:
+        bare = F.rtrim(w, F.lit(GAPS))
+        ends = F.xxhash64(F.ltrim(raw(bare), F.lit("\n"))).bitwiseAND(F.lit(EVERY - 1)) == 0
+        return F.when(ends, F.concat(w if gaps else bare, F.lit(_MARK))).otherwise(w)
 
-_ROW = "kind int, part long, bucket int, a binary, b binary, c binary, d binary"
-_NAMES = [c.split()[0] for c in _ROW.split(", ")]
-_DOCS, _PLACES, _ASK, _GOT = range(4)
-_WANT = np.dtype([("k", "<u4"), ("salts", "<u4"), ("first", "u1")])
+    def pieces(x: Column) -> Column:
+        marked = F.array_join(F.transform(F.split(x, rf"(?<={_INNER})(?!{_GAP})"), word), "")
+        return F.filter(F.split(marked, _MARK, -1), lambda y: y != "")
 
+    def size(x: Column) -> Column:
+        return F.octet_length(F.rtrim(raw(x), F.lit(GAPS)) if gaps else F.ltrim(raw(x), F.lit("\n")))
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_NAMES)
+    return F.flatten(F.transform(xs, lambda x: F.when(F.octet_length(x) <= LONG, F.array(x)).when(size(x) <= LONG, F.array(x)).otherwise(pieces(x))))
 
 
-def _read(blobs, kind: str) -> np.ndarray:
-    return np.concatenate([np.empty(0, kind), *[np.frombuffer(b, kind) for b in blobs]])
+def _unmarked(text: Column, cut) -> Column:
+    """`cut(text, raw)`, an array; texts that hold the mark go through it escaped."""
+    return F.when(F.instr(text, _MARK) == 0, cut(text, lambda x: x)).otherwise(F.transform(cut(_escaped(text), _raw), _raw))
+
+
+def plain_lines(text: Column) -> Column:
+    """The lines of a text without what separates them; one that starts a paragraph has a line feed before it.
+
+    Marks are put at line feeds and the text is split there and at the other gaps
+    that end lines, which takes less time than finding the gaps of each line.
+    """
+
+    def cut(t: Column, raw) -> Column:
+        marked = F.regexp_replace(t, rf"{_GAP}*\n{_GAP}*", _MARK + "\n")
+        found = F.split(marked, rf"(?<=[{LAST}]){_INNER}+|{_MARK}", -1)
+        return _cut_long(F.filter(found, lambda x: (x != "") & (x != "\n")), raw, False)
 
+    return _unmarked(F.concat(F.ltrim(text, F.lit(GAPS)), F.lit("\n")), cut)
 
-def _deal(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    by = np.argsort(bucket, kind="stable")
-    b = bucket[by]
-    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-    return [(int(b[i]), by[i:j]) for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True)]
 
+def whole_lines(text: Column) -> Column:
+    """The lines of a text with their gaps: joined, they are the text but for blanks at its start."""
 
-def repeated(d: DataFrame, n_buckets: int) -> DataFrame:
-    """(_rid, want): which chunks of several lines of the documents (_rid, _id, _t) occur more than once, how many tasks compare them, and which are first.
+    def cut(t: Column, raw) -> Column:
+        marked = F.regexp_replace(t, rf"(?:[{LAST}]{_GAP}|\n){_GAP}*", f"$0{_MARK}")
+        return _cut_long(F.filter(F.split(marked, _MARK, -1), lambda x: x != ""), raw, True)
 
-    Documents form parts of `_PART` characters. A part sends each chunk hash once,
-    with its first place and its number of occurrences, to a bucket, which answers
-    what is repeated; the part finds the places again.
+    return _unmarked(F.ltrim(text, F.lit(GAPS)), cut)
+
+
+def _parsed(text: Column, body) -> Column:
+    """`body(lines, their hashes, chunks)` of a text, each made once; the chunks (s, e, ch) are those of several lines, from line s to e (exclusive).
+
+    A chunk starts where the rolling hash of two lines on end falls, and where a
+    paragraph starts, if it is not a line away from the next.
     """
+    opens = lambda xs, i: F.startswith(F.get(xs, i), F.lit("\n"))
+
+    def begins(xs: Column, rolled: Column) -> Column:
+        begin = lambda i: (i == 0) | (F.get(rolled, i) < F.get(rolled, i - 1)) | (opens(xs, i) & ~F.coalesce(opens(xs, i + 1), F.lit(True)))
+        return F.when(F.size(xs) > 0, F.filter(F.sequence(F.lit(0), F.size(xs) - 1), begin)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def chunks(h: Column, starts: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            e = F.coalesce(F.get(starts, k + 1), F.size(h))
+            return F.when(e - s > 1, F.struct(s.alias("s"), e.alias("e"), F.xxhash64(F.slice(h, s + 1, e - s)).alias("ch")))
+
+        return F.filter(F.transform(starts, one), lambda c: c.isNotNull())
+
+    def of(xs: Column) -> Column:
+        bare = F.transform(xs, lambda x: F.when(F.startswith(x, F.lit("\n")), F.substring(x, 2, 2**31 - 1)).otherwise(x))
+        rolled = lambda h: F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x))
+        with_h = lambda u, h: let(begins_of(xs, h), lambda starts: let(chunks(h, starts), lambda c: body(u, h, c)))
+        begins_of = lambda xs, h: let(rolled(h), lambda r: begins(xs, r))
+        return let(bare, lambda u: let(F.transform(u, lambda x: F.xxhash64(x)), lambda h: with_h(u, h)))
+
+    return let(plain_lines(text), of)
+
 
-    def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, size, held = TaskContext.get().partitionId() << 32, 0, []
-        for df, x in _batches(it):
-            held.append((df["_rid"].to_numpy(np.int64), df["_id"].to_numpy(np.int64), x.hash, x.fed, np.diff(x.first)))
-            size += len(x.data)
-            if size >= _PART:
-                yield of(part, held)
-                part, size, held = part + 1, 0, []
-        if held:
-            yield of(part, held)
-
-    def of(part: int, held: list[tuple]) -> pd.DataFrame:
-        rid, key, h, fed, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-        c = Chunks(h, fed, sizes)
-        ch, doc, k = c.hash[c.several], c.doc[c.several], c.k[c.several]
-        rank = np.empty(len(key), np.int64)
-        rank[np.argsort(key, kind="stable")] = np.arange(len(key))
-        by = np.argsort(rank[doc], kind="stable")
-        by = by[np.argsort(ch[by], kind="stable")]  # by hash, then id, then place
-        ch, doc, k = ch[by], doc[by], k[by]
-        first = np.flatnonzero(np.r_[True, ch[1:] != ch[:-1]]) if len(ch) else np.empty(0, np.int64)
-        n = np.diff(np.r_[first, len(ch)])
-        out = [(_DOCS, part, part % n_buckets, rid.astype("<i8").tobytes(), key.astype("<i8").tobytes(), b"", b""), (_PLACES, part, part % n_buckets, ch.astype("<u8").tobytes(), doc.astype("<u4").tobytes(), k.astype("<u4").tobytes(), b"")]
-        for b, at in _deal((ch[first] % np.uint64(n_buckets)).astype(np.int64)):
-            i = first[at]
-            out.append((_ASK, part, b, ch[i].astype("<u8").tobytes(), key[doc[i]].astype("<i8").tobytes(), k[i].astype("<u4").tobytes(), n[at].astype("<u4").tobytes()))
-        return _frame(out)
-
-    def answer(df: pd.DataFrame) -> pd.DataFrame:
-        asked = df[df.kind == _ASK]
-        out = [df[df.kind != _ASK]]
-        if len(asked):
-            ch, key, k, n = _read(asked.a, "<u8"), _read(asked.b, "<i8"), _read(asked.c, "<u4"), _read(asked.d, "<u4")
-            by = np.lexsort((k, key, ch))
-            first = np.flatnonzero(np.r_[True, ch[by][1:] != ch[by][:-1]])
-            group = np.empty(len(ch), np.int64)
-            group[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ch)]))
-            total = np.add.reduceat(n[by].astype(np.int64), first)
-            fkey, fk = key[by][first], k[by][first]
-            rows, upto = [], 0
-            for part, blob in zip(asked.part, asked.a, strict=True):
-                g = group[upto : upto + len(blob) // 8]
-                yes = np.flatnonzero(total[g] > 1)
-                mine, g = ch[upto:][yes], g[yes]
-                upto += len(blob) // 8
-                rows.append((_GOT, part, 0, mine.tobytes(), fkey[g].tobytes(), fk[g].tobytes(), (1 + total[g] // _HOT).astype("<u4").tobytes()))
-            out.append(_frame(rows))
-        return pd.concat(out)
-
-    def gather(df: pd.DataFrame) -> pd.DataFrame:
-        got, places, docs = (df[df.kind == x] for x in (_GOT, _PLACES, _DOCS))
-        ch, fkey, fk, salts = _read(got.a, "<u8"), _read(got.b, "<i8"), _read(got.c, "<u4"), _read(got.d, "<u4")
-        rid, key = _read(docs.a, "<i8"), _read(docs.b, "<i8")
-        mine, doc, k = _read(places.a, "<u8"), _read(places.b, "<u4"), _read(places.c, "<u4")
-        by = np.argsort(ch)
-        at = np.minimum(np.searchsorted(ch[by], mine), max(0, len(ch) - 1))
-        yes = np.flatnonzero(ch[by][at] == mine) if len(ch) else np.empty(0, np.int64)
-        at, doc, k = by[at[yes]] if len(ch) else yes, doc[yes], k[yes]
-        want = np.empty(len(k), _WANT)
-        want["k"], want["salts"], want["first"] = k, salts[at], (key[doc] == fkey[at]) & (k == fk[at])
-        order = np.lexsort((k, doc))
-        want, doc = want[order], doc[order]
-        cuts = np.searchsorted(doc, np.arange(len(rid) + 1))
-        has = np.flatnonzero(cuts[1:] > cuts[:-1])
-        return pd.DataFrame({"_rid": rid[has], "want": [want[cuts[i] : cuts[i + 1]].tobytes() for i in has]})
-
-    sent = d.mapInPandas(send, _ROW).groupBy("bucket").applyInPandas(answer, _ROW)
-    return sent.groupBy("part").applyInPandas(gather, "_rid long, want binary")
-
-
-_LINES = "bucket int, key binary, id binary, rid binary, k binary, side binary, at binary, n binary, x array<binary>"
-_FIELDS = (("key", "<u8"), ("id", "<i8"), ("rid", "<i8"), ("k", "<u4"), ("side", "i1"), ("at", "<u4"), ("n", "<u4"))
-
-
-class Sides:
-    """What is compared of documents with lines `x`, of which doc[i] wants the chunk k[i]: each of these, and at the ends of a run of them the lines beside it.
+def _want(k: Column, salts: Column, first: Column) -> Column:
+    """A wanted chunk as a number: its place among the chunks of several lines, how many tasks compare it, whether it is the first of its kind."""
+    return F.shiftleft(k.cast("long"), 24) + F.shiftleft(salts, 1) + first.cast("long")
+
+
+def pieces(text: Column, wanted: Column, rid: Column) -> Column:
+    """What is compared of a text, as structs (key, k, side, at, x): each of the sorted chunks `wanted`, and at the ends of a run of them the lines beside it.
 
     Side 0 is the chunk itself, under its hash, from line `at` on. Sides -1 and 1 are
-    the lines before it and after it, away from line `at`, under a hash of the
-    chunk and the nearest line, so that only passages that go on alike are
-    compared. They reach over the next chunk of several lines, and before the
+    the lines before it, last first, and after it, away from line `at`, under a
+    hash of the chunk and the nearest line, so that only passages that go on alike
+    are compared. They reach over the next chunk of several lines, and before the
     chunk one line more: no passage that begins or ends there goes further, as
-    boundaries from its third line on are its own. Lines `low` to `high` (of all) are
-    compared; `at` counts from the document's first.
+    boundaries from its third line on are its own. A hot chunk is dealt to several
+    keys, its first place to each.
     """
 
-    def __init__(self, x: Lines, doc: np.ndarray, want: np.ndarray):
-        sizes = np.diff(x.first)
-        c = Chunks(x.hash, x.fed, sizes)
-        n = len(c.start)
-        begin = np.searchsorted(c.start, x.first[:-1])
-        at = begin[doc] + want["k"]  # among all chunks
-        wanted = np.zeros(n + 2, bool)
-        wanted[at + 1] = True
-        index = np.arange(n)
-        back = np.maximum.accumulate(np.where(c.several, index, -1)) if n else index
-        ahead = np.minimum.accumulate(np.where(c.several, index, n)[::-1])[::-1] if n else index
-        lo, hi = x.first[doc], x.first[doc + 1]
-        s, e = c.start[at], c.end[at]
-        # before
-        i = np.flatnonzero((s > lo) & ~wanted[at])
-        near = back[at[i] - 1]
-        low = np.where(near >= begin[doc[i]], np.maximum(c.start[np.maximum(near, 0)] - 1, lo[i]), lo[i])
-        # after
-        j = np.flatnonzero((e < hi) & ~wanted[at + 2])
-        near = ahead[at[j] + 1]
-        ends = np.r_[c.end, 0][np.minimum(near, n)]
-        high = np.where((near < n) & (ends <= hi[j]), ends, hi[j])
-        code = c.hash[at]
-        with np.errstate(over="ignore"):
-            left = (code[i] ^ (x.hash[s[i] - 1] * _P)) * _Q + np.uint64(1)
-            right = (code[j] ^ (x.hash[e[j]] * _P)) * _Q + np.uint64(2)
-        join = lambda *parts: np.concatenate(parts)
-        self.row = join(np.arange(len(at)), i, j)  # which of the wanted chunks
-        self.key = join(code, left, right)
-        self.side = join(np.zeros(len(at), np.int64), np.full(len(i), -1), np.full(len(j), 1))
-        self.low, self.high = join(s, low, e[j]), join(e, s[i], high)
-        self.at = join(s - lo, s[i] - lo[i], e[j] - lo[j])
-
-
-def spans(near: DataFrame, n_buckets: int) -> DataFrame:
-    """(_rid, a, b): lines a to b (exclusive) of the documents (_rid, _id, _t, want) that an earlier place holds, byte for byte but for blanks around lines."""
-
-    def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df, x in _batches(it):
-            wants = [np.frombuffer(w, _WANT) for w in df["want"]]
-            doc, want = np.repeat(np.arange(len(wants)), [len(w) for w in wants]), np.concatenate(wants)
-            s = Sides(x, doc, want)
-            rid, key = (df[c].to_numpy(np.int64) for c in ("_rid", "_id"))
-            salts, first = want["salts"].astype(np.int64)[s.row], want["first"].astype(bool)[s.row]
-            # a hot chunk's first place goes to all tasks that compare it
-            copies = np.where(first, salts, 1)
-            at = np.repeat(np.arange(len(s.row)), copies)
-            salt = np.where(first[at], np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies), rid[doc[s.row[at]]] % salts[at]).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                code = s.key[at] + salt * _P
-            d, a, b, plain = x.data, x.start[s.low].tolist(), x.end[s.high - 1].tolist(), x.plain(0, len(x.start))
-            text = [d[i:j] if not e else _MARK.join(plain[lo:hi][::e]) for i, j, e, lo, hi in zip(a, b, s.side.tolist(), s.low.tolist(), s.high.tolist(), strict=True)]
-            row = s.row[at]
-            fields = {"key": code, "id": key[doc[row]], "rid": rid[doc[row]], "k": want["k"][row], "side": s.side[at], "at": s.at[at], "n": (s.high - s.low)[at]}
-            made = [(bucket, *[fields[f][own].astype(kind).tobytes() for f, kind in _FIELDS], [text[i] for i in at[own].tolist()]) for bucket, own in _deal((code % np.uint64(n_buckets)).astype(np.int64))]
-            yield pd.DataFrame(made, columns=["bucket", *[f for f, _ in _FIELDS], "x"])
-
-    def compare(df: pd.DataFrame) -> pd.DataFrame:
-        key, ident, rid, k, side, at, n = (_read(df[f], kind) for f, kind in _FIELDS)
-        x = [t for texts in df.x for t in texts]
-        by = np.lexsort((rid, k, ident, key))
-        cuts = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-        sizes = np.diff(np.r_[cuts, len(by)])
-        who, a, b = [], [], []
-        for i, size in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            head = by[i]
-            first = x[head]
-            held = first.split(_MARK) if side[head] else None
-            for j in by[i + 1 : i + size]:
-                if rid[j] == rid[head] and k[j] == k[head]:
-                    continue  # a repeated row
-                if held is None:
-                    if x[j] != first and (n[j] != n[head] or x[j].split() != first.split()):  # they may differ in what parts their lines
-                        continue
-                    lo, hi = at[j], at[j] + n[j]
-                else:
-                    same = 0
-                    for p, q in zip(x[j].split(_MARK), held, strict=False):
-                        if p != q:
-                            break
-                        same += 1
-                    same = min(same, n[j])
-                    if not same:
-                        continue
-                    lo, hi = (at[j] - same, at[j]) if side[j] < 0 else (at[j], at[j] + same)
-                who.append(rid[j])
-                a.append(lo)
-                b.append(hi)
-        return pd.DataFrame({"_rid": np.array(who, np.int64), "a": np.array(a, np.int32), "b": np.array(b, np.int32)})
-
-    return near.mapInPandas(send, _LINES).groupBy("bucket").applyInPandas(compare, "_rid long, a int, b int")
-
-
-def merged(spans: np.ndarray) -> list[tuple[int, int]]:
-    """Spans, each a number a * 2 ** 32 + b, in order and joined where they meet."""
-    spans = np.sort(spans)
-    a, b = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
-    begins = np.r_[True, a[1:] > b[:-1]]
-    return list(zip(a[begins].tolist(), b[np.r_[begins[1:], True]].tolist(), strict=True))
-
-
-def without(x: Lines, doc: int, cuts: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
-    """A document without the spans (`merged`) of its lines that have `min_words` words or more, and how many words went."""
-    mine = x.span(doc)
-    lo, end = int(x.base[doc]), int(x.base[doc + 1]) - 1 if doc + 1 < len(x.base) else len(x.data) - 1
-    starts = [lo, *x.start[mine][1:].tolist(), end]
-    kept, upto, gone = [], 0, 0
-    for a, b in cuts:
-        n = len(x.data[starts[a] : starts[b]].split())
-        if n >= min_words:
-            kept.append(x.data[starts[upto] : starts[a]])
-            upto, gone = b, gone + n
-    return (b"".join(kept) + x.data[starts[upto] : end]).decode("utf-8", "surrogatepass"), gone
+    def of(u: Column, h: Column, c: Column, wanted: Column) -> Column:
+        part = lambda a, b: F.slice(u, a + 1, b - a)
+        number = lambda v: F.shiftright(v, 24).cast("int")
+
+        def row(k: Column, side: int, key: Column, at: Column, x: Column) -> Column:
+            return F.struct(key.alias("key"), k.alias("k"), F.lit(side).alias("side"), at.alias("at"), x.alias("x"))
+
+        def beside(v: Column, i: Column) -> Column:
+            k = number(v)
+            me, back, ahead = F.get(c, k), F.get(c, k - 1), F.get(c, k + 1)
+            alone = lambda j, meets: ~F.coalesce((number(F.get(wanted, j)) == k + (j - i)) & meets, F.lit(False))
+            low = F.greatest(F.coalesce(back["s"] - 1, F.lit(0)), F.lit(0))
+            high = F.coalesce(ahead["e"], F.size(h))
+            before = F.when((me["s"] > 0) & alone(i - 1, back["e"] == me["s"]), row(k, -1, F.xxhash64(me["ch"], F.get(h, me["s"] - 1), F.lit(-1).cast("long")), me["s"], F.reverse(part(low, me["s"]))))
+            after = F.when((me["e"] < F.size(h)) & alone(i + 1, ahead["s"] == me["e"]), row(k, 1, F.xxhash64(me["ch"], F.get(h, me["e"]), F.lit(1).cast("long")), me["e"], part(me["e"], high)))
+            own = lambda key: row(k, 0, key, me["s"], part(me["s"], me["e"]))
+            salts = F.shiftright(v, 1).bitwiseAND(F.lit((1 << 23) - 1))
+            dealt = F.when(v.bitwiseAND(F.lit(1)) == 1, F.transform(F.sequence(F.lit(0).cast("long"), salts - 1), lambda t: own(F.xxhash64(me["ch"], t)))).otherwise(F.array(own(F.xxhash64(me["ch"], F.pmod(rid, salts)))))
+            mine = F.when(salts == 1, F.array(own(me["ch"]), before, after)).otherwise(F.concat(dealt, F.array(before, after)))
+            return F.filter(mine, lambda x: x.isNotNull())
+
+        return F.flatten(F.transform(wanted, beside))
+
+    return let(F.array_sort(wanted), lambda w: _parsed(text, lambda u, h, c: of(u, h, c, w)))
+
+
+def alike(x: Column, y: Column) -> Column:
+    """How many of their first lines two arrays share."""
+    both = F.zip_with(x, y, lambda a, b: a.eqNullSafe(b) & a.isNotNull())
+    return let(both, lambda same: F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int"))
+
+
+def joined(spans: Column) -> Column:
+    """Runs (a, b), b exclusive, of the lines that any of the spans a * 2 ** 32 + b covers, in order."""
+    covered = F.flatten(F.transform(spans, lambda s: F.sequence(F.shiftright(s, 32).cast("int"), s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - 1)))
+
+    def runs(c: Column) -> Column:
+        begins = F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1) < x - 1, F.lit(True)))
+        ends = F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1) > x + 1, F.lit(True)))
+        return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+
+    return let(F.array_sort(F.array_distinct(covered)), runs)
+
+
+def _without(text: Column, runs: Column, min_words: int) -> Column:
+    """(t, n): a text without the runs of its lines that have `min_words` words or more, and how many words went."""
+
+    def of(us: Column) -> Column:
+        words = lambda x: word_count(F.array_join(F.slice(us, x["a"] + 1, x["b"] - x["a"]), ""))
+        counted = F.transform(runs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), words(x).alias("n")))
+
+        def cut(g: Column) -> Column:
+            upto = lambda i: F.coalesce(F.get(g, i)["a"], F.size(us))
+            kept = F.transform(F.sequence(F.lit(0), F.size(g)), lambda i: let(F.coalesce(F.get(g, i - 1)["b"], F.lit(0)), lambda b: F.array_join(F.slice(us, b + 1, upto(i) - b), "")))
+            lead = F.when(F.get(g, 0)["a"] == 0, F.lit("")).otherwise(F.substring(text, F.lit(1), F.length(text) - F.length(F.ltrim(text, F.lit(GAPS)))))  # blanks before the first line are its
+            return F.struct(F.concat(lead, F.array_join(kept, "")).alias("t"), F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n"))
+
+        return let(F.filter(counted, lambda x: x["n"] >= min_words), lambda g: F.when(F.size(g) > 0, cut(g)))
+
+    return let(whole_lines(text), of)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, bucket_bytes: int = 6_000_000) -> DataFrame:
     """`docs` without passages of several lines that occur before, in the same or an earlier document.
 
     Lines end at line feeds, sentences and words with some last letters, and long
-    ones are cut at words by some of their bytes (see `Lines`). Where the rolling hash of two
+    ones are cut at words by their hash (see `plain_lines`). Where the rolling hash of two
     lines on end falls, and where a paragraph starts, a chunk starts; so chunks
-    follow the content and not the place (see `Chunks`). Chunks of two lines or more
+    follow the content and not the place. Chunks of two lines or more
     whose hash occurs twice are compared with their first occurrence, by document id
     and place, and where the lines are the same bytes but for blanks and line ends
     around them, the later one goes. The lines beside a run of repeated chunks are
@@ -389,8 +198,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     piece has at least `min_words` words: shorter repeats are phrases. One line over
     and over has no boundary: it is a single chunk.
 
-    Tasks hold parts and buckets of some MB, whatever the size of a scan partition
-    or a text's company: a part sends a chunk once, and a chunk of over `_HOT`
+    Only DataFrame functions are used. What is dealt by hashes goes to as many
+    tasks as the texts have `bucket_bytes` bytes, and a chunk of over `_HOT`
     occurrences is compared by several tasks, each of which gets its first place.
 
     Adds removed_words (long) and changes `text_col`; a column of that name gives
@@ -399,33 +208,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first. A document that loses every word keeps its row with the words' rest, at
     most white space. An empty table gives an empty result. Other columns pass.
     """
-    ship(docs)
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "removed_words"])
     rid = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00")))
     d = docs.select(rid.alias("_rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
     n_buckets = max(16, min(1 << 20, int(size) // bucket_bytes))
-    want = table(repeated(d, n_buckets).dropDuplicates(["_rid"]), "lines-repeated")
+
+    found = d.select("_id", "_rid", F.posexplode(_parsed(F.col("_t"), lambda u, h, c: F.transform(c, lambda x: x["ch"]))).alias("k", "ch"))
+    place = Window.partitionBy("ch").orderBy("_id", "_rid", "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {f"{name}{c}": f(c).over(place) for c in ("_rid", "k") for name, f in (("first", F.first), ("last", F.last))}
+    found = found.repartition(n_buckets, "ch").withColumns(ends | {"n": F.count("*").over(place)}).where("first_rid <> last_rid or firstk <> lastk")
+    salts = F.floor(F.col("n") / _HOT) + 1
+    want = found.select("_rid", _want(F.col("k"), salts, F.expr("_rid = first_rid and k = firstk")).alias("w"))
+    want = table(want.repartition(n_buckets, "_rid").groupBy("_rid").agg(F.collect_set("w").alias("_w")), "lines-repeated")
     release(spark)
-    cuts = spans(d.join(want, "_rid"), n_buckets)
+
+    near = d.repartition(n_buckets, "_rid").join(want.repartition(n_buckets, "_rid").hint("shuffle_hash"), "_rid")
+    near = near.select("_id", "_rid", F.explode(pieces(F.col("_t"), F.col("_w"), F.col("_rid"))).alias("c")).select("_id", "_rid", "c.*")
+    order = Window.partitionBy("key").orderBy("_id", "_rid", "k")
+    near = near.repartition(n_buckets, "key").withColumns({f"first{c}": F.first(c).over(order) for c in ("_rid", "k", "x")})
+    hit = near.where("_rid <> first_rid or k <> firstk")
+    hit = hit.withColumn("n", F.when(F.col("side") != 0, alike(F.col("x"), F.col("firstx"))).when(F.col("x") == F.col("firstx"), F.size("x")).otherwise(0)).where("n > 0")
+    a = F.when(F.col("side") < 0, F.col("at") - F.col("n")).otherwise(F.col("at"))
+    spans = hit.select("_rid", (F.shiftleft(a.cast("long"), 32) + a + F.col("n")).alias("s"))
     rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
-    cuts = cuts.groupBy("_rid").agg(F.collect_set(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("_s"))
-    cuts = table(cuts.select(F.col("_rid").alias(rid_col), F.col("_s").alias(cuts_col)), "lines-cuts")
+    cuts = spans.repartition(n_buckets, "_rid").groupBy("_rid").agg(F.collect_set("s").alias("_s"))
+    cuts = table(cuts.select(F.col("_rid").alias(rid_col), joined(F.col("_s")).alias(cuts_col)), "lines-cuts")
     forget(want)
     release(spark)
 
-    @F.pandas_udf("t string, n long")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        done: list[tuple] = [(None, 0)] * len(texts)
-        used = pd.DataFrame({"_t": texts, "s": spans, "at": np.arange(len(texts))})[texts.notna() & spans.notna()]
-        for df, x in _batches(iter([used])):
-            for doc, (at, s) in enumerate(zip(df["at"], df["s"], strict=True)):
-                done[at] = without(x, doc, merged(s), min_words)
-        return pd.DataFrame(done, columns=["t", "n"])
-
-    out = docs.withColumn(rid_col, rid).join(cuts, rid_col, "left")
-    out = out.withColumn(done_col, cut(F.when(F.col(cuts_col).isNotNull(), F.col(text_col)), F.col(cuts_col)))
+    out = docs.withColumn(rid_col, rid).repartition(n_buckets, rid_col).join(cuts.repartition(n_buckets, rid_col).hint("shuffle_hash"), rid_col, "left")
+    out = out.withColumn(done_col, F.when(F.col(cuts_col).isNotNull(), _without(F.col(text_col), F.col(cuts_col), min_words)))
     n = F.coalesce(F.col(done_col)["n"], F.lit(0)).cast("long")
     text = F.when(n > 0, F.col(done_col)["t"]).otherwise(F.col(text_col))
     return out.withColumn(text_col, text).withColumn("removed_words", n).drop(rid_col, cuts_col, done_col)
