@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,27 +43,37 @@ def _cut_long(xs: Column, raw, gaps: bool) -> Column:
     def size(x: Column) -> Column:
         return F.octet_length(F.rtrim(raw(x), F.lit(GAPS)) if gaps else F.ltrim(raw(x), F.lit("\n")))
 
-    return F.flatten(F.transform(xs, lambda x: F.when(F.octet_length(x) <= LONG, F.array(x)).when(size(x) <= LONG, F.array(x)).otherwise(pieces(x))))
+    cut = lambda xs: F.flatten(F.transform(xs, lambda x: F.when(F.octet_length(x) <= LONG, F.array(x)).when(size(x) <= LONG, F.array(x)).otherwise(pieces(x))))
+    return let(xs, lambda xs: F.when(F.exists(xs, lambda x: F.octet_length(x) > LONG), cut(xs)).otherwise(xs))
 
 
 def _unmarked(text: Column, cut) -> Column:
     """`cut(text, raw)`, an array; texts that hold the mark go through it escaped."""
-    return F.when(F.instr(text, _MARK) == 0, cut(text, lambda x: x)).otherwise(F.transform(cut(_escaped(text), _raw), _raw))
+    odd = lambda t: F.transform(let(_escaped(t), lambda e: cut(e, _raw)), _raw)
+    return let(text, lambda t: F.when(F.instr(t, _MARK) == 0, cut(t, lambda x: x)).otherwise(odd(t)))
 
 
-def plain_lines(text: Column) -> Column:
-    """The lines of a text without what separates them; one that starts a paragraph has a line feed before it.
+def _usual(t: Column) -> Column:
+    """Whether all gaps of a text are single spaces and line feeds."""
+    odd = [F.contains(t, F.lit(x)) for x in ("\t", "\r", "  ", " \n", "\n ", "\n\n", "\x0b", "\x0c")]
+    return ~reduce(lambda a, b: a | b, odd)
 
-    Marks are put at line feeds and the text is split there and at the other gaps
-    that end lines, which takes less time than finding the gaps of each line.
-    """
+
+def _replaced(t: Column, pairs) -> Column:
+    """A text with these replaced, one after the other."""
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, t)
+
+
+def plain_lines(text: Column) -> Column:
+    """The lines of a text without what separates them; one that starts a paragraph has a line feed before it."""
 
     def cut(t: Column, raw) -> Column:
-        marked = F.regexp_replace(t, rf"{_GAP}*\n{_GAP}*", _MARK + "\n")
-        found = F.split(marked, rf"(?<=[{LAST}]){_INNER}+|{_MARK}", -1)
-        return _cut_long(F.filter(found, lambda x: (x != "") & (x != "\n")), raw, False)
+        usual = F.split(_replaced(t, [("\n", _MARK + "\n"), *((f"{x} ", x + _MARK) for x in LAST)]), _MARK, -1)
+        odd = F.split(F.regexp_replace(t, rf"{_GAP}*\n{_GAP}*", _MARK + "\n"), rf"(?<=[{LAST}]){_INNER}+|{_MARK}", -1)
+        return _cut_long(F.filter(F.when(_usual(t), usual).otherwise(odd), lambda x: (x != "") & (x != "\n")), raw, False)
 
-    return _unmarked(F.concat(F.ltrim(text, F.lit(GAPS)), F.lit("\n")), cut)
+    ended = lambda t: F.when(F.endswith(t, F.lit("\n")), t).otherwise(F.concat(t, F.lit("\n")))
+    return _unmarked(let(F.ltrim(text, F.lit(GAPS)), ended), cut)
 
 
 def whole_lines(text: Column) -> Column:
@@ -109,23 +121,24 @@ def _want(k: Column, salts: Column, first: Column) -> Column:
 
 
 def pieces(text: Column, wanted: Column, rid: Column) -> Column:
-    """What is compared of a text, as structs (key, k, side, at, x): each of the sorted chunks `wanted`, and at the ends of a run of them the lines beside it.
+    """What is compared of a text, as structs (key, k, side, at, lines, x): each of the sorted chunks `wanted`, and at the ends of a run of them the lines beside it.
 
     Side 0 is the chunk itself, under its hash, from line `at` on. Sides -1 and 1 are
     the lines before it, last first, and after it, away from line `at`, under a
     hash of the chunk and the nearest line, so that only passages that go on alike
     are compared. They reach over the next chunk of several lines, and before the
     chunk one line more: no passage that begins or ends there goes further, as
-    boundaries from its third line on are its own. A hot chunk is dealt to several
+    boundaries from its third line on are its own. `x` has the lines with line feeds
+    between, which none holds. A hot chunk is dealt to several
     keys, its first place to each.
     """
 
     def of(u: Column, h: Column, c: Column, wanted: Column) -> Column:
-        part = lambda a, b: F.slice(u, a + 1, b - a)
+        part = lambda a, b, turn=lambda x: x: F.array_join(turn(F.slice(u, a + 1, b - a)), "\n")  # noqa: E731  # no line holds a line feed
         number = lambda v: F.shiftright(v, 24).cast("int")
 
-        def row(k: Column, side: int, key: Column, at: Column, x: Column) -> Column:
-            return F.struct(key.alias("key"), k.alias("k"), F.lit(side).alias("side"), at.alias("at"), x.alias("x"))
+        def row(k: Column, side: int, key: Column, at: Column, n: Column, x: Column) -> Column:
+            return F.struct(key.alias("key"), k.alias("k"), F.lit(side).alias("side"), at.alias("at"), n.alias("lines"), x.alias("x"))
 
         def beside(v: Column, i: Column) -> Column:
             k = number(v)
@@ -133,9 +146,9 @@ def pieces(text: Column, wanted: Column, rid: Column) -> Column:
             alone = lambda j, meets: ~F.coalesce((number(F.get(wanted, j)) == k + (j - i)) & meets, F.lit(False))
             low = F.greatest(F.coalesce(back["s"] - 1, F.lit(0)), F.lit(0))
             high = F.coalesce(ahead["e"], F.size(h))
-            before = F.when((me["s"] > 0) & alone(i - 1, back["e"] == me["s"]), row(k, -1, F.xxhash64(me["ch"], F.get(h, me["s"] - 1), F.lit(-1).cast("long")), me["s"], F.reverse(part(low, me["s"]))))
-            after = F.when((me["e"] < F.size(h)) & alone(i + 1, ahead["s"] == me["e"]), row(k, 1, F.xxhash64(me["ch"], F.get(h, me["e"]), F.lit(1).cast("long")), me["e"], part(me["e"], high)))
-            own = lambda key: row(k, 0, key, me["s"], part(me["s"], me["e"]))
+            before = F.when((me["s"] > 0) & alone(i - 1, back["e"] == me["s"]), row(k, -1, F.xxhash64(me["ch"], F.get(h, me["s"] - 1), F.lit(-1).cast("long")), me["s"], me["s"] - low, part(low, me["s"], F.reverse)))
+            after = F.when((me["e"] < F.size(h)) & alone(i + 1, ahead["s"] == me["e"]), row(k, 1, F.xxhash64(me["ch"], F.get(h, me["e"]), F.lit(1).cast("long")), me["e"], high - me["e"], part(me["e"], high)))
+            own = lambda key: row(k, 0, key, me["s"], me["e"] - me["s"], part(me["s"], me["e"]))
             salts = F.shiftright(v, 1).bitwiseAND(F.lit((1 << 23) - 1))
             dealt = F.when(v.bitwiseAND(F.lit(1)) == 1, F.transform(F.sequence(F.lit(0).cast("long"), salts - 1), lambda t: own(F.xxhash64(me["ch"], t)))).otherwise(F.array(own(F.xxhash64(me["ch"], F.pmod(rid, salts)))))
             mine = F.when(salts == 1, F.array(own(me["ch"]), before, after)).otherwise(F.concat(dealt, F.array(before, after)))
@@ -147,8 +160,8 @@ def pieces(text: Column, wanted: Column, rid: Column) -> Column:
 
 
 def alike(x: Column, y: Column) -> Column:
-    """How many of their first lines two arrays share."""
-    both = F.zip_with(x, y, lambda a, b: a.eqNullSafe(b) & a.isNotNull())
+    """How many of their first lines two passages share."""
+    both = F.zip_with(F.split(x, "\n", -1), F.split(y, "\n", -1), lambda a, b: a.eqNullSafe(b) & a.isNotNull())
     return let(both, lambda same: F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int"))
 
 
@@ -229,7 +242,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = Window.partitionBy("key").orderBy("_id", "_rid", "k")
     near = near.repartition(n_buckets, "key").withColumns({f"first{c}": F.first(c).over(order) for c in ("_rid", "k", "x")})
     hit = near.where("_rid <> first_rid or k <> firstk")
-    hit = hit.withColumn("n", F.when(F.col("side") != 0, alike(F.col("x"), F.col("firstx"))).when(F.col("x") == F.col("firstx"), F.size("x")).otherwise(0)).where("n > 0")
+    hit = hit.withColumn("n", F.when(F.col("x") == F.col("firstx"), F.col("lines")).when(F.col("side") != 0, alike(F.col("x"), F.col("firstx"))).otherwise(0)).where("n > 0")
     a = F.when(F.col("side") < 0, F.col("at") - F.col("n")).otherwise(F.col("at"))
     spans = hit.select("_rid", (F.shiftleft(a.cast("long"), 32) + a + F.col("n")).alias("s"))
     rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
