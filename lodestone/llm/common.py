@@ -11,7 +11,8 @@ import tempfile
 import time
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+@contextmanager
+def shuffles_spent(spark: SparkSession) -> Iterator[None]:
+    """What is written within this gives up its shuffle files as soon as it is written, without waiting for garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not use, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, let, release, table, word_count
+from .common import forget, fresh, let, shuffles_spent, table, word_count
 from .linemodel import _WANT, EVERY, GAPS, LAST, LONG, Chunks, Lines, Sides, lines, merged, without
 
 __all__ = ["_WANT", "Chunks", "Lines", "Sides", "dedup_lines", "lines", "merged", "without"]
@@ -234,8 +234,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.repartition(n_buckets, "ch").withColumns(ends | {"n": F.count("*").over(place)}).where("first_rid <> last_rid or firstk <> lastk")
     salts = F.floor(F.col("n") / _HOT) + 1
     want = found.select("_rid", _want(F.col("k"), salts, F.expr("_rid = first_rid and k = firstk")).alias("w"))
-    want = table(want.repartition(n_buckets, "_rid").groupBy("_rid").agg(F.collect_set("w").alias("_w")), "lines-repeated")
-    release(spark)
+    want = want.repartition(n_buckets, "_rid").groupBy("_rid").agg(F.collect_set("w").alias("_w"))
+    with shuffles_spent(spark):
+        want = table(want, "lines-repeated")
 
     near = d.repartition(n_buckets, "_rid").join(want.repartition(n_buckets, "_rid").hint("shuffle_hash"), "_rid")
     near = near.select("_id", "_rid", F.explode(pieces(F.col("_t"), F.col("_w"), F.col("_rid"))).alias("c")).select("_id", "_rid", "c.*")
@@ -247,9 +248,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = hit.select("_rid", (F.shiftleft(a.cast("long"), 32) + a + F.col("n")).alias("s"))
     rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
     cuts = spans.repartition(n_buckets, "_rid").groupBy("_rid").agg(F.collect_set("s").alias("_s"))
-    cuts = table(cuts.select(F.col("_rid").alias(rid_col), joined(F.col("_s")).alias(cuts_col)), "lines-cuts")
+    with shuffles_spent(spark):
+        cuts = table(cuts.select(F.col("_rid").alias(rid_col), joined(F.col("_s")).alias(cuts_col)), "lines-cuts")
     forget(want)
-    release(spark)
 
     out = docs.withColumn(rid_col, rid).repartition(n_buckets, rid_col).join(cuts.repartition(n_buckets, rid_col).hint("shuffle_hash"), rid_col, "left")
     out = out.withColumn(done_col, F.when(F.col(cuts_col).isNotNull(), _without(F.col(text_col), F.col(cuts_col), min_words)))

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -21,6 +23,23 @@ def test_line_dedup_runs_no_python(spark, monkeypatch):
     assert len(plans) == 2 and not any(re.search("Python|Pandas|Arrow", p) for p in [*plans, plan(out)])
 
 
+def test_line_dedup_leaves_no_shuffle_files(spark, monkeypatch):
+    """Files of finished steps go without help from garbage collection, since they count as disk while later steps run."""
+    monkeypatch.setattr(linededup, "release", lambda *_: None, raising=False)
+    dirs = [d.getPath() for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in dirs for f in Path(d).glob("*/shuffle_*.data")}
+    passage = " ".join(f"w{i}" for i in range(80)) + ". "
+    df = spark.createDataFrame([(1, "Own words. " + passage), (2, passage + "Others.")], "doc_id long, text string")
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    linededup.dedup_lines(df)
+    end = time.time() + 20
+    while len(left := files() - before) > 1 and time.time() < end:  # that of the action that sums up bytes may stay; removal is not waited for
+        time.sleep(0.2)
+    assert len(left) <= 1
+    assert spark.conf.get(key, None) == was
+
+
 def test_both_forms_have_the_same_lines(spark):
     """Lines, their hashes and chunks of odd texts: gaps of all kinds, the marks themselves, long lines, letters of several bytes."""
     rng = random.Random(3)
