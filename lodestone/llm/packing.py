@@ -9,6 +9,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 from unicodedata import is_normalized
 
 import numpy as np
@@ -26,6 +28,8 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _bound = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))").search
 #: Words the tokenizer neither normalises nor splits: lower-case Latin-1 letters.
 _plain = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+#: Such letters and then ASCII punctuation, which forms a piece of its own; without "'" (contractions) and "<" (special tokens).
+_ended = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:;=-@\[-`{-~]+)").fullmatch
 _known: dict[str, WordIds] = {}
 
 
@@ -47,23 +51,30 @@ class WordIds:
     their case, since special tokens are matched before it is folded.
 
     Words of plain letters go to the tokenizer's own model without the steps
-    before it, which leave them as they are, many at a time with a mark between;
+    before it, which leave them as they are, many at a time with a mark between,
+    also those before signs, which are pieces of their own;
     so they do only where the file has the steps known to do so (`plain`).
+
+    The memo has two halves of about `most` strings: what is still in use comes over from
+    the older one, so that a full memo does not cost the frequent words.
     """
 
-    def __init__(self, path: str, most: int = 250_000, mark: str = "|"):
+    def __init__(self, path: str, most: int = 125_000, mark: str = "|"):
         from tokenizers import Tokenizer
 
-        self.tok, self.memo, self.most, self.mark = Tokenizer.from_file(path), {}, most, mark
+        self.tok, self.memo, self.before, self.most, self.mark = Tokenizer.from_file(path), {}, {}, most, mark
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and r"|[\p{L}]+|" in cuts[0]["pattern"].get("Regex", "")
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model, self.letters = Tokenizer.from_str(json.dumps(spec)), _byte_letters()
         ids = self.model.encode(mark, add_special_tokens=False).ids
         self.plain, self.mark_id = self.plain and len(ids) == 1, ids[0] if ids else -1
+        # ids below 2 ** 16 end with two zero bytes, so that a mark without zeros before these is found at whole ids only
+        whole = self.mark_id & 0xFF and self.mark_id >> 8 and self.tok.get_vocab_size() <= 1 << 16
+        self.split_at = struct.pack("<I", self.mark_id) if self.plain and whole else b""
 
     @staticmethod
     def split(t: str) -> list[str]:
@@ -78,39 +89,54 @@ class WordIds:
 
     def learn(self, new: list[str], group: int = 32) -> None:
         """Put the ids of new strings into the memo."""
-        memo, rest = self.memo, new
-        if self.plain:
-            rest, easy, spelt = [], [], []
-            for w in new:
-                low = w.lower()
-                if not _plain(low):
-                    rest.append(w)
-                    continue
-                easy.append(w)
-                spelt.append(low if low.isascii() else low.translate(self.letters))
+        memo, rest, ended = self.memo, new, []
+        if self.plain and new:
+            lows, easy, rest = "\n".join(new).lower().split("\n"), {}, {}  # no string holds a line feed
+            for w, low in zip(new, lows, strict=True):
+                if _plain(low):
+                    easy[w] = low
+                elif m := _ended(low):
+                    ended.append((w, *m.groups()))
+                else:
+                    rest[w] = None
+            for _, letters, signs in ended:
+                if letters not in memo:
+                    easy[letters] = letters
+                if signs not in memo:
+                    rest[signs] = None
+            rest, names = list(rest), list(easy)
+            spelt = [x if x.isascii() else x.translate(self.letters) for x in easy.values()]
             texts = [f" {self.mark} ".join(spelt[i : i + group]) for i in range(0, len(spelt), group)]
-            at = 0
-            for e in self.model.encode_batch_fast(texts, add_special_tokens=False):
-                ids, lo = array("I", e.ids), 0
-                for _ in range(ids.count(self.mark_id)):
-                    hi = ids.index(self.mark_id, lo)
-                    memo[easy[at]] = ids[lo:hi].tobytes()
-                    lo, at = hi + 1, at + 1
-                memo[easy[at]] = ids[lo:].tobytes()
-                at += 1
+            for at, e in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False)):
+                memo.update(zip(names[at * group : (at + 1) * group], self.cut(e.ids), strict=True))
         for lo in range(0, len(rest), 8192):
             some = rest[lo : lo + 8192]
             for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[w] = array("I", e.ids).tobytes()
+        for w, letters, signs in ended:
+            memo[w] = memo[letters] + memo[signs]
+
+    def cut(self, ids: list[int]) -> list[bytes]:
+        """The ids between marks, as bytes."""
+        if self.split_at:
+            return array("I", ids).tobytes().split(self.split_at)
+        out, ids, lo = [], array("I", ids), 0
+        for _ in range(ids.count(self.mark_id)):
+            hi = ids.index(self.mark_id, lo)
+            out.append(ids[lo:hi].tobytes())
+            lo = hi + 1
+        return [*out, ids[lo:].tobytes()]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
+            self.memo, self.before = {}, self.memo
+        memo, before = self.memo, self.before
         parts = [self.split(t) for t in texts]
         found = [list(map(memo.get, p)) for p in parts]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
-        self.learn(list({p[i] for p, g in zip(parts, gaps, strict=True) for i in g}))
+        gaps = [list(compress(range(len(f)), map(not_, f))) for f in found]
+        new = {p[i] for p, g in zip(parts, gaps, strict=True) for i in g}
+        memo.update((w, before[w]) for w in new if w in before)
+        self.learn([w for w in new if w not in before])
         for p, f, g in zip(parts, found, gaps, strict=True):
             for i in g:
                 f[i] = memo[p[i]]
@@ -150,12 +176,12 @@ class SumOfSquares:
         if s == size:
             self.windows.append([piece])
             return
-        h = np.arange(1, size - s + 1)
+        now = level[1 : size - s + 1]
         change = np.empty(size - s + 1)
         change[0] = 2 * level[s] + 1
-        change[1:] = 2 * (level[h + s] - level[h]) + 2
+        change[1:] = 2 * (level[s + 1 :] - now) + 2
         change[-1] = -2 * level[size - s] + 1
-        change[1:][level[h] == 0] = np.inf
+        change[1:][now == 0] = np.inf
         at = size - s - int(np.argmin(change[::-1]))
         if at:
             w = self.open[at].pop()

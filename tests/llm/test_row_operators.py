@@ -238,6 +238,26 @@ def test_word_ids_are_the_tokenizers():
         assert [list(memoryview(b).cast("I")) for b in ids(some)] == want
 
 
+def test_few_words_need_the_whole_tokenizer():
+    """Letters before signs go without its first steps, and words in use stay known when the memo is full."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, sent, learnt = packing.WordIds(path, most=100), [], []
+    whole, learn = ids.tok, ids.learn
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    ids.tok, ids.learn = Counted(), lambda new: (learnt.extend(new), learn(new))[1]
+    spell = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    for lo in range(0, 5000, 50):
+        texts = ["usual Usual*** " + " ".join(f"{spell(i)}{'***' if i % 2 else '&&&'} \xe9{spell(i)}_!" for i in range(lo, lo + 50)) + " it's a<|endoftext|> x<| $a b'! "]
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [list(memoryview(b).cast("I")) for b in ids(texts)] == want
+    assert len(sent) < 1000 and learnt.count("usual") == 1
+
+
 def test_memo_of_words_stays_small():
     """A worker's memo holds some 60 MB, however many words its texts have."""
     ids, most = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), 0
