@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, let, shuffles_spent, table, word_count
+from .common import forget, fresh, shuffles_spent, table, word_count
 from .linemodel import _WANT, EVERY, GAPS, LAST, LONG, Chunks, Lines, Sides, lines, merged, without
 
 __all__ = ["_WANT", "Chunks", "Lines", "Sides", "dedup_lines", "lines", "merged", "without"]
@@ -18,16 +18,58 @@ _INNER = r"[\x20\x09\x0B-\x0D]"  # a gap without a line feed
 _HOT = 50_000  # occurrences of a chunk that are compared in one task
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row, as `common.let`, but without a copy of what `body` gives."""
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
+
+
 def _raw(x: Column) -> Column:
     """What `_escaped` was made from."""
     return F.replace(F.replace(x, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
 
 
+def _part(xs: Column, a: Column, b: Column, back: bool = False) -> Column:
+    """Elements a to b (exclusive, above a) of an array, last first if `back`; unlike `slice`, which turns the whole array into a list, it costs what it returns."""
+    places = F.sequence(b - 1, a, F.lit(-1)) if back else F.sequence(a, b - 1, F.lit(1))
+    return F.transform(places, lambda i: F.get(xs, i))
+
+
+def _same(x: Column) -> Column:
+    return x
+
+
 def _escaped(x: Column) -> Column:
     """A text without the mark."""
     return F.replace(F.replace(x, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
 
 
+def _cut_words(xs: Column, gaps: bool) -> Column:
+    """`_cut_long` for lines of words with single spaces between: `gaps` tells whether lines end with their gap, else a line feed may stand before one."""
+
+    ends = lambda w: F.xxhash64(w).bitwiseAND(F.lit(EVERY - 1)) == 0
+
+    def marked(x: Column) -> Column:
+        """Words with marks after those that end a piece, but for the last."""
+        cut, gap = (f" {_MARK}", " ") if gaps else (_MARK, " ")
+        whole = F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(w, F.when(ends(w), F.lit(cut)).otherwise(F.lit(gap)))), "")
+        return F.rtrim(whole, F.lit(f" {_MARK}")) if gaps else F.rtrim(whole)
+
+    def pieces(x: Column) -> Column:
+        if gaps:
+            body = marked(F.substring(x, F.lit(1), F.length(x) - 1))
+            t = F.when(F.endswith(x, F.lit(" ")), F.concat(body, F.lit(" "))).when(F.endswith(x, F.lit("\n")), F.concat(body, F.lit("\n"))).otherwise(marked(x))
+        else:
+            t = F.when(F.startswith(x, F.lit("\n")), F.concat(F.lit("\n"), marked(F.substring(x, 2, 2**31 - 1)))).otherwise(marked(x))
+        return F.filter(F.split(t, _MARK, -1), lambda y: y != "")
+
+    def short(x: Column) -> Column:
+        size = F.octet_length(x)
+        beside = F.endswith(x, F.lit(" ")) | F.endswith(x, F.lit("\n")) if gaps else F.startswith(x, F.lit("\n"))
+        return (size <= LONG) | (size == LONG + 1) & beside
+
+    return F.flatten(F.transform(xs, lambda x: F.when(short(x), F.array(x)).otherwise(pieces(x))))
+
+
 def _cut_long(xs: Column, raw, gaps: bool) -> Column:
     """Lines with those of over `LONG` bytes cut after words whose hash says so."""
 
@@ -50,13 +92,12 @@ def _cut_long(xs: Column, raw, gaps: bool) -> Column:
 def _unmarked(text: Column, cut) -> Column:
     """`cut(text, raw)`, an array; texts that hold the mark go through it escaped."""
     odd = lambda t: F.transform(let(_escaped(t), lambda e: cut(e, _raw)), _raw)
-    return let(text, lambda t: F.when(F.instr(t, _MARK) == 0, cut(t, lambda x: x)).otherwise(odd(t)))
+    return let(text, lambda t: F.when(~F.contains(t, F.lit(_MARK)), cut(t, _same)).otherwise(odd(t)))
 
 
 def _usual(t: Column) -> Column:
     """Whether all gaps of a text are single spaces and line feeds."""
-    odd = [F.contains(t, F.lit(x)) for x in ("\t", "\r", "  ", " \n", "\n ", "\n\n", "\x0b", "\x0c")]
-    return ~reduce(lambda a, b: a | b, odd)
+    return ~F.rlike(t, F.lit(r"[\t-\r ](?:(?<=[\t\x0B-\r])|[ \n])"))
 
 
 def _replaced(t: Column, pairs) -> Column:
@@ -68,9 +109,13 @@ def plain_lines(text: Column) -> Column:
     """The lines of a text without what separates them; one that starts a paragraph has a line feed before it."""
 
     def cut(t: Column, raw) -> Column:
-        usual = F.split(_replaced(t, [("\n", _MARK + "\n"), *((f"{x} ", x + _MARK) for x in LAST)]), _MARK, -1)
         odd = F.split(F.regexp_replace(t, rf"{_GAP}*\n{_GAP}*", _MARK + "\n"), rf"(?<=[{LAST}]){_INNER}+|{_MARK}", -1)
-        return _cut_long(F.filter(F.when(_usual(t), usual).otherwise(odd), lambda x: (x != "") & (x != "\n")), raw, False)
+        some = lambda xs: F.filter(xs, lambda x: (x != "") & (x != "\n"))
+        odd = _cut_long(some(odd), raw, False)
+        if raw is not _same:
+            return odd
+        usual = F.split(F.replace(t, F.lit("\n"), F.lit(" \n")), rf" (?:(?=\n)|(?<=[{LAST}] ))", -1)
+        return F.when(_usual(t), _cut_words(some(usual), False)).otherwise(odd)
 
     ended = lambda t: F.when(F.endswith(t, F.lit("\n")), t).otherwise(F.concat(t, F.lit("\n")))
     return _unmarked(let(F.ltrim(text, F.lit(GAPS)), ended), cut)
@@ -80,8 +125,12 @@ def whole_lines(text: Column) -> Column:
     """The lines of a text with their gaps: joined, they are the text but for blanks at its start."""
 
     def cut(t: Column, raw) -> Column:
-        marked = F.regexp_replace(t, rf"(?:[{LAST}]{_GAP}|\n){_GAP}*", f"$0{_MARK}")
-        return _cut_long(F.filter(F.split(marked, _MARK, -1), lambda x: x != ""), raw, True)
+        some = lambda x: F.filter(F.split(x, _MARK, -1), lambda x: x != "")
+        odd = _cut_long(some(F.regexp_replace(t, rf"(?:[{LAST}]{_GAP}|\n){_GAP}*", f"$0{_MARK}")), raw, True)
+        if raw is not _same:
+            return odd
+        usual = F.regexp_replace(t, rf"[ \n](?<=[{LAST}] |\n)", f"$0{_MARK}")
+        return F.when(_usual(t), _cut_words(some(usual), True)).otherwise(odd)
 
     return _unmarked(F.ltrim(text, F.lit(GAPS)), cut)
 
@@ -99,9 +148,12 @@ def _parsed(text: Column, body) -> Column:
         return F.when(F.size(xs) > 0, F.filter(F.sequence(F.lit(0), F.size(xs) - 1), begin)).otherwise(F.expr("cast(array() as array<int>)"))
 
     def chunks(h: Column, starts: Column) -> Column:
+        def code(s: Column, e: Column) -> Column:
+            few = [F.xxhash64(*(F.get(h, s + i) for i in range(n))) for n in (2, 3)]  # as of an array of them
+            return F.when(e - s == 2, few[0]).when(e - s == 3, few[1]).otherwise(F.xxhash64(_part(h, s, e)))
+
         def one(s: Column, k: Column) -> Column:
-            e = F.coalesce(F.get(starts, k + 1), F.size(h))
-            return F.when(e - s > 1, F.struct(s.alias("s"), e.alias("e"), F.xxhash64(F.slice(h, s + 1, e - s)).alias("ch")))
+            return let(F.coalesce(F.get(starts, k + 1), F.size(h)), lambda e: F.when(e - s > 1, F.struct(s.alias("s"), e.alias("e"), code(s, e).alias("ch"))))
 
         return F.filter(F.transform(starts, one), lambda c: c.isNotNull())
 
@@ -134,19 +186,20 @@ def pieces(text: Column, wanted: Column, rid: Column) -> Column:
     """
 
     def of(u: Column, h: Column, c: Column, wanted: Column) -> Column:
-        part = lambda a, b, turn=lambda x: x: F.array_join(turn(F.slice(u, a + 1, b - a)), "\n")  # noqa: E731  # no line holds a line feed
+        part = lambda a, b, back=False: F.array_join(_part(u, a, b, back), "\n")  # noqa: E731  # no line holds a line feed
         number = lambda v: F.shiftright(v, 24).cast("int")
 
         def row(k: Column, side: int, key: Column, at: Column, n: Column, x: Column) -> Column:
             return F.struct(key.alias("key"), k.alias("k"), F.lit(side).alias("side"), at.alias("at"), n.alias("lines"), x.alias("x"))
 
         def beside(v: Column, i: Column) -> Column:
-            k = number(v)
-            me, back, ahead = F.get(c, k), F.get(c, k - 1), F.get(c, k + 1)
+            return let(number(v), lambda k: let(F.get(c, k), lambda me: let(F.get(c, k - 1), lambda back: let(F.get(c, k + 1), lambda ahead: rows(v, i, k, me, back, ahead)))))
+
+        def rows(v: Column, i: Column, k: Column, me: Column, back: Column, ahead: Column) -> Column:
             alone = lambda j, meets: ~F.coalesce((number(F.get(wanted, j)) == k + (j - i)) & meets, F.lit(False))
             low = F.greatest(F.coalesce(back["s"] - 1, F.lit(0)), F.lit(0))
             high = F.coalesce(ahead["e"], F.size(h))
-            before = F.when((me["s"] > 0) & alone(i - 1, back["e"] == me["s"]), row(k, -1, F.xxhash64(me["ch"], F.get(h, me["s"] - 1), F.lit(-1).cast("long")), me["s"], me["s"] - low, part(low, me["s"], F.reverse)))
+            before = F.when((me["s"] > 0) & alone(i - 1, back["e"] == me["s"]), row(k, -1, F.xxhash64(me["ch"], F.get(h, me["s"] - 1), F.lit(-1).cast("long")), me["s"], me["s"] - low, part(low, me["s"], True)))
             after = F.when((me["e"] < F.size(h)) & alone(i + 1, ahead["s"] == me["e"]), row(k, 1, F.xxhash64(me["ch"], F.get(h, me["e"]), F.lit(1).cast("long")), me["e"], high - me["e"], part(me["e"], high)))
             own = lambda key: row(k, 0, key, me["s"], me["e"] - me["s"], part(me["s"], me["e"]))
             salts = F.shiftright(v, 1).bitwiseAND(F.lit((1 << 23) - 1))
@@ -165,28 +218,36 @@ def alike(x: Column, y: Column) -> Column:
     return let(both, lambda same: F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int"))
 
 
-def joined(spans: Column) -> Column:
-    """Runs (a, b), b exclusive, of the lines that any of the spans a * 2 ** 32 + b covers, in order."""
-    covered = F.flatten(F.transform(spans, lambda s: F.sequence(F.shiftright(s, 32).cast("int"), s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - 1)))
+def _most_words(x: Column) -> Column:
+    """At least the number of words of a text: one more than its gaps have characters."""
+    gone = lambda gaps: F.octet_length(x) - F.octet_length(_replaced(x, [(g, "") for g in gaps]))
+    odd = reduce(lambda a, b: a | b, [F.contains(x, F.lit(g)) for g in "\t\r\x0b\x0c"])
+    return F.when(odd, gone(GAPS)).otherwise(gone(" \n")) + 1
 
-    def runs(c: Column) -> Column:
-        begins = F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1) < x - 1, F.lit(True)))
-        ends = F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1) > x + 1, F.lit(True)))
-        return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
 
-    return let(F.array_sort(F.array_distinct(covered)), runs)
+def joined(hit: DataFrame, min_words: int) -> DataFrame:
+    """Runs (a, b), b exclusive, of the lines that any span (a, b, words) of a document covers, in order, as (_rid, _runs).
+
+    Runs whose spans have fewer than `min_words` words in all can't lose any and are left out.
+    """
+    before = Window.partitionBy("_rid").orderBy("a", "b")
+    met = F.coalesce(F.col("a") <= F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    run = hit.select("_rid", "a", "b", "words", F.when(met, 0).otherwise(1).alias("begins"))
+    run = run.withColumn("run", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = run.groupBy("_rid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
+    return run.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_runs"))
 
 
 def _without(text: Column, runs: Column, min_words: int) -> Column:
     """(t, n): a text without the runs of its lines that have `min_words` words or more, and how many words went."""
 
     def of(us: Column) -> Column:
-        words = lambda x: word_count(F.array_join(F.slice(us, x["a"] + 1, x["b"] - x["a"]), ""))
+        words = lambda x: word_count(F.array_join(_part(us, x["a"], x["b"]), ""))
         counted = F.transform(runs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), words(x).alias("n")))
 
         def cut(g: Column) -> Column:
             upto = lambda i: F.coalesce(F.get(g, i)["a"], F.size(us))
-            kept = F.transform(F.sequence(F.lit(0), F.size(g)), lambda i: let(F.coalesce(F.get(g, i - 1)["b"], F.lit(0)), lambda b: F.array_join(F.slice(us, b + 1, upto(i) - b), "")))
+            kept = F.transform(F.sequence(F.lit(0), F.size(g)), lambda i: let(F.coalesce(F.get(g, i - 1)["b"], F.lit(0)), lambda b: F.when(upto(i) > b, F.array_join(_part(us, b, upto(i)), "")).otherwise("")))
             lead = F.when(F.get(g, 0)["a"] == 0, F.lit("")).otherwise(F.substring(text, F.lit(1), F.length(text) - F.length(F.ltrim(text, F.lit(GAPS)))))  # blanks before the first line are its
             return F.struct(F.concat(lead, F.array_join(kept, "")).alias("t"), F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n"))
 
@@ -245,11 +306,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = near.where("_rid <> first_rid or k <> firstk")
     hit = hit.withColumn("n", F.when(F.col("x") == F.col("firstx"), F.col("lines")).when(F.col("side") != 0, alike(F.col("x"), F.col("firstx"))).otherwise(0)).where("n > 0")
     a = F.when(F.col("side") < 0, F.col("at") - F.col("n")).otherwise(F.col("at"))
-    spans = hit.select("_rid", (F.shiftleft(a.cast("long"), 32) + a + F.col("n")).alias("s"))
+    spans = hit.select("_rid", a.alias("a"), (a + F.col("n")).alias("b"), _most_words(F.col("x")).cast("long").alias("words"))
     rid_col, cuts_col, done_col = (fresh(docs, c) for c in ("_rid", "_cuts", "_done"))
-    cuts = spans.repartition(n_buckets, "_rid").groupBy("_rid").agg(F.collect_set("s").alias("_s"))
+    cuts = joined(spans.repartition(n_buckets, "_rid"), min_words)
     with shuffles_spent(spark):
-        cuts = table(cuts.select(F.col("_rid").alias(rid_col), joined(F.col("_s")).alias(cuts_col)), "lines-cuts")
+        cuts = table(cuts.select(F.col("_rid").alias(rid_col), F.col("_runs").alias(cuts_col)), "lines-cuts")
     forget(want)
 
     out = docs.withColumn(rid_col, rid).repartition(n_buckets, rid_col).join(cuts.repartition(n_buckets, rid_col).hint("shuffle_hash"), rid_col, "left")

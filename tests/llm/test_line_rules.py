@@ -57,3 +57,29 @@ def test_both_forms_have_the_same_lines(spark):
         assert [tuple(y) for y in r.p.c] == [(s, e, h) for s, e, h, several in zip(c.start.tolist(), c.end.tolist(), c.hash.view(np.int64).tolist(), c.several, strict=True) if several]
         whole = "".join(linemodel.lines(r.t))
         assert "".join(r.w) == whole.lstrip(linemodel.GAPS) and len(r.w) == len(x.start)
+
+
+def test_line_dedup_cuts_only_where_words_may_go(spark, monkeypatch):
+    """Documents whose repeats have too few words to go are not cut into lines again; runs of spans that meet count together."""
+    made, table, forget = {}, linededup.table, linededup.forget
+    monkeypatch.setattr(linededup, "table", lambda df, name, *a: made.setdefault(name, table(df, name, *a)))
+    monkeypatch.setattr(linededup, "forget", lambda *_: None)
+    own = lambda i: f"Own{i} words{i}. Other{i} words{i}.\n"
+    phrase = "Some phrase. And more. Of it.\n"
+    halves = ["".join(f"{c}{i} half. " for i in range(10)) for c in "ab"]  # 20 words each
+    rows = [(i, own(i) + phrase + own(i + 100)) for i in range(20)]
+    rows += [(50, own(50) + halves[0] + own(51)), (51, own(52) + halves[1] + own(53)), (52, own(54) + "".join(halves) + own(55))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in linededup.dedup_lines(df).collect()}
+    assert {i for i, n in got.items() if n} == {52} and got[52] >= 30
+    assert made["lines-cuts"].count() == 1
+    forget(*made.values())
+
+
+def test_words_of_spans_are_never_underrated(spark):
+    """The number of words that decides whether a run is cut at all is no less than what is counted there."""
+    rng = random.Random(9)
+    texts = ["", "a", "\n", "漢字"] + ["".join(rng.choice(["a", "é", "bc", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\xa0"]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", linededup._most_words(F.col("t")).alias("n")).collect():
+        assert len(re.findall(r"[^\x20\x09-\x0D]+", r.t)) <= r.n <= len(r.t) + 1
