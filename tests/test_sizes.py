@@ -1,10 +1,13 @@
 """What only larger tables than the smallest, or odd ones, bring out."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lodestone import catalog
+from lodestone.operators import search
 
 
 def same_as_sql(spark, folder, key, table, data):
@@ -21,3 +24,25 @@ def same_as_sql(spark, folder, key, table, data):
 
 def test_zorder_of_keys_beyond_16_bits(spark, tmp_path):
     same_as_sql(spark, tmp_path, "zorder", "customer", {"c_custkey": pa.array([1, 65535, 65536, 899_999]), "c_nationkey": pa.array([3, 24, 5, 0], pa.int32())})
+
+
+def test_searches_make_terms_once(spark, tmp_path):
+    """Not once more for every place of a term, and trigrams not of texts without the phrase."""
+    texts = ["an idiot the one", "the way of the idiot, an", "the\nidiot a b c the", None, "", "xation.\n", "with a or b from", "or or or with with"]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), f"{tmp_path}/documents.parquet")
+    for key in ("fts_near", "fts_near_many", "fts_phrase", "fts_substring"):
+        plan = catalog.QUERIES[key](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1, plan
+    assert "Contains(lower(text" in plan
+
+
+def test_near_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c x y z w v".split()) for _ in range(rng.randrange(40))) for _ in range(60)]
+    ix = search.index(spark.createDataFrame(list(enumerate(texts)), "key long, value string"), "key", ["value"])
+    for distance, *phrases in ((2, "a", "b"), (1, "a b", "c"), (3, "a", "b", "c"), (1, "a", "a b", "x"), (2, "a", "a")):
+        def near(words):
+            at = [[i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p in phrases]
+            return any(all(any(s <= q <= s + len(p.split()) + distance for q in at[k]) for k in range(len(at)) if k != j) for j, p in enumerate(phrases) for s in at[j])
+
+        assert {r.doc for r in search.Near(distance, *phrases).docs(ix).collect()} == {i for i, t in enumerate(texts) if near(t.split())}
