@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lodestone import catalog
-from lodestone.operators import search
+from lodestone.operators import search, vector
 
 
 def same_as_sql(spark, folder, key, table, data):
@@ -46,3 +48,13 @@ def test_near_against_brute_force(spark):
             return any(all(any(s <= q <= s + len(p.split()) + distance for q in at[k]) for k in range(len(at)) if k != j) for j, p in enumerate(phrases) for s in at[j])
 
         assert {r.doc for r in search.Near(distance, *phrases).docs(ix).collect()} == {i for i, t in enumerate(texts) if near(t.split())}
+
+
+def test_knn_batch_takes_any_number_of_queries(spark):
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(0, 6, (40, 3)).astype(float), rng.integers(0, 6, (10_001, 3)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"key": range(40), "v": v.tolist()}))
+    out = vector.knn_batch(df, "v", "key", spark.createDataFrame(pd.DataFrame({"query_id": range(len(q)), "query": q.tolist()})), 4).toPandas().sort_values(["query_id", "rank"])
+    d = np.sqrt(((q[:, None] - v) ** 2).sum(2))
+    near = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert out.key.tolist() == near.ravel().tolist() and out.distance.tolist() == np.take_along_axis(d, near, 1).ravel().tolist()
