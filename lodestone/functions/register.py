@@ -6,9 +6,11 @@ import inspect
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import arrow
 
@@ -24,12 +26,13 @@ def register_function(spark: SparkSession, name: str, f: Callable, returns: str
 
 
 def _grouped(make: Callable, finish: str, returns: str | T.DataType):
-    """A grouped Arrow function that steps a state through the rows it is given."""
+    """A grouped Arrow function that steps a state through the rows it is given, NULL as None; a part of them at a time is Python's."""
 
-    def over(*columns: pd.Series):
+    def over(*columns: pa.Array):
         state = make()
-        for row in zip(*columns, strict=True):
-            state.step(*row)
+        for low in range(0, len(columns[0]), 4096):
+            for row in zip(*[c.slice(low, 4096).to_pylist() for c in columns], strict=True):
+                state.step(*row)
         return getattr(state, finish)()
 
     forms = {1: lambda a: over(a), 2: lambda a, b: over(a, b), 3: lambda a, b, c: over(a, b, c)}
@@ -37,8 +40,28 @@ def _grouped(make: Callable, finish: str, returns: str | T.DataType):
     if n not in forms:
         raise ValueError("step takes one to three values")
     call = forms[n]
-    call.__annotations__ = {**dict.fromkeys(inspect.signature(call).parameters, pd.Series), "return": object}
-    return F.pandas_udf(call, _type(returns), F.PandasUDFType.GROUPED_AGG)
+    return F.arrow_udf(call, _type(returns), ArrowUDFType.GROUPED_AGG)
+
+
+def aggregate_in_parts(df: DataFrame, by: str, value: str, part: Callable, whole: Callable, returns: str, name: str) -> DataFrame:
+    """A grouped aggregate of one's own that needs no group in one task.
+
+    `part` makes of a batch's values of a group the few that stand for them, before
+    the shuffle; `whole` makes the result of all of those (None if there are none).
+    """
+    kinds = {c: df.schema[c].dataType for c in (by, value)}
+
+    def parts(batches):
+        for b in batches:
+            rows = [(k, x) for k, v in b.groupby(by, dropna=False)[value] for x in part(v)]
+            yield pd.DataFrame({by: pd.Series([None if pd.isna(k) else k for k, _ in rows], dtype=object), value: [x for _, x in rows]})
+
+    def done(v: pd.Series) -> object:
+        return whole(v)
+
+    few = df.select(by, value).mapInPandas(parts, T.StructType([T.StructField(c, t) for c, t in kinds.items()]))
+    made = F.pandas_udf(done, _type(returns), F.PandasUDFType.GROUPED_AGG)
+    return few.groupBy(by).agg(made(F.col(value)).alias(name))
 
 
 def register_aggregate(spark: SparkSession, name: str, make: Callable, returns: str | T.DataType):
