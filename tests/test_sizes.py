@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lodestone import catalog
+from lodestone.functions import arrow
 from lodestone.operators import search, vector
 
 
@@ -58,3 +59,21 @@ def test_knn_batch_takes_any_number_of_queries(spark):
     d = np.sqrt(((q[:, None] - v) ** 2).sum(2))
     near = np.argsort(d, axis=1, kind="stable")[:, :4]
     assert out.key.tolist() == near.ravel().tolist() and out.distance.tolist() == np.take_along_axis(d, near, 1).ravel().tolist()
+
+
+def test_udaf_shuffles_ends_only(spark, tmp_path):
+    data = {"l_returnflag": ["A", "N", None, "A", "N", None, "R"], "l_quantity": pa.array([1.0, 5.0, 2.0, 7.0, None, 2.5, None])}
+    same_as_sql(spark, tmp_path, "udaf", "lineitem", data)
+    assert "MapInPandas" in catalog.QUERIES["udaf"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_register_window_with_nulls(spark, tmp_path):
+    n = 12
+    data = {"o_orderkey": range(n), "o_custkey": [i % 2 for i in range(n)], "o_totalprice": pa.array([None if i % 5 < 3 else i + 0.5 for i in range(n)]), "o_orderdate": range(n), "o_orderstatus": ["F"] * n}
+    same_as_sql(spark, tmp_path, "register_window", "orders", data)
+
+
+def test_text_functions_take_parts_of_batches():
+    texts = ["é" * (i % 7) + "a" for i in range(1000)] + [None]
+    out = arrow.unaccent.func(pa.array(texts))
+    assert out.to_pylist() == ["e" * (i % 7) + "a" for i in range(1000)] + [None]
