@@ -37,6 +37,8 @@ def test_searches_make_terms_once(spark, tmp_path):
         plan = catalog.QUERIES[key](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") == 1, plan
     assert "Contains(lower(text" in plan
+    plan = catalog.QUERIES["fts_porter"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("ArrowEvalPython") == 1, plan
 
 
 def test_near_against_brute_force(spark):
